@@ -1,8 +1,9 @@
 """The queries of this folder by name, and the SQL that checks them."""
 
-from tessella.llm import line_dedup, simhash
+from tessella.llm import line_dedup, packing, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
