@@ -1,10 +1,14 @@
 """The queries of this folder by name, and the SQL that checks them."""
 
-from tessella.llm import line_dedup, packing, simhash
+from tessella.llm import line_dedup, packing, simhash, substring_dedup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL = {"op9_line_dedup": line_dedup.OP9_SQL}
+SQL = {
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
+}
