@@ -24,6 +24,8 @@ from tessella.llm.common import materialize, small_batches, table
 
 STRIP = b" \t\n\x0b\x0c\r"
 CHUNKS = 16
+#: Parts into which the rows of each confirmed key are dealt.
+SALTS = 32
 
 
 def _keys(text: str | None, min_chars: int) -> list[bytes]:
@@ -163,7 +165,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = docs.select(id_col, text_col).mapInPandas(_suspects(shared, filter_bits, hashes, min_chars), f"id {kind}, key binary")
     found = materialize(found, "line-suspects")
     confirmed = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= min_docs).select("key", "keep")
-    drops = found.join(confirmed, "key").filter(~F.col("id").eqNullSafe(F.col("keep")))
+    # A key may be in a third of all documents: its rows are dealt over SALTS tasks.
+    confirmed = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    drops = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("long")).join(confirmed, ["key", "salt"]).filter(~F.col("id").eqNullSafe(F.col("keep")))
     drops = drops.groupBy(F.col("id").alias("__drop_id")).agg(F.collect_set("key").alias("__drop"))
     joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("__drop_id")), "left")
     joined = joined.withColumn("__out", F.pandas_udf(_apply, "kept string, n_lines long, n_dropped long")(F.col(text_col), F.col("__drop")))
