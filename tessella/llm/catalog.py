@@ -1,11 +1,12 @@
 """The queries of this folder by name, and the SQL that checks them."""
 
-from tessella.llm import line_dedup, packing, quality_rules, simhash, substring_dedup, url_filter
+from tessella.llm import line_dedup, packing, quality_crf, quality_rules, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_quality": quality_crf.op5_quality,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_simhash": simhash.op10_simhash,
