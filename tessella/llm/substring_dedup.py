@@ -2,8 +2,8 @@
 
 Documents come in batches of rising ids.  The window hashes of a batch are sorted
 within hash buckets, merge-joined with the sorted immutable runs of all earlier
-batches, and what is new becomes a run of its own; when there are several runs they
-are compacted into one.  A hit counts if an independent check hash agrees, too (80
+batches, and what is new becomes a run of its own; two neighbouring runs of as many batches are compacted
+into one, so a history of n batches has about log2(n) runs.  A hit counts if an independent check hash agrees, too (80
 bits in all), and windows of one batch are settled among themselves by the smallest
 id.  Runs are Parquet rows of a bucket's hashes as bytes, so a bucket is a handful of
 rows for the JVM, and a bucket is bounded as their number follows the input.
@@ -17,6 +17,8 @@ the texts, dealt by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,9 @@ from pyspark.sql import types as T
 from tessella.llm.common import delete, new_path, release, small_batches, table
 
 #: Characters of text for one hash bucket of the index, and for one share of the final step.
-BUCKET_CHARS, SHARE_CHARS = 48_000_000, 12_000_000
+BUCKET_CHARS, SHARE_CHARS = 16_000_000, 8_000_000
 #: Windows a task gathers before it sorts and sends them.
-GATHER = 3_000_000
-#: Runs that are kept before they are compacted.
-MAX_RUNS = 3
-
+GATHER = 1_000_000
 RUN = "bucket int, n long, keys binary, checks binary"
 
 
@@ -163,7 +162,7 @@ def _rows(buckets, kinds, keys, checks, ids) -> pa.RecordBatch:
     )
 
 
-def _settle(shares: int):
+def _settle(shares: int, keep: bool):
     """A bucket's entries of this batch against its runs: a new run, and answers by share of ids."""
 
     def run(mine: pa.Table, runs: pa.Table) -> pa.Table:
@@ -198,7 +197,7 @@ def _settle(shares: int):
             if (hit | old).any():
                 answer(keys[hit | old], ids[hit | old])
             add = new & ~old
-            if add.any():
+            if keep and add.any():
                 for name, x in zip(out, ("run", mine.column("bucket")[0].as_py(), int(add.sum()), shrink(keys[add], True), shrink(checks[add]), None), strict=True):
                     out[name].append(x)
         return pa.table(out, schema=pa.schema([("kind", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary())]))
@@ -240,52 +239,60 @@ def _compact(rows: pa.Table) -> pa.Table:
 class FingerprintIndex:
     """Sorted immutable runs of the window hashes of all batches so far, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, *, width: int = 13, buckets: int = 64, shares: int = 64, max_runs: int = MAX_RUNS) -> None:
-        self.spark, self.width, self.buckets, self.shares, self.max_runs = spark, width, buckets, shares, max_runs
-        self.runs: list[str] = []
+    def __init__(self, spark: SparkSession, *, width: int = 13, buckets: int = 64, shares: int = 67) -> None:
+        self.spark, self.width, self.buckets, self.shares = spark, width, buckets, shares
+        self.runs: list[tuple[int, str]] = []  # level and path, the oldest first
         self.answers: list[str] = []
 
-    def _history(self) -> DataFrame:
-        if not self.runs:
+    def _read(self, paths: list[str]) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], RUN)
-        parts = [self.spark.read.schema("part int, n long, keys binary, checks binary").parquet(p).withColumnRenamed("part", "bucket") for p in self.runs]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
-
-    def add(self, batch: DataFrame) -> None:
-        """Settle a batch (``id`` long, ``text``) whose ids are above those of all batches before."""
+        parts = [self.spark.read.schema("part int, n long, keys binary, checks binary").parquet(p).withColumnRenamed("part", "bucket") for p in paths]
+        return reduce(DataFrame.union, parts)
+
+    def add(self, batch: DataFrame, *, keep: bool = True) -> None:
+        """Settle a batch (``id`` long, ``text``) whose ids are above those of all batches before.
+
+        ``keep=False`` adds no run: for a last batch, after which the index is dropped.
+        """
         path = new_path(self.spark, "windows")
-        mine = batch.mapInArrow(_extract(self.width, self.buckets), "bucket int, kind int, n long, keys binary, checks binary, ids binary")
-        both = mine.groupBy("bucket").cogroup(self._history().groupBy("bucket"))
-        out = both.applyInArrow(_settle(self.shares), "kind string, part int, n long, keys binary, checks binary, ids binary")
-        out.write.partitionBy("kind").option("compression", "none").parquet(path)
+        self._settle(batch, path, keep)
         kinds = {r.kind for r in self.spark.read.parquet(path).select("kind").distinct().collect()}  # two at most
-        if "run" in kinds:
-            self.runs.append(f"{path}/kind=run")
         if "answer" in kinds:
             self.answers.append(f"{path}/kind=answer")
-        if len(self.runs) >= self.max_runs:
-            self.compact()
+        if "run" in kinds:
+            self.runs.append((0, f"{path}/kind=run"))
         release(self.spark)
+        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
+            self.compact()
+
+    def _settle(self, batch: DataFrame, path: str, keep: bool) -> None:
+        mine = batch.mapInArrow(_extract(self.width, self.buckets), "bucket int, kind int, n long, keys binary, checks binary, ids binary")
+        both = mine.groupBy("bucket").cogroup(self._read([p for _, p in self.runs]).groupBy("bucket"))
+        out = both.applyInArrow(_settle(self.shares, keep), "kind string, part int, n long, keys binary, checks binary, ids binary")
+        out.write.partitionBy("kind").option("compression", "none").parquet(path)
 
     def compact(self) -> None:
+        """The last two runs become one."""
         path = new_path(self.spark, "compacted")
-        self._history().groupBy("bucket").applyInArrow(_compact, RUN).withColumnRenamed("bucket", "part").write.option("compression", "none").parquet(path)
-        for old in self.runs:
-            delete(self.spark, old)
-        self.runs = [path]
+        (level, old), (_, new) = self.runs[-2:]
+        self._read([old, new]).groupBy("bucket").applyInArrow(_compact, RUN).withColumnRenamed("bucket", "part").write.option("compression", "none").parquet(path)
+        for p in (old, new):
+            delete(self.spark, p)
+        self.runs[-2:] = [(level + 1, path)]
+        release(self.spark)
+
+    def drop_runs(self) -> None:
+        for _, path in self.runs:
+            delete(self.spark, path)
+        self.runs = []
 
     def repeated(self) -> DataFrame:
         """``share, keys, ids``: the windows of each id that an earlier document has."""
         if not self.answers:
             return self.spark.createDataFrame([], "share int, keys binary, ids binary")
         parts = [self.spark.read.schema("part int, n long, keys binary, checks binary, ids binary").parquet(p) for p in self.answers]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out.select(F.col("part").alias("share"), "keys", "ids")
+        return reduce(DataFrame.union, parts).select(F.col("part").alias("share"), "keys", "ids")
 
 
 def _remove(width: int, text_col: str, schema: pa.Schema):
@@ -358,13 +365,14 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     chars = about.chars or 0
     index = FingerprintIndex(spark, width=width, buckets=max(8, -(-chars // BUCKET_CHARS)), shares=_prime(max(11, -(-chars // SHARE_CHARS))))
     edges = [None, *dict.fromkeys(about.cuts or []), None]
-    for low, high in zip(edges, edges[1:], strict=False):
+    for low, high in pairwise(edges):
         part = base
         if low is not None:
             part = part.filter(F.col("id") > low)
         if high is not None:
             part = part.filter(F.col("id") <= high)
-        index.add(part)
+        index.add(part, keep=high is not None)
+    index.drop_runs()
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     own = docs.select(*names, F.col(id_col).cast("long").alias("__id"))
     # Rows without an id get no answer and are dealt by their text.
