@@ -1,6 +1,6 @@
 """The queries of this folder by name, and the SQL that checks them."""
 
-from tessella.llm import line_dedup, packing, quality_crf, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from tessella.llm import ann, line_dedup, packing, quality_crf, quality_rules, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality": quality_crf.op5_quality,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_ann": ann.op7_ann,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_simhash": simhash.op10_simhash,
