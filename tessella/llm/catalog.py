@@ -1,9 +1,10 @@
 """The queries of this folder by name, and the SQL that checks them."""
 
-from tessella.llm import ann, line_dedup, packing, quality_crf, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from tessella.llm import ann, line_dedup, packing, quality_crf, quality_rules, sentencepiece_nbest, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_sentencepiece": sentencepiece_nbest.op2_sentencepiece,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality": quality_crf.op5_quality,
