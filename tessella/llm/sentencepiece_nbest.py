@@ -7,21 +7,24 @@ falls apart before each space that follows something else.  Within such a unit a
 Viterbi pass gives the best score of every position; these scores are the exact heuristic
 of a backward A-star search, which therefore pops whole segmentations from the best down.
 
-A text's N best differ from its best in few units.  A unit's second-best score follows
-from the forward and a backward pass, and only the N - 1 units whose second choice costs
-least can differ; the search runs on those alone, and their choices are combined exactly.
+A text's N best differ from its best in few units.  The forward pass keeps the second-best
+score, too, and only the N - 1 units whose second choice costs least can differ; the search
+runs on those alone, and their choices are combined exactly.  New units of several texts are
+passed in sorted order, and a unit goes on from where it parts from the one before.
 
 Scores are integers (log-probabilities times 2 ** 20), so sums are exact in any order.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +33,9 @@ from pyspark.sql import types as T
 from tessella.llm.common import small_batches, table
 
 SCALE = 1 << 20
-LOW = -(1 << 62)
+LOW, NEVER = -(1 << 62), 1 << 62
 #: Units kept with their best segmentation in each Python worker, in either of two generations.
-KNOWN = 350_000
+KNOWN = 300_000
 #: Longest unit that is kept.
 LONGEST_KNOWN = 64
 UNIT = re.compile("▁+[^▁]*|[^▁]+")
@@ -45,8 +48,9 @@ class Vocabulary:
 
     def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], byte_score: int, table: list[bytes]) -> None:
         self.pieces, self.byte_ids, self.byte_score, self.table = pieces, byte_ids, byte_score, table
-        #: Every beginning of a piece, with the piece itself if it is one: a search ends where nothing goes on.
+        #: Every beginning or ending of a piece, with the piece itself if it is one: a search ends where nothing goes on.
         self.heads: dict[str, tuple[int, int] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))} | pieces
+        self.tails: dict[str, tuple[int, int, bytes] | None] = {p[k:]: None for p in pieces for k in range(1, len(p))} | {p: (i, s, i.to_bytes(4, "little")) for p, (i, s) in pieces.items()}
 
     @classmethod
     def from_model(cls, path: str) -> Vocabulary:
@@ -81,15 +85,89 @@ class Vocabulary:
 
 
 class Segmenter:
+    """Segmentations by one vocabulary; units are known without the U+2581 that begins each."""
+
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
+        #: Score and ids of the best segmentation, and what the second costs more.
         self.young: dict[str, tuple[int, bytes, int]] = {}
         self.old: dict[str, tuple[int, bytes, int]] = {}
+        #: N best of the units whose second choice costs little; these recur most.
+        self.lists: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
+        self.words = np.array(vocabulary.table, dtype=object)
 
-    def units(self, text: str) -> list[str]:
+    @staticmethod
+    def units(text: str) -> list[str]:
         if not text:
             return []
-        return UNIT.findall("▁" + text.replace("▁", OWN_MARK).replace(" ", "▁"))
+        if "▁" not in text and "" not in (parts := text.split(" ")):
+            return parts
+        return [u[1:] for u in UNIT.findall("▁" + text.replace("▁", OWN_MARK).replace(" ", "▁"))]
+
+    def learn(self, units: set[str]) -> dict[str, tuple[int, bytes, int]]:
+        """Best segmentations of units, kept for later."""
+        out, young, old = {}, self.young, self.old
+        new = []
+        for u in units:
+            if (hit := old.get(u)) is None:
+                new.append(u)
+            else:
+                out[u] = hit
+        new.sort()
+        tail, char = self.v.tails.get, self.v.char
+        best, second, back, last = [0], [LOW], [0], [b""]
+        before = ""
+        for u in new:
+            unit = "▁" + u
+            n = len(unit)
+            same = 0
+            for x, y in zip(before, unit, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del best[same + 1 :], second[same + 1 :], back[same + 1 :], last[same + 1 :]
+            before = unit
+            for i in range(same + 1, n + 1):
+                j = i - 1
+                got = tail(unit[j], 0)
+                if got:
+                    s, piece = got[1], got[2]
+                else:
+                    ids, s = char(unit[j])
+                    piece = b"".join([x.to_bytes(4, "little") for x in ids])
+                top, at, low = best[j] + s, j, second[j] + s
+                if got != 0:
+                    while j:
+                        j -= 1
+                        got = tail(unit[j:i], 0)
+                        if got:
+                            s = got[1]
+                            c = best[j] + s
+                            if c > top:
+                                low, top, at, piece = top, c, j, got[2]
+                            elif c > low:
+                                low = c
+                            c = second[j] + s
+                            if c > low:
+                                low = c
+                        elif got == 0:
+                            break
+                best.append(top)
+                second.append(low)
+                back.append(at)
+                last.append(piece)
+            i, ids = n, []
+            while i:
+                ids.append(last[i])
+                i = back[i]
+            ids.reverse()
+            out[u] = best[n], b"".join(ids), best[n] - second[n] if second[n] > LOW // 2 else NEVER
+        for u, hit in out.items():
+            if len(u) <= LONGEST_KNOWN:
+                young[u] = hit
+        if len(young) >= KNOWN:
+            self.young, self.old = {}, young
+        return out
 
     def arcs(self, unit: str, j: int) -> list[tuple[int, int]]:
         """Ends and scores of the pieces that begin at ``j``; every single character has one."""
@@ -118,83 +196,6 @@ class Segmenter:
                     best[i], back[i] = base + s, j
         return best, back
 
-    def best(self, unit: str) -> tuple[int, bytes, int]:
-        """Score and ids of the best segmentation, and the score of the second (``LOW``: none)."""
-        hit = self.old.get(unit) or self._search(unit)
-        if len(unit) <= LONGEST_KNOWN:
-            if len(self.young) >= KNOWN:
-                self.young, self.old = {}, self.young
-            self.young[unit] = hit
-        return hit
-
-    def _search(self, unit: str) -> tuple[int, bytes, int]:
-        n = len(unit)
-        if n > LONGEST_KNOWN:
-            return self._search_long(unit)
-        get, char = self.v.heads.get, self.v.char
-        best, back = [LOW] * (n + 1), [0] * (n + 1)
-        best[0] = 0
-        arcs = []
-        add = arcs.append
-        for j in range(n):
-            base = best[j]
-            got = get(unit[j], 0)
-            s = got[1] if got else char(unit[j])[1]
-            i = j + 1
-            add((j, i, s))
-            if base + s > best[i]:
-                best[i], back[i] = base + s, j
-            if got != 0:
-                while i < n:
-                    i += 1
-                    got = get(unit[j:i], 0)
-                    if got:
-                        s = got[1]
-                        add((j, i, s))
-                        if base + s > best[i]:
-                            best[i], back[i] = base + s, j
-                    elif got == 0:
-                        break
-        after, second = [LOW] * n + [0], LOW
-        for j, i, s in reversed(arcs):
-            s += after[i]
-            if s > after[j]:
-                after[j] = s
-            s += best[j]
-            # On the best path an arc's total is the best; another arc may tie with it.
-            if s > second and back[i] != j:
-                second = s
-        begin, i, ids = set(), n, []
-        while i:
-            begin.add((back[i], i))
-            ids.append(self._ids(unit[back[i] : i]))
-            i = back[i]
-        # Arcs that are the best way to a position off the best path were passed over above.
-        for j, i, s in arcs:
-            if back[i] == j and (j, i) not in begin and best[i] + after[i] > second:
-                second = best[i] + after[i]
-        return best[n], b"".join([x.to_bytes(4, "little") for part in reversed(ids) for x in part]), second
-
-    def _search_long(self, unit: str) -> tuple[int, bytes, int]:
-        """As above without keeping the arcs, which would take much more room than the unit."""
-        n = len(unit)
-        best, back = self.forward(unit)
-        begin, i, ids = {}, n, []
-        while i:
-            begin[i] = back[i]
-            ids.append(self._ids(unit[back[i] : i]))
-            i = back[i]
-        after, second = [LOW] * n + [0], LOW
-        for j in range(n - 1, -1, -1):
-            base = best[j]
-            for i, s in self.arcs(unit, j):
-                s += after[i]
-                if s > after[j]:
-                    after[j] = s
-                if base + s > second and begin.get(i) != j:
-                    second = base + s
-        return best[n], b"".join([x.to_bytes(4, "little") for part in reversed(ids) for x in part]), second
-
     def _ids(self, piece: str) -> tuple[int, ...]:
         return self.v.char(piece)[0] if len(piece) == 1 else (self.v.pieces[piece][0],)
 
@@ -208,10 +209,12 @@ class Segmenter:
                 into[i].append((j, s))
                 if best[j] + s > best[i]:
                     best[i] = best[j] + s
-        heap: list = [(-best[-1], 0, size, 0, None)]  # -(score + heuristic), serial, position, score, path
+        # -(score + heuristic), position, serial, score, path: of equal hopes the one nearest its end goes first,
+        # or a run of one letter, whose segmentations mostly tie, would be searched in breadth.
+        heap: list = [(-best[-1], size, 0, 0, None)]
         serial, out = 0, []
         while heap and len(out) < n:
-            _, _, i, score, path = heapq.heappop(heap)
+            _, i, _, score, path = heapq.heappop(heap)
             if not i:
                 ids, at = [], 0
                 while path:
@@ -221,33 +224,68 @@ class Segmenter:
                 continue
             for j, s in into[i]:
                 serial += 1
-                heapq.heappush(heap, (-(score + s + best[j]), serial, j, score + s, (i, path)))
+                heapq.heappush(heap, (-(score + s + best[j]), j, serial, score + s, (i, path)))
         return out
 
     def n_best(self, text: str | None, n: int) -> list[tuple[int, bytes]]:
-        """The ``n`` best segmentations of a whole text as (score, ids), ties in a fixed order."""
-        units = self.units(text or "")
-        firsts = [self.young.get(u) or self.best(u) for u in units]
-        total = sum(f[0] for f in firsts)
-        loose = heapq.nsmallest(n - 1, [(f[0] - f[2], k) for k, f in enumerate(firsts) if f[2] > LOW]) if n > 1 else []
+        return self.n_best_all([text], n)[0]
+
+    def n_best_all(self, texts: list[str | None], n: int) -> list[list[tuple[int, bytes]]]:
+        """The ``n`` best segmentations of whole texts as (score, ids), ties in a fixed order."""
+        rows = [self.units(t or "") for t in texts]
+        known = self.young.get
+        firsts = [list(map(known, row)) for row in rows]
+        fresh = self.learn({u for row, own in zip(rows, firsts, strict=True) for u, first in zip(row, own, strict=True) if first is None})
+        for row, own in zip(rows, firsts, strict=True):
+            if None in own:
+                own[:] = [fresh[u] if first is None else first for u, first in zip(row, own, strict=True)]
+        return [self._combine(row, own, n) for row, own in zip(rows, firsts, strict=True)]
+
+    def _combine(self, units: list[str], firsts: list[tuple[int, bytes, int]], n: int) -> list[tuple[int, bytes]]:
+        if not units:
+            return [(0, b"")]
+        scores, plain, costs = zip(*firsts, strict=True)
+        total, left, loose = sum(scores), list(costs), []
+        for _ in range(n - 1):
+            least = min(left)
+            if least == NEVER:
+                break
+            loose.append(left.index(least))
+            left[loose[-1]] = NEVER
         choices: list[tuple[int, tuple[tuple[int, bytes], ...]]] = [(total, ())]
-        for _, k in loose:
-            own = self.n_best_unit(units[k], n)
+        for k in loose:
+            unit = units[k]
+            if (own := self.lists.get((unit, n))) is None:
+                own = self.n_best_unit("▁" + unit, n)
+                if len(unit) <= LONGEST_KNOWN:
+                    if len(self.lists) >= KNOWN // 10:
+                        self.lists.clear()
+                    self.lists[unit, n] = own
             mixed = [(score + s - own[0][0], (*picked, (k, ids))) for score, picked in choices for s, ids in own]
             choices = heapq.nsmallest(n, mixed, key=lambda x: -x[0])
         out = []
-        plain = [f[1] for f in firsts]
         for score, picked in choices[:n]:
-            row = plain
-            if picked:
-                row = plain.copy()
-                for k, ids in picked:
-                    row[k] = ids
+            row = list(plain)
+            for k, ids in picked:
+                row[k] = ids
             out.append((score, b"".join(row)))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.v.table.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+    def decode(self, ids: bytes) -> str:
+        """The text of little-endian 32-bit ids."""
+        return b"".join(self.words[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "surrogatepass")[1:]
+
+
+def bounded(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about so many bytes of text, a row at least."""
+    start = size = 0
+    for k, text in enumerate(batch.column(1)):
+        size += len(text.as_buffer()) if text.is_valid else 0
+        if size >= chars:
+            yield batch.slice(start, k + 1 - start)
+            start, size = k + 1, 0
+    if start < len(batch):
+        yield batch.slice(start)
 
 
 @cache
@@ -273,12 +311,18 @@ def encode_n_best(docs: DataFrame, *, n: int = 3, model: str | None = None, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(model)
+        gc.disable()  # hundreds of thousands of kept tuples, none in a cycle, would be walked again and again
+        try:
+            yield from segmented(segmenter, batches)
+        finally:
+            gc.enable()
+
+    def segmented(segmenter: Segmenter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 32):
-                part = batch.slice(start, 32)
+            for part in bounded(batch):
                 cols: list[list] = [[], [], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for rank, (score, ids) in enumerate(segmenter.n_best(text, n), 1):
+                for doc, rows in zip(part.column(0).to_pylist(), segmenter.n_best_all(part.column(1).to_pylist(), n), strict=True):
+                    for rank, (score, ids) in enumerate(rows, 1):
                         for col, x in zip(cols, (doc, rank, score / SCALE, len(ids) // 4, ids), strict=True):
                             col.append(x)
                 kinds = [batch.schema.field(0).type, pa.int32(), pa.float64(), pa.int64(), pa.binary()]
@@ -293,7 +337,7 @@ def decode_column(ids, model: str | None = None):
 
     def run(rows: pd.Series) -> pd.Series:
         decode = _segmenter(model).decode
-        return pd.Series([None if r is None else decode(memoryview(r).cast("I").tolist()) for r in rows], dtype=object)
+        return pd.Series([None if r is None else decode(r) for r in rows], dtype=object)
 
     run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")(ids)
