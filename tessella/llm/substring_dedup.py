@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import delete, new_path, release, small_batches, table
+from tessella.llm.common import delete, exists, new_path, release, small_batches, table
 
 #: Characters of text for one hash bucket of the index, and for one share of the final step.
 BUCKET_CHARS, SHARE_CHARS = 16_000_000, 8_000_000
@@ -257,10 +257,9 @@ class FingerprintIndex:
         """
         path = new_path(self.spark, "windows")
         self._settle(batch, path, keep)
-        kinds = {r.kind for r in self.spark.read.parquet(path).select("kind").distinct().collect()}  # two at most
-        if "answer" in kinds:
+        if exists(self.spark, f"{path}/kind=answer"):
             self.answers.append(f"{path}/kind=answer")
-        if "run" in kinds:
+        if exists(self.spark, f"{path}/kind=run"):
             self.runs.append((0, f"{path}/kind=run"))
         release(self.spark)
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
