@@ -27,6 +27,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    A column that is used twice is written out twice, and nested uses soon make more code
+    than the JVM compiles; a lambda's argument isn't.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_all(c: Column | str) -> Column:
     """Without Unicode white space at the ends (Spark's own trim takes ASCII spaces only)."""
     return F.regexp_replace(col(c), f"^[{BLANK}]+|[{BLANK}]+$", "")
@@ -49,27 +58,31 @@ def parse_boolean(c: Column | str) -> Column:
 
 
 def parse_number(c: Column | str) -> Column:
-    """Digits with separators, currency, percent, accounting brackets or full-width forms; else NULL.
+    """Digits with separators, currency, percent, accounting brackets or full-width forms; else NULL."""
+    c = col(c)
 
-    Each step is one replacement, so the expression stays small however often it is used.
-    """
-    text = half_width(trim_all(c))
-    inner = F.regexp_replace(text, "(?s)^\\((.+)\\)$", "$1")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, "%$", ""), f"^[{CURRENCY}]", ""), f"[,_{BLANK}]", ""), "円$", "")
-    value = F.regexp_extract(bare, NUMBER, 0).try_cast("double")
-    sign = F.when(text.rlike("(?s)^\\(.+\\)$"), -1.0).otherwise(1.0)
-    value = sign * value / F.when(inner.endswith("%"), 100.0).otherwise(1.0)
-    return F.when(F.abs(value) < float("inf"), value)
+    def loose(text: Column) -> Column:
+        inner = F.regexp_replace(text, "(?s)^\\((.+)\\)$", "$1")
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, "%$", ""), f"^[{CURRENCY}]", ""), f"[,_{BLANK}]", ""), "円$", "")
+        sign = F.when(text.rlike("(?s)^\\(.+\\)$"), -1.0).otherwise(1.0)
+        return sign * F.regexp_extract(bare, NUMBER, 0).try_cast("double") / F.when(inner.endswith("%"), 100.0).otherwise(1.0)
+
+    # Most values are digits alone and need one look.
+    value = F.when(c.rlike("^[0-9]{1,15}(\\.[0-9]{1,15})?$"), c.try_cast("double")).otherwise(let(half_width(trim_all(c)), loose))
+    return let(value, lambda x: F.when(F.abs(x) < float("inf"), x))
 
 
 def parse_date(c: Column | str) -> Column:
     """Days since 1970-01-01 in UTC, with a fraction for the time; days past a month's end run on."""
-    parts = F.split(F.regexp_replace(trim_all(c), DATE, DATE_PARTS), "\u0001")
-    year, month, day, hour, minute, second = (F.get(parts, k).try_cast("int") for k in range(6))
-    good = year.between(1900, 2200) & month.between(1, 12) & day.between(1, 31)
-    first = F.make_date(year, F.when(good, month), F.lit(1))
-    seconds = F.coalesce(hour, F.lit(0)) * 3600 + F.coalesce(minute, F.lit(0)) * 60 + F.coalesce(second, F.lit(0))
-    return F.when(good, F.unix_date(F.date_add(first, day - 1)) + seconds / F.lit(86400.0))
+
+    def days(parts: Column) -> Column:
+        year, month, day, hour, minute, second = (F.get(parts, F.lit(k)).try_cast("int") for k in range(6))
+        good = year.between(1900, 2200) & month.between(1, 12) & day.between(1, 31)
+        first = F.make_date(year, F.when(good, month), F.lit(1))
+        seconds = F.coalesce(hour, F.lit(0)) * 3600 + F.coalesce(minute, F.lit(0)) * 60 + F.coalesce(second, F.lit(0))
+        return F.when(good, F.unix_date(F.date_add(first, day - 1)) + seconds / F.lit(86400.0))
+
+    return let(F.split(F.regexp_replace(trim_all(c), DATE, DATE_PARTS), "\u0001"), days)
 
 
 def parse_as(kind: str, c: Column | str) -> Column:
