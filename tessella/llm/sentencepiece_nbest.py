@@ -276,7 +276,7 @@ class Segmenter:
         return b"".join(self.words[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "surrogatepass")[1:]
 
 
-def bounded(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about so many bytes of text, a row at least."""
     start = size = 0
     for k, text in enumerate(batch.column(1)):
@@ -297,9 +297,11 @@ def _segmenter(path: str | None) -> Segmenter:
     return Segmenter(Vocabulary.from_model(path))
 
 
-def encode_n_best(docs: DataFrame, *, n: int = 3, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_n_best(docs: DataFrame, *, n: int = 3, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``id_col, rank, score, n_pieces, ids``: the ``n`` best segmentations of every text.
 
+    ``decoded`` adds a column of that name, the text that the ids decode to.
+
     ``ids`` are little-endian 32-bit integers as bytes, ``score`` a log-probability.
 
     Defined cases: a null or empty text has one segmentation, without pieces; a text with
@@ -307,7 +309,7 @@ def encode_n_best(docs: DataFrame, *, n: int = 3, model: str | None = None, id_c
     segmented each.  An empty table gives an empty table.  Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(model)
@@ -320,12 +322,13 @@ def encode_n_best(docs: DataFrame, *, n: int = 3, model: str | None = None, id_c
     def segmented(segmenter: Segmenter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[] for _ in schema.names]
                 for doc, rows in zip(part.column(0).to_pylist(), segmenter.n_best_all(part.column(1).to_pylist(), n), strict=True):
                     for rank, (score, ids) in enumerate(rows, 1):
-                        for col, x in zip(cols, (doc, rank, score / SCALE, len(ids) // 4, ids), strict=True):
+                        row = (doc, rank, score / SCALE, len(ids) // 4, ids, *([segmenter.decode(ids)] * decoded))
+                        for col, x in zip(cols, row, strict=True):
                             col.append(x)
-                kinds = [batch.schema.field(0).type, pa.int32(), pa.float64(), pa.int64(), pa.binary()]
+                kinds = [batch.schema.field(0).type, pa.int32(), pa.float64(), pa.int64(), pa.binary(), *([pa.string()] * decoded)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -350,5 +353,6 @@ def make_encoder(model: str | None = None) -> Callable[[], Callable[[list[str]],
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document and rank: score, pieces, checksums of the ids and of the text they decode to."""
-    out = encode_n_best(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32(decode_column(F.col("ids")).cast("binary")).alias("decoded_crc32"))
+    # Decoded where it is encoded: a second Python worker would hold the vocabulary once more.
+    out = encode_n_best(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    return out.select("doc_id", "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
