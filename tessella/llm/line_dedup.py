@@ -5,7 +5,7 @@ filter if it was in the first already.  Tasks work alone and their filters are
 merged: what both have seen once goes to the twice filter.  A line that occurs
 in two documents is therefore always in the merged twice filter.  The filters
 have a fixed number of bits, whatever the input, so the one that is broadcast
-has a proven size (8 MB by default).  Only the lines found in it are shuffled;
+has a proven size (4 MB by default).  Only the lines found in it are shuffled;
 grouping them by their whole key confirms them exactly.  A filter that fills up
 lets more lines through to the exact step and never changes a result.
 """
@@ -141,7 +141,7 @@ def _apply(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, filter_bits: int = 1 << 26, hashes: int = 4) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, filter_bits: int = 1 << 25, hashes: int = 4) -> DataFrame:
     """Drop lines whose key is in ``min_docs`` documents or more, but for the largest id that holds it.
 
     A line's key is the line without ASCII white space at its ends, with A-Z
