@@ -13,6 +13,7 @@ of exact copies cost nothing.
 
 from __future__ import annotations
 
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -45,8 +46,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         shingles = map(b" ".join, zip(*(words[k : len(words) - shingle + 1 + k] for k in range(shingle)), strict=True))
     counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
-    for start in range(0, n, BLOCK):
-        raw = b"".join([digest(s, 42) for s, _ in zip(shingles, range(min(BLOCK, n - start)))])
+    for _ in range(0, n, BLOCK):
+        raw = b"".join([digest(s, 42) for s in islice(shingles, BLOCK)])
         counts += _bit_counts(np.frombuffer(raw, np.uint8).reshape(-1, 8))
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 

@@ -84,6 +84,18 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+@pytest.mark.parametrize("n", [32_770, 32_771, 40_000, 70_000])
+def test_long_texts_keep_every_shingle(monkeypatch, n):
+    counted = []
+    count = simhash._bit_counts
+    monkeypatch.setattr(simhash, "_bit_counts", lambda rows: (counted.append(len(rows)), count(rows))[1])
+    for seed in range(8):
+        text = " ".join(f"w{k}" for k in np.random.default_rng(seed).integers(0, 5000, n))
+        counted.clear()
+        assert simhash.fingerprint(text) % (1 << 64) == brute_print(text)
+        assert sum(counted) == n - 2
+
+
 def brute_groups(rows, prints):
     up = list(range(len(rows)))
 
