@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from math import exp, log, sqrt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,32 @@ def test_neighbours_by_brute_force(spark):
     assert ann.nearest_neighbours(df.limit(0), df).count() == 0
 
 
+def test_near_copies_beyond_the_shortlist():
+    """Of 3,000 near copies with equal codes, the nearest have the largest ids; part of a list of 8,000 rows."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=24)
+    copies = base + 1e-9 * rng.normal(size=(3000, 24))
+    x = np.concatenate([rng.normal(size=(5000, 24)), copies])
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    q = ann.fit_quantizer(unit[:5001], lists=1)
+    codes = q.codes(unit, np.zeros(len(x), int))
+    assert len(np.unique(codes[5000:], axis=0)) < 20
+    index = pa.table({"id": np.arange(len(x)), "list": np.zeros(len(x), np.int32), "codes": [c.tobytes() for c in codes], "vector": x.tolist()})
+    asked = [*(copies[-4:] + 1e-8 * base), *(copies[-4:])]
+    queries = pa.table({"query": [100_000 + k for k in range(8)], "vector": [v.tolist() for v in asked]})
+    got = defaultdict(list)
+    for r in ann._search(q, 5, ann.RERANK)(index, queries).to_pylist():
+        got[r["query_id"]].append(r["vec_id"])
+    for k, v in enumerate(asked):
+        score = ann.cosines(v, x)
+        assert got[100_000 + k] == np.lexsort((np.arange(len(x)), -score))[:5].tolist()
+
+
+def test_the_shortlist_keeps_all_ties():
+    gap = np.array([1.0, 0.5, 1.0, np.inf, 1.0, 2.0, 1.0 + 1e-14])
+    assert ann._least(gap, 2).tolist() == [0, 1, 2, 4, 6]
+
+
 def test_recall_on_the_embeddings(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
