@@ -6,32 +6,39 @@ dimensions is scaled by weight / sqrt(dimensions).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from math import sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import clip, log_map, probit
-from tessella.operators.stats import category_stats, hash_sample, numeric_stats
+from tessella.operators.stats import category_stats, numeric_stats
 from tessella.spec import DOUBLE_KINDS, ColumnSpec
 
 # Fixed values of the encoding.
 MISSING_SUFFIX, OTHER = "（未入力）", "その他"
 LIMIT, MIN_MISSING, MAX_MISSING, MAX_LEVELS, KNOTS = 6.0, 0.02, 0.70, 30, 20_000
+#: Distinct values of one range of ranks, about.
+BUCKET = 250_000
 
 
 @dataclass(frozen=True)
 class Feature:
-    """One dimension: its source column, label, level (for a one-hot) and value."""
+    """One dimension: its source column, label, level (for a one-hot) and value.
+
+    If ``ranks`` has a table, ``looked_up`` gives the value from the count found in it.
+    """
 
     column: str
     label: str
     level: str | None
     value: Column
+    looked_up: Callable[[Column], Column] | None = None
+    ranks: Ranks | None = None
 
 
 def choose_transform(spec: ColumnSpec, s: dict) -> str:
@@ -70,23 +77,70 @@ def robust_scale(s: dict) -> float:
     return iqr / 1.349 if iqr > 0 else s["sd"] or 1.0
 
 
-def quantile_normal(c: Column, knots: Sequence[float]) -> Column:
-    """Normal score of the share of ``knots`` (sorted, ``KNOTS`` at most) below a value."""
-    at = np.asarray(knots, float)
+@dataclass(frozen=True)
+class Ranks:
+    """How many of ``n`` values are below each distinct one.
+
+    ``values`` (sorted, ``KNOTS`` at most) and ``below`` hold all distinct values or, if
+    there are more, some of them; then ``table`` (``value, below``) holds all.
+    """
 
-    def below(x: pd.Series) -> pd.Series:
-        return pd.Series(np.where(x.notna(), np.searchsorted(at, x.to_numpy(float), side="left"), np.nan), index=x.index)
+    n: int
+    values: Sequence[float]
+    below: Sequence[int]
+    table: DataFrame | None = None
 
-    below.__annotations__ = {"x": pd.Series, "return": pd.Series}
-    n = F.nanvl(F.pandas_udf(below, "double")(c), F.lit(None).cast("double"))
-    return probit(F.greatest(F.lit(0.0005), F.least(F.lit(0.9995), (n + 0.5) / float(max(1, len(at))))))
+    def normal(self, c: Column, known: Column | None = None) -> Column:
+        """Normal score of the share of values below; ``known`` is the count where it was looked up."""
+        at, counts = np.asarray(self.values, float), np.append(np.asarray(self.below, float), float(self.n))
 
+        def below(x: pd.Series) -> pd.Series:
+            return pd.Series(np.where(x.notna(), counts[np.searchsorted(at, x.to_numpy(float), side="left")], np.nan), index=x.index)
 
-def numeric_features(spec: ColumnSpec, s: dict, moments: dict, n: int, knots: Sequence[float] = ()) -> list[Feature]:
+        below.__annotations__ = {"x": pd.Series, "return": pd.Series}
+        n = F.nanvl(F.pandas_udf(below, "double")(c), F.lit(None).cast("double"))
+        if known is not None:
+            n = F.coalesce(known.cast("double"), n)
+        return probit(F.greatest(F.lit(0.0005), F.least(F.lit(0.9995), (n + 0.5) / float(max(1, self.n)))))
+
+
+def fit_ranks(df: DataFrame, column: str, *, knots: int = KNOTS, bucket: int = BUCKET) -> Ranks:
+    """Ranks over all rows: counts by distinct value, summed within ranges of values, plus what the ranges before hold.
+
+    The driver gets at most ``knots`` values, or 20 for each range if that is more, and a
+    total for each range.  Where the ranges are cut does not change a count.
+    """
+    x = F.col(f"`{column}`").cast("double")
+    counts = df.select(x.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("value").agg(F.count("*").alias("k"))
+    size = counts.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("k"), F.lit(0)).alias("n")).first()
+    if size.distinct <= knots:
+        rows = sorted((r.value, r.k) for r in counts.collect())
+        k = np.array([k for _, k in rows], np.int64)
+        return Ranks(size.n, [v for v, _ in rows], (np.cumsum(k) - k).tolist())
+    ranges = -(-size.distinct // bucket)
+    some = np.sort([r.value for r in counts.select("value").orderBy(F.xxhash64("value"), "value").limit(max(knots, 20 * ranges)).collect()])
+    cuts = some[np.arange(1, ranges) * len(some) // ranges]
+
+    def at(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, v.to_numpy(float), side="right"), dtype="int32")
+
+    at.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    dealt = counts.withColumn("range", F.pandas_udf(at, "int")("value"))
+    held = {r["range"]: r.k for r in dealt.groupBy("range").agg(F.sum("k").alias("k")).collect()}  # a row a range
+    before = np.cumsum([0, *(held.get(k, 0) for k in range(ranges - 1))]).tolist()
+    order = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("k").over(order), F.lit(0))
+    table = dealt.select("value", (F.element_at(F.array(*map(F.lit, before)), F.col("range") + 1) + inside).cast("long").alias("below"))
+    look = set(some[:: -(-len(some) // knots)].tolist())
+    found = sorted((r.value, r.below) for r in table.join(F.broadcast(df.sparkSession.createDataFrame([(v,) for v in look], "value double")), "value").collect())
+    return Ranks(size.n, [v for v, _ in found], [b for _, b in found], table)
+
+
+def numeric_features(spec: ColumnSpec, s: dict, moments: dict, n: int, ranks: Ranks | None = None) -> list[Feature]:
     """The dimension of a numeric column, and a second one that marks missing values if they are neither rare nor most."""
     c, mode = F.col(f"`{spec.name}`"), choose_transform(spec, s)
     if mode == "quantile":
-        value, middle = clip(quantile_normal(c, knots)), 0.0
+        value, middle = clip(ranks.normal(c)), 0.0
     elif mode == "log":
         value = scaled(log_map(c), moments["log_mean"], moments["log_sd"])
         middle = (np.log1p(max(0.0, s["median"])) - moments["log_mean"]) / moments["log_sd"]
@@ -100,7 +154,9 @@ def numeric_features(spec: ColumnSpec, s: dict, moments: dict, n: int, knots: Se
     share = s["missing"] / n if n else 0.0
     marked = MIN_MISSING <= share <= MAX_MISSING
     size = spec.weight / sqrt(2 if marked else 1)
-    out = [Feature(spec.name, spec.name, None, F.coalesce(value, F.lit(float(middle))) * size)]
+    finish = lambda v: F.coalesce(v, F.lit(float(middle))) * size
+    looked_up = (lambda known: finish(clip(ranks.normal(c, known)))) if mode == "quantile" and ranks.table is not None else None
+    out = [Feature(spec.name, spec.name, None, finish(value), looked_up, ranks if looked_up else None)]
     if marked:
         out.append(Feature(spec.name, spec.name + MISSING_SUFFIX, None, indicator(c.isNull(), share) * size))
     return out
@@ -136,10 +192,24 @@ class EncodePlan:
         return len(self.features)
 
     def vector(self) -> Column:
+        """The features of a row alone; see ``encode`` for quantiles of many distinct values."""
         return F.array(*[f.value.cast("double") for f in self.features])
 
     def encode(self, df: DataFrame, *keep: str) -> DataFrame:
-        return df.select(*keep, self.vector().alias("features"))
+        """``keep...`` and ``features``; also on a stream.
+
+        Ranks of more than ``KNOTS`` distinct values are looked up in their table.  Only a
+        value that the fitted table doesn't have takes the count of the next knot.
+        """
+        cells = []
+        for k, f in enumerate(self.features):
+            if f.looked_up is None:
+                cells.append(f.value)
+                continue
+            ranks = f.ranks.table.select(F.col("value").alias(f"__value{k}"), F.col("below").alias(f"__below{k}"))
+            df = df.join(ranks, F.col(f"`{f.column}`").cast("double") == F.col(f"__value{k}"), "left")
+            cells.append(f.looked_up(F.col(f"__below{k}")))
+        return df.select(*keep, F.array(*[c.cast("double") for c in cells]).alias("features"))
 
 
 def log_and_plain_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
@@ -159,8 +229,8 @@ def log_and_plain_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, di
 def fit_encoding(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str, *, seed: int = 42, numeric: dict[str, dict] | None = None, levels: dict[str, list[tuple[str, int]]] | None = None) -> EncodePlan:
     """The encoding of the feature columns of a typed table (doubles and strings).
 
-    Three jobs whatever the number of columns: statistics, moments, and levels (a bounded
-    sample more for each column with the quantile transform).
+    Three jobs whatever the number of columns: statistics, moments, and levels (and
+    the ranks of each column with the quantile transform).
     """
     used = [s for s in specs if s.role == "feature" and s.weight > 0]
     doubles, strings = [s for s in used if s.kind in DOUBLE_KINDS], [s for s in used if s.kind not in DOUBLE_KINDS]
@@ -177,11 +247,8 @@ def fit_encoding(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str, *, see
     for s in specs:
         if s in doubles and numeric[s.name]["n"] and numeric[s.name]["sd"]:
             own = numeric[s.name]
-            knots = []
-            if choose_transform(s, own) == "quantile":
-                have = df.filter(F.col(f"`{s.name}`").isNotNull()).select(row_id, F.col(f"`{s.name}`").alias("x"))
-                knots = sorted(r.x for r in hash_sample(have, row_id, KNOTS, seed).collect())
-            out += numeric_features(s, own, moments[s.name], n, knots)
+            ranks = fit_ranks(df, s.name) if choose_transform(s, own) == "quantile" else None
+            out += numeric_features(s, own, moments[s.name], n, ranks)
         elif s in strings and len(levels.get(s.name, [])) > 1:
             dims = category_features(s, levels[s.name], missing[strings.index(s)], n)
             out += dims if len(dims) > 1 else []

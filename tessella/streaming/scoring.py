@@ -15,5 +15,5 @@ from tessella.operators.encode import EncodePlan
 
 def score_stream(stream: DataFrame, plan: EncodePlan, centers: np.ndarray, *keep: str) -> DataFrame:
     """``keep...`` and ``label``: the nearest centre of each row of a typed stream."""
-    encoded = stream.select(*keep, plan.vector().alias("features"))
+    encoded = plan.encode(stream, *keep)
     return encoded.select(*keep, nearest_center(encoded["features"], centers)["id"].alias("label"))

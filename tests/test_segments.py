@@ -1,3 +1,5 @@
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +119,26 @@ def test_every_transform_is_finite_and_clipped(spark, mode):
     assert rows.shape == (500, 2) and np.isfinite(rows).all() and abs(rows[:, 0]).max() <= 6
 
 
+def test_quantiles_rank_every_row(spark):
+    """30,000 rows, 25,000 distinct values: every score is that of the rank over all rows."""
+    x = np.concatenate([np.random.default_rng(2).permutation(24_999) ** 1.5, np.full(5_001, 7.25)])
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], f"{ROW_ID} long, x double").repartition(5)
+    plan = encode.fit_encoding(df, [ColumnSpec(0, "x", "numeric", "numeric", "feature", "quantile")], ROW_ID)
+    got = np.array([r.features[0] for r in plan.encode(df, ROW_ID).orderBy(ROW_ID).collect()])
+    below = np.searchsorted(np.sort(x), x)
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in np.clip((below + 0.5) / len(x), 0.0005, 0.9995)], abs=1e-6)
+
+
+@pytest.mark.parametrize("bucket", [7, 100, 10_000])
+def test_ranks_in_ranges(spark, bucket):
+    x = np.random.default_rng(3).integers(-300, 300, 2000) / 4
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
+    ranks = encode.fit_ranks(df, "x", knots=20, bucket=bucket)
+    want = {v: int((x < v).sum()) for v in x.tolist()}
+    assert {r.value: r.below for r in ranks.table.collect()} == want and ranks.n == 2000
+    assert len(ranks.values) <= 20 and list(ranks.below) == [want[v] for v in ranks.values]
+
+
 def test_one_column_has_total_variance_of_one(spark):
     df = spark.range(1000).select(F.col("id").alias(ROW_ID), F.element_at(F.array(*map(F.lit, "abcd")), (F.col("id") % 4 + 1).cast("int")).alias("c"))
     rows = np.array([r.features for r in encode.fit_encoding(df, [ColumnSpec(0, "c", "categorical", "categorical", "feature")], ROW_ID).encode(df).collect()])
