@@ -96,5 +96,26 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def column(name: str):
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (in any case)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"{name}_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those names, in any case."""
+    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

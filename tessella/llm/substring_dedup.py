@@ -2,86 +2,96 @@
 
 Documents come in batches of rising ids.  The window hashes of a batch are sorted
 within hash buckets, merge-joined with the sorted immutable runs of all earlier
-batches, and what is new becomes a run of its own; two neighbouring runs of as many batches are compacted
-into one, so a history of n batches has about log2(n) runs.  A hit counts if an independent check hash agrees, too (80
-bits in all), and windows of one batch are settled among themselves by the smallest
-id.  Runs are Parquet rows of a bucket's hashes as bytes, so a bucket is a handful of
-rows for the JVM, and a bucket is bounded as their number follows the input.
+batches, and what is new becomes a run of its own; two neighbouring runs of as many
+batches are compacted into one, so a history of n batches has about log2(n) runs.
+Windows of one batch are settled among themselves by the smallest id.
+
+A word's hash is xxh3 of 128 bits, keyed.  Its two halves feed two separate chains of
+multiplications and shifts over the words of a window, one for the 64-bit key that
+orders a run and one for a 32-bit check that verifies a hit; both travel with every
+entry and every answer.  A single pair of windows agrees by chance in 2 ** -96, so
+among n different windows n * n / 2 ** 97 wrong pairs are expected: about 2e-10 for
+30 GB of text (5e9 windows) and 2e-3 for 100 TB.
+
+The index is a bucketed table in the shared folder, a partition a run: runs are read
+where they lie and only a batch's own windows are shuffled.  A bucket is a handful of
+rows of hashes as bytes, and is bounded, as the number of buckets follows the input.
+Kept between calls, an index settles each new batch of documents against all before.
 
 Only windows travel, never texts: a task sends a window once for the smallest id it
 saw it in, and answers the others itself, so a passage that a third of all documents
-share costs a task one entry.  The answers (an id and its repeated hashes) then meet
+share costs a task one entry.  The answers (an id and its repeated windows) then meet
 the texts, dealt by id.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import delete, exists, new_path, release, small_batches, table
+from tessella.llm.common import column, delete, exists, new_path, release, small_batches, table, without
 
 #: Characters of text for one hash bucket of the index, and for one share of the final step.
 BUCKET_CHARS, SHARE_CHARS = 16_000_000, 8_000_000
-#: Windows a task gathers before it sorts and sends them.
-GATHER = 1_000_000
-RUN = "bucket int, n long, keys binary, checks binary"
+#: Windows a task gathers before it sorts and sends them, and windows hashed at once.
+GATHER, HASH_BLOCK = 1_000_000, 50_000
+#: Words whose digests a task remembers, and the longest that it does.
+KNOWN_WORDS, KNOWN_BYTES = 200_000, 64
+#: Key of the word hash, and what the two chains start from.
+SEED, STARTS = 0x5EED, (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
-def _table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
+class _Digests(dict):
+    """128 bits for each word; frequent words are looked up, and what is remembered is bounded."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        digest = xxhash.xxh3_128_digest(word, SEED)
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = digest
+        return digest
 
-class Hasher:
-    """Two 64-bit hashes of every window of ``width`` words, by prefix sums over bytes."""
 
-    BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+class Hasher:
+    """A 64-bit key and a 32-bit check of every window of ``width`` words."""
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self.tables = [_table(k) for k in (11, 12)]
-        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
-        self._grow(1 << 16)
-
-    def _grow(self, n: int) -> None:
-        self.room, self.powers = n, []
-        for base in self.BASES:
-            inverse = pow(base, -1, 1 << 64)
-            up, down = (np.full(n, x, np.uint64) for x in (base, inverse))
-            up[0] = down[0] = 1
-            self.powers.append((np.multiply.accumulate(up), np.multiply.accumulate(down)))
+        self.digests = _Digests()
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (64 bits) and checks (16 bits) of the windows; word by word, whatever the spacing was."""
         n = len(words) - self.width + 1
         if n <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.uint16)
-        out: list[np.ndarray] = []
-        for start in range(0, n, 200_000):  # long texts in parts that overlap by a window
-            part = words[start : start + 200_000 + self.width - 1]
-            raw = np.frombuffer(b" ".join(part), np.uint8)
-            if len(raw) + 1 > self.room:
-                self._grow(2 * len(raw) + 2)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
-            first = np.r_[0, ends[:-1] + 1][: len(part) - self.width + 1]
-            last = ends[self.width - 1 :]
-            own = []
-            for values, (up, down) in zip(self.tables, self.powers, strict=True):
-                sums = np.zeros(len(raw) + 1, np.uint64)
-                np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
-                own.append(_mix((sums[last] - sums[first]) * down[first]))
-            out.append(np.stack(own))
-        both = np.concatenate(out, axis=1)
-        return both[0], (both[1] >> np.uint64(48)).astype(np.uint16)
+            return np.empty(0, np.uint64), np.empty(0, np.uint32)
+        keys, checks = [], []
+        for start in range(0, n, HASH_BLOCK):  # long texts in parts that overlap by a window
+            part = words[start : start + HASH_BLOCK + self.width - 1]
+            raw = np.frombuffer(b"".join(map(self.digests.__getitem__, part)), "<u8").reshape(-1, 2)
+            keys.append(self._chain(raw[:, 0], STARTS[0]))
+            checks.append((self._chain(raw[:, 1], STARTS[1]) >> np.uint64(32)).astype(np.uint32))
+        return np.concatenate(keys), np.concatenate(checks)
+
+    def _chain(self, words: np.ndarray, start: int) -> np.ndarray:
+        words = np.ascontiguousarray(words)
+        n = len(words) - self.width + 1
+        out = np.full(n, start, np.uint64)
+        for k in range(self.width):
+            out ^= words[k : k + n]
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return _mix(out)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,7 +144,7 @@ def _extract(width: int, buckets: int):
             answer = fresh & ~new  # a smaller id is here
             turn += 1
             if answer.any():
-                yield _rows([(task * 31 + turn) % buckets], [1], [keys[answer]], [None], [ids[answer]])
+                yield _rows([(task * 31 + turn) % buckets], [1], [keys[answer]], [checks[answer]], [ids[answer]])
             keys, checks, ids = keys[new], checks[new], ids[new]
             edges = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
             for b in range(buckets):
@@ -157,50 +167,63 @@ def _extract(width: int, buckets: int):
 
 def _rows(buckets, kinds, keys, checks, ids) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array([len(k) for k in keys], pa.int64()), pa.array([shrink(k, True) for k in keys], pa.binary()), pa.array([None if c is None else shrink(c) for c in checks], pa.binary()), pa.array([shrink(i) for i in ids], pa.binary())],
+        [pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array([len(k) for k in keys], pa.int64()), pa.array([shrink(k, True) for k in keys], pa.binary()), pa.array([shrink(c) for c in checks], pa.binary()), pa.array([shrink(i) for i in ids], pa.binary())],
         names=["bucket", "kind", "n", "keys", "checks", "ids"],
     )
 
 
+#: What settling a bucket gives: rows of kind "run" (no share, no ids) and of kind "answer".
+SETTLED = pa.schema([("bucket", pa.int32()), ("share", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary()), ("kind", pa.string())])
+SETTLED_TYPE = "bucket int, share int, n long, keys binary, checks binary, ids binary, kind string"
+ANSWER = "bucket int, share int, n long, keys binary, checks binary, ids binary"
+
+
 def _settle(shares: int, keep: bool):
     """A bucket's entries of this batch against its runs: a new run, and answers by share of ids."""
 
     def run(mine: pa.Table, runs: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"kind": [], "part": [], "n": [], "keys": [], "checks": [], "ids": []}
+        out: dict[str, list] = {name: [] for name in SETTLED.names}
+        if not len(mine):
+            return pa.table(out, schema=SETTLED)
+        bucket = mine.column("bucket")[0].as_py()
 
-        def answer(keys: np.ndarray, ids: np.ndarray) -> None:
+        def add(*row) -> None:
+            for name, x in zip(SETTLED.names, (bucket, *row), strict=True):
+                out[name].append(x)
+
+        def answer(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> None:
             at = np.mod(ids, shares)
-            order = np.argsort(at, kind="stable")
-            keys, ids = keys[order], ids[order]
+            order = np.argsort(at, kind="stable")  # keys still rise within a share
+            keys, checks, ids = keys[order], checks[order], ids[order]
             edges = np.searchsorted(at[order], np.arange(shares + 1))
             for p in range(shares):
                 if edges[p + 1] > edges[p]:
                     s = slice(edges[p], edges[p + 1])
-                    for name, x in zip(out, ("answer", p, s.stop - s.start, shrink(keys[s]), None, shrink(ids[s])), strict=True):
-                        out[name].append(x)
+                    add(p, s.stop - s.start, shrink(keys[s], True), shrink(checks[s]), shrink(ids[s]), "answer")
 
         held = []
         for kind, keys, checks, ids in zip(*(mine.column(c).to_pylist() for c in ("kind", "keys", "checks", "ids")), strict=True):
+            entries = expand(keys, np.uint64, True), expand(checks, np.uint32), expand(ids, np.int64)
             if kind:
-                answer(expand(keys, np.uint64, True), expand(ids, np.int64))
+                answer(*entries)
             else:
-                held.append((expand(keys, np.uint64, True), expand(checks, np.uint16), expand(ids, np.int64)))
+                held.append(entries)
         if held:
             keys, checks, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            del held
             order = _order(keys, checks, ids)
             keys, checks, ids = keys[order], checks[order], ids[order]
             new = np.r_[True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]
             hit = ids > ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
             old = np.zeros(len(keys), bool)
             for k, c in zip(runs.column("keys").to_pylist(), runs.column("checks").to_pylist(), strict=True):
-                old |= _found(keys, checks, expand(k, np.uint64, True), expand(c, np.uint16))
+                old |= _found(keys, checks, expand(k, np.uint64, True), expand(c, np.uint32))
             if (hit | old).any():
-                answer(keys[hit | old], ids[hit | old])
-            add = new & ~old
-            if keep and add.any():
-                for name, x in zip(out, ("run", mine.column("bucket")[0].as_py(), int(add.sum()), shrink(keys[add], True), shrink(checks[add]), None), strict=True):
-                    out[name].append(x)
-        return pa.table(out, schema=pa.schema([("kind", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary())]))
+                answer(keys[hit | old], checks[hit | old], ids[hit | old])
+            fresh = new & ~old
+            if keep and fresh.any():
+                add(None, int(fresh.sum()), shrink(keys[fresh], True), shrink(checks[fresh]), None, "run")
+        return pa.table(out, schema=SETTLED)
 
     return run
 
@@ -230,68 +253,106 @@ def _order(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _compact(rows: pa.Table) -> pa.Table:
     keys = np.concatenate([expand(k, np.uint64, True) for k in rows.column("keys").to_pylist()])
-    checks = np.concatenate([expand(c, np.uint16) for c in rows.column("checks").to_pylist()])
+    checks = np.concatenate([expand(c, np.uint32) for c in rows.column("checks").to_pylist()])
     order = np.argsort(keys, kind="stable")
     keys, checks = keys[order], checks[order]
     return pa.table({"bucket": pa.array([rows.column("bucket")[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "keys": pa.array([shrink(keys, True)], pa.binary()), "checks": pa.array([shrink(checks)], pa.binary())})
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of the window hashes of all batches so far, in the shared folder."""
+    """Sorted immutable runs of the window hashes of all batches so far, in a folder that the cluster shares.
+
+    ``FingerprintIndex(spark)`` makes a new one; with ``path`` it outlives the session, and
+    ``FingerprintIndex.open(spark, path)`` goes on with it.  Ids of a later batch are above
+    ``top``, the largest so far.
+    """
 
-    def __init__(self, spark: SparkSession, *, width: int = 13, buckets: int = 64, shares: int = 67) -> None:
+    def __init__(self, spark: SparkSession, *, path: str | None = None, width: int = 13, buckets: int = 64, shares: int = 67) -> None:
         self.spark, self.width, self.buckets, self.shares = spark, width, buckets, shares
-        self.runs: list[tuple[int, str]] = []  # level and path, the oldest first
+        self.path = path or new_path(spark, "index")
+        self.kept = path is not None
+        self.runs: list[tuple[int, str]] = []  # level and folder, the oldest first
         self.answers: list[str] = []
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], RUN)
-        parts = [self.spark.read.schema("part int, n long, keys binary, checks binary").parquet(p).withColumnRenamed("part", "bucket") for p in paths]
-        return reduce(DataFrame.union, parts)
+        self.top: int | None = None
+        self.table = f"tessella_index_{uuid.uuid4().hex}"
+        self.version = 0
+        spark.sql(f"CREATE TABLE {self.table} (bucket INT, n BIGINT, keys BINARY, checks BINARY, run STRING) USING parquet PARTITIONED BY (run) CLUSTERED BY (bucket) INTO {buckets} BUCKETS LOCATION '{self.path}/runs'")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        about = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        index = cls(spark, path=path, width=about.width, buckets=about.buckets, shares=about.shares)
+        index.version, index.top = about.version, about.top
+        for run in about.runs:
+            index._attach(run.level, run.folder)
+        return index
+
+    def save(self) -> None:
+        """Write the list of runs; what a crash leaves behind is the list before, whose runs are still there."""
+        self.version += 1
+        row = (self.version, self.width, self.buckets, self.shares, self.top, self.runs)
+        kind = "version long, width int, buckets int, shares int, top long, runs array<struct<level int, folder string>>"
+        self.spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _attach(self, level: int, folder: str) -> None:
+        self.runs.append((level, folder))
+        self.spark.sql(f"ALTER TABLE {self.table} ADD PARTITION (run='{folder}') LOCATION '{self.path}/runs/{folder}/kind=run'")
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.table(self.table).filter(F.col("run").isin(folders)).select("bucket", "n", "keys", "checks")
+
+    def _write(self, rows: DataFrame) -> str:
+        """Rows with a ``kind``, bucketed as the index is, so that no reader of a run has to shuffle it."""
+        folder = uuid.uuid4().hex
+        name = f"{self.table}_{folder}"
+        rows.write.format("parquet").partitionBy("kind").bucketBy(self.buckets, "bucket").option("compression", "none").option("path", f"{self.path}/runs/{folder}").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+        return folder
 
     def add(self, batch: DataFrame, *, keep: bool = True) -> None:
         """Settle a batch (``id`` long, ``text``) whose ids are above those of all batches before.
 
         ``keep=False`` adds no run: for a last batch, after which the index is dropped.
         """
-        path = new_path(self.spark, "windows")
-        self._settle(batch, path, keep)
-        if exists(self.spark, f"{path}/kind=answer"):
-            self.answers.append(f"{path}/kind=answer")
-        if exists(self.spark, f"{path}/kind=run"):
-            self.runs.append((0, f"{path}/kind=run"))
+        mine = batch.mapInArrow(_extract(self.width, self.buckets), "bucket int, kind int, n long, keys binary, checks binary, ids binary")
+        both = mine.groupBy("bucket").cogroup(self._read([f for _, f in self.runs]).groupBy("bucket"))
+        folder = self._write(both.applyInArrow(_settle(self.shares, keep), SETTLED_TYPE))
+        if exists(self.spark, f"{self.path}/runs/{folder}/kind=answer"):
+            self.answers.append(f"{self.path}/runs/{folder}/kind=answer")
+        if exists(self.spark, f"{self.path}/runs/{folder}/kind=run"):
+            self._attach(0, folder)
         release(self.spark)
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             self.compact()
 
-    def _settle(self, batch: DataFrame, path: str, keep: bool) -> None:
-        mine = batch.mapInArrow(_extract(self.width, self.buckets), "bucket int, kind int, n long, keys binary, checks binary, ids binary")
-        both = mine.groupBy("bucket").cogroup(self._read([p for _, p in self.runs]).groupBy("bucket"))
-        out = both.applyInArrow(_settle(self.shares, keep), "kind string, part int, n long, keys binary, checks binary, ids binary")
-        out.write.partitionBy("kind").option("compression", "none").parquet(path)
-
     def compact(self) -> None:
         """The last two runs become one."""
-        path = new_path(self.spark, "compacted")
         (level, old), (_, new) = self.runs[-2:]
-        self._read([old, new]).groupBy("bucket").applyInArrow(_compact, RUN).withColumnRenamed("bucket", "part").write.option("compression", "none").parquet(path)
-        for p in (old, new):
-            delete(self.spark, p)
-        self.runs[-2:] = [(level + 1, path)]
+        both = self._read([old, new]).groupBy("bucket").applyInArrow(_compact, "bucket int, n long, keys binary, checks binary")
+        folder = self._write(both.withColumn("kind", F.lit("run")))
+        self.runs = self.runs[:-2]
+        self._attach(level + 1, folder)
+        if self.kept:
+            self.save()
+        self._forget([old, new])
         release(self.spark)
 
+    def _forget(self, folders: list[str]) -> None:
+        for folder in folders:
+            self.spark.sql(f"ALTER TABLE {self.table} DROP PARTITION (run='{folder}')")
+            delete(self.spark, f"{self.path}/runs/{folder}/kind=run")
+
     def drop_runs(self) -> None:
-        for _, path in self.runs:
-            delete(self.spark, path)
+        self._forget([f for _, f in self.runs])
         self.runs = []
+        self.spark.sql(f"DROP TABLE {self.table}")
 
     def repeated(self) -> DataFrame:
-        """``share, keys, ids``: the windows of each id that an earlier document has."""
+        """``share, keys, checks, ids``: the windows of each id of this session's batches that an earlier document has."""
         if not self.answers:
-            return self.spark.createDataFrame([], "share int, keys binary, ids binary")
-        parts = [self.spark.read.schema("part int, n long, keys binary, checks binary, ids binary").parquet(p) for p in self.answers]
-        return reduce(DataFrame.union, parts).select(F.col("part").alias("share"), "keys", "ids")
+            return self.spark.createDataFrame([], "share int, keys binary, checks binary, ids binary")
+        parts = [self.spark.read.schema(ANSWER).parquet(p) for p in self.answers]
+        return reduce(DataFrame.union, parts).select("share", "keys", "checks", "ids")
 
 
 def _remove(width: int, text_col: str, schema: pa.Schema):
@@ -299,39 +360,30 @@ def _remove(width: int, text_col: str, schema: pa.Schema):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         hasher = Hasher(width)
-        keys = [expand(k, np.uint64) for k in answers.column("keys").to_pylist()]
-        ids = [expand(i, np.int64) for i in answers.column("ids").to_pylist()]
-        keys, ids = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((keys, np.uint64), (ids, np.int64)))
-        order = np.argsort(ids, kind="stable")
-        keys, ids = keys[order], ids[order]
+        found = [(expand(k, np.uint64, True), expand(c, np.uint32), expand(i, np.int64)) for k, c, i in zip(*(answers.column(x).to_pylist() for x in ("keys", "checks", "ids")), strict=True)]
+        keys, checks, ids = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, k) for k in (np.uint64, np.uint32, np.int64))
+        order = np.lexsort((checks, keys, ids))
+        keys, checks, ids = keys[order], checks[order], ids[order]
         texts, n_words, n_removed = [], [], []
-        for doc, text in zip(docs.column("__id").to_pylist(), docs.column(text_col).to_pylist(), strict=True):
+        for doc, text in zip(docs.column("id").to_pylist(), docs.column(text_col).to_pylist(), strict=True):
             words = _words(text)
             gone = 0
-            if doc is not None and len(ids):
-                a, b = np.searchsorted(ids, (doc, doc + 1) if doc < 2**63 - 1 else (doc, doc))
-                b = b if doc < 2**63 - 1 else len(ids)
-                if b > a:
-                    hit = np.flatnonzero(np.isin(hasher(words)[0], keys[a:b]))
-                    cover = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(cover, hit, 1)
-                    np.add.at(cover, hit + width, -1)
-                    bare = np.cumsum(cover[:-1]) == 0
-                    gone = len(words) - int(bare.sum())
-                    texts.append(b" ".join([w for w, keep in zip(words, bare.tolist(), strict=True) if keep]))
+            a, b = (0, 0) if doc is None else (int(np.searchsorted(ids, doc, side)) for side in ("left", "right"))
+            if b > a:
+                own = hasher(words)
+                hit = np.flatnonzero(_found(*own, keys[a:b], checks[a:b]))
+                cover = np.zeros(len(words) + 1, np.int32)
+                np.add.at(cover, hit, 1)
+                np.add.at(cover, hit + width, -1)
+                bare = np.cumsum(cover[:-1]) == 0
+                gone = len(words) - int(bare.sum())
+                texts.append(b" ".join([w for w, keep in zip(words, bare.tolist(), strict=True) if keep]))
+            else:
+                texts.append(b" ".join(words))
             n_words.append(len(words))
             n_removed.append(gone)
-            if len(texts) < len(n_words):
-                texts.append(b" ".join(words))
-        out = []
-        for field in schema:
-            if field.name == "__kept":
-                out.append(pa.array([t.decode("utf-8", "surrogatepass") for t in texts], field.type))
-            elif field.name in ("__n_words", "__n_removed"):
-                out.append(pa.array(n_words if field.name == "__n_words" else n_removed, field.type))
-            else:
-                out.append(docs.column(field.name).combine_chunks())
-        return pa.table(out, schema=schema)
+        new = {"kept": [t.decode("utf-8", "surrogatepass") for t in texts], "n_words": n_words, "n_removed": n_removed}
+        return pa.table([pa.array(new[f.name], f.type) if f.name in new else docs.column(f.name).combine_chunks() for f in schema], schema=schema)
 
     return run
 
@@ -341,28 +393,38 @@ def _prime(n: int) -> int:
     return next(p for p in range(n, 2 * n + 2) if all(p % k for k in range(2, int(p**0.5) + 1)))
 
 
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, batches: int = 4) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, batches: int = 4, index: FingerprintIndex | None = None) -> DataFrame:
     """Remove each word covered by a window of ``width`` words that also starts in a document with a smaller id.
 
     Words are runs of anything but ASCII white space.  Returns the rows of ``docs`` with
     ``text_col`` replaced by the kept words joined by one space, and ``n_words`` and
-    ``n_removed`` (they replace input columns of the same name).  Ids are integers.
+    ``n_removed`` (they replace input columns of the same name).  With ``index``, documents
+    of earlier calls count, too (all ids of ``docs`` must be above theirs), and the windows
+    of ``docs`` are added to it and saved.
 
     Defined cases: a null or empty text has no words and comes out empty; a text under
     ``width`` words has no window.  Rows with the same id are one document: they lose
     nothing to each other.  A row with a null id neither takes words from others nor
-    loses any.  An empty table gives an empty table.
+    loses any.  An empty table gives an empty table.  Other columns may have any name.
+    Ids that aren't integers are refused.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type, not {docs.schema[id_col].dataType.simpleString()}")
     small_batches(spark)
     batches = max(1, batches)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    base = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).filter("id is not null")
     cuts = [k / batches for k in range(1, batches)]
-    about = base.agg(F.sum(F.octet_length("text")).alias("chars"), (F.percentile_approx("id", F.array(*map(F.lit, cuts)), 10_000) if cuts else F.lit(None)).alias("cuts")).first()
+    about = base.agg(F.sum(F.octet_length("text")).alias("chars"), F.min("id").alias("low"), F.max("id").alias("top"), (F.percentile_approx("id", F.array(*map(F.lit, cuts)), 10_000) if cuts else F.lit(None)).alias("cuts")).first()
     chars = about.chars or 0
-    index = FingerprintIndex(spark, width=width, buckets=max(8, -(-chars // BUCKET_CHARS)), shares=_prime(max(11, -(-chars // SHARE_CHARS))))
+    lasting = index is not None
+    if lasting and about.low is not None and index.top is not None and about.low <= index.top:
+        raise ValueError(f"ids must be above {index.top}, the largest of the index")
+    if not lasting:
+        index = FingerprintIndex(spark, width=width, buckets=max(8, -(-chars // BUCKET_CHARS)), shares=_prime(max(11, -(-chars // SHARE_CHARS))))
+    index.answers = []
     edges = [None, *dict.fromkeys(about.cuts or []), None]
     for low, high in pairwise(edges):
         part = base
@@ -370,16 +432,20 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             part = part.filter(F.col("id") > low)
         if high is not None:
             part = part.filter(F.col("id") <= high)
-        index.add(part, keep=high is not None)
-    index.drop_runs()
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    own = docs.select(*names, F.col(id_col).cast("long").alias("__id"))
+        index.add(part, keep=lasting or high is not None)
+    if lasting:
+        index.top = index.top if about.top is None else about.top
+        index.save()
+    else:
+        index.drop_runs()
+    names = without(docs, "n_words", "n_removed")
+    inner = {c: f"c{k}" for k, c in enumerate(names)}  # whatever the columns are called, these names are free
+    own = docs.select(*[column(c).alias(k) for c, k in inner.items()], column(id_col).cast("long").alias("id"))
     # Rows without an id get no answer and are dealt by their text.
-    own = own.withColumn("__share", F.pmod(F.coalesce("__id", F.xxhash64(F.col(text_col))), F.lit(index.shares)).cast("int"))
-    out = T.StructType([own.schema[c] for c in names] + [T.StructField("__kept", T.StringType()), T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    answers = index.repeated().withColumnRenamed("share", "__share")
-    joined = own.groupBy("__share").cogroup(answers.groupBy("__share")).applyInArrow(_remove(width, text_col, to_arrow_schema(out)), out)
-    return joined.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in names], F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"))
+    own = own.withColumn("share", F.pmod(F.coalesce("id", F.xxhash64(inner[text_col])), F.lit(index.shares)).cast("int"))
+    out = T.StructType([own.schema[k] for k in inner.values()] + [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    joined = own.groupBy("share").cogroup(index.repeated().groupBy("share")).applyInArrow(_remove(index.width, inner[text_col], to_arrow_schema(out)), out)
+    return joined.select(*[F.col("kept" if c == text_col else k).alias(c) for c, k in inner.items()], "n_words", "n_removed")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,9 +202,74 @@ def test_substrings_by_brute_force(spark, batches):
 def test_substrings_of_an_empty_table_and_clashing_columns(spark):
     assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
     rows = passages(9)
-    df = docs(spark, rows).withColumn("n_words", F.lit("x")).withColumn("share", F.lit(1)).withColumn("keys", F.lit(2)).withColumn("id", F.lit(2))
+    names = ["share", "keys", "id", "own_id", "kept", "words", "removed", "__id", "__kept", "__share", "a.b", "N_removed"]
+    df = docs(spark, rows).withColumn("n_words", F.lit("x"))
+    for k, name in enumerate(names):
+        df = df.withColumn(name, F.lit(k))
     out = substring_dedup.substring_dedup(df, width=5)
-    assert found(out, "doc_id", "text", "n_words", "n_removed") == brute_substrings(rows, 5) and {"share", "keys", "id"} <= {*out.columns}
+    assert found(out, "doc_id", "text", "n_words", "n_removed") == brute_substrings(rows, 5)
+    rows = out.select(*[f"`{n}`" for n in names[:-1]]).distinct().collect()
+    assert [tuple(r) for r in rows] == [tuple(range(len(names) - 1))]
+    with pytest.raises(TypeError, match="integer"):
+        substring_dedup.substring_dedup(df.withColumn("doc_id", F.lit("x")))
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(k.bit_count() & 1) ^ flip] for k in range(n))
+
+
+def test_words_of_like_make_up_are_told_apart(spark):
+    """Pairs of long words that polynomials modulo 2 ** 64 can't tell apart; windows that differ in one word, or in their order."""
+    rest = [f"w{k}" for k in range(12)]
+    rows = []
+    for n in (1024, 2048, 4096):
+        for flip in (0, 1):
+            rows.append((len(rows), " ".join([thue_morse(n, flip), *rest])))
+            rows.append((len(rows), " ".join([*rest[:6], thue_morse(n, flip), *rest[6:]])))
+    rows.append((len(rows), " ".join([*rest, "w12"])))
+    rows.append((len(rows), " ".join(["w1", "w0", *rest[2:], "w12"])))
+    rows.append((len(rows), rows[0][1]))
+    out = substring_dedup.substring_dedup(docs(spark, rows), batches=2)
+    assert found(out, "doc_id", "text", "n_words", "n_removed") == brute_substrings(rows, 13)
+    assert sum(r.n_removed for r in out.collect()) == 13
+
+
+def test_window_hashes_are_spread_evenly():
+    """Keys and checks of a million windows of two words only: no pair agrees, bits are set half the time."""
+    rng = np.random.default_rng(6)
+    words = [b"x" if b else b"y" for b in rng.integers(0, 2, 200_000)]
+    keys, checks = substring_dedup.Hasher(40)(words)
+    assert len(np.unique(keys)) == len({tuple(words[k : k + 40]) for k in range(len(keys))})
+    for values, bits in ((keys, 64), (checks, 32)):
+        share = [float((values >> values.dtype.type(b) & values.dtype.type(1)).mean()) for b in range(bits)]
+        assert 0.49 < min(share) and max(share) < 0.51
+
+
+def test_an_index_outlives_its_calls(spark, tmp_path):
+    rows = [r for r in passages(4) if r[0] is not None]
+    order = sorted(rows, key=lambda r: r[0])
+    cuts = [0, 30, 31, 60, len(order)]
+    path, got = f"file://{tmp_path}/index", []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = order[a:b]
+        index = substring_dedup.FingerprintIndex(spark, path=path, width=5, buckets=3, shares=11) if k == 0 else substring_dedup.FingerprintIndex.open(spark, path)
+        got += found(substring_dedup.substring_dedup(docs(spark, part), index=index, batches=1 + k % 2), "doc_id", "text", "n_words", "n_removed")
+        assert len(index.runs) <= 3
+    assert sorted(got, key=str) == brute_substrings(rows, 5)
+    with pytest.raises(ValueError, match="above"):
+        substring_dedup.substring_dedup(docs(spark, order[:3]), index=substring_dedup.FingerprintIndex.open(spark, path))
+
+
+def test_runs_are_read_where_they_lie(spark):
+    """Only the batch is shuffled to meet the runs."""
+    index = substring_dedup.FingerprintIndex(spark, width=5, buckets=4)
+    batch = docs(spark, passages(2)).selectExpr("doc_id as id", "text").filter("id is not null")
+    index.add(batch)
+    mine = batch.mapInArrow(substring_dedup._extract(5, 4), "bucket int, kind int, n long, keys binary, checks binary, ids binary")
+    both = mine.groupBy("bucket").cogroup(index._read([f for _, f in index.runs]).groupBy("bucket")).applyInArrow(substring_dedup._settle(11, True), substring_dedup.SETTLED_TYPE)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == 1
+    index.drop_runs()
 
 
 def test_long_texts_are_hashed_in_parts_alike():
@@ -216,8 +281,8 @@ def test_long_texts_are_hashed_in_parts_alike():
 
 
 def test_a_key_that_recurs_is_settled_by_its_check():
-    keys, checks = np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint16)
-    assert substring_dedup._found(keys, checks, np.array([5, 5, 9], np.uint64), np.array([7, 2, 4], np.uint16)).tolist() == [False, True, False]
+    keys, checks = np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint32)
+    assert substring_dedup._found(keys, checks, np.array([5, 5, 9], np.uint64), np.array([7, 2, 4], np.uint32)).tolist() == [False, True, False]
     values = np.array([3, 1 << 60, 1 << 63], np.uint64)
     assert substring_dedup.expand(substring_dedup.shrink(values, True), np.uint64, True).tolist() == values.tolist()
 
