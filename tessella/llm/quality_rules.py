@@ -2,7 +2,8 @@
 
 Each rule votes good (1) or bad (-1) or abstains (0).  Expectation-maximisation over
 the counts of vote patterns estimates how each rule votes on good and on bad documents,
-and the posterior probability of a good document replaces all-must-pass filtering.
+and the posterior probability of a good document replaces all-must-pass filtering: a bad
+vote of a rule that others seldom confirm is overruled, one that they confirm condemns.
 Features, votes and posterior are DataFrame functions; the driver sees only the counts
 of patterns, of which there are at most 3 ** rules, whatever the input.
 """
@@ -12,13 +13,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import exp, log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, UPPER, WORD, materialize, table
+from tessella.llm.common import SPACE, UPPER, WORD, column, materialize, table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Frequent function words of English, German, French and Spanish, and what may stand around one.
+FUNCTION_WORDS = "the of and to in is that with der die und das nicht ist mit ein de la que el en los et les des un une est por con para y e".split()
+AROUND = ".,;:!?\"'()"
 
 
 @dataclass(frozen=True)
@@ -42,18 +47,29 @@ RULES = (
     Rule("duplicate_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines", "n_lines >= 2 AND n_dup_lines = 0"),
     Rule("capitals", "4 * n_upper > word_chars", "10 * n_upper <= word_chars"),
     Rule("exclamations", "10 * n_exclaim > n_words AND n_exclaim >= 3", "100 * n_exclaim <= n_words"),
+    Rule("function_words", "n_words >= 20 AND 50 * n_function < n_words", "n_words >= 20 AND 20 * n_function >= n_words"),
 )
+#: What :func:`text_features` counts.
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_exclaim", "n_function", "n_repeat_words")
 
 
 def text_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col`` and the counts that the rules read, over whole texts; linear but for a sort of a text's windows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.select(F.col(id_col), text.alias("t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"))
+    """``id_col`` and the counts that the rules read, over whole texts; linear but for a sort of a text's windows.
+
+    Repeated windows are told by a 64-bit hash: in a text of n windows, n * n / 2 ** 65 pairs
+    are expected to agree by chance (3e-8 in a million words).
+    """
+    if id_col.lower() in FEATURES:
+        raise ValueError(f"{id_col} is the name of a feature; rename the id column")
+    text = F.coalesce(column(text_col), F.lit(""))
+    known = F.array(*map(F.lit, FUNCTION_WORDS))
+    step = docs.select(column(id_col), text.alias("t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"))
     count_of = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
     step = step.select(
-        id_col, F.size("words").cast("long").alias("n_words"), F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"), count_of(SYMBOLS).cast("long").alias("n_symbols"),
+        column(id_col), F.size("words").cast("long").alias("n_words"), F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"), count_of(SYMBOLS).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        count_of(UPPER).cast("long").alias("n_upper"), count_of("!").cast("long").alias("n_exclaim"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+        count_of(UPPER).cast("long").alias("n_upper"), count_of("!").cast("long").alias("n_exclaim"),
+        F.size(F.filter("words", lambda w: F.array_contains(known, F.lower(F.btrim(w, F.lit(AROUND)))))).cast("long").alias("n_function"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     rest = [c for c in step.columns if c != "h"]
     # Windows of five words by hash; positions count from 0.
@@ -83,38 +99,28 @@ class VoteModel:
         return 1 / (1 + exp(-max(-50.0, min(50.0, z))))
 
 
-def fit_votes(patterns: dict[tuple[int, ...], int], *, rounds: int = 60, rarely: float = 0.002, smooth: float = 1.0) -> VoteModel:
-    """Expectation-maximisation from a start where a document with a bad vote is likely bad.
+def fit_votes(patterns: dict[tuple[int, ...], int], *, rounds: int = 1000) -> VoteModel:
+    """Expectation-maximisation over vote patterns and their counts; an abstention says nothing.
 
-    An abstention says nothing.  Bounds keep the classes from changing places: rules are
-    written so that they seldom condemn a good document (at most the share ``rarely``),
-    they condemn a bad one at least ten times as often and at most 0.95 of the time, and
-    the share of good documents is within 0.05 and 0.98.
+    The start names the classes: a document with a bad vote is as likely good as bad, any
+    other is likely good.  From there on the share of good documents and every rule's rates
+    move freely; a count of one on either side (a uniform Beta prior) keeps them off 0 and 1.
     """
-    n_rules = len(next(iter(patterns), ()))
-    good = {p: 0.1 if -1 in p else 0.95 for p in sorted(patterns)}
-    model = VoteModel(0.8, [rarely] * n_rules, [0.3] * n_rules)
+    rows = sorted(patterns)
+    votes = np.array(rows, float).reshape(len(rows), len(rows[0]) if rows else 0)
+    n = np.array([patterns[p] for p in rows], float)
+    bad, cast = votes < 0, votes != 0
+    good = np.where(bad.any(axis=1), 0.5, 0.9)
     for _ in range(rounds):
-        rates = []
-        for like in (lambda w: w, lambda w: 1 - w):
-            against, cast = [smooth * rarely] * n_rules, [smooth] * n_rules
-            for p, w in good.items():
-                for j, v in enumerate(p):
-                    if v:
-                        cast[j] += patterns[p] * like(w)
-                        against[j] += patterns[p] * like(w) * (v < 0)
-            rates.append([a / c for a, c in zip(against, cast, strict=True)])
-        on_good = [min(rarely, max(1e-6, x)) for x in rates[0]]
-        on_bad = [min(0.95, max(10 * rarely, x)) for x in rates[1]]
-        n = sum(patterns.values())
-        share = sum(patterns[p] * w for p, w in good.items()) / n if n else 0.8
-        model = VoteModel(min(0.98, max(0.05, share)), on_good, on_bad)
-        new = {p: model.posterior(p) for p in good}
-        moved = max((abs(new[p] - good[p]) for p in new), default=0.0)
-        good = new
-        if moved < 1e-9:
+        share, rates = (1 + n @ good) / (2 + n.sum()), []
+        for weight in (n * good, n * (1 - good)):
+            rates.append((1 + weight @ bad) / (2 + weight @ cast))
+        on_good, on_bad = rates
+        z = log(share / (1 - share)) + bad @ np.log(on_good / on_bad) + (votes > 0) @ np.log((1 - on_good) / (1 - on_bad))
+        before, good = good, 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        if np.abs(good - before).max(initial=0.0) < 1e-10:
             break
-    return model
+    return VoteModel(float(share), on_good.tolist(), on_bad.tolist())
 
 
 def quality_votes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -123,7 +129,7 @@ def quality_votes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Defined cases: a null or empty text has no words and is judged by the votes of
     zero counts.  Rows with equal or null ids are judged each.  Documents with the same
     votes have the same probability.  An empty table gives an empty table.  Other
-    columns are not read.
+    columns are not read; an id column with the name of a feature is refused.
     """
     if len(rules) > 9:
         raise ValueError("at most nine rules: the driver counts 3 ** rules patterns")
