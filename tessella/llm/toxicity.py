@@ -1,131 +1,122 @@
 """Toxicity by the nearest labelled examples (operator 8).
 
-The labelled sample is held as TF-IDF vectors in block-max inverted indexes: for each
-term and block of examples, the largest weight in the block.  The blocks' upper bounds
-for a text are added up, blocks are met from the highest bound down, and the search ends
-when no bound can beat the k-th best cosine, so the neighbours are exact.  They vote with
-their cosines, a text without any neighbour has the share of toxic among such examples,
-and the neighbours' ids and cosines are the evidence.
-
-Terms are lower-cased words, and beginnings of words, so that inflected forms meet.  The
-vocabulary is what a chi-square test on the labelled sample keeps: other words say nothing
-about the label, and would only drown the cosine in chance matches.
+The labelled sample is held as TF-IDF vectors of all its words in block-max inverted
+indexes: for each word and block of examples, the largest weight in the block.  The
+blocks' upper bounds for a text are added up, blocks are met from the highest bound down,
+and the search ends when no bound can reach the k-th best cosine, so the neighbours are
+exact.  They vote with their cosines, a text without any neighbour has the share of toxic
+labels, and the neighbours' ids and cosines are the evidence.
+
+A word's weight is (1 + log tf) * idf * phi**2, where phi is the correlation of the word's
+presence and the label in the sample.  No word is left out; those that say nothing about
+the label, whichever, weigh little, where by idf alone the chance matches of rare words
+would drown all else.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from math import log, sqrt
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import column, small_batches, table, unused, without
 from tessella.llm.labels import Sample, held_out, labelled_sample
 
 WORDS = re.compile(r"\w+")
-#: Lengths of the word beginnings that are terms, marked by a trailing *.
-HEADS = (4, 5, 6, 7, 8)
-MAX_TERMS, MIN_CHI2, MIN_RATIO, MIN_SHARE = 1024, 15.0, 10.0, 0.02
 BLOCK, NEAREST, PRIOR_WEIGHT = 32, 15, 0.05
-#: Results kept for term counts met before, in each Python worker.
+#: Blocks that are met at once: so many first, then twice as many each time.
+FIRST_BLOCKS = 4
+#: Results kept for texts met before, in each Python worker.
 KNOWN = 100_000
 
 
-def _terms(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in HEADS if len(word) > k)]
+def words_of(text: str | None) -> Counter:
+    return Counter(WORDS.findall((text or "").lower()))
 
 
-def choose_terms(texts: list[str], labels: list[int], weights: dict[int, float], *, max_terms: int = MAX_TERMS, min_chi2: float = MIN_CHI2) -> dict[str, int]:
-    """Terms whose document frequency differs by label, toxic ones only; the strongest first, ties by name."""
-    n = Counter(labels)
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for text, y in zip(texts, labels, strict=True):
-        seen[y].update({t for w in set(WORDS.findall(text.lower())) for t in _terms(w)})
-    scored = []
-    for term, a in seen[1].items():
-        b = seen[0][term]
-        pa, pb = a / n[1], b / n[0]
-        if a >= 4 and pa > max(MIN_SHARE, MIN_RATIO * pb):
-            p = (a + b) / (n[0] + n[1])
-            chi2 = (pa - pb) ** 2 / (p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
-            if chi2 >= min_chi2:
-                scored.append((-chi2, len(term), term))
-    return {term: k for k, (_, _, term) in enumerate(sorted(scored)[:max_terms])}
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges ``first[i] .. last[i]``, and of which range each is."""
+    size = last - first
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size), which
 
 
-@dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples by term: postings in order of example, cut into blocks with their largest weight."""
-
-    n: int
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    bounds: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        for docs, weights in self.postings:
-            blocks, first = np.unique(docs // BLOCK, return_index=True)
-            self.bounds.append((blocks, np.maximum.reduceat(weights, first) if len(docs) else weights))
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The ``k`` examples with the largest positive cosine, ties to the smaller number; exact."""
-        upper = np.zeros(-(-self.n // BLOCK))
-        for t, q in query.items():
-            blocks, most = self.bounds[t]
-            upper[blocks] += q * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or len(best) == k and upper[b] < best[0][0] - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for t, q in sorted(query.items()):
-                docs, weights = self.postings[t]
-                i, j = np.searchsorted(docs, (b * BLOCK, (b + 1) * BLOCK))
-                acc[docs[i:j] - b * BLOCK] += q * weights[i:j]
-            for d in np.flatnonzero(acc > 0).tolist():
-                item = (float(acc[d]), -(b * BLOCK + d))
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(c, -d) for c, d in sorted(best, reverse=True)]
+    """Vectors of examples by term: postings in order of term and example, cut into blocks with their largest weight."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
+        self.n = len(vectors)
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
+        doc = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        order = np.lexsort((doc, term))
+        term, self.docs, self.weights = term[order], doc[order].astype(np.int32), weight[order]
+        pair = term * (self.n // BLOCK + 1) + self.docs // BLOCK
+        start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, np.int64)
+        #: For each pair of a term and a block that has it: the block, the first posting, and the bound.
+        self.block, self.start = self.docs[start] // BLOCK, np.r_[start, len(pair)]
+        self.most = np.maximum.reduceat(self.weights, start) if len(start) else np.empty(0)
+        self.pairs = np.searchsorted(term[start], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The ``k`` examples with the largest positive dot product, ties to the smaller number; exact."""
+        pairs, which = _ranges(self.pairs[terms], self.pairs[terms + 1])
+        q = weights[which]
+        block = self.block[pairs]
+        upper = np.bincount(block, q * self.most[pairs], minlength=self.n // BLOCK + 1)
+        order = np.argsort(-upper, kind="stable")
+        order = order[upper[order] > 0]
+        scores, found = np.empty(0), np.empty(0, np.int64)
+        at, size = 0, FIRST_BLOCKS
+        while at < len(order):
+            if len(scores) == k:  # nothing below the k-th best matters, whatever rounding
+                order = order[: at + int(np.searchsorted(-upper[order[at:]], -(scores[-1] - 1e-12), side="right"))]
+                if at == len(order):
+                    break
+            mine = np.zeros(self.n // BLOCK + 1, bool)
+            mine[order[at : at + size]] = True
+            at, size = at + size, 2 * size
+            own = mine[block]
+            posts, of = _ranges(self.start[pairs[own]], self.start[pairs[own] + 1])
+            got = np.bincount(self.docs[posts], q[own][of] * self.weights[posts], minlength=self.n)
+            new = np.flatnonzero(got > 0)
+            scores, found = np.concatenate([scores, got[new]]), np.concatenate([found, new])
+            best = np.lexsort((found, -scores))[:k]
+            scores, found = scores[best], found[best]
+        return list(zip(scores.tolist(), found.tolist(), strict=True))
 
 
 @dataclass
 class ToxicityModel:
     terms: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray  # idf * phi ** 2
     index: BlockMaxIndex
     labels: np.ndarray
     ids: np.ndarray
     votes: np.ndarray  # how many labelled documents an example stands for
-    base: float  # share of toxic among examples without terms
+    base: float  # share of toxic labels
     k: int = NEAREST
 
-    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        out: Counter = Counter()
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's known terms and their weights, as a unit vector."""
         get = self.terms.get
-        for word, n in Counter(WORDS.findall((text or "").lower())).items():
-            if (t := get(word)) is not None:
-                out[t] += n
-            for k in HEADS:
-                if len(word) > k and (t := get(word[:k] + "*")) is not None:
-                    out[t] += n
-        return tuple(sorted(out.items()))
-
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> dict[int, float]:
-        raw = {t: (1 + log(n)) * self.idf[t] for t, n in counts}
-        norm = sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()} if norm else {}
-
-    def judge(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(counts), self.k) if counts else []
+        known = [(t, n) for w, n in words_of(text).items() if (t := get(w)) is not None]
+        if not known:
+            return np.empty(0, np.int64), np.empty(0)
+        terms, counts = np.array(sorted(known)).T
+        raw = (1 + np.log(counts)) * self.weight[terms]
+        norm = np.sqrt((raw * raw).sum())
+        return terms, raw / norm if norm else raw
+
+    def judge(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.nearest(*self.vector(text), self.k)
         up, all_ = PRIOR_WEIGHT * self.base, PRIOR_WEIGHT
         for cosine, d in near:
             w = cosine * self.votes[d]
@@ -136,24 +127,29 @@ class ToxicityModel:
 def fit_toxicity(sample: Sample, *, k: int = NEAREST) -> ToxicityModel:
     """Without labels of both classes there are no terms, and every text gets the share of toxic labels (0 without any)."""
     share = sample.weights()
-    both = bool(share[0] and share[1])
-    terms = choose_terms(sample.texts, sample.labels, share) if both else {}
-    model = ToxicityModel(terms, np.ones(len(terms)), BlockMaxIndex(0, [(np.empty(0, np.int64), np.empty(0))] * len(terms)), np.empty(0), np.empty(0), np.empty(0), 0.0, k)
-    rows = [model.counts(t) for t in sample.texts]
-    df = Counter(t for r in rows for t, _ in r)
-    model.idf = np.array([log((1 + len(rows)) / (1 + df[t])) + 1 for t in range(len(terms))])
-    weight = np.array([share[y] for y in sample.labels])
+    n = sum(sample.total.values())
+    base = sample.total.get(1, 0) / n if n else 0.0
     labels = np.array(sample.labels, float)
-    bare = np.array([not r for r in rows], bool)
-    model.base = float((weight * labels)[bare].sum() / weight[bare].sum()) if bare.any() else 0.0
-    have = np.flatnonzero(~bare)
-    model.labels, model.ids = labels[have], np.array(sample.ids, dtype=object)[have]
-    model.votes = weight[have] / (weight[have].min() if len(have) else 1.0)
-    lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for d, r in enumerate(have):
-        for t, x in model.vector(rows[r]).items():
-            lists[t].append((d, x))
-    model.index = BlockMaxIndex(len(have), [(np.array([d for d, _ in p], np.int64), np.array([x for _, x in p])) for p in lists])
+    both = bool(share[0] and share[1])
+    rows = [words_of(t) for t in sample.texts] if both else []
+    terms = {t: i for i, t in enumerate(sorted({t for r in rows for t in r}))}
+    seen = np.zeros((2, len(terms)))
+    for r, y in zip(rows, sample.labels, strict=False):
+        seen[y, [terms[t] for t in r]] += 1
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    df = seen.sum(axis=0)
+    gap = (seen[1] + 0.5) / (n1 + 1) - (seen[0] + 0.5) / (n0 + 1)
+    p = (df + 1) / (len(labels) + 2)
+    model = ToxicityModel(terms, (np.log((1 + len(labels)) / (1 + df)) + 1) * gap**2 / (p * (1 - p)), BlockMaxIndex([], 0), labels, np.array(sample.ids, dtype=object), np.ones(len(labels)), base, k)
+    if not both:
+        model.index = BlockMaxIndex([], len(terms))
+        return model
+    vectors = [model.vector(t) for t in sample.texts]
+    # Examples that share their heaviest term stand together, so that the blocks' bounds are close.
+    order = np.lexsort((np.arange(len(vectors)), [t[w.argmax()] if len(t) else -1 for t, w in vectors]))
+    model.index = BlockMaxIndex([vectors[i] for i in order], len(terms))
+    votes = np.array([share[y] for y in sample.labels])
+    model.labels, model.ids, model.votes = labels[order], model.ids[order], votes[order] / votes.min()
     return model
 
 
@@ -163,14 +159,15 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text_col: str = "t
     ``evidence`` is an array of (example id as text, cosine), the nearest first; both
     columns replace input columns of the same name.
 
-    Defined cases: a null or empty text has no terms and gets the share of toxic among
-    such examples; equal texts get equal scores; an empty table gives an empty table.
+    Defined cases: a null or empty text, or one without a word of the sample, gets the share
+    of toxic labels; equal texts get equal scores; an empty table gives an empty table.
+    Other columns may have any name.
     """
     small_batches(docs.sparkSession)
     kind = "score double, evidence array<struct<example string, cosine double>>"
-    out = docs.withColumn("__tox", F.pandas_udf(_scorer(model), kind)(F.col(text_col)))
-    names = [c for c in docs.columns if c not in ("score", "evidence")]
-    return out.select(*names, "__tox.score", "__tox.evidence")
+    (made,) = unused(docs.columns, "judged")
+    out = docs.withColumn(made, F.pandas_udf(_scorer(model), kind)(column(text_col)))
+    return out.select(*map(column, without(docs, "score", "evidence")), f"{made}.score", f"{made}.evidence")
 
 
 def _scorer(model: ToxicityModel) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
@@ -179,13 +176,13 @@ def _scorer(model: ToxicityModel) -> Callable[[Iterator[pd.Series]], Iterator[pd
         for texts in batches:
             scores, evidence = [], []
             for text in texts:
-                counts = model.counts(text)
-                if counts not in known:
+                key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+                if key not in known:
                     if len(known) >= KNOWN:
                         known.clear()
-                    score, near = model.judge(counts)
-                    known[counts] = score, [{"example": str(model.ids[d]), "cosine": c} for c, d in near]
-                score, near = known[counts]
+                    score, near = model.judge(text)
+                    known[key] = score, [{"example": str(model.ids[d]), "cosine": c} for c, d in near]
+                score, near = known[key]
                 scores.append(score)
                 evidence.append(near)
             yield pd.DataFrame({"score": scores, "evidence": evidence})

@@ -331,26 +331,71 @@ def test_scores_of_odd_texts(spark):
     assert not labels.labelled_sample(table, marks.limit(0), "toxic").texts
     for m in (quality_crf.fit_quality(labels.labelled_sample(table, marks.limit(0), "quality")), ):
         assert quality_crf.quality_scores(table.limit(0), m).count() == 0
-    assert toxicity.toxicity_scores(table, toxicity.fit_toxicity(labels.labelled_sample(table, marks.limit(0), "toxic"))).filter("score <> 0").count() == 0
+    none = toxicity.fit_toxicity(labels.labelled_sample(table, marks.limit(0), "toxic"))
+    assert toxicity.toxicity_scores(table, none).filter("score <> 0").count() == 0
+    clash = table.withColumn("judged", F.lit(5)).withColumn("__tox", F.lit(6)).withColumn("a.b", F.lit(7))
+    assert [tuple(r) for r in toxicity.toxicity_scores(clash, tox).select("judged", "__tox", "`a.b`").distinct().collect()] == [(5, 6, 7)]
 
 
 def test_nearest_examples_by_brute_force():
     rng = np.random.default_rng(7)
-    vocab = [f"t{k}" for k in range(30)]
-    rows = [" ".join(rng.choice(vocab, int(rng.integers(1, 12)))) for _ in range(300)]
-    terms = {t: k for k, t in enumerate(vocab)}
-    m = toxicity.ToxicityModel(terms, rng.random(30) + 0.5, toxicity.BlockMaxIndex(0, []), np.zeros(300), np.arange(300), np.ones(300), 0.0)
-    vectors = [m.vector(m.counts(t)) for t in rows]
-    posts = [[] for _ in vocab]
-    for d, v in enumerate(vectors):
-        for t, x in v.items():
-            posts[t].append((d, x))
-    index = toxicity.BlockMaxIndex(300, [(np.array([d for d, _ in p], np.int64), np.array([x for _, x in p])) for p in posts])
-    for q in vectors[:60]:
-        got = index.nearest(q, 7)
-        want = sorted(((-round(sum(x * v.get(t, 0.0) for t, x in q.items()), 9), d) for d, v in enumerate(vectors)))[:7]
-        assert [round(-s, 9) for s, _ in want] == [round(c, 9) for c, _ in got]
-    assert index.nearest({}, 3) == []
+    n_terms, vectors = 60, []
+    for _ in range(300):
+        terms = np.sort(rng.choice(n_terms, int(rng.integers(0, 12)), replace=False))
+        vectors.append((terms, rng.random(len(terms)).round(2)))
+    vectors[200:210] = [vectors[199]] * 10  # equal examples
+    dense = np.zeros((300, n_terms))
+    for d, (t, w) in enumerate(vectors):
+        dense[d, t] = w
+    index = toxicity.BlockMaxIndex(vectors, n_terms)
+    for t, w in vectors[:80] + vectors[199:203]:
+        for k in (1, 7, 400):
+            score = dense[:, t] @ w if len(t) else np.zeros(300)
+            want = [d for d in np.lexsort((np.arange(300), -score.round(10))) if score[d] > 0][:k]
+            got = index.nearest(t.astype(np.int64), w, k)
+            assert sorted(round(c, 9) for c, _ in got) == sorted(score[want].round(9).tolist()) and len({d for _, d in got}) == len(want)
+            if want:  # but for ties within rounding at the edge, the same ones
+                assert {d for c, d in got if c > score[want[-1]] + 1e-9} == {d for d in want if score[d] > score[want[-1]] + 1e-9}
+            assert all(c == pytest.approx(score[d], abs=1e-9) for c, d in got)
+    assert index.nearest(np.empty(0, np.int64), np.empty(0), 3) == []
+
+
+def test_op8_over_a_whole_table(spark, sf):
+    """All rows' neighbours are those of brute force over vectors made from the words, every word of the sample in them."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    sample = labels.labelled_sample(table, spark.read.parquet(f"{sf}/labels.parquet"), "toxic")
+    found = [Counter(re.findall(r"\w+", t.lower())) for t in sample.texts]
+    vocab = {w: k for k, w in enumerate(sorted({w for c in found for w in c}))}
+    y = np.array(sample.labels)
+    present = np.zeros((len(found), len(vocab)))
+    for k, c in enumerate(found):
+        present[k, [vocab[w] for w in c]] = 1
+    a, b, n1, n0 = present[y == 1].sum(0), present[y == 0].sum(0), (y == 1).sum(), (y == 0).sum()
+    p = (a + b + 1) / (len(y) + 2)
+    weight = (np.log((1 + len(y)) / (1 + a + b)) + 1) * ((a + 0.5) / (n1 + 1) - (b + 0.5) / (n0 + 1)) ** 2 / (p * (1 - p))
+
+    def unit(counts):
+        v = np.zeros(len(vocab))
+        for w, n in counts.items():
+            if w in vocab:
+                v[vocab[w]] = (1 + log(n)) * weight[vocab[w]]
+        return v / (sqrt(v @ v) or 1.0)
+
+    examples, ids = np.array([unit(c) for c in found]), {str(i): k for k, i in enumerate(sample.ids)}
+    share = sample.weights()
+    votes = np.array([share[v] for v in sample.labels]) / min(share[v] for v in sample.labels)
+    base = sample.total[1] / (sample.total[0] + sample.total[1])
+    texts = {r.doc_id: r.text for r in table.collect()}
+    rows = toxicity.op8_toxicity(spark, sf).collect()
+    assert len(rows) == table.count()
+    for r in rows:
+        cosine = examples @ unit(Counter(re.findall(r"\w+", (texts[r.doc_id] or "").lower())))
+        best = np.sort(cosine[cosine > 0])[::-1][: toxicity.NEAREST]
+        assert [e.cosine for e in r.evidence] == pytest.approx(best.tolist(), abs=1e-9)
+        assert all(e.cosine == pytest.approx(cosine[ids[e.example]], abs=1e-9) for e in r.evidence)
+        at = [ids[e.example] for e in r.evidence]
+        w = np.array([e.cosine for e in r.evidence]) * votes[at]
+        assert r.score == pytest.approx((toxicity.PRIOR_WEIGHT * base + (w * y[at]).sum()) / (toxicity.PRIOR_WEIGHT + w.sum()), abs=1e-9)
 
 
 # --- neighbours
