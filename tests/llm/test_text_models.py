@@ -410,6 +410,8 @@ def test_neighbours_by_brute_force(spark):
     got = defaultdict(dict)
     for r in ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0"), part_rows=100).collect():
         got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    dealt = ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0"), part_rows=7, query_rows=3)
+    assert {(r.query_id, r["rank"]): r.score for r in dealt.collect()}.keys() == {(q, k) for q, own in got.items() for k in own}
     assert set(got) == set(range(0, 1200, 50))
     d = x.astype(float)
     unit = d / np.sqrt((d * d).sum(1))[:, None]
@@ -452,7 +454,38 @@ def test_near_copies_beyond_the_shortlist():
 
 def test_the_shortlist_keeps_all_ties():
     gap = np.array([1.0, 0.5, 1.0, np.inf, 1.0, 2.0, 1.0 + 1e-14])
-    assert ann._least(gap, 2).tolist() == [0, 1, 2, 4, 6]
+    assert np.flatnonzero(ann._least(gap, 2)[0]).tolist() == [0, 1, 2, 4, 6]
+
+
+def test_tables_give_the_distances_of_decoded_rows():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 22))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    q = ann.fit_quantizer(x, lists=5, subspaces=8)
+    codes = q.codes(x[:50], np.full(50, 3))
+    coded = np.concatenate([q.books[m][codes[:, m]] for m in range(8)], axis=1)[:, :22] + q.centers[3]
+    assert q.distances(x[50:60], 3, codes) == pytest.approx(((x[50:60, None] - coded[None]) ** 2).sum(2), abs=1e-9)
+
+
+def test_recall_with_lists_larger_than_the_shortlist(spark):
+    """50,000 vectors in 224 lists of about three shortlists each."""
+    rng = np.random.default_rng(12)
+    n, dim = 50_000, 24
+    hubs = rng.normal(size=(300, dim))
+    x = (hubs[rng.integers(0, 300, n)] + 0.9 * rng.normal(size=(n, dim))).astype(np.float32)
+    x[20_000:23_000] = x[20_000] + np.float32(1e-4) * rng.normal(size=(3000, dim)).astype(np.float32)  # near copies
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(8)
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    d = x.astype(float)
+    unit = d / np.sqrt((d * d).sum(1))[:, None]
+    hits = {True: [], False: []}
+    for q in range(0, n, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits[20_000 <= q < 23_000].append(len(got[q] & set(np.argpartition(-s, 5)[:5].tolist())) / 5)
+    assert n / 224 > 3 * ann.RERANK and np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9
 
 
 def test_recall_on_the_embeddings(spark, sf):
