@@ -84,6 +84,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A key is hot if it has more than this part of all rows.
+HOT = 1000
+
+
+def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``left`` and ``right`` by ``key``, where ``right`` has a row a key that says in ``weight`` how many rows ``left`` has of it.
+
+    Keys with over a thousandth of the ``total`` rows, of which there are less than a
+    thousand, are broadcast, so that no task gets a hot key's rows; all others are shuffled.
+    """
+    hot = F.broadcast(right.filter(F.col(weight) * HOT > total))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(weight) * HOT <= total), key)
+    return left.join(hot, key).unionByName(rest).drop(weight)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows that Python holds at once, unless the session bounds them lower."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

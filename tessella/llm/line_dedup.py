@@ -1,13 +1,21 @@
 """Line dedup with two Bloom filters (operator 9).
 
-Scan 1 adds the hash of every long line to a *once* filter, and to a *twice*
-filter if it was in the first already.  Tasks work alone and their filters are
-merged: what both have seen once goes to the twice filter.  A line that occurs
-in two documents is therefore always in the merged twice filter.  The filters
-have a fixed number of bits, whatever the input, so the one that is broadcast
-has a proven size (4 MB by default).  Only the lines found in it are shuffled;
-grouping them by their whole key confirms them exactly.  A filter that fills up
-lets more lines through to the exact step and never changes a result.
+Scan 1 writes the 128-bit hashes of each document's long lines, a small table.  Over it, every
+hash goes to a *once* filter, and to a *twice* filter if it was in the first already.
+Tasks work alone and their filters are merged: what both have seen once goes to the
+twice filter.  A line that occurs in two documents is therefore always in the merged
+twice filter.  Only the hashes found in it are shuffled; grouping them confirms repeats
+and chooses the occurrence that stays.  A filter that lets a line through in vain never
+changes a result.
+
+The filters follow the input: ``BITS`` bits for every line of the table.  Where that is
+more than ``max_bits``, the hashes are dealt into as many classes as needed and each class
+has a pass of its own over the small table, with filters of ``max_bits``; so the share of
+lines that pass in vain is the same at every size, and what is broadcast at once is bounded
+(32 MB by default).
+
+Lines are equal if their 128-bit hashes are: among n different lines n * n / 2 ** 129 wrong
+pairs are expected, 1e-16 for the 3e11 long lines of 100 TB.
 """
 
 from __future__ import annotations
@@ -20,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, small_batches, table
+from tessella.llm.common import column, materialize, new_path, small_batches, table, unused, without
 
 STRIP = b" \t\n\x0b\x0c\r"
 CHUNKS = 16
+#: Bits of a filter for each long line of the input.
+BITS = 8
 #: Parts into which the rows of each confirmed key are dealt.
 SALTS = 32
 
@@ -40,25 +50,38 @@ def _keys(text: str | None, min_chars: int) -> list[bytes]:
     return list(out)
 
 
-def _slots(keys: list[bytes], bits: int, hashes: int) -> np.ndarray:
-    """The bit positions of each key, a row a key."""
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-    step = both[:, 1:] | np.uint64(1)
-    return (both[:, :1] + step * np.arange(hashes, dtype=np.uint64)) & np.uint64(bits - 1)
+def _digests(min_chars: int):
+    """Rows with the hashes of their long lines, 16 bytes each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [_keys(text, min_chars) for text in batch["text"]]
+            out = batch[["id", "twin"]].assign(n=[len(k) for k in keys], digests=[b"".join(map(xxhash.xxh3_128_digest, k)) for k in keys])
+            yield out[out["n"] > 0]
+
+    return run
 
 
-def _fill(bits: int, hashes: int, min_chars: int):
+def _slots(digests: bytes, bits: int, hashes: int, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes are of the class ``turn`` of ``turns``, and their bit positions, a row a hash."""
+    both = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+    own = np.flatnonzero((both[:, 1] >> np.uint64(32)) * np.uint64(turns) >> np.uint64(32) == turn)
+    step = both[own, 1:] << np.uint64(32) | np.uint64(1)
+    places = (both[own, :1] + step * np.arange(hashes, dtype=np.uint64)) >> np.uint64(32)
+    return own, (places * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+
+
+def _fill(bits: int, hashes: int, turn: int, turns: int):
     """One task's pair of filters, in chunks; positions if these take less room than bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
         for batch in batches:
-            for text in batch.iloc[:, 0]:
-                if keys := _keys(text, min_chars):
-                    at = _slots(keys, bits, hashes)
-                    seen = once[at].all(axis=1)
-                    twice[at[seen].ravel()] = True
-                    once[at[~seen].ravel()] = True
+            for digests in batch["digests"]:
+                at = _slots(digests, bits, hashes, turn, turns)[1]
+                seen = once[at].all(axis=1)
+                twice[at[seen].ravel()] = True
+                once[at[~seen].ravel()] = True
         size = bits // CHUNKS
         for k in range(CHUNKS):
             parts = []
@@ -100,9 +123,16 @@ def _merge(bits: int):
     return run
 
 
-def repeated_filter(docs: DataFrame, text_col: str, *, min_chars: int, bits: int, hashes: int) -> np.ndarray:
-    """The bits of the merged twice filter, packed: ``bits / 8`` bytes whatever the input."""
-    pairs = docs.select(text_col).mapInPandas(_fill(bits, hashes, min_chars), "chunk int, once binary, twice binary")
+def filter_sizes(lines: int, max_bits: int) -> tuple[int, int]:
+    """Bits of a filter and number of passes for so many long lines."""
+    turns = max(1, -(-BITS * lines // max_bits))
+    step = 8 * CHUNKS
+    return max(step, -(-BITS * lines // (turns * step)) * step), turns
+
+
+def repeated_filter(lines: DataFrame, *, bits: int, hashes: int, turn: int = 0, turns: int = 1) -> np.ndarray:
+    """The bits of a class's merged twice filter, packed: ``bits / 8`` bytes."""
+    pairs = lines.select("digests").mapInPandas(_fill(bits, hashes, turn, turns), "chunk int, once binary, twice binary")
     merged = pairs.repartition(CHUNKS, "chunk").mapInPandas(_merge(bits), "chunk int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     size = bits // CHUNKS // 8
@@ -111,37 +141,41 @@ def repeated_filter(docs: DataFrame, text_col: str, *, min_chars: int, bits: int
     return out
 
 
-def _suspects(shared, bits: int, hashes: int, min_chars: int):
+def _suspects(shared, bits: int, hashes: int, turn: int, turns: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed = shared.value
         for batch in batches:
-            ids, keys = [], []
-            for k, text in enumerate(batch.iloc[:, 1]):
-                if own := _keys(text, min_chars):
-                    at = _slots(own, bits, hashes).astype(np.int64)
-                    hit = ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                    for j in np.flatnonzero(hit):
-                        ids.append(k)
-                        keys.append(own[j])
-            yield pd.DataFrame({"id": batch.iloc[:, 0].take(ids).astype(object).where(lambda s: s.notna(), None), "key": keys})
+            rows, keys = [], []
+            for k, digests in enumerate(batch["digests"]):
+                own, at = _slots(digests, bits, hashes, turn, turns)
+                hit = ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+                for j in own[hit].tolist():
+                    rows.append(k)
+                    keys.append(digests[16 * j : 16 * j + 16])
+            ids = batch["id"].take(rows).astype(object)
+            yield pd.DataFrame({"id": ids.where(ids.notna(), None), "twin": batch["twin"].take(rows), "key": keys})
 
     return run
 
 
-def _apply(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, drop in zip(texts, drops, strict=True):
-        lines = ("" if text is None else text).encode("utf-8", "surrogatepass").split(b"\n")
-        if drop is None or not len(drop):
-            kept = lines
-        else:
-            gone = {bytes(x) for x in drop}
-            kept = [x for x in lines if x.strip(STRIP).lower() not in gone]
-        out.append((b"\n".join(kept).decode("utf-8", "surrogatepass"), len(lines), len(lines) - len(kept)))
-    return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
+def _apply(min_chars: int):
+    def run(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, drop in zip(texts, drops, strict=True):
+            lines = ("" if text is None else text).encode("utf-8", "surrogatepass").split(b"\n")
+            if drop is None or not len(drop):
+                kept = lines
+            else:
+                gone = {bytes(x) for x in drop}
+                kept = [x for x in lines if len(x) < min_chars or xxhash.xxh3_128_digest(x.strip(STRIP).lower()) not in gone]
+            out.append((b"\n".join(kept).decode("utf-8", "surrogatepass"), len(lines), len(lines) - len(kept)))
+        return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
+
+    run.__annotations__ = {"texts": pd.Series, "drops": pd.Series, "return": pd.DataFrame}
+    return run
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, filter_bits: int = 1 << 25, hashes: int = 4) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, max_bits: int = 1 << 28, hashes: int = 4) -> DataFrame:
     """Drop lines whose key is in ``min_docs`` documents or more, but for the largest id that holds it.
 
     A line's key is the line without ASCII white space at its ends, with A-Z
@@ -153,26 +187,36 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Defined cases: a null or empty text is one empty line, and comes out empty.
     Rows count as documents: equal rows count each, and every row with the largest
     id keeps its lines.  A null id orders below all ids; if all holders have a null
-    id, all keep the line.  An empty table gives an empty table.
+    id, all keep the line.  An empty table gives an empty table.  Other columns may
+    have any name.
     """
-    if filter_bits & (filter_bits - 1) or filter_bits < 1024:
-        raise ValueError("filter_bits must be a power of two, 1024 at least")
+    if not 1024 <= max_bits < 1 << 32:
+        raise ValueError("max_bits must be within 1,024 and 2 ** 32 - 1")
     spark = docs.sparkSession
     small_batches(spark)
-    packed = repeated_filter(docs, text_col, min_chars=min_chars, bits=filter_bits, hashes=hashes)
-    shared = spark.sparkContext.broadcast(packed)  # filter_bits / 8 bytes
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, text_col).mapInPandas(_suspects(shared, filter_bits, hashes, min_chars), f"id {kind}, key binary")
-    found = materialize(found, "line-suspects")
+    # A row is known by its id and the hash of its text, so that rows with one id, or none, are spread.
+    twin = F.unhex(F.md5(F.coalesce(column(text_col).cast("binary"), F.lit(b""))))
+    lines = docs.select(column(id_col).alias("id"), twin.alias("twin"), column(text_col).alias("text"))
+    lines = materialize(lines.mapInPandas(_digests(min_chars), f"id {kind}, twin binary, n long, digests binary"), "line-hashes")
+    bits, turns = filter_sizes(lines.agg(F.sum("n").alias("n")).first().n or 0, max_bits)
+    path = new_path(spark, "line-suspects")
+    for turn in range(turns):
+        shared = spark.sparkContext.broadcast(repeated_filter(lines, bits=bits, hashes=hashes, turn=turn, turns=turns))  # bits / 8 bytes
+        lines.mapInPandas(_suspects(shared, bits, hashes, turn, turns), f"id {kind}, twin binary, key binary").write.mode("append").parquet(path)
+        shared.unpersist()
+    found = spark.read.schema(f"id {kind}, twin binary, key binary").parquet(path)
     confirmed = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= min_docs).select("key", "keep")
     # A key may be in a third of all documents: its rows are dealt over SALTS tasks.
     confirmed = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    drops = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("long")).join(confirmed, ["key", "salt"]).filter(~F.col("id").eqNullSafe(F.col("keep")))
-    drops = drops.groupBy(F.col("id").alias("__drop_id")).agg(F.collect_set("key").alias("__drop"))
-    joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("__drop_id")), "left")
-    joined = joined.withColumn("__out", F.pandas_udf(_apply, "kept string, n_lines long, n_dropped long")(F.col(text_col), F.col("__drop")))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*[F.col("__out.kept").alias(c) if c == text_col else F.col(c) for c in names], "__out.n_lines", "__out.n_dropped")
+    drops = found.withColumn("salt", F.pmod(F.xxhash64("id", "twin"), F.lit(SALTS)).cast("long")).join(confirmed, ["key", "salt"]).filter(~F.col("id").eqNullSafe(F.col("keep")))
+    own_twin, drop_id, drop_twin, drop, made = unused(docs.columns, "own_twin", "drop_id", "drop_twin", "drop", "made")
+    drops = drops.groupBy(F.col("id").alias(drop_id), F.col("twin").alias(drop_twin)).agg(F.collect_set("key").alias(drop))
+    joined = docs.withColumn(own_twin, twin)
+    joined = joined.join(drops, column(id_col).eqNullSafe(F.col(drop_id)) & (F.col(own_twin) == F.col(drop_twin)), "left")
+    joined = joined.withColumn(made, F.pandas_udf(_apply(min_chars), "kept string, n_lines long, n_dropped long")(column(text_col), F.col(drop)))
+    names = without(docs, "n_lines", "n_dropped")
+    return joined.select(*[F.col(f"{made}.kept").alias(c) if c == text_col else column(c) for c in names], f"{made}.n_lines", f"{made}.n_dropped")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

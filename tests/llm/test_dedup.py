@@ -44,32 +44,74 @@ LINES = [(k, f"Own line number {k}\n  {LONG.upper() if k % 2 else LONG}\t\nend")
 ]
 
 
-@pytest.mark.parametrize("bits", [1 << 10, 1 << 20])
-def test_lines_by_brute_force(spark, bits):
-    """A filter that is far too small gives the same result, too."""
-    out = line_dedup.line_dedup(docs(spark, LINES), filter_bits=bits)
+@pytest.mark.parametrize(("bits", "per_line"), [(1 << 28, 8), (1 << 28, 1), (1024, 800)])
+def test_lines_by_brute_force(spark, monkeypatch, bits, per_line):
+    """Filters that are far too small give the same result, too, and so do many passes."""
+    monkeypatch.setattr(line_dedup, "BITS", per_line)
+    out = line_dedup.line_dedup(docs(spark, LINES), max_bits=bits)
     assert out.columns == ["doc_id", "text", "lang", "n_lines", "n_dropped"]
     assert found(out, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(LINES)
 
 
 def test_lines_of_an_empty_table_and_clashing_columns(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
-    df = docs(spark, LINES).withColumn("n_lines", F.lit("x")).withColumn("key", F.lit(1)).withColumn("id", F.lit(2)).withColumn("keep", F.lit(3))
+    names = ["key", "id", "keep", "twin", "own_twin", "drop_id", "drop_twin", "drop", "made", "kept", "__drop", "__drop_id", "__out", "a.b"]
+    df = docs(spark, LINES).withColumn("n_lines", F.lit("x"))
+    for k, name in enumerate(names):
+        df = df.withColumn(name, F.lit(k))
     out = line_dedup.line_dedup(df)
-    assert found(out, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(LINES) and {"key", "id", "keep"} <= {*out.columns}
+    assert found(out, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(LINES)
+    assert [tuple(r) for r in out.select(*[f"`{n}`" for n in names]).distinct().collect()] == [tuple(range(len(names)))]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(None, f"{LONG}\nown {k} {LONG}") for k in range(40)] + [(7, f"{LONG}\nmine {k}") for k in range(40)] + [(9, LONG)]
+    assert found(line_dedup.line_dedup(docs(spark, rows)), "doc_id", "text", "n_lines", "n_dropped") == brute_lines(rows)
+
+
+def packed_lines(keys):
+    import pandas as pd
+
+    return pd.DataFrame({"digests": [b"".join(xxhash.xxh3_128_digest(k.encode()) for k in keys[s : s + 50]) for s in range(0, len(keys), 50)]})
 
 
-def test_merged_filters_miss_no_repeat():
+def twice_bits(parts, bits, turn=0, turns=1):
     import pandas as pd
 
+    rows = pd.concat([p for part in parts for p in line_dedup._fill(bits, 4, turn, turns)(iter([packed_lines(part)]))])
+    merged = {r.chunk: r.twice for r in pd.concat(line_dedup._merge(bits)(iter([rows[:9], rows[9:]]))).itertuples()}
+    return np.concatenate([np.unpackbits(np.frombuffer(merged[c], np.uint8)) if c in merged else np.zeros(bits // line_dedup.CHUNKS, np.uint8) for c in range(line_dedup.CHUNKS)])
+
+
+@pytest.mark.parametrize("turns", [1, 3])
+def test_merged_filters_miss_no_repeat(turns):
     keys = [f"{LONG} {k}" for k in range(200)]
     parts = [keys[:120], keys[80:], keys[:10]]
     bits = 1 << 14
-    rows = pd.concat([p for part in parts for p in line_dedup._fill(bits, 4, 40)(iter([pd.DataFrame({"t": part})]))])
-    merged = {r.chunk: r.twice for r in pd.concat(line_dedup._merge(bits)(iter([rows[:9], rows[9:]]))).itertuples()}
-    on = np.concatenate([np.unpackbits(np.frombuffer(merged[c], np.uint8)) if c in merged else np.zeros(bits // line_dedup.CHUNKS, np.uint8) for c in range(line_dedup.CHUNKS)])
-    twice = [k.lower().encode() for k in keys[80:120] + keys[:10]]
-    assert on[line_dedup._slots(twice, bits, 4).astype(int)].all() and on.mean() < 0.1
+    twice = b"".join(xxhash.xxh3_128_digest(k.encode()) for k in keys[80:120] + keys[:10])
+    classes = []
+    for turn in range(turns):
+        on = twice_bits(parts, bits, turn, turns)
+        own, at = line_dedup._slots(twice, bits, 4, turn, turns)
+        assert on[at].all() and on.mean() < 0.1
+        classes += own.tolist()
+    assert sorted(classes) == list(range(50))  # each hash is of one class
+
+
+def test_as_few_lines_pass_in_vain_at_any_size():
+    """The share of once-seen lines that the filter lets through doesn't grow with the lines, nor with the passes."""
+    shares = []
+    for n, max_bits in ((2_000, 1 << 28), (20_000, 1 << 28), (20_000, 1 << 16), (60_000, 1 << 16)):
+        keys = [f"line {k}" for k in range(n)]
+        bits, turns = line_dedup.filter_sizes(n, max_bits)
+        assert bits <= max_bits and bits * turns >= line_dedup.BITS * n
+        passed = 0
+        for turn in range(turns):
+            on = twice_bits([keys[: n // 2], keys[n // 2 :]], bits, turn, turns)
+            _, at = line_dedup._slots(b"".join(xxhash.xxh3_128_digest(k.encode()) for k in keys), bits, 4, turn, turns)
+            passed += int(on[at].all(axis=1).sum())
+        shares.append(passed / n)
+    assert max(shares) < 0.05
 
 
 # --- fingerprints
@@ -130,8 +172,13 @@ def test_simhash_by_brute_force(spark):
     out = simhash.simhash_groups(docs(spark, rows))
     want = sorted(((i, p - (1 << 64) if p >> 63 else p, g) for (i, _), p, g in zip(rows, prints, brute_groups(rows, prints), strict=True)), key=str)
     assert found(out, "doc_id", "fp", "component_id") == want
-    kept = simhash.simhash_dedup(docs(spark, rows))
-    assert kept.columns == ["doc_id", "text", "lang"]
+    names = ["fp", "component_id", "kept_id", "__keep", "__keep_id", "id", "a.b"]
+    clash = docs(spark, rows)
+    for k, name in enumerate(names):
+        clash = clash.withColumn(name, F.lit(k))
+    kept = simhash.simhash_dedup(clash)
+    assert kept.columns == ["doc_id", "text", "lang", *names]
+    assert [tuple(r) for r in kept.select(*[f"`{n}`" for n in names]).distinct().collect()] == [tuple(range(len(names)))]
     ids = [r.doc_id for r in kept.collect()]
     least = {i for i, _, g in want if i == g}
     assert sorted(map(str, ids)) == sorted(str(i) for i, _, _ in want if i in least)  # rows with one id stay together
