@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, release
+from tessella.llm.common import join_by_key, materialize, release
 
 
 class Forest:
@@ -43,7 +43,9 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     Large-star and small-star rounds over data frames: each round links every node
     to the smallest of its neighbours, and ends when nothing changes.  A round is
     written to the shared folder, so the plan stays short and no link is ever
-    collected.  An empty table gives an empty table; self links count for nothing.
+    collected; the nodes that most links meet at are joined by broadcast.  An empty table
+    gives an empty table; self links count for nothing.  Rounds grow with the logarithm
+    of the longest path; after ``max_rounds`` without an end, a RuntimeError is raised.
     """
     spark = edges.sparkSession
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -54,11 +56,11 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         mark = (at.n, at.s)
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_by_key(both, least, "a", "n", 2 * at.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_by_key(large, least, "a", "n", at.n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", "m")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         now = materialize(small, "links")
         release(spark)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, small_batches, table
+from tessella.llm.common import column, join_by_key, materialize, small_batches, table, unused
 from tessella.llm.graph import Forest, connected_components
 
 #: Fingerprints of a tile, and of what it is compared with, that one task takes.
@@ -146,21 +146,30 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gives an empty table.  Other columns of ``docs`` are not read.
     """
     small_batches(docs.sparkSession)
-    prints = materialize(docs.select(F.col(id_col), simhash_column(F.col(text_col), shingle).alias("fp")), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+    if id_col.lower() in ("fp", "component_id"):
+        raise ValueError(f"{id_col} is the name of a result; rename the id column")
+    prints = materialize(docs.select(column(id_col).alias("id"), simhash_column(column(text_col), shingle).alias("fp")), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(links(nodes.select("fp"), radius=radius))
-    groups = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    groups = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     names = groups.filter("fp <> root or least is null").groupBy("root").agg(F.min("least").alias("low"))
     groups = groups.join(names, "root", "left").join(nodes.select(F.col("fp").alias("root"), F.col("least").alias("root_least")), "root", "left")
-    groups = groups.select("fp", F.least("low", "root_least").alias("component_id"))
-    return prints.join(groups, "fp").select(id_col, "fp", "component_id")
+    groups = materialize(groups.select("fp", "n", F.least("low", "root_least").alias("component_id")), "groups")
+    total = groups.agg(F.sum("n").alias("n")).first().n or 0
+    return join_by_key(prints, groups, "fp", "n", total).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; rows with equal ids stay together."""
-    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    keep = groups.groupBy(id_col).agg(F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("__keep")).filter("__keep").select(F.col(id_col).alias("__keep_id"))
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep_id")), "left_semi")
+    """The rows of ``docs`` whose id is the smallest of its group; rows with equal ids stay together.
+
+    Rows with a null id stay if all ids of a group of theirs are null.  Other columns may have any name.
+    """
+    kept_id = unused(docs.columns, "kept_id")[0]
+    groups = simhash_groups(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), id_col="id", text_col="text", shingle=shingle, radius=radius)
+    keep = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(kept_id)).distinct()
+    known = docs.join(keep.filter(F.col(kept_id).isNotNull()), column(id_col) == F.col(kept_id), "left_semi")
+    null = F.broadcast(keep.filter(F.col(kept_id).isNull()))  # one row at most; its documents stay where they are
+    return known.union(docs.filter(column(id_col).isNull()).join(null, column(id_col).eqNullSafe(F.col(kept_id)), "left_semi"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
