@@ -18,6 +18,9 @@ WIDE, NARROW = "０１２３４５６７８９．，－＋％", "0123456789.,-+%
 #: Unicode white space and the byte order mark, inside a character class.
 BLANK = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: Numbers and dates as they mostly come; a subset of what the longer patterns take.
+PLAIN_NUMBER = "^[+-]?[0-9]{1,15}(\\.[0-9]{1,15})?$"
+PLAIN_DATE = "^(19[0-9]{2}|20[0-9]{2}|21[0-9]{2}|2200)-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"
 #: A date with whatever follows it, or eight digits; and its parts, apart by a character that no date has.
 DATE = "(?s)^(?:(\\d{4})[-/年](\\d{1,2})[-/月](\\d{1,2})日?(?:[ T](\\d{1,2}):(\\d{2})(?::(\\d{2}))?)?.*|(\\d{4})(\\d{2})(\\d{2}))$"
 DATE_PARTS = "$1$7\u0001$2$8\u0001$3$9\u0001$4\u0001$5\u0001$6"
@@ -36,9 +39,19 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def clean_edges(c: Column) -> Column:
+    """True if the first and the last character surely aren't blank: a look at two code points, where a regular expression reads it all."""
+
+    def sure(point: Column) -> Column:
+        return point.between(33, 126) | ((point > 0x3000) & (point != 0xFEFF))
+
+    return sure(F.ascii(c)) & sure(F.ascii(F.right(c, F.lit(1))))
+
+
 def trim_all(c: Column | str) -> Column:
     """Without Unicode white space at the ends (Spark's own trim takes ASCII spaces only)."""
-    return F.regexp_replace(col(c), f"^[{BLANK}]+|[{BLANK}]+$", "")
+    c = col(c)
+    return F.when(clean_edges(c), c).otherwise(F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", ""))
 
 
 def half_width(c: Column | str) -> Column:
@@ -48,12 +61,15 @@ def half_width(c: Column | str) -> Column:
 def is_missing(c: Column | str) -> Column:
     """NULL, blank, or a word for missing; what starts with a digit, or with a sign and more, never is."""
     c = col(c)
-    value_like = c.rlike("^[0-9]|^[-+](?s:.)")
-    return F.coalesce((c == "") | (~value_like & F.lower(trim_all(c)).isin(MISSING)), F.lit(True))
+    first = F.ascii(c)
+    value_like = first.between(48, 57) | (first.isin(43, 45) & (F.length(c) > 1))
+    longer = clean_edges(c) & (F.length(c) > max(map(len, MISSING)))
+    return F.coalesce((c == "") | (~value_like & ~longer & F.lower(trim_all(c)).isin(MISSING)), F.lit(True))
 
 
 def parse_boolean(c: Column | str) -> Column:
-    word = F.lower(trim_all(c))
+    c = col(c)
+    word = F.when(~(clean_edges(c) & (F.length(c) > max(map(len, TRUE + FALSE)))), F.lower(trim_all(c)))
     return F.when(word.isin(TRUE), F.lit(1.0)).when(word.isin(FALSE), F.lit(0.0))
 
 
@@ -67,22 +83,28 @@ def parse_number(c: Column | str) -> Column:
         sign = F.when(text.rlike("(?s)^\\(.+\\)$"), -1.0).otherwise(1.0)
         return sign * F.regexp_extract(bare, NUMBER, 0).try_cast("double") / F.when(inner.endswith("%"), 100.0).otherwise(1.0)
 
-    # Most values are digits alone and need one look.
-    value = F.when(c.rlike("^[0-9]{1,15}(\\.[0-9]{1,15})?$"), c.try_cast("double")).otherwise(let(half_width(trim_all(c)), loose))
-    return let(value, lambda x: F.when(F.abs(x) < float("inf"), x))
+    # Most values are digits alone: they need one look, and stay in generated code.
+    slow = let(let(half_width(trim_all(c)), loose), lambda x: F.when(F.abs(x) < float("inf"), x))
+    return F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double")).when(c.rlike("[0-9０-９]"), slow)
 
 
 def parse_date(c: Column | str) -> Column:
     """Days since 1970-01-01 in UTC, with a fraction for the time; days past a month's end run on."""
+    c = col(c)
+
+    def on(year: Column, month: Column, day: Column) -> Column:
+        return F.unix_date(F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
 
     def days(parts: Column) -> Column:
         year, month, day, hour, minute, second = (F.get(parts, F.lit(k)).try_cast("int") for k in range(6))
         good = year.between(1900, 2200) & month.between(1, 12) & day.between(1, 31)
-        first = F.make_date(year, F.when(good, month), F.lit(1))
         seconds = F.coalesce(hour, F.lit(0)) * 3600 + F.coalesce(minute, F.lit(0)) * 60 + F.coalesce(second, F.lit(0))
-        return F.when(good, F.unix_date(F.date_add(first, day - 1)) + seconds / F.lit(86400.0))
+        return F.when(good, on(year, F.when(good, month), day) + seconds / F.lit(86400.0))
 
-    return let(F.split(F.regexp_replace(trim_all(c), DATE, DATE_PARTS), "\u0001"), days)
+    # Plain ISO dates need one look, and stay in generated code; what has no eight digits in four or more is none.
+    plain = on(*[F.substring(c, at, n).try_cast("int") for at, n in ((1, 4), (6, 2), (9, 2))]).cast("double")
+    slow = let(F.split(F.regexp_replace(trim_all(c), DATE, DATE_PARTS), "\u0001"), days)
+    return F.when(c.rlike(PLAIN_DATE), plain).when(c.rlike("[0-9]{4}"), slow)
 
 
 def parse_as(kind: str, c: Column | str) -> Column:
@@ -99,10 +121,10 @@ def parse_as(kind: str, c: Column | str) -> Column:
 def probit(p: Column) -> Column:
     """Inverse of the standard normal distribution, by rational approximation; -5 and 5 at the ends."""
     # Coefficients of Acklam's approximation.
-    a = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239]
-    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572]
-    c = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
-    d = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416]
+    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
 
     def poly(terms: list[float], x: Column) -> Column:
         out = F.lit(terms[0])

@@ -212,24 +212,22 @@ class EncodePlan:
         return df.select(*keep, F.array(*[c.cast("double") for c in cells]).alias("features"))
 
 
-def log_and_plain_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Mean and population deviation of every column and of its log map, in one job."""
-    if not columns:
-        return {}
+def log_and_plain_moments(df: DataFrame, columns: Sequence[str], strings: Sequence[str]) -> tuple[dict[str, dict], int, list[int]]:
+    """Mean and population deviation of every column and of its log map, the number of rows, and of missing strings, in one job."""
     floor = lambda x: F.sqrt(F.greatest(F.coalesce(F.var_pop(x), F.lit(0.0)), F.lit(1e-12)))
     zero = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
     cells = []
     for k, name in enumerate(columns):
         c = F.col(f"`{name}`")
         cells.append(F.struct(zero(c).alias("mean"), floor(c).alias("sd"), zero(log_map(c)).alias("log_mean"), floor(log_map(c)).alias("log_sd")).alias(f"m{k}"))
-    row = df.agg(*cells).first()
-    return {name: row[f"m{k}"].asDict() for k, name in enumerate(columns)}
+    row = df.agg(F.count("*").alias("n"), *cells, *[F.count_if(F.col(f"`{s}`").isNull()).alias(f"c{k}") for k, s in enumerate(strings)]).first()
+    return {name: row[f"m{k}"].asDict() for k, name in enumerate(columns)}, row.n, [row[f"c{k}"] for k in range(len(strings))]
 
 
 def fit_encoding(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str, *, seed: int = 42, numeric: dict[str, dict] | None = None, levels: dict[str, list[tuple[str, int]]] | None = None) -> EncodePlan:
     """The encoding of the feature columns of a typed table (doubles and strings).
 
-    Three jobs whatever the number of columns: statistics, moments, and levels (and
+    Three jobs whatever the number of columns: statistics, moments with counts, and levels (and
     the ranks of each column with the quantile transform).
     """
     used = [s for s in specs if s.role == "feature" and s.weight > 0]
@@ -240,9 +238,7 @@ def fit_encoding(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str, *, see
         levels = {}
         for r in category_stats(df, [s.name for s in strings], row_id).orderBy("column", "rank").collect() if strings else []:  # 200 rows a column
             levels.setdefault(r["column"], []).append((r.value, r.n))
-    n = df.count()
-    missing = df.agg(*[F.count_if(F.col(f"`{s.name}`").isNull()).alias(f"c{k}") for k, s in enumerate(strings)]).first() if strings else []
-    moments = log_and_plain_moments(df, [s.name for s in doubles])
+    moments, n, missing = log_and_plain_moments(df, [s.name for s in doubles], [s.name for s in strings])
     out: list[Feature] = []
     for s in specs:
         if s in doubles and numeric[s.name]["n"] and numeric[s.name]["sd"]:

@@ -1,4 +1,4 @@
-"""How good a clustering is, and which k to take."""
+"""How good a segmentation is, and which k to take."""
 
 from __future__ import annotations
 
@@ -66,6 +66,30 @@ def davies_bouldin(rows: np.ndarray, labels: np.ndarray, centers: np.ndarray) ->
     return float(ratio.max(1).mean())
 
 
+def label_spread(df: DataFrame, dim: int, *, label: str = "label", vector: str = "features") -> DataFrame:
+    """A row a label over all rows: ``n``, ``center``, the sum of squared distances from it (``within``) and their mean (``reach``)."""
+    centers = df.groupBy(label).agg(F.array(*[F.avg(F.get(vector, F.lit(j))) for j in range(dim)]).alias("center"))
+    gap = F.aggregate(F.zip_with(vector, "center", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
+    near = df.join(F.broadcast(centers), label).withColumn("gap", gap)  # a row a label
+    return near.groupBy(label).agg(F.count("*").alias("n"), F.any_value("center").alias("center"), F.sum("gap").alias("within"), F.avg(F.sqrt("gap")).alias("reach"))
+
+
+def spread_scores(spread: Sequence) -> tuple[float, float]:
+    """Calinski-Harabasz and Davies-Bouldin from the rows of :func:`label_spread`; 0 for what isn't defined."""
+    n = np.array([r["n"] for r in spread], float)
+    centers = np.array([r["center"] for r in spread], float).reshape(len(spread), -1)
+    within, reach = np.array([r["within"] for r in spread]), np.array([r["reach"] for r in spread])
+    if len(n) < 2:
+        return 0.0, 0.0
+    mean = (n[:, None] * centers).sum(0) / n.sum()
+    between = float((n * ((centers - mean) ** 2).sum(1)).sum())
+    ch = between / (len(n) - 1) / (within.sum() / (n.sum() - len(n))) if within.sum() > 0 and n.sum() > len(n) else 0.0
+    apart = np.sqrt(gaps(centers, centers))
+    np.fill_diagonal(apart, 0.0)
+    ratio = np.where(apart > 0, (reach[:, None] + reach[None]) / np.where(apart > 0, apart, 1.0), 0.0)
+    return float(ch), float(ratio.max(1).mean())
+
+
 def k_scan(rows: np.ndarray, ks: Sequence[int], *, algorithm: str = "kmeans", seed: int = 42) -> list[KScore]:
     """Scores for each k on a bounded sample; Ward's tree is built once and cut for each."""
     rng = np.random.default_rng(seed + 2)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import formats
+from tessella.operators.stats import top_rows
 
 # Fixed values of the explanation.
 MIN_Z, MIN_LIFT, MIN_SHARE, MAX_HIGHLIGHTS, TOP_LEVELS, OTHER = 0.2, 1.25, 0.08, 6, 12, "その他"
@@ -28,16 +29,21 @@ def _long_doubles(df: DataFrame, columns: Sequence[str], label: str) -> DataFram
     return df.select(F.col(label).cast("int").alias("label"), F.explode(cells).alias("c")).select("label", "c.column", "c.x")
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], k: int, label: str = "label", *, exact: bool = True) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str], k: int, label: str = "label", *, exact: bool = True, overall: dict[str, dict] | None = None) -> DataFrame:
     """A row a column and label: ``mean, median, z, ratio`` and the column's ``separation`` (eta squared).
 
-    Two aggregates over one unpivoted pass, whatever the number of columns.  ``exact=False``
-    takes medians from a sketch of bounded size.
+    An aggregate over one unpivoted pass, whatever the number of columns, and a second one
+    unless the columns' statistics are known (``overall``, as ``numeric_stats`` has them).
+    ``exact=False`` takes medians from a sketch of bounded size.
     """
     cells = _long_doubles(df, columns, label)
     middle = F.percentile("x", 0.5) if exact else F.percentile_approx("x", 0.5, 20_000)
     own = cells.groupBy("column", "label").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), middle.alias("median"))
-    total = cells.groupBy("column").agg(F.count("x").alias("total"), F.avg("x").alias("overall_mean"), F.stddev_samp("x").alias("sd"), middle.alias("overall_median"))
+    if overall is None:
+        total = cells.groupBy("column").agg(F.count("x").alias("total"), F.avg("x").alias("overall_mean"), F.stddev_samp("x").alias("sd"), middle.alias("overall_median"))
+    else:  # a row a column
+        known = [(c, int(overall[c]["n"]), *(float(overall[c][s]) for s in ("mean", "sd", "median"))) for c in columns]
+        total = F.broadcast(df.sparkSession.createDataFrame(known, "column string, total long, overall_mean double, sd double, overall_median double"))
     grid = total.filter("total > 0").select("column", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("label"), "total", "overall_mean", "overall_median", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd"))
     out = grid.join(own, ["column", "label"], "left")
     gap = F.col("mean") - F.col("overall_mean")
@@ -59,8 +65,8 @@ def categorical_profile(df: DataFrame, columns: Sequence[str], k: int, row_id: s
     long = df.select(F.col(label).cast("int").alias("label"), F.col(row_id).alias("row"), F.explode(cells).alias("c")).select("label", "row", "c.column", "c.value").filter("value is not null")
     table = long.groupBy("column", "value", "label").agg(F.count("*").alias("n"), F.min("row").alias("row"))
     levels = table.groupBy("column", "value").agg(F.sum("n").alias("total"), F.min("row").alias("row"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("total"), "row", "value"))
-    levels = levels.withColumn("rank", rank).withColumn("slot", F.least(F.col("rank"), F.lit(top + 1)) - 1).withColumn("level", F.when(F.col("rank") <= top, F.col("value")).otherwise(F.lit(OTHER)))
+    best = top_rows(levels, "column", [F.desc("total"), F.col("row"), F.col("value")], F.col("value"), top).select("column", "value", "rank")
+    levels = levels.join(F.broadcast(best), ["column", "value"], "left").withColumn("rank", F.coalesce("rank", F.lit(top + 1))).withColumn("slot", F.least(F.col("rank"), F.lit(top + 1)) - 1).withColumn("level", F.when(F.col("rank") <= top, F.col("value")).otherwise(F.lit(OTHER)))
     counts = table.drop("row").join(levels.select("column", "value", "slot", "level"), ["column", "value"]).groupBy("column", "slot", "level", "label").agg(F.sum("n").alias("n"))
     grid = counts.select("column", "slot", "level").distinct().withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     full = grid.join(counts, ["column", "slot", "level", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

@@ -24,7 +24,7 @@ def csv_row(values: Sequence[object], delimiter: str = ",") -> str:
 
 
 def base_name(name: str) -> str:
-    return re.sub(r"\.[^.]*$", "", name) or "clustering"
+    return re.sub(r"\.[^.]*$", "", name) or "segmentation"
 
 
 def file_name(kind: str, name: str) -> str:
@@ -39,8 +39,9 @@ def labelled_rows(raw: DataFrame, labels: DataFrame, names: DataFrame, row_id: s
 
 
 def write_labelled(rows: DataFrame, path: str, row_id: str, *, delimiter: str = ",") -> None:
-    """A folder of CSV parts, in the order of rows, each with a header."""
+    """A folder of CSV parts, in the order of rows, each with a byte order mark, for spreadsheets, and a header."""
     out = rows.orderBy(row_id).drop(row_id)
+    out = out.toDF(BOM + out.columns[0], *out.columns[1:])
     out.write.mode("overwrite").option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("emptyValue", "").option("encoding", "UTF-8").csv(path)
 
 

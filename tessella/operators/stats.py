@@ -53,19 +53,30 @@ def level_counts(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFram
     return long_values(df, columns, row_id).filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"), F.min(row_id).alias("first_row"))
 
 
+#: Groups of levels that are ranked apart before a column's best meet.
+PARTS = 64
+
+
+def top_rows(df: DataFrame, by: str, order: Sequence[Column], spread: Column, n: int) -> DataFrame:
+    """The first ``n`` rows of each ``by`` with their ``rank``; groups by a hash of ``spread`` are cut to ``n`` first, so no task orders all rows of one ``by``."""
+    part = df.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(PARTS)))
+    few = part.withColumn("rank", F.row_number().over(Window.partitionBy(by, "part").orderBy(*order))).filter(F.col("rank") <= n)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= n).drop("part")
+
+
 def category_stats(df: DataFrame, columns: Sequence[str], row_id: str, *, top: int = TOP_LEVELS) -> DataFrame:
     """The ``top`` levels of each column: ``column, rank, value, n, distinct``; ties by first appearance."""
     counts = level_counts(df, columns, row_id)
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "first_row", "value")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).withColumn("distinct", F.count("*").over(Window.partitionBy("column")))
-    return ranked.filter(F.col("rank") <= top).select("column", "rank", "value", "n", "distinct")
+    best = top_rows(counts, "column", [F.desc("n"), F.col("first_row"), F.col("value")], F.col("value"), top)
+    sizes = counts.groupBy("column").agg(F.count("*").alias("distinct"))
+    return best.join(F.broadcast(sizes), "column").select("column", "rank", "value", "n", "distinct")  # a row a column
 
 
 def dictionary_codes(df: DataFrame, column: str, row_id: str, *, cap: int = 20_000) -> DataFrame:
     """``value, code``: levels numbered by first appearance; those beyond ``cap`` get no code and count as missing."""
     first = level_counts(df, [column], row_id)
-    code = F.row_number().over(Window.partitionBy("column").orderBy("first_row", "value")) - 1
-    return first.withColumn("code", code).select("value", F.when(F.col("code") < cap, F.col("code")).alias("code"))
+    coded = top_rows(first, "column", [F.col("first_row"), F.col("value")], F.col("value"), cap)  # at most ``cap`` rows
+    return first.join(F.broadcast(coded.select("value", (F.col("rank") - 1).alias("code"))), "value", "left").select("value", "code")
 
 
 def all_missing(columns: Sequence[str]) -> Column:

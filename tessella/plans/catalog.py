@@ -6,6 +6,8 @@ doubles are rounded on both sides, since their order of summation is free.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from tessella.functions import scalars
 from tessella.operators import cluster, encode, evaluate, explain, export, infer, reduce, stats
 from tessella.plans import sqltext as sql
-from tessella.plans.session import Session, typed_table
-from tessella.sources.text import ROW_ID
+from tessella.plans.session import Session, capped_levels, typed_table
+from tessella.sources.text import ROW_ID, read_delimited, with_row_id
 from tessella.spec import ColumnSpec, RunOptions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -412,16 +414,17 @@ def centroid_means(spark, sf_dir):
 
 # --- evaluation -----------------------------------------------------------------------
 
-PAIRS = """WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 300), d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lb, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM s a, s b)"""
-GROUPED = """WITH e AS (SELECT vec_id, label, unnest(range(0, 64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 300)), c AS (SELECT label, j, avg(v) AS m FROM e GROUP BY label, j), g AS (SELECT j, avg(v) AS m FROM e GROUP BY j)"""
+PAIRS = """WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lb, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM s a, s b)"""
+GROUPED = """WITH e AS (SELECT vec_id, label, unnest(range(0, 64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, j, avg(v) AS m FROM e GROUP BY label, j), g AS (SELECT j, avg(v) AS m FROM e GROUP BY j)"""
 
 
-def _labelled_rows(spark, sf_dir) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A bounded sample of vectors with their labels from 0, and the labels' centres."""
-    rows = read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(300).select("label", F.col("embedding").cast("array<double>").alias("e")).toArrow()
-    x = cluster.matrix(rows.column("e"))
-    label = np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
-    return x, label, cluster.centroids(x, label, label.max() + 1)
+def _labelled(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
+
+
+def _spread_scores(spark, sf_dir) -> tuple[float, float]:
+    df = _labelled(spark, sf_dir)
+    return evaluate.spread_scores(evaluate.label_spread(df, len(df.first()["features"])).collect())  # a row a label
 
 
 def _one(spark, name: str, value: float) -> DataFrame:
@@ -431,21 +434,22 @@ def _one(spark, name: str, value: float) -> DataFrame:
 @query(PAIRS + """, m AS (SELECT i, li, lb, sum(d) AS s, count(*) AS n FROM d GROUP BY i, li, lb), o AS (SELECT i, max(CASE WHEN li = lb THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN li <> lb THEN s / n END) AS b, max(CASE WHEN li = lb THEN n END) AS size FROM m GROUP BY i)
 SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM o WHERE size > 1""")
 def silhouette_sample(spark, sf_dir):
-    x, label, _ = _labelled_rows(spark, sf_dir)
-    return _one(spark, "silhouette", evaluate.silhouette(x, label))
+    """Over a seeded sample of 1,800 rows, which is the feature; smaller tables are read whole."""
+    rows = stats.hash_sample(_labelled(spark, sf_dir), "vec_id", evaluate.SILHOUETTE_ROWS, 42).toArrow()
+    return _one(spark, "silhouette", evaluate.silhouette(cluster.matrix(rows.column("features")), rows.column("label").to_numpy()))
 
 
 @query(GROUPED + """, w AS (SELECT sum((v - m) * (v - m)) AS within FROM e JOIN c USING (label, j)), n AS (SELECT label, count(DISTINCT vec_id) AS n FROM e GROUP BY label), b AS (SELECT sum(n * (c.m - g.m) * (c.m - g.m)) AS between FROM c JOIN g USING (j) JOIN n USING (label))
 SELECT round((between / ((SELECT count(*) FROM n) - 1)) / (within / ((SELECT sum(n) FROM n) - (SELECT count(*) FROM n))), 6) AS calinski_harabasz FROM w, b""")
 def calinski_harabasz(spark, sf_dir):
-    return _one(spark, "calinski_harabasz", evaluate.calinski_harabasz(*_labelled_rows(spark, sf_dir)))
+    return _one(spark, "calinski_harabasz", _spread_scores(spark, sf_dir)[0])
 
 
 @query(GROUPED + """, r AS (SELECT label, vec_id, sqrt(sum((v - m) * (v - m))) AS d FROM e JOIN c USING (label, j) GROUP BY label, vec_id), s AS (SELECT label, avg(d) AS s FROM r GROUP BY label),
 p AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM c a JOIN c b ON a.j = b.j AND a.label <> b.label GROUP BY a.label, b.label)
 SELECT round(avg(worst), 6) AS davies_bouldin FROM (SELECT la, max((x.s + y.s) / d) AS worst FROM p JOIN s x ON x.label = la JOIN s y ON y.label = lb WHERE d > 0 GROUP BY la)""")
 def davies_bouldin(spark, sf_dir):
-    return _one(spark, "davies_bouldin", evaluate.davies_bouldin(*_labelled_rows(spark, sf_dir)))
+    return _one(spark, "davies_bouldin", _spread_scores(spark, sf_dir)[1])
 
 
 SCORES = [(2, 9.1, 0.41, 0.3), (3, 6.0, 0.38, 0.2), (4, 4.1, 0.405, 0.12), (5, 3.6, 0.35, 0.05), (6, 3.3, 0.43, 0.01), (7, 3.0, 0.30, 0.03)]
@@ -579,7 +583,7 @@ def rfm_segmentation(spark, sf_dir):
 
 def _session(spark, sf_dir, **options):
     """A run over customers; the table of aggregates is the session's input."""
-    table = rfm_table(spark, sf_dir).withColumn(ROW_ID, F.row_number().over(Window.orderBy("c_custkey")).cast("long") - 1)  # a dense id for a table of a row a customer
+    table = with_row_id(rfm_table(spark, sf_dir).orderBy("c_custkey").persist())  # kept, since its ranges are cut anew in every job
     session = Session(spark)
     found = session.load(table, name="customers.csv")
     specs = [s.replace(role="ignore") if s.name == "c_custkey" else s for s in found.specs]
@@ -644,3 +648,55 @@ def axis_drivers(spark, sf_dir):
 def typed_load(spark, sf_dir):
     df = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW_ID), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"))
     return typed_table(df, [spec("price"), spec("day", "datetime"), spec("priority", "categorical")]).withColumnRenamed(ROW_ID, "o_orderkey")
+
+
+# --- text files -----------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A fresh path that driver and executors share; on one machine, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+    return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+ORDER_TEXT = [
+    "cast(o_orderkey AS string) AS key",
+    "CASE o_orderkey % 3 WHEN 0 THEN '¥' || format_number(o_totalprice, 2) WHEN 1 THEN '(' || format_number(o_totalprice, 2) || ')' ELSE format_string('%.2f', o_totalprice) END AS price",
+    "date_format(o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN 'yyyy/M/d' ELSE 'yyyy-MM-dd' END) AS day",
+    "CASE o_orderstatus WHEN 'O' THEN 'はい' WHEN 'F' THEN 'いいえ' ELSE '不明' END AS open",
+    "'say \"' || o_orderpriority || '\"; ' || o_orderstatus AS note",
+]
+ORDER_SPECS = [ColumnSpec(k, n, kind, kind, "feature") for k, (n, kind) in enumerate([("key", "numeric"), ("price", "numeric"), ("day", "datetime"), ("open", "boolean"), ("note", "categorical")])]
+
+
+def _orders_as_text(spark, sf_dir) -> DataFrame:
+    """Orders as a shop's export has them: money signs, brackets, mixed dates, words for yes and no, quotes; written and read again."""
+    path = _scratch(spark)
+    read(spark, sf_dir, "orders").selectExpr(*ORDER_TEXT).write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return read_delimited(spark, path)
+
+
+@query("""SELECT CAST(o_orderkey AS DOUBLE) AS key, round(CASE WHEN o_orderkey % 3 = 1 THEN -1 ELSE 1 END * round(o_totalprice, 2), 2) AS price, date_diff('day', TIMESTAMP '1970-01-01', date_trunc('day', o_orderdate))::DOUBLE AS day,
+CASE o_orderstatus WHEN 'O' THEN 1.0::DOUBLE WHEN 'F' THEN 0.0::DOUBLE END AS open, 'say "' || o_orderpriority || '"; ' || o_orderstatus AS note FROM orders""")
+def csv_parse_as(spark, sf_dir):
+    """A delimited file, sniffed, read and parsed by kind."""
+    typed = typed_table(_orders_as_text(spark, sf_dir), ORDER_SPECS)
+    return typed.select("key", F.round("price", 2).alias("price"), "day", "open", "note")
+
+
+@query("""SELECT o_orderkey % 4 AS part, count(*) AS n, count(DISTINCT o_orderkey) AS keys, count(CASE WHEN o_orderkey % 2 = 0 THEN 1 END) AS labelled FROM orders GROUP BY 1""")
+def csv_labelled_export(spark, sf_dir):
+    """Labelled rows written as the export does, with its mark and the source's delimiter, and read again: no row lost or doubled."""
+    raw = _orders_as_text(spark, sf_dir)
+    labels = raw.filter("CAST(key AS LONG) % 2 = 0").select(ROW_ID, F.lit(0).alias("label"))
+    path = _scratch(spark)
+    export.write_labelled(export.labelled_rows(raw, labels, spark.createDataFrame([(0, "even; \"quoted\"")], "label int, name string"), ROW_ID), path, ROW_ID, delimiter=";")
+    back = read_delimited(spark, path)
+    named = (F.col("segment_id") == "1") & (F.col("segment_name") == 'even; "quoted"')
+    return back.groupBy((F.col("key").cast("long") % 4).alias("part")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"), F.count_if(named).alias("labelled"))
+
+
+@query("WITH p AS (SELECT p_partkey, p_name, min(p_partkey) OVER (PARTITION BY p_name) AS first FROM part), c AS (SELECT p_name, row_number() OVER (ORDER BY min(first), p_name) AS code FROM p GROUP BY p_name) SELECT p_partkey, CASE WHEN code <= 50 THEN p.p_name END AS p_name FROM p JOIN c USING (p_name)")
+def level_cap(spark, sf_dir):
+    """Levels beyond the cap, by first appearance, are missing."""
+    return capped_levels(read(spark, sf_dir, "part").select("p_partkey", "p_name"), [spec("p_name", "categorical")], "p_partkey", cap=50)

@@ -19,7 +19,7 @@ from tessella.operators import cluster, evaluate, explain, export, reduce
 from tessella.operators.encode import EncodePlan, fit_encoding
 from tessella.operators.infer import infer_columns
 from tessella.operators.stats import category_stats, dictionary_codes, effective_rows, hash_sample, numeric_stats, systematic
-from tessella.sources.text import PREVIEW_ROWS, ROW_ID, read_any
+from tessella.sources.text import EXTENSIONS, PREVIEW_ROWS, ROW_ID, detect_format, read_any
 from tessella.spec import DOUBLE_KINDS, ColumnSpec, RunOptions
 
 DICTIONARY_CAP, SCATTER_ROWS = 20_000, 20_000
@@ -58,12 +58,8 @@ class Result:
     warnings: list[str] = field(default_factory=list)
 
 
-def typed_table(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID, *, cap: int = DICTIONARY_CAP) -> DataFrame:
-    """The kept columns as doubles or strings, NULL where missing.
-
-    Text is parsed; typed columns are taken as they are.  String levels beyond ``cap``, by
-    first appearance, count as missing; only columns that have so many are looked up.
-    """
+def typed_table(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID) -> DataFrame:
+    """The kept columns as doubles or strings, NULL where missing; text is parsed, typed columns are taken as they are."""
     kept = [s for s in specs if s.role != "ignore"]
     if not kept:
         raise ValueError("every column is ignored")
@@ -83,17 +79,28 @@ def typed_table(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID
         else:
             value = parse_as(s.kind, c.cast("string"))
         out.append(value.alias(s.name))
-    typed = df.select(row_id, *out)
-    strings = [s.name for s in kept if s.kind not in DOUBLE_KINDS]
-    if strings:
-        about = typed.agg(*[F.approx_count_distinct(F.col(f"`{n}`")).alias(f"c{k}") for k, n in enumerate(strings)]).first()
-        for k, name in enumerate(strings):
-            if about[k] > cap * 0.9:
-                codes = dictionary_codes(typed, name, row_id, cap=cap).filter("code is not null").select(F.col("value").alias(name), F.lit(True).alias("__kept"))
-                typed = typed.join(codes, name, "left").withColumn(name, F.when(F.col("__kept"), F.col(f"`{name}`"))).drop("__kept").select(row_id, *[s.name for s in kept])
+    return df.select(row_id, *out)
+
+
+def capped_levels(typed: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID, *, cap: int = DICTIONARY_CAP) -> DataFrame:
+    """The table with string levels beyond ``cap``, by first appearance, as missing; itself if no column has so many."""
+    strings = [s.name for s in specs if s.role != "ignore" and s.kind not in DOUBLE_KINDS]
+    if not strings:
+        return typed
+    names = typed.columns
+    about = typed.agg(*[F.approx_count_distinct(F.col(f"`{n}`")).alias(f"c{k}") for k, n in enumerate(strings)]).first()
+    for k, name in enumerate(strings):
+        if about[k] > cap * 0.7:  # the estimate is off by 5 % as a rule, by 30 % never
+            codes = dictionary_codes(typed, name, row_id, cap=cap).filter("code is not null").select(F.col("value").alias(name), F.lit(True).alias("__kept"))
+            typed = typed.join(codes, name, "left").withColumn(name, F.when(F.col("__kept"), F.col(f"`{name}`"))).drop("__kept").select(*[F.col(f"`{n}`") for n in names])
     return typed
 
 
+def memory_estimate(rows: int, specs: Sequence[ColumnSpec]) -> int:
+    """Bytes that the loaded columns take, held as columns: 8 a number, 4 a level's code."""
+    return rows * sum(8 if s.kind in DOUBLE_KINDS else 4 for s in specs if s.role != "ignore")
+
+
 def collect_matrix(df: DataFrame, features: str = "features") -> np.ndarray:
     """A bounded sample's vectors on the driver."""
     rows = df.select(features).toArrow()
@@ -104,7 +111,7 @@ class Session:
     def __init__(self, spark: SparkSession, *, progress: Callable[[str], None] = lambda phase: None) -> None:
         self.spark, self.progress = spark, progress
         self.table: DataFrame | None = None
-        self.name = "table"
+        self.name, self.delimiter = "table", ","
         self._cached: tuple[str, DataFrame] | None = None
         self.result: Result | None = None
 
@@ -114,6 +121,8 @@ class Session:
         self.drop()
         self.table = read_any(self.spark, source) if isinstance(source, str) else source.withColumnRenamed(row_id, ROW_ID)
         self.name = name or (source.rsplit("/", 1)[-1] if isinstance(source, str) else "table")
+        text = isinstance(source, str) and source.lower().rsplit(".", 1)[-1] in EXTENSIONS and not source.lower().endswith(("x", "m", "s"))
+        self.delimiter = detect_format(self.spark, source)[1] if text else ","
         self.result = None
         rows = self.table.count()
         if not rows:
@@ -137,7 +146,13 @@ class Session:
         if not self._cached or self._cached[0] != key:
             self.progress("load")
             self.drop()
-            self._cached = (key, typed_table(systematic(self.table, ROW_ID, max_rows), specs).persist())
+            typed = typed_table(systematic(self.table, ROW_ID, max_rows), specs).persist()
+            capped = capped_levels(typed, specs)  # reads the persisted cells, so texts are parsed once
+            if capped is not typed:
+                capped = capped.persist()
+                capped.count()
+                typed.unpersist()
+            self._cached = (key, capped)
         return self._cached[1]
 
     def run(self, specs: Sequence[ColumnSpec], options: RunOptions | None = None) -> Result:
@@ -217,7 +232,7 @@ class Session:
         both = df.join(labels.select(ROW_ID, "label"), ROW_ID)
         doubles = [s.name for s in kept if s.kind in DOUBLE_KINDS and numeric[s.name]["n"]]
         strings = [s.name for s in kept if s.kind not in DOUBLE_KINDS and len(levels.get(s.name, [])) > 1]
-        num = explain.numeric_profile(both, doubles, k, exact=exact).persist() if doubles else None
+        num = explain.numeric_profile(both, doubles, k, exact=exact, overall=numeric).persist() if doubles else None
         cat = explain.categorical_profile(both, strings, k, ROW_ID).persist() if strings else None
         order = [s.name for s in kept]
         kinds = {s.name: s.kind for s in kept}
@@ -258,7 +273,7 @@ class Session:
         self.progress("export")
         target = f"{path.rstrip('/')}/{export.file_name(kind, self.name)}"
         if kind == "labeled":
-            export.write_labelled(self.labelled(), target, ROW_ID)
+            export.write_labelled(self.labelled(), target, ROW_ID, delimiter=self.delimiter)
         else:
             text = export.profile_lines(self.result.profiles, self.result.segments) if kind == "profile" else export.report(self.name, self.result)
             write_text(self.spark, target, text)

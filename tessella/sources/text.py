@@ -104,26 +104,44 @@ def head_bytes(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
     """The first bytes of a file, by Spark's own file systems."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
     at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).open(at)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if files.getFileStatus(at).isDirectory():  # the first file that holds data
+        parts = [f.getPath() for f in files.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+        at = min(parts, key=lambda p: p.getName())
+    stream = files.open(at)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
     finally:
         stream.close()
 
 
-def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A delimited file as strings; empty fields are empty strings, short rows are padded, long ones cut."""
+def detect_format(spark: SparkSession, path: str) -> tuple[str, str, str]:
+    """Encoding, delimiter and the first characters of a delimited file."""
     head = head_bytes(spark, path)
-    encoding = encoding or detect_encoding(head)
+    encoding = detect_encoding(head)
     text = decode(head, encoding)
-    delimiter = delimiter or detect_delimiter(text)
+    return encoding, detect_delimiter(text), text
+
+
+def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+    """A delimited file, or a folder of files with one header, as strings; empty fields are empty strings, short rows are padded, long ones cut.
+
+    A file whose first ``HEAD_BYTES`` have no quote is read in splits by many tasks, one with
+    quotes, which may hold line ends, by one task a file.  Row ids take two reads of the
+    same files, which must not change between them.
+    """
+    found, sniffed, text = detect_format(spark, path)
+    if encoding and encoding != found:
+        text = decode(head_bytes(spark, path), encoding)
+        sniffed = detect_delimiter(text)
+    encoding, delimiter = encoding or found, delimiter or sniffed
     rows = parse_text(text, delimiter)
     if not rows:
         raise ValueError("the file is empty")
     names = header_names(rows[0])
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
-    raw = spark.read.schema(schema).csv(path, sep=delimiter, quote='"', escape='"', multiLine=True, header=True, encoding=JAVA_NAMES.get(encoding, "UTF-8"), mode="PERMISSIVE", enforceSchema=True)
+    raw = spark.read.schema(schema).csv(path, sep=delimiter, quote='"', escape='"', multiLine='"' in text or encoding.startswith("utf-16"), header=True, encoding=JAVA_NAMES.get(encoding, "UTF-8"), mode="PERMISSIVE", enforceSchema=True)
     raw = raw.toDF(*names).na.fill("")
     last = names[-1]
     raw = raw.withColumn(last, F.regexp_replace(F.col(f"`{last}`"), "\r$", ""))

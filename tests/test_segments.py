@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import cluster, encode, evaluate, explain, export, infer, reduce, stats
-from tessella.plans.session import Session, typed_table
+from tessella.plans.session import Session, capped_levels, typed_table
 from tessella.sources.demo import demo_customers, wide_numeric
 from tessella.sources.text import ROW_ID, from_text
 from tessella.spec import ColumnSpec, RunOptions, all_features, no_features
@@ -147,7 +147,8 @@ def test_one_column_has_total_variance_of_one(spark):
 
 def test_typed_table_counts_late_levels_as_missing(spark):
     df = spark.range(40).select(F.col("id").alias(ROW_ID), F.concat(F.lit("v"), F.col("id")).alias("c"))
-    typed = typed_table(df, [ColumnSpec(0, "c", "categorical", "categorical", "feature")], cap=10)
+    specs = [ColumnSpec(0, "c", "categorical", "categorical", "feature")]
+    typed = capped_levels(typed_table(df, specs), specs, cap=10)
     assert typed.filter("c is not null").count() == 10 and typed.count() == 40
 
 
