@@ -58,7 +58,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         large = join_by_key(both, least, "a", "n", 2 * at.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = materialize(large.filter("a <> b").distinct(), "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = join_by_key(large, least, "a", "n", at.n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", "m")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
