@@ -31,8 +31,10 @@ from tessella.llm.labels import Sample, held_out, labelled_sample
 
 WORDS = re.compile(r"\w+")
 BLOCK, NEAREST, PRIOR_WEIGHT = 32, 15, 0.05
+#: A term that more than one in so many examples have is held as a row over all examples; so many such terms at most.
+DENSE, DENSE_ROWS = 24, 1024
 #: Blocks that are met at once: so many first, then twice as many each time.
-FIRST_BLOCKS = 4
+FIRST_BLOCKS = 16
 #: Results kept for texts met before, in each Python worker.
 KNOWN = 100_000
 
@@ -49,16 +51,31 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class BlockMaxIndex:
-    """Vectors of examples by term: postings in order of term and example, cut into blocks with their largest weight."""
+    """Vectors of examples by term: postings in order of term and example, cut into blocks with their largest weight.
+
+    A term that more than one in ``DENSE`` examples have is held as a row over all examples.
+    What such terms add to every example is exact from the start, and so part of the bounds.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
         self.n = len(vectors)
+        self.blocks = self.n // BLOCK + 1
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
         doc = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        df = np.bincount(term, minlength=n_terms)
+        often = np.argsort(-df, kind="stable")[:DENSE_ROWS]
+        often = often[df[often] * DENSE > self.n]
+        #: Row of a term in ``dense``, or -1.
+        self.row = np.full(n_terms, -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.blocks * BLOCK))
+        many = self.row[term] >= 0
+        self.dense[self.row[term[many]], doc[many]] = weight[many]
+        term, weight, doc = term[~many], weight[~many], doc[~many]
         order = np.lexsort((doc, term))
         term, self.docs, self.weights = term[order], doc[order].astype(np.int32), weight[order]
-        pair = term * (self.n // BLOCK + 1) + self.docs // BLOCK
+        pair = term * self.blocks + self.docs // BLOCK
         start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, np.int64)
         #: For each pair of a term and a block that has it: the block, the first posting, and the bound.
         self.block, self.start = self.docs[start] // BLOCK, np.r_[start, len(pair)]
@@ -67,10 +84,14 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` examples with the largest positive dot product, ties to the smaller number; exact."""
+        row = self.row[terms]
+        many = row >= 0
+        sure = weights[many] @ self.dense[row[many]]
+        terms, weights = terms[~many], weights[~many]
         pairs, which = _ranges(self.pairs[terms], self.pairs[terms + 1])
         q = weights[which]
         block = self.block[pairs]
-        upper = np.bincount(block, q * self.most[pairs], minlength=self.n // BLOCK + 1)
+        upper = sure.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, q * self.most[pairs], minlength=self.blocks)
         order = np.argsort(-upper, kind="stable")
         order = order[upper[order] > 0]
         scores, found = np.empty(0), np.empty(0, np.int64)
@@ -80,14 +101,22 @@ class BlockMaxIndex:
                 order = order[: at + int(np.searchsorted(-upper[order[at:]], -(scores[-1] - 1e-12), side="right"))]
                 if at == len(order):
                     break
-            mine = np.zeros(self.n // BLOCK + 1, bool)
-            mine[order[at : at + size]] = True
+            met = order[at : at + size]
             at, size = at + size, 2 * size
-            own = mine[block]
-            posts, of = _ranges(self.start[pairs[own]], self.start[pairs[own] + 1])
-            got = np.bincount(self.docs[posts], q[own][of] * self.weights[posts], minlength=self.n)
+            mine = np.zeros(self.blocks, bool)
+            mine[met] = True
+            own = np.flatnonzero(mine[block])
+            mine = pairs[own]
+            posts, of = _ranges(self.start[mine], self.start[mine + 1])
+            got = np.bincount(self.docs[posts], q[own[of]] * self.weights[posts], minlength=len(sure))
+            docs = (np.sort(met)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            got = got[docs] + sure[docs]
             new = np.flatnonzero(got > 0)
-            scores, found = np.concatenate([scores, got[new]]), np.concatenate([found, new])
+            scores, found = np.concatenate([scores, got[new]]), np.concatenate([found, docs[new]])
+            if len(scores) > k:
+                edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+                few = np.flatnonzero(scores >= edge)
+                scores, found = scores[few], found[few]
             best = np.lexsort((found, -scores))[:k]
             scores, found = scores[best], found[best]
         return list(zip(scores.tolist(), found.tolist(), strict=True))
@@ -107,10 +136,12 @@ class ToxicityModel:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's known terms and their weights, as a unit vector."""
         get = self.terms.get
-        known = [(t, n) for w, n in words_of(text).items() if (t := get(w)) is not None]
+        known = {t: n for w, n in words_of(text).items() if (t := get(w)) is not None}
         if not known:
             return np.empty(0, np.int64), np.empty(0)
-        terms, counts = np.array(sorted(known)).T
+        terms, counts = np.fromiter(known, np.int64, len(known)), np.fromiter(known.values(), np.int64, len(known))
+        order = np.argsort(terms)
+        terms, counts = terms[order], counts[order]
         raw = (1 + np.log(counts)) * self.weight[terms]
         norm = np.sqrt((raw * raw).sum())
         return terms, raw / norm if norm else raw
