@@ -57,7 +57,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the classifier nor tokens; the tests hold run() against plain Python.
+#: SQL can express neither the classifier nor tokens; the tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 

@@ -149,6 +149,34 @@ def test_op2_over_a_whole_table(spark, sf):
     assert len(rows) == 3 * len(texts) and all(r.decoded_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
 
 
+def plain_best_scores(text, v, n):
+    """The ``n`` best scores of a whole text, each position keeping its own ``n`` best."""
+    line = ("▁" + text.replace("▁", sp.OWN_MARK).replace(" ", "▁")) if text else ""
+    best = [[0]] + [[] for _ in line]
+    for j in range(len(line)):
+        best[j] = sorted(best[j], reverse=True)[:n]
+        for i in range(j + 1, len(line) + 1):
+            head = line[j:i]
+            if i > j + 1 and head not in v.heads:
+                break
+            s = v.char(head)[1] if i == j + 1 else v.pieces[head][1] if head in v.pieces else None
+            if s is not None:
+                best[i] += [b + s for b in best[j]]
+            if i == j + 1 and head not in v.heads:
+                break
+    return sorted(best[-1], reverse=True)[:n]
+
+
+def test_op2_ranks_are_the_best_of_whole_texts(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = defaultdict(dict)
+    for r in sp.op2_sentencepiece(spark, sf).collect():
+        got[r.doc_id][r["rank"]] = round(r.score * sp.SCALE)
+    v = sp._segmenter(None).v
+    for doc, text in texts.items():
+        assert [got[doc][k] for k in sorted(got[doc])] == plain_best_scores(text, v, 3), doc
+
+
 # --- urls
 
 
@@ -311,6 +339,28 @@ def test_quality_on_held_out_rows(spark, sf):
     assert auc(np.array([r.score for r in rows]), np.array([r.quality for r in rows])) > 0.95
 
 
+def test_op5_over_a_whole_table(spark, sf):
+    """Every score from the marginals of a forward-backward pass in logarithms, state by state."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_crf.fit_quality(labels.labelled_sample(table, spark.read.parquet(f"{sf}/labels.parquet"), "quality"))
+    texts = {r.doc_id: r.text for r in table.collect()}
+    step = model.crf.step
+    for r in quality_crf.op5_quality(spark, sf).collect():
+        rows, size = quality_crf.text_features(texts[r.doc_id])
+        odds = np.clip(rows @ model.crf.emit, -30, 30)
+        ahead, back = [np.array([0.0, odds[0]])], [np.zeros(2)]
+        for o in odds[1:]:
+            ahead.append(np.array([np.logaddexp(*(ahead[-1] + step[:, s])) + (o if s else 0.0) for s in (0, 1)]))
+        for o in odds[:0:-1]:
+            back.append(np.array([np.logaddexp(*(step[s] + back[-1] + np.array([0.0, o]))) for s in (0, 1)]))
+        both = np.array(ahead) + np.array(back[::-1])
+        good = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+        mean = min(1 - 1e-4, max(1e-4, float((good * size).sum() / size.sum())))
+        a, b = model.curve
+        assert r.score == pytest.approx(1 / (1 + exp(-(a + b * log(mean / (1 - mean))))), abs=1e-6)
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     rows = toxicity.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
