@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path, table
+from tessella.llm.common import column, new_path, table, unused
 from tessella.llm.labels import labelled_sample
 from tessella.llm.line_dedup import line_dedup
 from tessella.llm.packing import packed_digest
@@ -29,7 +29,8 @@ def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for label 1; texts are as they were."""
     model = fit_quality(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality"))
-    return quality_scores(docs, model, score_col="__score").filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    (score,) = unused(docs.columns, "score")
+    return quality_scores(docs, model, score_col=score).filter(F.col(score) >= THRESHOLD).select(*map(column, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
