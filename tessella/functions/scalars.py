@@ -1,10 +1,12 @@
-"""Parsers of loose business values, as Column expressions that stay in the JVM.
+"""Parsers of loose business values, as SQL expressions that stay in the JVM.
 
 Missing is NULL throughout; no expression gives NaN.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,96 +28,129 @@ DATE = "(?s)^(?:(\\d{4})[-/年](\\d{1,2})[-/月](\\d{1,2})日?(?:[ T](\\d{1,2}):
 DATE_PARTS = "$1$7\u0001$2$8\u0001$3$9\u0001$4\u0001$5\u0001$6"
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def quoted(name: str) -> str:
+    """A column's name in SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def words(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used.
+def let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` over ``name``, a value that is computed once, however often it is used.
 
-    A column that is used twice is written out twice, and nested uses soon make more code
-    than the JVM compiles; a lambda's argument isn't.
+    What is used twice is written out twice, and nested uses soon make more code than the
+    JVM compiles; a lambda's argument isn't.
     """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+# The parsers are SQL over a string ``x``: a column takes one call to the JVM, where
+# column by column and function by function a table takes thousands.
 
 
-def clean_edges(c: Column) -> Column:
+def clean_edges_sql(x: str) -> str:
     """True if the first and the last character surely aren't blank: a look at two code points, where a regular expression reads it all."""
+    points = f"ascii({x})", f"ascii(right({x}, 1))"
+    return "(" + " AND ".join(f"({p} BETWEEN 33 AND 126 OR ({p} > {0x3000} AND {p} <> {0xFEFF}))" for p in points) + ")"
+
+
+def trim_sql(x: str) -> str:
+    return f"CASE WHEN {clean_edges_sql(x)} THEN {x} ELSE regexp_replace({x}, r'^[{BLANK}]+|[{BLANK}]+$', '') END"
+
+
+def half_width_sql(x: str) -> str:
+    return f"translate({x}, '{WIDE}', '{NARROW}')"
+
+
+def missing_sql(x: str) -> str:
+    value_like = f"(ascii({x}) BETWEEN 48 AND 57 OR (ascii({x}) IN (43, 45) AND length({x}) > 1))"
+    longer = f"({clean_edges_sql(x)} AND length({x}) > {max(map(len, MISSING))})"
+    return f"coalesce({x} = '' OR (NOT {value_like} AND NOT {longer} AND lower({trim_sql(x)}) IN ({words(MISSING)})), true)"
+
+
+def boolean_sql(x: str) -> str:
+    longer, word = f"{clean_edges_sql(x)} AND length({x}) > {max(map(len, TRUE + FALSE))}", f"lower({trim_sql(x)})"
+    return f"CASE WHEN {longer} THEN NULL WHEN {word} IN ({words(TRUE)}) THEN 1D WHEN {word} IN ({words(FALSE)}) THEN 0D END"
+
+
+def number_sql(x: str) -> str:
+    inner = r"regexp_replace(t, r'(?s)^\((.+)\)$', '$1')"
+    bare = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({inner}, '%$', ''), '^[{CURRENCY}]', ''), r'[,_{BLANK}]', ''), '円$', '')"
+    sign = r"CASE WHEN t RLIKE r'(?s)^\(.+\)$' THEN -1D ELSE 1D END"
+    loose = f"{sign} * try_cast(regexp_extract({bare}, r'{NUMBER}', 0) AS DOUBLE) / CASE WHEN endswith({inner}, '%') THEN 100D ELSE 1D END"
+    # Most values are digits alone: they need one look, and stay in generated code.
+    slow = let(let(half_width_sql(trim_sql(x)), "t", loose), "y", "CASE WHEN abs(y) < double('Infinity') THEN y END")
+    return f"CASE WHEN {x} RLIKE r'{PLAIN_NUMBER}' THEN try_cast({x} AS DOUBLE) WHEN {x} RLIKE '[0-9０-９]' THEN {slow} END"
+
 
-    def sure(point: Column) -> Column:
-        return point.between(33, 126) | ((point > 0x3000) & (point != 0xFEFF))
+def date_sql(x: str) -> str:
+    def on(year: str, month: str, day: str) -> str:
+        return f"unix_date(date_add(make_date({year}, {month}, 1), {day} - 1))"
 
-    return sure(F.ascii(c)) & sure(F.ascii(F.right(c, F.lit(1))))
+    year, month, day, hour, minute, second = (f"try_cast(get(p, {k}) AS INT)" for k in range(6))
+    good = f"{year} BETWEEN 1900 AND 2200 AND {month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31"
+    seconds = f"(coalesce({hour}, 0) * 3600 + coalesce({minute}, 0) * 60 + coalesce({second}, 0))"
+    days = f"CASE WHEN {good} THEN {on(year, f'CASE WHEN {good} THEN {month} END', day)} + {seconds} / 86400D END"
+    # Plain ISO dates need one look, and stay in generated code; what has no four digits in a row is none.
+    plain = f"CAST({on(*[f'try_cast(substring({x}, {at}, {n}) AS INT)' for at, n in ((1, 4), (6, 2), (9, 2))])} AS DOUBLE)"
+    slow = let(f"split(regexp_replace({trim_sql(x)}, r'{DATE}', '{DATE_PARTS}'), '\u0001')", "p", days)
+    return f"CASE WHEN {x} RLIKE r'{PLAIN_DATE}' THEN {plain} WHEN {x} RLIKE '[0-9]{{4}}' THEN {slow} END"
+
+
+def parse_sql(kind: str, x: str) -> str:
+    """SQL of a value of a logical kind as double; text kinds have none."""
+    value = {
+        "numeric": number_sql,
+        "boolean": lambda x: f"coalesce({boolean_sql(x)}, {number_sql(x)})",
+        "datetime": date_sql,
+    }.get(kind)
+    return f"CASE WHEN NOT {missing_sql(x)} THEN {value(x)} END" if value else "CAST(NULL AS DOUBLE)"
+
+
+def text_sql(x: str) -> str:
+    """SQL of a trimmed text, NULL where it is missing."""
+    return f"CASE WHEN NOT {missing_sql(x)} THEN {trim_sql(x)} END"
+
+
+def over(c: Column | str, sql: Callable[[str], str]) -> Column:
+    """The SQL over a column of strings, given by name or as an expression."""
+    if isinstance(c, str):
+        return F.expr(sql(quoted(c)))
+    return F.get(F.call_function("transform", F.array(c), F.expr(f"v -> {sql('v')}")), F.lit(0))
 
 
 def trim_all(c: Column | str) -> Column:
     """Without Unicode white space at the ends (Spark's own trim takes ASCII spaces only)."""
-    c = col(c)
-    return F.when(clean_edges(c), c).otherwise(F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", ""))
+    return over(c, trim_sql)
 
 
 def half_width(c: Column | str) -> Column:
-    return F.translate(col(c), WIDE, NARROW)
+    return over(c, half_width_sql)
 
 
 def is_missing(c: Column | str) -> Column:
     """NULL, blank, or a word for missing; what starts with a digit, or with a sign and more, never is."""
-    c = col(c)
-    first = F.ascii(c)
-    value_like = first.between(48, 57) | (first.isin(43, 45) & (F.length(c) > 1))
-    longer = clean_edges(c) & (F.length(c) > max(map(len, MISSING)))
-    return F.coalesce((c == "") | (~value_like & ~longer & F.lower(trim_all(c)).isin(MISSING)), F.lit(True))
+    return over(c, missing_sql)
 
 
 def parse_boolean(c: Column | str) -> Column:
-    c = col(c)
-    word = F.when(~(clean_edges(c) & (F.length(c) > max(map(len, TRUE + FALSE)))), F.lower(trim_all(c)))
-    return F.when(word.isin(TRUE), F.lit(1.0)).when(word.isin(FALSE), F.lit(0.0))
+    return over(c, boolean_sql)
 
 
 def parse_number(c: Column | str) -> Column:
     """Digits with separators, currency, percent, accounting brackets or full-width forms; else NULL."""
-    c = col(c)
-
-    def loose(text: Column) -> Column:
-        inner = F.regexp_replace(text, "(?s)^\\((.+)\\)$", "$1")
-        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, "%$", ""), f"^[{CURRENCY}]", ""), f"[,_{BLANK}]", ""), "円$", "")
-        sign = F.when(text.rlike("(?s)^\\(.+\\)$"), -1.0).otherwise(1.0)
-        return sign * F.regexp_extract(bare, NUMBER, 0).try_cast("double") / F.when(inner.endswith("%"), 100.0).otherwise(1.0)
-
-    # Most values are digits alone: they need one look, and stay in generated code.
-    slow = let(let(half_width(trim_all(c)), loose), lambda x: F.when(F.abs(x) < float("inf"), x))
-    return F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double")).when(c.rlike("[0-9０-９]"), slow)
+    return over(c, number_sql)
 
 
 def parse_date(c: Column | str) -> Column:
     """Days since 1970-01-01 in UTC, with a fraction for the time; days past a month's end run on."""
-    c = col(c)
-
-    def on(year: Column, month: Column, day: Column) -> Column:
-        return F.unix_date(F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
-
-    def days(parts: Column) -> Column:
-        year, month, day, hour, minute, second = (F.get(parts, F.lit(k)).try_cast("int") for k in range(6))
-        good = year.between(1900, 2200) & month.between(1, 12) & day.between(1, 31)
-        seconds = F.coalesce(hour, F.lit(0)) * 3600 + F.coalesce(minute, F.lit(0)) * 60 + F.coalesce(second, F.lit(0))
-        return F.when(good, on(year, F.when(good, month), day) + seconds / F.lit(86400.0))
-
-    # Plain ISO dates need one look, and stay in generated code; what has no eight digits in four or more is none.
-    plain = on(*[F.substring(c, at, n).try_cast("int") for at, n in ((1, 4), (6, 2), (9, 2))]).cast("double")
-    slow = let(F.split(F.regexp_replace(trim_all(c), DATE, DATE_PARTS), "\u0001"), days)
-    return F.when(c.rlike(PLAIN_DATE), plain).when(c.rlike("[0-9]{4}"), slow)
+    return over(c, date_sql)
 
 
 def parse_as(kind: str, c: Column | str) -> Column:
-    """A value of a logical kind as double; text kinds have none."""
-    c = col(c)
-    value = {
-        "numeric": parse_number,
-        "boolean": lambda x: F.coalesce(parse_boolean(x), parse_number(x)),
-        "datetime": parse_date,
-    }.get(kind)
-    return F.when(~is_missing(c), value(c)) if value else F.lit(None).cast("double")
+    return over(c, lambda x: parse_sql(kind, x))
 
 
 def probit(p: Column) -> Column:

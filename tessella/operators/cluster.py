@@ -229,7 +229,6 @@ def centroids(rows: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
     return sums / np.maximum(np.bincount(labels, minlength=k), 1)[:, None]
 
 
-def in_order_of_size(centers: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Largest cluster first, ties by centre, so labels don't depend on how they were found."""
-    order = sorted(range(len(centers)), key=lambda c: (-int(n[c]), *np.round(centers[c], 9).tolist()))
-    return centers[order]
+def by_size(centers: np.ndarray, n: np.ndarray) -> list[int]:
+    """Places of the centres, largest cluster first, ties by centre, so labels don't depend on how they were found."""
+    return sorted(range(len(centers)), key=lambda c: (-int(n[c]), *np.round(centers[c], 9).tolist()))

@@ -125,8 +125,8 @@ def fit_ranks(df: DataFrame, column: str, *, knots: int = KNOTS, bucket: int = B
         return pd.Series(np.searchsorted(cuts, v.to_numpy(float), side="right"), dtype="int32")
 
     at.__annotations__ = {"v": pd.Series, "return": pd.Series}
-    dealt = counts.withColumn("range", F.pandas_udf(at, "int")("value"))
-    held = {r["range"]: r.k for r in dealt.groupBy("range").agg(F.sum("k").alias("k")).collect()}  # a row a range
+    dealt = counts.withColumn("range", F.pandas_udf(at, "int")("value") if ranges > 1 else F.lit(0))
+    held = {r["range"]: r.k for r in dealt.groupBy("range").agg(F.sum("k").alias("k")).collect()} if ranges > 1 else {}  # a row a range
     before = np.cumsum([0, *(held.get(k, 0) for k in range(ranges - 1))]).tolist()
     order = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("k").over(order), F.lit(0))

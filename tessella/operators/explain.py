@@ -29,16 +29,19 @@ def _long_doubles(df: DataFrame, columns: Sequence[str], label: str) -> DataFram
     return df.select(F.col(label).cast("int").alias("label"), F.explode(cells).alias("c")).select("label", "c.column", "c.x")
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], k: int, label: str = "label", *, exact: bool = True, overall: dict[str, dict] | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str], k: int, label: str = "label", *, overall: dict[str, dict] | None = None, medians: DataFrame | None = None) -> DataFrame:
     """A row a column and label: ``mean, median, z, ratio`` and the column's ``separation`` (eta squared).
 
     An aggregate over one unpivoted pass, whatever the number of columns, and a second one
     unless the columns' statistics are known (``overall``, as ``numeric_stats`` has them).
-    ``exact=False`` takes medians from a sketch of bounded size.
+    ``medians`` (``column, label, median``) may be known too, then no task holds all distinct
+    values of a column.
     """
     cells = _long_doubles(df, columns, label)
-    middle = F.percentile("x", 0.5) if exact else F.percentile_approx("x", 0.5, 20_000)
-    own = cells.groupBy("column", "label").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), middle.alias("median"))
+    middle = F.percentile("x", 0.5)
+    own = cells.groupBy("column", "label").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), *([] if medians else [middle.alias("median")]))
+    if medians:
+        own = own.join(F.broadcast(medians), ["column", "label"], "left")  # a row a column and label
     if overall is None:
         total = cells.groupBy("column").agg(F.count("x").alias("total"), F.avg("x").alias("overall_mean"), F.stddev_samp("x").alias("sd"), middle.alias("overall_median"))
     else:  # a row a column

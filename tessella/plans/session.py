@@ -14,16 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions.scalars import is_missing, parse_as, trim_all
+from tessella.functions.scalars import parse_sql, quoted, text_sql
 from tessella.operators import cluster, evaluate, explain, export, reduce
 from tessella.operators.encode import EncodePlan, fit_encoding
 from tessella.operators.infer import infer_columns
-from tessella.operators.stats import category_stats, dictionary_codes, effective_rows, hash_sample, numeric_stats, systematic
+from tessella.operators.stats import PROBS, QUANTILES, category_stats, dictionary_codes, effective_rows, hash_sample, narrowed_quantiles, numeric_stats, systematic
+from tessella.plans.store import Store
 from tessella.sources.text import EXTENSIONS, PREVIEW_ROWS, ROW_ID, detect_format, read_any
 from tessella.spec import DOUBLE_KINDS, ColumnSpec, RunOptions
 
 DICTIONARY_CAP, SCATTER_ROWS = 20_000, 20_000
-#: Above so many rows, quantiles come from sketches of bounded size.
+#: Above so many rows, quantiles are found by narrowing, in some passes more; they are the same.
 EXACT_ROWS = 2_000_000
 PHASES = ("inspect", "load", "encode", "reduce", "search-k", "cluster", "profile", "export", "done")
 
@@ -63,12 +64,12 @@ def typed_table(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID
     kept = [s for s in specs if s.role != "ignore"]
     if not kept:
         raise ValueError("every column is ignored")
-    out = []
+    out, schema = [], df.schema
     for s in kept:
-        c, kind = F.col(f"`{s.name}`"), df.schema[s.name].dataType
+        c, kind = F.col(quoted(s.name)), schema[s.name].dataType
+        text = quoted(s.name) if isinstance(kind, T.StringType) else f"CAST({quoted(s.name)} AS STRING)"
         if s.kind not in DOUBLE_KINDS:
-            text = c.cast("string")
-            value = F.when(~is_missing(text), trim_all(text))
+            value = F.expr(text_sql(text))
         elif isinstance(kind, T.NumericType | T.BooleanType):
             value = c.cast("double")
             value = F.when(~F.isnan(value), value)
@@ -77,7 +78,7 @@ def typed_table(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID
         elif isinstance(kind, T.DateType) and s.kind == "datetime":
             value = F.unix_date(c).cast("double")
         else:
-            value = parse_as(s.kind, c.cast("string"))
+            value = F.expr(parse_sql(s.kind, text))
         out.append(value.alias(s.name))
     return df.select(row_id, *out)
 
@@ -110,6 +111,7 @@ def collect_matrix(df: DataFrame, features: str = "features") -> np.ndarray:
 class Session:
     def __init__(self, spark: SparkSession, *, progress: Callable[[str], None] = lambda phase: None) -> None:
         self.spark, self.progress = spark, progress
+        self.store = Store(spark)
         self.table: DataFrame | None = None
         self.name, self.delimiter = "table", ","
         self._cached: tuple[str, DataFrame] | None = None
@@ -138,7 +140,7 @@ class Session:
 
     def drop(self) -> None:
         if self._cached:
-            self._cached[1].unpersist()
+            self.store.drop(self._cached[1])
         self._cached = None
 
     def _typed(self, specs: Sequence[ColumnSpec], max_rows: int) -> DataFrame:
@@ -146,12 +148,11 @@ class Session:
         if not self._cached or self._cached[0] != key:
             self.progress("load")
             self.drop()
-            typed = typed_table(systematic(self.table, ROW_ID, max_rows), specs).persist()
-            capped = capped_levels(typed, specs)  # reads the persisted cells, so texts are parsed once
+            typed = self.store.keep(typed_table(systematic(self.table, ROW_ID, max_rows), specs))
+            capped = capped_levels(typed, specs)  # reads the kept cells, so texts are parsed once
             if capped is not typed:
-                capped = capped.persist()
-                capped.count()
-                typed.unpersist()
+                capped = self.store.keep(capped)
+                self.store.drop(typed)
             self._cached = (key, capped)
         return self._cached[1]
 
@@ -166,25 +167,29 @@ class Session:
         features = [s.name for s in kept if s.role == "feature"]
         count = effective_rows(df, features).first()
         n = count.n_rows
-        exact = n <= EXACT_ROWS
-        numeric = {r["column"]: r.asDict() for r in numeric_stats(df, doubles, exact=exact).collect()} if doubles else {}
+        one_pass = n <= EXACT_ROWS
+        numeric = {r["column"]: r.asDict() for r in numeric_stats(df, doubles, quantiles=one_pass).collect()} if doubles else {}
+        if not one_pass and doubles:
+            found = narrowed_quantiles(df, [(F.col(quoted(c)), p) for c in doubles for p in PROBS])
+            for k, c in enumerate(doubles):
+                numeric[c] |= dict(zip(QUANTILES, found[k * len(PROBS) : (k + 1) * len(PROBS)], strict=True))
         levels: dict[str, list[tuple[str, int]]] = {}
         for r in category_stats(df, strings, ROW_ID).orderBy("column", "rank").collect() if strings else []:
             levels.setdefault(r["column"], []).append((r.value, r.n))
         plan = fit_encoding(df, kept, ROW_ID, seed=o.seed, numeric=numeric, levels=levels)
-        encoded = plan.encode(df, ROW_ID).persist()
+        encoded = self.store.keep(plan.encode(df, ROW_ID))
         try:
-            return self._segment(df, encoded, plan, kept, numeric, levels, count, o, exact)
+            return self._segment(df, encoded, plan, kept, numeric, levels, count, o, one_pass)
         finally:
-            encoded.unpersist()
+            self.store.drop(encoded)
 
-    def _segment(self, df: DataFrame, encoded: DataFrame, plan: EncodePlan, kept, numeric, levels, count, o: RunOptions, exact: bool) -> Result:
+    def _segment(self, df: DataFrame, encoded: DataFrame, plan: EncodePlan, kept, numeric, levels, count, o: RunOptions, one_pass: bool) -> Result:
         n = count.n_rows
         self.progress("reduce")
         fit_rows = collect_matrix(hash_sample(encoded, ROW_ID, reduce.sample_rows(n, plan.size), o.seed))
         wide = plan.size > o.pca_threshold
         pca = reduce.fit_pca(fit_rows, max(2, min(o.pca_components, plan.size)) if wide else 2)
-        space = reduce.project(encoded, pca).persist() if wide else encoded
+        space = self.store.keep(reduce.project(encoded, pca)) if wide else encoded
         self.progress("search-k")
         search = collect_matrix(hash_sample(space, ROW_ID, o.auto_k_sample, o.seed + 1))
         low, high = max(2, min(o.k_min, o.k_max)), min(max(o.k_min, o.k_max), max(2, len(search) // 5))
@@ -193,29 +198,29 @@ class Session:
         k = max(1, min(o.k or evaluate.choose_k(scores), n))
         self.progress("cluster")
         centers = self._centers(space, search, k, n, o)
-        labels = cluster.assign(space, centers).select(ROW_ID, "label", "distance").persist()
+        labels = self.store.keep(cluster.assign(space, centers).select(ROW_ID, "label", "distance"))
         size = np.zeros(len(centers), int)
         for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect():  # a row a cluster
             size[r.label] = r.n
-        ordered = cluster.in_order_of_size(centers, size)
-        if not np.array_equal(ordered, centers):
-            labels.unpersist()
-            labels, centers = cluster.assign(space, ordered).select(ROW_ID, "label", "distance").persist(), ordered
+        order = cluster.by_size(centers, size)
+        centers = centers[order]
+        labels = labels.select(ROW_ID, F.element_at(F.array(*[F.lit(order.index(c)) for c in range(len(order))]), F.col("label") + 1).alias("label"), "distance")
         k = len(centers)
         self.progress("profile")
-        out = self._explain(df, labels, kept, numeric, levels, k, exact)
+        out = self._explain(df, labels, kept, numeric, levels, k, one_pass)
         rng = np.random.default_rng(o.seed + 2)
         look = np.sort(rng.permutation(len(search))[: evaluate.SILHOUETTE_ROWS])
         silhouette = evaluate.silhouette(search[look], cluster.gaps(search[look], centers).argmin(1))
         plane = reduce.Pca(pca.mean, pca.components[:2], pca.variances[:2], pca.ratios[:2])
         flat = reduce.project(hash_sample(encoded, ROW_ID, SCATTER_ROWS, o.seed + 7), plane)
-        scatter = flat.join(labels.select(ROW_ID, "label"), ROW_ID).select(ROW_ID, F.get("features", F.lit(0)).alias("x"), F.coalesce(F.get("features", F.lit(1)), F.lit(0.0)).alias("y"), "label")
+        scatter = flat.join(labels.select(ROW_ID, "label"), ROW_ID)  # a bounded sample
+        scatter = self.store.keep(scatter.select(ROW_ID, F.get("features", F.lit(0)).alias("x"), F.coalesce(F.get("features", F.lit(1)), F.lit(0.0)).alias("y"), "label"))
         drivers = [reduce.axis_drivers(c, [f.column for f in plan.features]) for c in plane.components]
         warnings = [f"{count.empty_rows} rows without any feature are placed by medians"] if count.empty_rows else []
         self.progress("done")
         self.result = Result(k, o.k is None, n, count.effective_rows, plan.columns, plan.size, centers.shape[1], silhouette, centers, scores, labels, out[0], out[1], out[2], scatter, drivers, [float(x) for x in plane.ratios], warnings)
         if wide:
-            space.unpersist()
+            self.store.drop(space)
         return self.result
 
     def _centers(self, space: DataFrame, search: np.ndarray, k: int, n: int, o: RunOptions) -> np.ndarray:
@@ -228,11 +233,16 @@ class Session:
             return cluster.k_means_local(collect_matrix(space.orderBy(ROW_ID)), k, o.seed)[0]
         return cluster.lloyd(space, cluster.k_means_local(search, k, o.seed, restarts=1)[0])[0]
 
-    def _explain(self, df: DataFrame, labels: DataFrame, kept, numeric, levels, k: int, exact: bool) -> tuple[DataFrame, list[dict], list[dict]]:
-        both = df.join(labels.select(ROW_ID, "label"), ROW_ID)
+    def _explain(self, df: DataFrame, labels: DataFrame, kept, numeric, levels, k: int, one_pass: bool) -> tuple[DataFrame, list[dict], list[dict]]:
+        both = self.store.keep(df.join(labels.select(ROW_ID, "label"), ROW_ID))
         doubles = [s.name for s in kept if s.kind in DOUBLE_KINDS and numeric[s.name]["n"]]
         strings = [s.name for s in kept if s.kind not in DOUBLE_KINDS and len(levels.get(s.name, [])) > 1]
-        num = explain.numeric_profile(both, doubles, k, exact=exact, overall=numeric).persist() if doubles else None
+        medians = None
+        if not one_pass and doubles:
+            cells = [(c, label) for c in doubles for label in range(k)]
+            found = narrowed_quantiles(both, [(F.when(F.col("label") == label, F.col(quoted(c))), 0.5) for c, label in cells])
+            medians = self.spark.createDataFrame([(c, label, m) for (c, label), m in zip(cells, found, strict=True)], "column string, label int, median double")
+        num = explain.numeric_profile(both, doubles, k, overall=numeric, medians=medians).persist() if doubles else None
         cat = explain.categorical_profile(both, strings, k, ROW_ID).persist() if strings else None
         order = [s.name for s in kept]
         kinds = {s.name: s.kind for s in kept}
@@ -257,6 +267,10 @@ class Session:
                 p["overall_share"].append(r.overall_share)
             p["clusters"][r.label]["share"].append(r.share)
             p["clusters"][r.label]["lift"].append(r.lift)
+        for kept_table in (num, cat, marks):
+            if kept_table is not None:
+                kept_table.unpersist()
+        self.store.drop(both)
         fixed_names = self.spark.createDataFrame([(label, name) for label, name in sorted(names.items())], "label int, name string")
         return fixed_names, segments, [profiles[c] for c in order if c in profiles]
 

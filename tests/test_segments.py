@@ -90,6 +90,26 @@ def test_statistics(spark):
     assert empty.n == 0 and empty["mean"] == 0 and empty.median == 0
 
 
+@pytest.mark.parametrize("gather", [5, 60, 100_000])
+def test_narrowed_quantiles_are_exact(spark, gather):
+    """Hot values, ties, gaps and groups: the same as numpy's linear quantiles, however narrow the sketch is."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.lognormal(3, 4, 3000), np.full(1500, 7.0), np.arange(500) - 250.0])
+    df = spark.createDataFrame([(float(v), k % 3) for k, v in enumerate(x)] + [(None, 0)], "x double, g int").repartition(4)
+    shares = [0.0, 0.01, 0.3, 0.5, 0.77, 0.99, 1.0]
+    targets = [(F.col("x"), p) for p in shares] + [(F.when(F.col("g") == g, F.col("x")), 0.5) for g in range(4)]
+    want = [np.quantile(x, p) for p in shares] + [np.quantile(x[np.arange(len(x)) % 3 == g], 0.5) for g in range(3)] + [0.0]
+    assert stats.narrowed_quantiles(df, targets, accuracy=50, gather=gather) == pytest.approx(want, rel=1e-9)
+
+
+def test_quantiles_by_narrowing_change_no_result(session, monkeypatch):
+    first = session.run(session.specs, RunOptions(k=3))
+    monkeypatch.setattr("tessella.plans.session.EXACT_ROWS", 100)
+    again = session.run(session.specs, RunOptions(k=3))
+    medians = lambda r: [c["median"] for p in r.profiles if p["type"] == "numeric" for c in p["clusters"]]
+    assert first.columns == again.columns and medians(first) == pytest.approx(medians(again)) and [s["size"] for s in first.segments] == [s["size"] for s in again.segments]
+
+
 def test_inference(spark):
     words = ["red", "blue", "green"]
     prose = "これは自由記述です。とても長い文章なので、分類には使いません。番号"
