@@ -49,7 +49,7 @@ def plain(frame):
     """A frame's rows as sorted tuples of text, columns by name."""
 
     def text(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or str(x) == "<NA>" or x != x:
             return "None"
         return repr(0.0 if x == 0 else float(x)) if isinstance(x, float) else str(x)
 
