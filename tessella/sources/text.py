@@ -14,13 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.sources.delimited import PYTHON_NAMES, ROW_ID, parse_files
+
 DELIMITERS = (",", "\t", ";", "|")
 HEAD_BYTES, PREVIEW_ROWS = 2 << 20, 30
 EXTENSIONS = ("csv", "tsv", "txt", "xlsx", "xls", "xlsm")
-ROW_ID = "_row_id"
-#: Names for Spark; windows-31j is what Shift_JIS files hold in practice.
-JAVA_NAMES = {"utf-8": "UTF-8", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "shift_jis": "windows-31j"}
-PYTHON_NAMES = {"utf-8": "utf-8-sig", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "shift_jis": "cp932"}
 
 
 def detect_encoding(head: bytes) -> str:
@@ -37,7 +35,7 @@ def detect_encoding(head: bytes) -> str:
 
 def decode(data: bytes, encoding: str) -> str:
     """Text without its byte order mark; an unknown encoding is read as UTF-8."""
-    return data.decode(PYTHON_NAMES.get(encoding, "utf-8-sig"), errors="replace").removeprefix("﻿")
+    return data.decode(PYTHON_NAMES.get(encoding, "utf-8"), errors="replace").removeprefix("﻿")
 
 
 def _cells(line: str, delimiter: str) -> int:
@@ -96,8 +94,9 @@ def with_row_id(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
         total += sizes[p]
     if not starts:
         return tagged.select(F.lit(0).cast("long").alias(row_id), *df.columns).limit(0)
-    base = F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair])
-    return tagged.select((F.element_at(base, part) + at).alias(row_id), *df.columns)
+    bases = df.sparkSession.createDataFrame(list(starts.items()), "__p long, __base long")
+    joined = tagged.join(F.broadcast(bases), part == F.col("__p"))  # two numbers a partition
+    return joined.select((F.col("__base") + at).alias(row_id), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def head_bytes(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
@@ -124,30 +123,20 @@ def detect_format(spark: SparkSession, path: str) -> tuple[str, str, str]:
 
 
 def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A delimited file, or a folder of files with one header, as strings; empty fields are empty strings, short rows are padded, long ones cut.
+    """A delimited file, or a folder of files that each have the header, as strings; see :func:`tessella.sources.delimited.parse_files`.
 
-    A file whose first ``HEAD_BYTES`` have no quote is read in splits by many tasks, one with
-    quotes, which may hold line ends, by one task a file.  Row ids take two reads of the
-    same files, which must not change between them.
+    Encoding, delimiter and names are taken from the first file's first ``HEAD_BYTES``.  Row ids
+    take two reads of the same files, which must not change between them.
     """
     found, sniffed, text = detect_format(spark, path)
     if encoding and encoding != found:
         text = decode(head_bytes(spark, path), encoding)
         sniffed = detect_delimiter(text)
     encoding, delimiter = encoding or found, delimiter or sniffed
-    rows = parse_text(text, delimiter)
-    if not rows:
+    head = next(iter(parse_text(text, delimiter)), None)
+    if not head:
         raise ValueError("the file is empty")
-    names = header_names(rows[0])
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
-    raw = spark.read.schema(schema).csv(path, sep=delimiter, quote='"', escape='"', multiLine='"' in text or encoding.startswith("utf-16"), header=True, encoding=JAVA_NAMES.get(encoding, "UTF-8"), mode="PERMISSIVE", enforceSchema=True)
-    raw = raw.toDF(*names).na.fill("")
-    last = names[-1]
-    raw = raw.withColumn(last, F.regexp_replace(F.col(f"`{last}`"), "\r$", ""))
-    if len(names) == 1:
-        raw = raw.filter(F.col(f"`{last}`") != "")
-    return with_row_id(raw)
+    return parse_files(spark, path, header_names(head), delimiter=delimiter, encoding=encoding)
 
 
 def from_text(spark: SparkSession, text: str, *, delimiter: str | None = None) -> DataFrame:
