@@ -219,8 +219,9 @@ def near_words(words: DataFrame, *, min_chars: int = 5, bucket_words: int = BUCK
         rows, parts = rows.join(hot, ["back", "half"], "left"), F.coalesce("parts", F.lit(1))  # 4 * total / part_words rows at most; Spark sees their size
     held = F.pmod(F.xxhash64("word"), parts)
     dealt = rows.withColumn("held", held).withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).otherwise(F.array(held))))
-    dealt = dealt.select(F.pmod(F.xxhash64("half"), F.lit(buckets)).alias("bucket"), "part", "back", "word", "n", "asks", (F.col("part") == F.col("held")).alias("gives"))
-    found = dealt.groupBy("bucket", "part").applyInArrow(_answer, "word string, n long, n_near long, form_n long, form string")
+    alone = F.when(parts > 1, F.concat(F.col("back").cast("string"), "half"))  # halves that are dealt over parts share no task with others, where their words would be met again
+    dealt = dealt.select(F.pmod(F.xxhash64("half"), F.lit(buckets)).alias("bucket"), alone.alias("alone"), "part", "back", "word", "n", "asks", (F.col("part") == F.col("held")).alias("gives"))
+    found = dealt.groupBy("bucket", "alone", "part").applyInArrow(_answer, "word string, n long, n_near long, form_n long, form string")
     best = F.min(F.when(F.col("form").isNotNull(), F.struct(-F.col("form_n"), "form")))
     out = found.groupBy("word").agg(F.max("n").alias("n"), F.sum("n_near").alias("n_near"), best.alias("b"))
     return out.select("word", "n", "n_near", (-F.col("b.col1")).alias("form_n"), F.col("b.form").alias("form"))
