@@ -15,7 +15,9 @@ among n different windows n * n / 2 ** 97 wrong pairs are expected: about 2e-10
 
 The index is a bucketed table in the shared folder, a partition a run: runs are read
 where they lie and only a batch's own windows are shuffled.  A bucket is a handful of
-rows of hashes as bytes, and is bounded, as the number of buckets follows the input.
+rows of hashes as bytes, and is bounded, as the number of buckets follows the input.  Beyond
+``SENDS`` buckets or shares (65 GB and 33 GB) what tasks send is cut in two steps, so that rows of
+hashes don't thin out; Spark's own buckets, which are limited, then hold several of ours.
 Kept between calls, an index settles each new batch of documents against all before.
 
 Only windows travel, never texts: a task sends a window once for the smallest id it
@@ -46,6 +48,10 @@ from tessella.llm.common import column, delete, exists, new_path, release, small
 BUCKET_CHARS, SHARE_CHARS = 16_000_000, 8_000_000
 #: Windows a task gathers before it sorts and sends them, and windows hashed at once.
 GATHER, HASH_BLOCK = 1_000_000, 50_000
+#: Parts that a task cuts what it sends into; with more buckets or shares, a second shuffle cuts each part.
+SENDS = 4096
+#: Spark's buckets of the index at most; each holds the rows of one or more of ours.
+TABLE_BUCKETS = 50_000
 #: Words whose digests a task remembers, and the longest that it does.
 KNOWN_WORDS, KNOWN_BYTES = 200_000, 64
 #: Key of the word hash, and what the two chains start from.
@@ -146,11 +152,8 @@ def _extract(width: int, buckets: int):
             if answer.any():
                 yield _rows([(task * 31 + turn) % buckets], [1], [keys[answer]], [checks[answer]], [ids[answer]])
             keys, checks, ids = keys[new], checks[new], ids[new]
-            edges = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                s = slice(edges[b], edges[b + 1])
-                if s.stop > s.start:
-                    yield _rows([b], [0], [keys[s]], [checks[s]], [ids[s]])
+            for b, s in _slices(_bucket_of(keys, buckets)):
+                yield _rows([b], [0], [keys[s]], [checks[s]], [ids[s]])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -165,6 +168,73 @@ def _extract(width: int, buckets: int):
     return run
 
 
+def _finer(buckets: int):
+    """Entries that were sent in coarse parts, gathered and cut by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
+                keys, checks, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+                order = np.argsort(keys, kind="stable")
+                keys, checks, ids = keys[order], checks[order], ids[order]
+                for at, s in _slices(_bucket_of(keys, buckets)):
+                    yield _rows([at], [0], [keys[s]], [checks[s]], [ids[s]])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"]:  # answers go to any bucket
+                    spread = int(xxhash.xxh64_intdigest(r["keys"]) % buckets)
+                    yield pa.RecordBatch.from_pylist([r | {"bucket": spread}], schema=batch.schema)
+                else:
+                    held.append((expand(r["keys"], np.uint64, True), expand(r["checks"], np.uint32), expand(r["ids"], np.int64)))
+                    size += r["n"]
+                    if size >= GATHER:
+                        yield from send()
+        yield from send()
+
+    return run
+
+
+def _finer_answers(shares: int):
+    """Answers that were sent in coarse parts, gathered and cut by share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
+                keys, checks, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+                order = np.lexsort((keys, np.mod(ids, shares)))
+                keys, checks, ids = keys[order], checks[order], ids[order]
+                for at, s in _slices(np.mod(ids, shares)):
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([shrink(keys[s], True)]), pa.array([shrink(checks[s])]), pa.array([shrink(ids[s])])], names=["share", "keys", "checks", "ids"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append((expand(r["keys"], np.uint64, True), expand(r["checks"], np.uint32), expand(r["ids"], np.int64)))
+                size += len(held[-1][0])
+                if size >= GATHER:
+                    yield from send()
+        yield from send()
+
+    return run
+
+
+def _slices(sorted_: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a sorted array and where it stands; steps follow the values that are there."""
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, int)
+    for a, b in pairwise([*first.tolist(), len(sorted_)]):
+        yield int(sorted_[a]), slice(a, b)
+
+
 def _rows(buckets, kinds, keys, checks, ids) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array([len(k) for k in keys], pa.int64()), pa.array([shrink(k, True) for k in keys], pa.binary()), pa.array([shrink(c) for c in checks], pa.binary()), pa.array([shrink(i) for i in ids], pa.binary())],
@@ -178,8 +248,8 @@ SETTLED_TYPE = "bucket int, share int, n long, keys binary, checks binary, ids b
 ANSWER = "bucket int, share int, n long, keys binary, checks binary, ids binary"
 
 
-def _settle(shares: int, keep: bool):
-    """A bucket's entries of this batch against its runs: a new run, and answers by share of ids."""
+def _settle(shares: int, sends: int, keep: bool):
+    """A bucket's entries of this batch against its runs: a new run, and answers by share of ids (or by part of them, if there are more than ``sends``)."""
 
     def run(mine: pa.Table, runs: pa.Table) -> pa.Table:
         out: dict[str, list] = {name: [] for name in SETTLED.names}
@@ -193,13 +263,12 @@ def _settle(shares: int, keep: bool):
 
         def answer(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> None:
             at = np.mod(ids, shares)
+            if shares > sends:
+                at = at % sends
             order = np.argsort(at, kind="stable")  # keys still rise within a share
             keys, checks, ids = keys[order], checks[order], ids[order]
-            edges = np.searchsorted(at[order], np.arange(shares + 1))
-            for p in range(shares):
-                if edges[p + 1] > edges[p]:
-                    s = slice(edges[p], edges[p + 1])
-                    add(p, s.stop - s.start, shrink(keys[s], True), shrink(checks[s]), shrink(ids[s]), "answer")
+            for p, s in _slices(at[order]):
+                add(p, s.stop - s.start, shrink(keys[s], True), shrink(checks[s]), shrink(ids[s]), "answer")
 
         held = []
         for kind, keys, checks, ids in zip(*(mine.column(c).to_pylist() for c in ("kind", "keys", "checks", "ids")), strict=True):
@@ -275,8 +344,9 @@ class FingerprintIndex:
         self.answers: list[str] = []
         self.top: int | None = None
         self.table = f"tessella_index_{uuid.uuid4().hex}"
+        self.table_buckets = min(buckets, TABLE_BUCKETS)
         self.version = 0
-        spark.sql(f"CREATE TABLE {self.table} (bucket INT, n BIGINT, keys BINARY, checks BINARY, run STRING) USING parquet PARTITIONED BY (run) CLUSTERED BY (bucket) INTO {buckets} BUCKETS LOCATION '{self.path}/runs'")
+        spark.sql(f"CREATE TABLE {self.table} (bucket INT, n BIGINT, keys BINARY, checks BINARY, run STRING) USING parquet PARTITIONED BY (run) CLUSTERED BY (bucket) INTO {self.table_buckets} BUCKETS LOCATION '{self.path}/runs'")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
@@ -305,7 +375,7 @@ class FingerprintIndex:
         """Rows with a ``kind``, bucketed as the index is, so that no reader of a run has to shuffle it."""
         folder = uuid.uuid4().hex
         name = f"{self.table}_{folder}"
-        rows.write.format("parquet").partitionBy("kind").bucketBy(self.buckets, "bucket").option("compression", "none").option("path", f"{self.path}/runs/{folder}").saveAsTable(name)
+        rows.write.format("parquet").partitionBy("kind").bucketBy(self.table_buckets, "bucket").option("compression", "none").option("path", f"{self.path}/runs/{folder}").saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # the files stay
         return folder
 
@@ -314,9 +384,12 @@ class FingerprintIndex:
 
         ``keep=False`` adds no run: for a last batch, after which the index is dropped.
         """
-        mine = batch.mapInArrow(_extract(self.width, self.buckets), "bucket int, kind int, n long, keys binary, checks binary, ids binary")
+        kind = "bucket int, kind int, n long, keys binary, checks binary, ids binary"
+        mine = batch.mapInArrow(_extract(self.width, min(self.buckets, SENDS)), kind)
+        if self.buckets > SENDS:
+            mine = mine.repartition(SENDS, "bucket").mapInArrow(_finer(self.buckets), kind)
         both = mine.groupBy("bucket").cogroup(self._read([f for _, f in self.runs]).groupBy("bucket"))
-        folder = self._write(both.applyInArrow(_settle(self.shares, keep), SETTLED_TYPE))
+        folder = self._write(both.applyInArrow(_settle(self.shares, SENDS, keep), SETTLED_TYPE))
         if exists(self.spark, f"{self.path}/runs/{folder}/kind=answer"):
             self.answers.append(f"{self.path}/runs/{folder}/kind=answer")
         if exists(self.spark, f"{self.path}/runs/{folder}/kind=run"):
@@ -352,7 +425,10 @@ class FingerprintIndex:
         if not self.answers:
             return self.spark.createDataFrame([], "share int, keys binary, checks binary, ids binary")
         parts = [self.spark.read.schema(ANSWER).parquet(p) for p in self.answers]
-        return reduce(DataFrame.union, parts).select("share", "keys", "checks", "ids")
+        found = reduce(DataFrame.union, parts).select("share", "keys", "checks", "ids")
+        if self.shares > SENDS:
+            found = found.repartition(SENDS, "share").mapInArrow(_finer_answers(self.shares), "share int, keys binary, checks binary, ids binary")
+        return found
 
 
 def _remove(width: int, text_col: str, schema: pa.Schema):
