@@ -9,10 +9,12 @@ and chooses the occurrence that stays.  A filter that lets a line through in vai
 changes a result.
 
 The filters follow the input: ``BITS`` bits for every line of the table.  Where that is
-more than ``max_bits``, the hashes are dealt into as many classes as needed and each class
-has a pass of its own over the small table, with filters of ``max_bits``; so the share of
-lines that pass in vain is the same at every size, and what is broadcast at once is bounded
-(32 MB by default).
+more than ``max_bits``, the hashes are dealt into as many classes as needed (from an upper bound
+of the lines, the characters over ``min_chars``), the table is written by class, and each class
+has a pass of its own over its own part of the table, with filters of ``max_bits`` at most.  So
+all passes together read the table once, the share of lines that pass in vain is the same at
+every size, and what is broadcast and held at once is bounded: ``max_bits / 8`` bytes a filter
+(32 MB by default), two of them in a worker.
 
 Lines are equal if their 128-bit hashes are: among n different lines n * n / 2 ** 129 wrong
 pairs are expected, 1e-16 for the 3e11 long lines of 100 TB.
@@ -28,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import column, materialize, new_path, small_batches, table, unused, without
+from tessella.llm.common import column, exists, new_path, small_batches, table, unused, without
 
 STRIP = b" \t\n\x0b\x0c\r"
 CHUNKS = 16
 #: Bits of a filter for each long line of the input.
 BITS = 8
-#: Parts into which the rows of each confirmed key are dealt.
-SALTS = 32
+#: Parts into which the rows of each confirmed key are dealt, and those of a class of hashes.
+SALTS, PIECES = 32, 32
 
 
 def _keys(text: str | None, min_chars: int) -> list[bytes]:
@@ -50,64 +52,99 @@ def _keys(text: str | None, min_chars: int) -> list[bytes]:
     return list(out)
 
 
-def _digests(min_chars: int):
-    """Rows with the hashes of their long lines, 16 bytes each."""
+def _digests(min_chars: int, turns: int):
+    """Rows with the hashes of their long lines, 16 bytes each; a row for each class that has any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [_keys(text, min_chars) for text in batch["text"]]
-            out = batch[["id", "twin"]].assign(n=[len(k) for k in keys], digests=[b"".join(map(xxhash.xxh3_128_digest, k)) for k in keys])
-            yield out[out["n"] > 0]
+            rows, classes, sizes, digests = [], [], [], []
+            for k, text in enumerate(batch["text"]):
+                keys = b"".join(map(xxhash.xxh3_128_digest, _keys(text, min_chars)))
+                if not keys:
+                    continue
+                own = class_of(keys, turns)
+                for turn in np.unique(own).tolist() if turns > 1 else [0]:
+                    mine = np.frombuffer(keys, "V16")[own == turn].tobytes() if turns > 1 else keys
+                    rows.append(k)
+                    classes.append(turn)
+                    sizes.append(len(mine) // 16)
+                    digests.append(mine)
+            yield batch[["id", "twin"]].take(rows).assign(turn=classes, n=sizes, digests=digests)
 
     return run
 
 
-def _slots(digests: bytes, bits: int, hashes: int, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the hashes are of the class ``turn`` of ``turns``, and their bit positions, a row a hash."""
+def class_of(digests: bytes, turns: int) -> np.ndarray:
     both = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
-    own = np.flatnonzero((both[:, 1] >> np.uint64(32)) * np.uint64(turns) >> np.uint64(32) == turn)
-    step = both[own, 1:] << np.uint64(32) | np.uint64(1)
-    places = (both[own, :1] + step * np.arange(hashes, dtype=np.uint64)) >> np.uint64(32)
-    return own, (places * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+    return ((both[:, 1] >> np.uint64(32)) * np.uint64(turns) >> np.uint64(32)).astype(np.int64)
+
+
+def _slots(digests: bytes, bits: int, hashes: int) -> np.ndarray:
+    """The bit positions of hashes, a row a hash."""
+    both = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+    step = both[:, 1:] << np.uint64(32) | np.uint64(1)
+    places = (both[:, :1] + step * np.arange(hashes, dtype=np.uint64)) >> np.uint64(32)
+    return (places * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+
 
+def _has(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows of positions are all set in a filter of packed bits."""
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
 
-def _fill(bits: int, hashes: int, turn: int, turns: int):
-    """One task's pair of filters, in chunks; positions if these take less room than bits."""
+
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    at = at.ravel()
+    np.bitwise_or.at(packed, at >> 3, np.left_shift(1, 7 - (at & 7)).astype(np.uint8))
+
+
+def _fill(bits: int, hashes: int):
+    """One task's pair of filters, of packed bits, in chunks; positions if these take less room than bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for digests in batch["digests"]:
-                at = _slots(digests, bits, hashes, turn, turns)[1]
-                seen = once[at].all(axis=1)
-                twice[at[seen].ravel()] = True
-                once[at[~seen].ravel()] = True
-        size = bits // CHUNKS
+            digests = np.frombuffer(b"".join(batch["digests"]), "V16")
+            if not len(digests):
+                continue
+            halves = digests.view(">u8")
+            order = np.lexsort((halves[1::2], halves[::2]))  # equal hashes stand together
+            own = digests[order]
+            again = np.zeros(len(own), bool)
+            again[1:] = own[1:] == own[:-1]
+            at = _slots(own.tobytes(), bits, hashes)
+            seen = _has(once, at) | again
+            _set(twice, at[seen])
+            _set(once, at[~seen])
+        size = bits // 8 // CHUNKS
         for k in range(CHUNKS):
-            parts = []
-            for f in (once, twice):
-                part = f[k * size : (k + 1) * size]
-                at = np.flatnonzero(part).astype("<u4")
-                parts.append((4 * len(at) < size // 8, at, part))
-            if parts[0][1].size:
-                yield pd.DataFrame({"chunk": [k], **{n: [(b"s" + at.tobytes()) if sparse else (b"d" + np.packbits(part).tobytes())] for n, (sparse, at, part) in zip(("once", "twice"), parts, strict=True)}})
+            parts = [_shut(f[k * size : (k + 1) * size]) for f in (once, twice)]
+            yield pd.DataFrame({"chunk": [k], "once": [parts[0]], "twice": [parts[1]]})
 
     return run
 
 
+def _shut(part: np.ndarray) -> bytes:
+    """Bits as positions or as they are, whichever takes less room."""
+    live = np.flatnonzero(part)
+    if 32 * len(live) < len(part):
+        byte, bit = np.nonzero(np.unpackbits(part[live, None], axis=1))
+        return b"s" + (live[byte] * 8 + bit).astype("<u4").tobytes()
+    return b"d" + part.tobytes()
+
+
 def _open(data: bytes, size: int) -> np.ndarray:
     if data[:1] == b"d":
-        return np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(bool)
-    out = np.zeros(size, bool)
-    out[np.frombuffer(data, "<u4", offset=1)] = True
+        return np.frombuffer(data, np.uint8, offset=1).copy()
+    out = np.zeros(size, np.uint8)
+    _set(out, np.frombuffer(data, "<u4", offset=1).astype(np.int64))
     return out
 
 
 def _merge(bits: int):
-    """Merged twice filters; holds one pair of filters, however many tasks there were."""
+    """Merged twice filters; holds the chunks of one pair of filters at most, however many tasks there were."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, have = bits // CHUNKS, {}
+        size, have = bits // 8 // CHUNKS, {}
         for batch in batches:
             for chunk, once, twice in batch[["chunk", "once", "twice"]].itertuples(index=False):
                 a, b = _open(once, size), _open(twice, size)
@@ -118,21 +155,20 @@ def _merge(bits: int):
                 else:
                     have[chunk] = (a, b)
         for chunk, (_, twice) in have.items():
-            yield pd.DataFrame({"chunk": [chunk], "twice": [np.packbits(twice).tobytes()]})
+            yield pd.DataFrame({"chunk": [chunk], "twice": [twice.tobytes()]})
 
     return run
 
 
-def filter_sizes(lines: int, max_bits: int) -> tuple[int, int]:
-    """Bits of a filter and number of passes for so many long lines."""
-    turns = max(1, -(-BITS * lines // max_bits))
+def filter_bits(lines: int, max_bits: int) -> int:
+    """Bits of a filter for so many long lines."""
     step = 8 * CHUNKS
-    return max(step, -(-BITS * lines // (turns * step)) * step), turns
+    return min(max(step, -(-BITS * lines // step) * step), max_bits // step * step)
 
 
-def repeated_filter(lines: DataFrame, *, bits: int, hashes: int, turn: int = 0, turns: int = 1) -> np.ndarray:
-    """The bits of a class's merged twice filter, packed: ``bits / 8`` bytes."""
-    pairs = lines.select("digests").mapInPandas(_fill(bits, hashes, turn, turns), "chunk int, once binary, twice binary")
+def repeated_filter(lines: DataFrame, *, bits: int, hashes: int) -> np.ndarray:
+    """The bits of the merged twice filter of a class, packed: ``bits / 8`` bytes."""
+    pairs = lines.select("digests").mapInPandas(_fill(bits, hashes), "chunk int, once binary, twice binary")
     merged = pairs.repartition(CHUNKS, "chunk").mapInPandas(_merge(bits), "chunk int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     size = bits // CHUNKS // 8
@@ -141,15 +177,13 @@ def repeated_filter(lines: DataFrame, *, bits: int, hashes: int, turn: int = 0,
     return out
 
 
-def _suspects(shared, bits: int, hashes: int, turn: int, turns: int):
+def _suspects(shared, bits: int, hashes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed = shared.value
         for batch in batches:
             rows, keys = [], []
             for k, digests in enumerate(batch["digests"]):
-                own, at = _slots(digests, bits, hashes, turn, turns)
-                hit = ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                for j in own[hit].tolist():
+                for j in np.flatnonzero(_has(packed, _slots(digests, bits, hashes))).tolist():
                     rows.append(k)
                     keys.append(digests[16 * j : 16 * j + 16])
             ids = batch["id"].take(rows).astype(object)
@@ -185,10 +219,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ``n_lines`` and ``n_dropped`` (they replace input columns of the same name).
 
     Defined cases: a null or empty text is one empty line, and comes out empty.
-    Rows count as documents: equal rows count each, and every row with the largest
-    id keeps its lines.  A null id orders below all ids; if all holders have a null
-    id, all keep the line.  An empty table gives an empty table.  Other columns may
-    have any name.
+    Rows with one id are one document, and every row with the largest id keeps its
+    lines.  A row without an id counts as no document, but loses lines like others.  An empty table
+    gives an empty table.  Other columns may have any name.
     """
     if not 1024 <= max_bits < 1 << 32:
         raise ValueError("max_bits must be within 1,024 and 2 ** 32 - 1")
@@ -198,15 +231,28 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # A row is known by its id and the hash of its text, so that rows with one id, or none, are spread.
     twin = F.unhex(F.md5(F.coalesce(column(text_col).cast("binary"), F.lit(b""))))
     lines = docs.select(column(id_col).alias("id"), twin.alias("twin"), column(text_col).alias("text"))
-    lines = materialize(lines.mapInPandas(_digests(min_chars), f"id {kind}, twin binary, n long, digests binary"), "line-hashes")
-    bits, turns = filter_sizes(lines.agg(F.sum("n").alias("n")).first().n or 0, max_bits)
+    chars = lines.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    turns = max(1, -(-BITS * (chars // min_chars) // max_bits))
+    schema = f"id {kind}, twin binary, turn int, n long, digests binary"
+    hashed = lines.mapInPandas(_digests(min_chars, turns), schema)
+    where = new_path(spark, "line-hashes")
+    if turns > 1:  # a class's part of the table is dealt over as many files as its size asks for
+        hashed = hashed.repartition(turns * PIECES, "turn", F.pmod(F.xxhash64("twin"), F.lit(PIECES)))
+    hashed.write.partitionBy("turn").parquet(where)
     path = new_path(spark, "line-suspects")
     for turn in range(turns):
-        shared = spark.sparkContext.broadcast(repeated_filter(lines, bits=bits, hashes=hashes, turn=turn, turns=turns))  # bits / 8 bytes
-        lines.mapInPandas(_suspects(shared, bits, hashes, turn, turns), f"id {kind}, twin binary, key binary").write.mode("append").parquet(path)
+        if not exists(spark, f"{where}/turn={turn}"):
+            continue
+        own = spark.read.schema(f"id {kind}, twin binary, n long, digests binary").parquet(f"{where}/turn={turn}")
+        bits = filter_bits(own.agg(F.sum("n").alias("n")).first().n or 0, max_bits)
+        shared = spark.sparkContext.broadcast(repeated_filter(own, bits=bits, hashes=hashes))  # bits / 8 bytes
+        own.mapInPandas(_suspects(shared, bits, hashes), f"id {kind}, twin binary, key binary").write.mode("append").parquet(path)
         shared.unpersist()
+    if not exists(spark, path):
+        spark.createDataFrame([], f"id {kind}, twin binary, key binary").write.parquet(path)
     found = spark.read.schema(f"id {kind}, twin binary, key binary").parquet(path)
-    confirmed = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= min_docs).select("key", "keep")
+    each = found.groupBy("key", "id").agg(F.lit(1).alias("one"))  # rows of one id are one document
+    confirmed = each.groupBy("key").agg(F.count("id").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= min_docs).select("key", "keep")
     # A key may be in a third of all documents: its rows are dealt over SALTS tasks.
     confirmed = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     drops = found.withColumn("salt", F.pmod(F.xxhash64("id", "twin"), F.lit(SALTS)).cast("long")).join(confirmed, ["key", "salt"]).filter(~F.col("id").eqNullSafe(F.col("keep")))
