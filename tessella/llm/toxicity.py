@@ -4,8 +4,10 @@ The labelled sample is held as TF-IDF vectors of all its words in block-max inve
 indexes: for each word and block of examples, the largest weight in the block.  The
 blocks' upper bounds for a text are added up, blocks are met from the highest bound down,
 and the search ends when no bound can reach the k-th best cosine, so the neighbours are
-exact.  They vote with their cosines, a text without any neighbour has the share of toxic
-labels, and the neighbours' ids and cosines are the evidence.
+exact.  They vote with their cosines, and the neighbours' ids and cosines are the evidence.  The share of
+votes is calibrated: every example is judged by the others alone, and a logistic curve is fitted to
+what its label was at that share, each example weighing as many labelled documents as it stands
+for.  A text without any neighbour has the share of toxic labels.
 
 A word's weight is (1 + log tf) * idf * phi**2, where phi is the correlation of the word's
 presence and the label in the sample.  No word is left out; those that say nothing about
@@ -35,6 +37,8 @@ BLOCK, NEAREST, PRIOR_WEIGHT = 32, 15, 0.05
 DENSE, DENSE_ROWS = 24, 1024
 #: Blocks that are met at once: so many first, then twice as many each time.
 FIRST_BLOCKS = 16
+#: Shares of votes are held within this of 0 and 1 before calibration; weight of the curve's prior, which is no change.
+EDGE, RIDGE = 1e-3, 1.0
 #: Results kept for texts met before, in each Python worker.
 KNOWN = 100_000
 
@@ -132,6 +136,8 @@ class ToxicityModel:
     votes: np.ndarray  # how many labelled documents an example stands for
     base: float  # share of toxic labels
     k: int = NEAREST
+    #: Slope and offset of the curve from the log odds of the votes to those of the label.
+    curve: tuple[float, float] = (1.0, 0.0)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's known terms and their weights, as a unit vector."""
@@ -146,13 +152,43 @@ class ToxicityModel:
         norm = np.sqrt((raw * raw).sum())
         return terms, raw / norm if norm else raw
 
-    def judge(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*self.vector(text), self.k)
+    def share(self, near: list[tuple[float, int]]) -> float:
+        """The toxic share of the neighbours' votes, before calibration."""
         up, all_ = PRIOR_WEIGHT * self.base, PRIOR_WEIGHT
         for cosine, d in near:
             w = cosine * self.votes[d]
             up, all_ = up + w * self.labels[d], all_ + w
-        return min(1.0, max(0.0, up / all_)), near
+        return min(1.0, max(0.0, up / all_))
+
+    def judge(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.nearest(*self.vector(text), self.k)
+        share = self.share(near)
+        return (float(calibrated(share, self.curve)) if near else share), near
+
+
+def log_odds(share: np.ndarray | float) -> np.ndarray:
+    share = np.clip(share, EDGE, 1 - EDGE)
+    return np.log(share / (1 - share))
+
+
+def calibrated(share: np.ndarray | float, curve: tuple[float, float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] * log_odds(share) + curve[1], -700, 700)))
+
+
+def fit_curve(share: np.ndarray, labels: np.ndarray, weights: np.ndarray, turns: int = 50) -> tuple[float, float]:
+    """Slope (never negative) and offset of the logistic curve of largest likelihood, by Newton's steps; a little ridge keeps it finite when the shares part the labels."""
+    x, curve = np.stack([log_odds(share), np.ones(len(share))], axis=1), np.array([1.0, 0.0])
+    weights = weights / weights.mean()
+    for _ in range(turns):
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -700, 700)))
+        slope = x.T @ (weights * (labels - p)) - RIDGE * (curve - (1.0, 0.0))
+        bend = (x * (weights * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        curve = curve + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(curve[0]), float(curve[1])) if curve[0] > 0 else (1.0, 0.0)
 
 
 def fit_toxicity(sample: Sample, *, k: int = NEAREST) -> ToxicityModel:
@@ -181,6 +217,13 @@ def fit_toxicity(sample: Sample, *, k: int = NEAREST) -> ToxicityModel:
     model.index = BlockMaxIndex([vectors[i] for i in order], len(terms))
     votes = np.array([share[y] for y in sample.labels])
     model.labels, model.ids, model.votes = labels[order], model.ids[order], votes[order] / votes.min()
+    others = []
+    for i, at in enumerate(order.tolist()):  # each example by the others
+        near = [(c, d) for c, d in model.index.nearest(*vectors[at], k + 1) if d != i][:k]
+        others.append(model.share(near) if near else None)
+    live = np.array([x is not None for x in others], bool)
+    if len(set(model.labels[live])) == 2:
+        model.curve = fit_curve(np.array([x for x in others if x is not None]), model.labels[live], model.votes[live])
     return model
 
 
