@@ -30,11 +30,12 @@ def brute_lines(rows, min_chars=40, min_docs=5):
     for k, (i, t) in enumerate(rows):
         for x in {key(x) for x in (t or "").split("\n")}:
             if len(x) >= min_chars:
-                holders[x].append(-1 if i is None else i)
+                holders[x].append(i)
+    holders = {x: {i for i in own if i is not None} for x, own in holders.items()}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (len(key(x)) >= min_chars and len(holders[key(x)]) >= min_docs and max(holders[key(x)]) != (-1 if i is None else i))]
+        kept = [x for x in lines if not (len(key(x)) >= min_chars and len(holders[key(x)]) >= min_docs and max(holders[key(x)]) != i)]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
@@ -44,7 +45,7 @@ LINES = [(k, f"Own line number {k}\n  {LONG.upper() if k % 2 else LONG}\t\nend")
 ]
 
 
-@pytest.mark.parametrize(("bits", "per_line"), [(1 << 28, 8), (1 << 28, 1), (1024, 800)])
+@pytest.mark.parametrize(("bits", "per_line"), [(1 << 28, 8), (1 << 28, 1), (1024, 250)])
 def test_lines_by_brute_force(spark, monkeypatch, bits, per_line):
     """Filters that are far too small give the same result, too, and so do many passes."""
     monkeypatch.setattr(line_dedup, "BITS", per_line)
@@ -64,8 +65,10 @@ def test_lines_of_an_empty_table_and_clashing_columns(spark):
     assert [tuple(r) for r in out.select(*[f"`{n}`" for n in names]).distinct().collect()] == [tuple(range(len(names)))]
 
 
-def test_rows_that_share_an_id_are_told_apart(spark):
-    rows = [(None, f"{LONG}\nown {k} {LONG}") for k in range(40)] + [(7, f"{LONG}\nmine {k}") for k in range(40)] + [(9, LONG)]
+@pytest.mark.parametrize("others", [1, 4])
+def test_rows_that_share_an_id_are_told_apart(spark, others):
+    """They count as one document, and rows without an id as none, whether or not a line is in five."""
+    rows = [(None, f"{LONG}\nown {k} {LONG}") for k in range(40)] + [(7, f"{LONG}\nmine {k}") for k in range(40)] + [(9 + k, LONG) for k in range(others)]
     assert found(line_dedup.line_dedup(docs(spark, rows)), "doc_id", "text", "n_lines", "n_dropped") == brute_lines(rows)
 
 
@@ -75,45 +78,70 @@ def packed_lines(keys):
     return pd.DataFrame({"digests": [b"".join(xxhash.xxh3_128_digest(k.encode()) for k in keys[s : s + 50]) for s in range(0, len(keys), 50)]})
 
 
-def twice_bits(parts, bits, turn=0, turns=1):
+def twice_bits(parts, bits):
     import pandas as pd
 
-    rows = pd.concat([p for part in parts for p in line_dedup._fill(bits, 4, turn, turns)(iter([packed_lines(part)]))])
+    rows = pd.concat([p for part in parts for p in line_dedup._fill(bits, 4)(iter([packed_lines(part)]))])
     merged = {r.chunk: r.twice for r in pd.concat(line_dedup._merge(bits)(iter([rows[:9], rows[9:]]))).itertuples()}
-    return np.concatenate([np.unpackbits(np.frombuffer(merged[c], np.uint8)) if c in merged else np.zeros(bits // line_dedup.CHUNKS, np.uint8) for c in range(line_dedup.CHUNKS)])
+    return np.frombuffer(b"".join(merged[c] for c in range(line_dedup.CHUNKS)), np.uint8)
 
 
-@pytest.mark.parametrize("turns", [1, 3])
-def test_merged_filters_miss_no_repeat(turns):
+def digests_of(keys):
+    return b"".join(xxhash.xxh3_128_digest(k.encode()) for k in keys)
+
+
+def test_merged_filters_miss_no_repeat():
     keys = [f"{LONG} {k}" for k in range(200)]
-    parts = [keys[:120], keys[80:], keys[:10]]
+    parts = [keys[:120], keys[80:], keys[:10], [*keys[190:], *keys[190:]]]  # also within a batch
     bits = 1 << 14
-    twice = b"".join(xxhash.xxh3_128_digest(k.encode()) for k in keys[80:120] + keys[:10])
-    classes = []
-    for turn in range(turns):
-        on = twice_bits(parts, bits, turn, turns)
-        own, at = line_dedup._slots(twice, bits, 4, turn, turns)
-        assert on[at].all() and on.mean() < 0.1
-        classes += own.tolist()
-    assert sorted(classes) == list(range(50))  # each hash is of one class
+    on = twice_bits(parts, bits)
+    assert line_dedup._has(on, line_dedup._slots(digests_of(keys[80:120] + keys[:10] + keys[190:]), bits, 4)).all()
+    assert np.unpackbits(on).mean() < 0.1
+
+
+def test_each_hash_is_of_one_class(spark):
+    import pandas as pd
+
+    text = "\n".join(f"{LONG} {k}" for k in range(300))
+    rows = pd.concat(line_dedup._digests(40, 7)(iter([pd.DataFrame({"id": [1, 2, 3], "twin": [b"a", b"b", b"c"], "text": [text, None, LONG]})])))
+    assert set(rows["id"]) == {1, 3} and sorted(rows["turn"][rows["id"] == 1]) == list(range(7))
+    assert sorted(d for x in rows["digests"] for d in np.frombuffer(x, "S16")) == sorted(np.frombuffer(digests_of([f"{LONG} {k}".lower() for k in range(300)] + [LONG.lower()]), "S16"))
+    assert rows["n"].sum() == 301
 
 
 def test_as_few_lines_pass_in_vain_at_any_size():
-    """The share of once-seen lines that the filter lets through doesn't grow with the lines, nor with the passes."""
+    """The share of once-seen lines that the filter lets through doesn't grow with the lines of a class."""
     shares = []
-    for n, max_bits in ((2_000, 1 << 28), (20_000, 1 << 28), (20_000, 1 << 16), (60_000, 1 << 16)):
+    for n in (2_000, 20_000):
         keys = [f"line {k}" for k in range(n)]
-        bits, turns = line_dedup.filter_sizes(n, max_bits)
-        assert bits <= max_bits and bits * turns >= line_dedup.BITS * n
-        passed = 0
-        for turn in range(turns):
-            on = twice_bits([keys[: n // 2], keys[n // 2 :]], bits, turn, turns)
-            _, at = line_dedup._slots(b"".join(xxhash.xxh3_128_digest(k.encode()) for k in keys), bits, 4, turn, turns)
-            passed += int(on[at].all(axis=1).sum())
-        shares.append(passed / n)
+        bits = line_dedup.filter_bits(n, 1 << 28)
+        assert line_dedup.BITS * n <= bits <= line_dedup.BITS * n + 128 and line_dedup.filter_bits(n, 1024) == 1024
+        on = twice_bits([keys[: n // 2], keys[n // 2 :]], bits)
+        shares.append(line_dedup._has(on, line_dedup._slots(digests_of(keys), bits, 4)).mean())
     assert max(shares) < 0.05
 
 
+def test_filters_of_32_mb_take_little_more():
+    """A pair of filters of 2 ** 28 bits and what it takes to send them, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, pandas as pd, numpy as np
+from tessella.llm import line_dedup
+rng = np.random.default_rng(1)
+batches = [pd.DataFrame({"digests": [rng.bytes(16 * 20) for _ in range(512)]}) for _ in range(60)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for part in line_dedup._fill(1 << 28, 4)(iter(batches)):
+    pass
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    import os
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.getcwd()}, timeout=120)
+    assert float(out.stdout) < 110, out
+
+
 # --- fingerprints
 
 
@@ -238,6 +266,27 @@ def passages(seed):
     return [*rows, (1000, None), (1001, ""), (1002, " \t"), (1003, shared[0]), (1003, shared[0] + " more"), (None, shared[0]), (1004, "the " * 3000), (1005, "the " * 40), (1006, shared[1].replace(" ", "　"))]
 
 
+def test_more_buckets_and_shares_than_a_task_sends_to(spark, monkeypatch):
+    """Sends and answers in two steps, and Spark's buckets with several of ours, give the same result."""
+    for name, value in (("SENDS", 3), ("TABLE_BUCKETS", 4), ("BUCKET_CHARS", 200), ("SHARE_CHARS", 200), ("GATHER", 50)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    rows = passages(9)
+    out = substring_dedup.substring_dedup(docs(spark, rows), width=5, batches=3)
+    assert found(out, "doc_id", "text", "n_words", "n_removed") == brute_substrings(rows, 5)
+
+
+def test_an_index_for_10_tb_can_be_made(spark):
+    """As many buckets and shares as 10 TB of text ask for."""
+    chars = 10 * 10**12
+    index = substring_dedup.FingerprintIndex(spark, width=5, buckets=chars // substring_dedup.BUCKET_CHARS, shares=chars // substring_dedup.SHARE_CHARS)
+    assert index.buckets > 600_000 and index.table_buckets == 50_000
+    assert index._read([]).count() == 0
+    index.drop_runs()
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2))
+    cut = list(substring_dedup._slices(substring_dedup._bucket_of(keys, index.buckets)))
+    assert sum(s.stop - s.start for _, s in cut) == len(keys) and len(cut) <= len(keys)  # steps follow the windows, not the buckets
+
+
 @pytest.mark.parametrize("batches", [1, 3, 6])
 def test_substrings_by_brute_force(spark, batches):
     rows = passages(batches)
@@ -313,7 +362,7 @@ def test_runs_are_read_where_they_lie(spark):
     batch = docs(spark, passages(2)).selectExpr("doc_id as id", "text").filter("id is not null")
     index.add(batch)
     mine = batch.mapInArrow(substring_dedup._extract(5, 4), "bucket int, kind int, n long, keys binary, checks binary, ids binary")
-    both = mine.groupBy("bucket").cogroup(index._read([f for _, f in index.runs]).groupBy("bucket")).applyInArrow(substring_dedup._settle(11, True), substring_dedup.SETTLED_TYPE)
+    both = mine.groupBy("bucket").cogroup(index._read([f for _, f in index.runs]).groupBy("bucket")).applyInArrow(substring_dedup._settle(11, 4096, True), substring_dedup.SETTLED_TYPE)
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(bucket") == 1
     index.drop_runs()

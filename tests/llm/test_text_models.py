@@ -436,6 +436,18 @@ def test_op8_over_a_whole_table(spark, sf):
     votes = np.array([share[v] for v in sample.labels]) / min(share[v] for v in sample.labels)
     base = sample.total[1] / (sample.total[0] + sample.total[1])
     texts = {r.doc_id: r.text for r in table.collect()}
+    share_of = lambda at, cosine: (toxicity.PRIOR_WEIGHT * base + (cosine * votes[at] * y[at]).sum()) / (toxicity.PRIOR_WEIGHT + (cosine * votes[at]).sum())
+    alone, told = [], []
+    for k in range(len(examples)):  # every example by the others
+        cosine = examples @ examples[k]
+        cosine[k] = -1
+        at = np.lexsort((np.arange(len(y)), -cosine.round(12)))[: toxicity.NEAREST]
+        at = at[cosine[at] > 0]
+        if len(at):
+            alone.append(share_of(at, cosine[at]))
+            told.append(k)
+    slope, offset = toxicity.fit_curve(np.array(alone), y[told], votes[told])
+    curve = lambda p: 1 / (1 + (p / (1 - p)) ** -slope * np.exp(-offset))
     rows = toxicity.op8_toxicity(spark, sf).collect()
     assert len(rows) == table.count()
     for r in rows:
@@ -444,8 +456,40 @@ def test_op8_over_a_whole_table(spark, sf):
         assert [e.cosine for e in r.evidence] == pytest.approx(best.tolist(), abs=1e-9)
         assert all(e.cosine == pytest.approx(cosine[ids[e.example]], abs=1e-9) for e in r.evidence)
         at = [ids[e.example] for e in r.evidence]
-        w = np.array([e.cosine for e in r.evidence]) * votes[at]
-        assert r.score == pytest.approx((toxicity.PRIOR_WEIGHT * base + (w * y[at]).sum()) / (toxicity.PRIOR_WEIGHT + w.sum()), abs=1e-9)
+        share = share_of(at, np.array([e.cosine for e in r.evidence]))
+        assert r.score == pytest.approx(curve(np.clip(share, toxicity.EDGE, 1 - toxicity.EDGE)) if at else base, abs=2e-3)
+
+
+def test_the_curve_is_of_largest_likelihood():
+    rng = np.random.default_rng(3)
+    share = rng.random(4000)
+    labels = (rng.random(4000) < toxicity.calibrated(share, (0.6, -1.0))).astype(float)
+    weights = np.where(labels > 0, 1.0, 3.0)
+    a, b = toxicity.fit_curve(share, labels, weights)
+
+    def loss(a, b):
+        p = toxicity.calibrated(share, (a, b))
+        w = weights / weights.mean()
+        return -(w * np.log(np.where(labels > 0, p, 1 - p))).sum() + toxicity.RIDGE / 2 * ((a - 1) ** 2 + b * b)
+
+    assert all(loss(a, b) <= loss(a + x, b + z) for x, z in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3)))
+    flat = toxicity.fit_curve(share, labels, np.ones(4000))
+    assert flat == pytest.approx((0.6, -1.0), abs=0.15)  # with even weights the curve that made the labels
+    assert toxicity.fit_curve(np.array([0.9, 0.1]), np.array([0.0, 1.0]), np.ones(2)) == (1.0, 0.0)  # never turned round
+
+
+def test_toxicity_is_calibrated_on_held_out_rows(spark, sf):
+    """Brier score and reliability on rows whose labels are never learnt."""
+    sf = sf.replace("sf0.001", "sf0.1")
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()}
+    rows = [(r.score, known[r.doc_id]) for r in toxicity.op8_toxicity(spark, sf).filter("held_out").select("doc_id", "score").collect() if r.doc_id in known]
+    score, label = np.array(rows).T
+    share = label.mean()
+    assert len(rows) > 200 and ((score >= 0.5) == label).mean() > 0.97
+    assert ((score - label) ** 2).mean() < 0.25 * share * (1 - share)  # Brier: a quarter of that of the share alone
+    bands = [(score >= a) & (score < b) for a, b in ((0, 0.1), (0.1, 0.5), (0.5, 0.9), (0.9, 1.01))]
+    off = sum(abs(score[m].mean() - label[m].mean()) * m.mean() for m in bands if m.any())
+    assert off < 0.03  # expected calibration error
 
 
 # --- neighbours
@@ -481,6 +525,28 @@ def test_neighbours_by_brute_force(spark):
     assert ann.nearest_neighbours(df.limit(0), df).count() == 0
 
 
+def test_every_query_has_its_results(spark):
+    """Outliers alone in their lists, clusters of two, and more neighbours asked for than a list has."""
+    rng = np.random.default_rng(7)
+    hubs = rng.normal(size=(20, 16))
+    x = np.concatenate([hubs[np.arange(400) % 20] + 0.01 * rng.normal(size=(400, 16)), 30 * rng.normal(size=(2, 16)), np.repeat(30 * rng.normal(size=(3, 16)), 2, 0) + 0.01 * rng.normal(size=(6, 16))])
+    ids = [*range(400), 1000, 2000, *range(3000, 3300, 50)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    asked = df.filter("vec_id % 50 = 0")
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    for k, probes in ((5, 1), (40, 1), (5, None)):
+        got = defaultdict(dict)
+        for r in ann.nearest_neighbours(df, asked, k=k, lists=24, probes=probes).collect():
+            got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+        assert set(got) == {i for i in ids if i % 50 == 0} and all(sorted(own) == list(range(1, k + 1)) for own in got.values())
+        for q in (1000, 2000):  # few in the lists probed: searched in all
+            s = unit @ unit[ids.index(q)]
+            s[ids.index(q)] = -9
+            assert [own[0] for own in (got[q][r] for r in range(1, 4))] == [ids[j] for j in np.argsort(-s)[:3]]
+    all_ = ann.nearest_neighbours(df, asked, k=1000, lists=24, probes=2).groupBy("query_id").count().collect()
+    assert {r["count"] for r in all_} == {len(ids) - 1}
+
+
 def test_near_copies_beyond_the_shortlist():
     """Of 3,000 near copies with equal codes, the nearest have the largest ids; part of a list of 8,000 rows."""
     rng = np.random.default_rng(5)
