@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,26 +154,40 @@ def parse_as(kind: str, c: Column | str) -> Column:
     return over(c, lambda x: parse_sql(kind, x))
 
 
+# Coefficients of Acklam's approximation of the inverse normal distribution.
+PROBIT_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+PROBIT_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
+PROBIT_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+PROBIT_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+
+
+def _poly(terms: list[float], x):
+    out = terms[0]
+    for t in terms[1:]:
+        out = out * x + t
+    return out
+
+
+def _tail(q):
+    return _poly(PROBIT_C, q) / (_poly(PROBIT_D, q) * q + 1)
+
+
+def _centre(mid):
+    return _poly(PROBIT_A, mid * mid) * mid / (_poly(PROBIT_B, mid * mid) * mid * mid + 1)
+
+
 def probit(p: Column) -> Column:
     """Inverse of the standard normal distribution, by rational approximation; -5 and 5 at the ends."""
-    # Coefficients of Acklam's approximation.
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
-
-    def poly(terms: list[float], x: Column) -> Column:
-        out = F.lit(terms[0])
-        for t in terms[1:]:
-            out = out * x + t
-        return out
-
-    tail = lambda q: poly(c, q) / (poly(d, q) * q + 1)
-    mid = p - 0.5
-    centre = poly(a, mid * mid) * mid / (poly(b, mid * mid) * mid * mid + 1)
     low = F.sqrt(-2 * F.log(F.when((p > 0) & (p < 0.02425), p)))
     high = F.sqrt(-2 * F.log(F.when((p < 1) & (p > 0.97575), 1 - p)))
-    return F.when(p <= 0, -5.0).when(p >= 1, 5.0).when(p < 0.02425, tail(low)).when(p > 0.97575, -tail(high)).otherwise(centre)
+    return F.when(p <= 0, -5.0).when(p >= 1, 5.0).when(p < 0.02425, _tail(low)).when(p > 0.97575, -_tail(high)).otherwise(_centre(p - 0.5))
+
+
+def probit_array(p: np.ndarray) -> np.ndarray:
+    """The same of an array within 0 and 1, both left out."""
+    side = np.minimum(p, 1 - p)
+    tail = _tail(np.sqrt(-2 * np.log(side)))
+    return np.where(side < 0.02425, np.where(p < 0.5, tail, -tail), _centre(p - 0.5))
 
 
 def clip(c: Column, limit: float = 6.0) -> Column:

@@ -1,4 +1,8 @@
-"""Feature encoding: fitted parameters become literals of Column expressions.
+"""Feature encoding: every dimension is a rule with fitted parameters.
+
+A rule is a Column expression, or a step of a kernel that encodes a whole block of columns in one
+pass over Arrow batches; both give the same values.  A few dimensions are expressions in
+generated code, more than ``WIDE`` go through the kernel, whose plan doesn't grow with them.
 
 Every source column adds a total variance of about one, times its weight: each of its
 dimensions is scaled by weight / sqrt(dimensions).
@@ -6,17 +10,21 @@ dimensions is scaled by weight / sqrt(dimensions).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.functions.scalars import clip, log_map, probit
-from tessella.operators.stats import category_stats, numeric_stats
+from tessella.functions.scalars import clip, log_map, probit, probit_array, quoted
+from tessella.operators.blocks import Summary
+from tessella.operators.stats import category_stats, column_stats
 from tessella.spec import DOUBLE_KINDS, ColumnSpec
 
 # Fixed values of the encoding.
@@ -24,21 +32,76 @@ MISSING_SUFFIX, OTHER = "（未入力）", "その他"
 LIMIT, MIN_MISSING, MAX_MISSING, MAX_LEVELS, KNOTS = 6.0, 0.02, 0.70, 30, 20_000
 #: Distinct values of one range of ranks, about.
 BUCKET = 250_000
+#: Dimensions that are encoded by expressions, at most.
+WIDE = 40
 
 
 @dataclass(frozen=True)
-class Feature:
-    """One dimension: its source column, label, level (for a one-hot) and value.
+class Rule:
+    """How a dimension follows from its source column ``name``.
 
-    If ``ranks`` has a table, ``looked_up`` gives the value from the count found in it.
+    ``kind`` is ``plain`` or ``log`` ((x - center) / scale, held within -6 and 6), ``ranks`` (normal score
+    of the rank), each ``middle`` where x is missing; or an indicator with the share ``center`` of
+    ones: ``missing``, ``level`` (x is the one of ``levels``) or ``other`` (x is none of them).
     """
 
+    kind: str
+    name: str
+    center: float = 0.0
+    scale: float = 1.0
+    middle: float = 0.0
+    size: float = 1.0
+    levels: tuple[str, ...] = ()
+    ranks: Ranks | None = None
+
+    def column(self, known: Column | None = None) -> Column:
+        """``known``: how many values are below, where ranks were looked up."""
+        c = F.col(quoted(self.name))
+        if self.kind in ("plain", "log", "ranks"):
+            value = clip(self.ranks.normal(c, known)) if self.kind == "ranks" else scaled(log_map(c) if self.kind == "log" else c, self.center, self.scale)
+            # Not coalesce: what is clipped is never null, since greatest and least pass over nulls.
+            return F.when(c.isNull(), F.lit(float(self.middle))).otherwise(value) * self.size
+        if self.kind == "missing":
+            hit = c.isNull()
+        else:
+            hit = F.coalesce(c.isin(*self.levels), F.lit(False))
+            hit = c.isNotNull() & ~hit if self.kind == "other" else hit
+        return indicator(hit, self.center) * self.size
+
+    def array(self, x: pa.Array, known: pa.Array | None = None) -> np.ndarray:
+        if self.kind in ("plain", "log", "ranks"):
+            v = x.to_numpy(zero_copy_only=False).astype(np.float64)
+            gone = np.isnan(v)
+            if self.kind == "ranks":
+                v = self.ranks.scores(v, None if known is None else known.to_numpy(zero_copy_only=False).astype(np.float64))
+            else:
+                v = ((np.log1p(np.maximum(v, 0.0)) if self.kind == "log" else v) - self.center) / self.scale
+            return np.where(gone, self.middle, np.clip(v, -LIMIT, LIMIT)) * self.size
+        if self.kind == "missing":
+            hit = x.is_null()
+        else:
+            hit = pc.fill_null(pc.is_in(x, pa.array(self.levels, x.type)), False)
+            hit = pc.and_(x.is_valid(), pc.invert(hit)) if self.kind == "other" else hit
+        return (hit.to_numpy(zero_copy_only=False).astype(np.float64) - self.center) / spread(self.center) * self.size
+
+
+@dataclass(frozen=True)
+class Feature:
+    """One dimension: its source column, label, level (for a one-hot) and rule."""
+
     column: str
     label: str
     level: str | None
-    value: Column
-    looked_up: Callable[[Column], Column] | None = None
-    ranks: Ranks | None = None
+    rule: Rule
+
+    @property
+    def value(self) -> Column:
+        return self.rule.column()
+
+    @property
+    def looked_up(self) -> bool:
+        """Whether its ranks are in a table."""
+        return self.rule.ranks is not None and self.rule.ranks.table is not None
 
 
 def choose_transform(spec: ColumnSpec, s: dict) -> str:
@@ -90,6 +153,14 @@ class Ranks:
     below: Sequence[int]
     table: DataFrame | None = None
 
+    def scores(self, x: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Normal scores of an array; what is missing gets any."""
+        at, counts = np.asarray(self.values, float), np.append(np.asarray(self.below, float), float(self.n))
+        below = counts[np.searchsorted(at, x, side="left")]
+        if known is not None:
+            below = np.where(np.isnan(known), below, known)
+        return probit_array(np.clip((below + 0.5) / max(1, self.n), 0.0005, 0.9995))
+
     def normal(self, c: Column, known: Column | None = None) -> Column:
         """Normal score of the share of values below; ``known`` is the count where it was looked up."""
         at, counts = np.asarray(self.values, float), np.append(np.asarray(self.below, float), float(self.n))
@@ -138,48 +209,50 @@ def fit_ranks(df: DataFrame, column: str, *, knots: int = KNOTS, bucket: int = B
 
 def numeric_features(spec: ColumnSpec, s: dict, moments: dict, n: int, ranks: Ranks | None = None) -> list[Feature]:
     """The dimension of a numeric column, and a second one that marks missing values if they are neither rare nor most."""
-    c, mode = F.col(f"`{spec.name}`"), choose_transform(spec, s)
+    mode = choose_transform(spec, s)
+    share = s["missing"] / n if n else 0.0
+    marked = MIN_MISSING <= share <= MAX_MISSING
+    size = spec.weight / sqrt(2 if marked else 1)
     if mode == "quantile":
-        value, middle = clip(ranks.normal(c)), 0.0
+        rule = Rule("ranks", spec.name, size=size, ranks=ranks)
     elif mode == "log":
-        value = scaled(log_map(c), moments["log_mean"], moments["log_sd"])
         middle = (np.log1p(max(0.0, s["median"])) - moments["log_mean"]) / moments["log_sd"]
+        rule = Rule("log", spec.name, moments["log_mean"], moments["log_sd"], float(middle), size)
     else:
         center, scale = {
             "standard": (moments["mean"], moments["sd"]),
             "robust": (s["median"], robust_scale(s)),
             "minmax": (s["min"], (s["max"] - s["min"]) or 1.0),
         }[mode]
-        value, middle = scaled(c, center, scale), (s["median"] - center) / scale
-    share = s["missing"] / n if n else 0.0
-    marked = MIN_MISSING <= share <= MAX_MISSING
-    size = spec.weight / sqrt(2 if marked else 1)
-    finish = lambda v: F.coalesce(v, F.lit(float(middle))) * size
-    looked_up = (lambda known: finish(clip(ranks.normal(c, known)))) if mode == "quantile" and ranks.table is not None else None
-    out = [Feature(spec.name, spec.name, None, finish(value), looked_up, ranks if looked_up else None)]
+        rule = Rule("plain", spec.name, center, scale, (s["median"] - center) / scale, size)
+    out = [Feature(spec.name, spec.name, None, rule)]
     if marked:
-        out.append(Feature(spec.name, spec.name + MISSING_SUFFIX, None, indicator(c.isNull(), share) * size))
+        out.append(Feature(spec.name, spec.name + MISSING_SUFFIX, None, Rule("missing", spec.name, share, size=size)))
     return out
 
 
+def spread(share: float) -> float:
+    """The deviation of an indicator whose share of ones is known."""
+    return sqrt(max(share * (1 - share), 1e-6))
+
+
 def indicator(hit: Column, share: float) -> Column:
     """A standardised 0/1 dimension whose share of ones is known."""
-    return (hit.cast("double") - F.lit(share)) / F.lit(sqrt(max(share * (1 - share), 1e-6)))
+    return (hit.cast("double") - F.lit(share)) / F.lit(spread(share))
 
 
 def category_features(spec: ColumnSpec, levels: Sequence[tuple[str, int]], missing: int, n: int) -> list[Feature]:
     """One-hot dimensions of the frequent levels, one for the others if they are many, one for missing values."""
-    c = F.col(f"`{spec.name}`")
     least = max(5, int(0.002 * n))
     top = [(v, k) for v, k in levels if k >= least][:MAX_LEVELS]
     rest = n - missing - sum(k for _, k in top)
-    hits: list[tuple[str, str, Column, int]] = [(f"{spec.name}={v}", v, F.coalesce(c == v, F.lit(False)), k) for v, k in top]
+    hits: list[tuple[str, str, str, tuple[str, ...], int]] = [(f"{spec.name}={v}", v, "level", (v,), k) for v, k in top]
     if rest >= least:
-        hits.append((f"{spec.name}={OTHER}", OTHER, c.isNotNull() & ~F.coalesce(c.isin([v for v, _ in top]), F.lit(False)), rest))
+        hits.append((f"{spec.name}={OTHER}", OTHER, "other", tuple(v for v, _ in top), rest))
     if n and missing / n >= MIN_MISSING:
-        hits.append((spec.name + MISSING_SUFFIX, MISSING_SUFFIX, c.isNull(), missing))
+        hits.append((spec.name + MISSING_SUFFIX, MISSING_SUFFIX, "missing", (), missing))
     size = spec.weight / sqrt(len(hits)) if hits else 0.0
-    return [Feature(spec.name, label, level, indicator(hit, k / n) * size) for label, level, hit, k in hits]
+    return [Feature(spec.name, label, level, Rule(kind, spec.name, k / n, size=size, levels=values)) for label, level, kind, values, k in hits]
 
 
 @dataclass
@@ -195,58 +268,86 @@ class EncodePlan:
         """The features of a row alone; see ``encode`` for quantiles of many distinct values."""
         return F.array(*[f.value.cast("double") for f in self.features])
 
-    def encode(self, df: DataFrame, *keep: str) -> DataFrame:
-        """``keep...`` and ``features``; also on a stream.
+    def encode(self, df: DataFrame, *keep: str, block: bool | None = None) -> DataFrame:
+        """``keep...`` and ``features``; also on a stream.  ``block`` sets which way is taken.
 
         Ranks of more than ``KNOTS`` distinct values are looked up in their table.  Only a
         value that the fitted table doesn't have takes the count of the next knot.
         """
-        cells = []
+        df = self.with_ranks(df)
+        if not (len(self.features) > WIDE if block is None else block):
+            cells = [f.rule.column(F.col(f"__below{k}") if f.looked_up else None) for k, f in enumerate(self.features)]
+            return df.select(*keep, F.array(*[c.cast("double") for c in cells]).alias("features"))
+        rows, kernel, fields = self.block(df, *keep)
+        return rows.mapInArrow(lambda batches: (kernel(b) for b in batches if len(b)), T.StructType([*fields, T.StructField("features", T.ArrayType(T.DoubleType()))]))
+
+    def with_ranks(self, df: DataFrame) -> DataFrame:
+        """``df`` with the counts of the columns whose ranks are in tables."""
         for k, f in enumerate(self.features):
-            if f.looked_up is None:
-                cells.append(f.value)
-                continue
-            ranks = f.ranks.table.select(F.col("value").alias(f"__value{k}"), F.col("below").alias(f"__below{k}"))
-            df = df.join(ranks, F.col(f"`{f.column}`").cast("double") == F.col(f"__value{k}"), "left")
-            cells.append(f.looked_up(F.col(f"__below{k}")))
-        return df.select(*keep, F.array(*[c.cast("double") for c in cells]).alias("features"))
-
-
-def log_and_plain_moments(df: DataFrame, columns: Sequence[str], strings: Sequence[str]) -> tuple[dict[str, dict], int, list[int]]:
-    """Mean and population deviation of every column and of its log map, the number of rows, and of missing strings, in one job."""
-    floor = lambda x: F.sqrt(F.greatest(F.coalesce(F.var_pop(x), F.lit(0.0)), F.lit(1e-12)))
-    zero = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
-    cells = []
-    for k, name in enumerate(columns):
-        c = F.col(f"`{name}`")
-        cells.append(F.struct(zero(c).alias("mean"), floor(c).alias("sd"), zero(log_map(c)).alias("log_mean"), floor(log_map(c)).alias("log_sd")).alias(f"m{k}"))
-    row = df.agg(F.count("*").alias("n"), *cells, *[F.count_if(F.col(f"`{s}`").isNull()).alias(f"c{k}") for k, s in enumerate(strings)]).first()
-    return {name: row[f"m{k}"].asDict() for k, name in enumerate(columns)}, row.n, [row[f"c{k}"] for k in range(len(strings))]
-
-
-def fit_encoding(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str, *, seed: int = 42, numeric: dict[str, dict] | None = None, levels: dict[str, list[tuple[str, int]]] | None = None) -> EncodePlan:
+            if f.looked_up:
+                ranks = f.rule.ranks.table.select(F.col("value").alias(f"__value{k}"), F.col("below").alias(f"__below{k}"))
+                df = df.join(ranks, F.col(quoted(f.column)).cast("double") == F.col(f"__value{k}"), "left")
+        return df
+
+    def block(self, df: DataFrame, *keep: str):
+        """The columns that the kernel reads, the kernel, and the fields of ``keep``; the kernel makes ``keep..., features`` of a batch."""
+        text = {f.column for f in self.features if f.rule.kind in ("level", "other")}
+        names = list(dict.fromkeys(f.column for f in self.features))
+        below = [f"__below{k}" for k, f in enumerate(self.features) if f.looked_up]
+        source = [F.col(quoted(n)).cast("string" if n in text else "double").alias(f"x{k}") for k, n in enumerate(names)]
+        rows = df.select(*[F.col(quoted(c)) for c in keep], *source, *below)
+        rules = [(f.rule if not f.looked_up else replace(f.rule, ranks=replace(f.rule.ranks, table=None)), f"x{names.index(f.column)}", f"__below{k}" if f.looked_up else None) for k, f in enumerate(self.features)]
+        first = len(keep)
+
+        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = np.empty((len(batch), len(rules)))
+            for k, (rule, name, known) in enumerate(rules):
+                out[:, k] = rule.array(batch.column(name), None if known is None else batch.column(known))
+            return pa.RecordBatch.from_arrays([*batch.columns[:first], list_array(out)], names=[*batch.schema.names[:first], "features"])
+
+        return rows, kernel, rows.schema.fields[:first]
+
+
+def list_array(rows: np.ndarray) -> pa.ListArray:
+    """A matrix as a column of arrays."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, max(1, rows.shape[1]), dtype=np.int32)[: len(rows) + 1]), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def moments_of(columns: Sequence[str], m: Summary) -> dict[str, dict]:
+    """Mean and population deviation of every column and of its log map."""
+    floor = lambda m2: np.sqrt(np.maximum(m2 / np.maximum(m.n, 1), 1e-12))
+    figures = zip(m.mean, floor(m.m2), m.log_mean, floor(m.log_m2), strict=True)
+    return {c: dict(zip(("mean", "sd", "log_mean", "log_sd"), map(float, f), strict=True)) for c, f in zip(columns, figures, strict=True)}
+
+
+def fit_encoding(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str, *, numeric: tuple[list[dict], Summary] | None = None, levels: dict[str, list[tuple[str, int]]] | None = None, missing: dict[str, int] | None = None, rows: int | None = None) -> EncodePlan:
     """The encoding of the feature columns of a typed table (doubles and strings).
 
-    Three jobs whatever the number of columns: statistics, moments with counts, and levels (and
-    the ranks of each column with the quantile transform).
+    As many passes whatever the number of columns: statistics, counts and levels (and the ranks of each column
+    with the quantile transform).  What is known already may be given: ``numeric`` as
+    :func:`column_stats` has it, ``levels`` and ``missing`` of text columns, and the number of rows.
     """
     used = [s for s in specs if s.role == "feature" and s.weight > 0]
     doubles, strings = [s for s in used if s.kind in DOUBLE_KINDS], [s for s in used if s.kind not in DOUBLE_KINDS]
-    if numeric is None:
-        numeric = {r["column"]: r.asDict() for r in numeric_stats(df, [s.name for s in doubles]).collect()} if doubles else {}
+    found, summary = numeric or (column_stats(df, [s.name for s in doubles]) if doubles else ([], None))
+    own = {r["column"]: r for r in found}
+    moments = moments_of([r["column"] for r in found], summary) if found else {}
     if levels is None:
         levels = {}
         for r in category_stats(df, [s.name for s in strings], row_id).orderBy("column", "rank").collect() if strings else []:  # 200 rows a column
             levels.setdefault(r["column"], []).append((r.value, r.n))
-    moments, n, missing = log_and_plain_moments(df, [s.name for s in doubles], [s.name for s in strings])
+    if missing is None or rows is None:
+        row = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(quoted(s.name)).isNull()).alias(f"c{k}") for k, s in enumerate(strings)]).first() if strings or not found else None
+        rows = row.n if row else summary.rows
+        missing = {s.name: row[f"c{k}"] for k, s in enumerate(strings)}
     out: list[Feature] = []
-    for s in specs:
-        if s in doubles and numeric[s.name]["n"] and numeric[s.name]["sd"]:
-            own = numeric[s.name]
-            ranks = fit_ranks(df, s.name) if choose_transform(s, own) == "quantile" else None
-            out += numeric_features(s, own, moments[s.name], n, ranks)
-        elif s in strings and len(levels.get(s.name, [])) > 1:
-            dims = category_features(s, levels[s.name], missing[strings.index(s)], n)
+    for s in used:
+        if s.kind in DOUBLE_KINDS:
+            if own[s.name]["n"] and own[s.name]["sd"]:
+                ranks = fit_ranks(df, s.name) if choose_transform(s, own[s.name]) == "quantile" else None
+                out += numeric_features(s, own[s.name], moments[s.name], rows, ranks)
+        elif len(levels.get(s.name, [])) > 1:
+            dims = category_features(s, levels[s.name], missing[s.name], rows)
             out += dims if len(dims) > 1 else []
     if not out:
         raise ValueError("no column can be used as a feature")

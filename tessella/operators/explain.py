@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import formats
-from tessella.operators.stats import top_rows
+from tessella.operators import blocks
+from tessella.operators.stats import column_stats, top_rows
 
 # Fixed values of the explanation.
 MIN_Z, MIN_LIFT, MIN_SHARE, MAX_HIGHLIGHTS, TOP_LEVELS, OTHER = 0.2, 1.25, 0.08, 6, 12, "その他"
@@ -24,38 +26,32 @@ def cluster_sizes(df: DataFrame, k: int, label: str = "label") -> DataFrame:
     return out.withColumn("share", F.col("size") / F.greatest(total, F.lit(1)))
 
 
-def _long_doubles(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
-    return df.select(F.col(label).cast("int").alias("label"), F.explode(cells).alias("c")).select("label", "c.column", "c.x")
-
-
-def numeric_profile(df: DataFrame, columns: Sequence[str], k: int, label: str = "label", *, overall: dict[str, dict] | None = None, medians: DataFrame | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str], k: int, label: str = "label", *, overall: tuple[list[dict], blocks.Summary] | None = None) -> DataFrame:
     """A row a column and label: ``mean, median, z, ratio`` and the column's ``separation`` (eta squared).
 
-    An aggregate over one unpivoted pass, whatever the number of columns, and a second one
-    unless the columns' statistics are known (``overall``, as ``numeric_stats`` has them).
-    ``medians`` (``column, label, median``) may be known too, then no task holds all distinct
-    values of a column.
+    Means and exact medians of all labels and columns take two passes, whatever their numbers, and
+    the columns' own statistics three more unless they are known (``overall``, as
+    ``column_stats`` has them).
     """
-    cells = _long_doubles(df, columns, label)
-    middle = F.percentile("x", 0.5)
-    own = cells.groupBy("column", "label").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), *([] if medians else [middle.alias("median")]))
-    if medians:
-        own = own.join(F.broadcast(medians), ["column", "label"], "left")  # a row a column and label
-    if overall is None:
-        total = cells.groupBy("column").agg(F.count("x").alias("total"), F.avg("x").alias("overall_mean"), F.stddev_samp("x").alias("sd"), middle.alias("overall_median"))
-    else:  # a row a column
-        known = [(c, int(overall[c]["n"]), *(float(overall[c][s]) for s in ("mean", "sd", "median"))) for c in columns]
-        total = F.broadcast(df.sparkSession.createDataFrame(known, "column string, total long, overall_mean double, sd double, overall_median double"))
-    grid = total.filter("total > 0").select("column", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("label"), "total", "overall_mean", "overall_median", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd"))
-    out = grid.join(own, ["column", "label"], "left")
-    gap = F.col("mean") - F.col("overall_mean")
-    between = F.sum(F.col("n") * gap * gap).over(Window.partitionBy("column"))
-    apart = F.coalesce(F.least(F.lit(1.0), between / (F.col("sd") * F.col("sd") * F.greatest(F.lit(1), F.col("total") - 1))), F.lit(0.0))
-    return out.select(
-        "column", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "median", F.coalesce(gap / F.col("sd"), F.lit(0.0)).alias("z"),
-        F.when(F.abs("overall_mean") > 1e-12, F.col("mean") / F.col("overall_mean")).alias("ratio"), "overall_mean", "overall_median", apart.alias("separation"),
-    )
+    found, summary = overall or column_stats(df, columns)
+    known = {r["column"]: r for r in found}
+    medians, n, means = blocks.quantiles(df, columns, [0.5], summary=blocks.take(summary, [list(known).index(c) for c in columns]), group=label, groups=k, means=True)
+    rows = []
+    for j, c in enumerate(columns):
+        s = known[c]
+        if not s["n"]:
+            continue
+        sd = s["sd"] if s["sd"] > 0 else 1.0
+        gap = np.where(n[:, j] > 0, means[:, j] - s["mean"], 0.0)
+        between = float((n[:, j] * gap * gap).sum())
+        apart = min(1.0, between / (sd * sd * max(1, s["n"] - 1)))
+        for g in range(k):
+            live = n[g, j] > 0
+            mean = float(means[g, j]) if live else None
+            ratio = mean / s["mean"] if live and abs(s["mean"]) > 1e-12 else None
+            rows.append((c, g, int(n[g, j]), mean, float(medians[g, j, 0]) if live else None, float(gap[g] / sd), ratio, s["mean"], s["median"], apart))
+    kinds = "column string, label int, n long, mean double, median double, z double, ratio double, overall_mean double, overall_median double, separation double"
+    return df.sparkSession.createDataFrame(rows, kinds)
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str], k: int, row_id: str, label: str = "label", *, top: int = TOP_LEVELS) -> DataFrame:

@@ -13,6 +13,8 @@ from tessella.operators.stats import long_values
 from tessella.spec import ColumnSpec, default_role
 
 SAMPLE_ROWS, PROBE_ROWS, DISTINCT_CAP = 5_000, 1_000, 5_000
+#: Tasks that the sample's cells are dealt over.
+TASKS = 16
 #: Column names that stand for identifiers.
 ID_NAME = r"(?i)(^|[ _\-])(id|uid|uuid|key|code|no)([ _\-]|$)|コード$|番号$|^id$"
 SENTENCE = "[。、．，]|\\.\\s|\\?|？|！|!"
@@ -50,7 +52,7 @@ def column_profile(sample: DataFrame, columns: Sequence[str], row_id: str) -> Da
         return F.coalesce(F.count_if(F.col("probe") & parsed.isNotNull()) / F.when(F.count_if("probe") > 0, F.count_if("probe")), F.lit(0.0))
 
     out = cells.groupBy("column").agg(
-        F.count("*").alias("n_rows"), F.count("filled_value").alias("filled"), F.least(F.count_distinct("filled_value"), F.lit(DISTINCT_CAP)).alias("distinct_count"),
+        F.count("*").alias("n_rows"), F.count("filled_value").alias("filled"), F.least(F.size(F.collect_set("filled_value")), F.lit(DISTINCT_CAP)).cast("long").alias("distinct_count"),
         F.coalesce(F.avg(F.length("filled_value")), F.lit(0.0)).alias("avg_length"), F.coalesce(F.avg(F.col("filled_value").rlike(SENTENCE).cast("int")), F.lit(0.0)).alias("punct_rate"),
         rate(parse_number("value")).alias("numeric_rate"), rate(parse_boolean("value")).alias("bool_rate"), rate(parse_date("value")).alias("date_rate"),
         F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("probe"), F.struct(row_id, "value")))), 1, 5), lambda x: x["value"]).alias("sample_values"),
@@ -67,7 +69,8 @@ def column_profile(sample: DataFrame, columns: Sequence[str], row_id: str) -> Da
 def infer_columns(df: DataFrame, row_id: str, columns: Sequence[str] | None = None) -> list[ColumnSpec]:
     """Specs from the first ``SAMPLE_ROWS`` rows; typed columns are read as their text."""
     columns = list(columns or [c for c in df.columns if c != row_id])
-    rows = {r["column"]: r for r in column_profile(df.orderBy(row_id).limit(SAMPLE_ROWS), columns, row_id).collect()}  # a row a column
+    sample = df.orderBy(row_id).limit(SAMPLE_ROWS).repartition(TASKS)  # one partition would be read by one task
+    rows = {r["column"]: r for r in column_profile(sample, columns, row_id).collect()}  # a row a column
     out = []
     for k, name in enumerate(columns):
         r = rows.get(name)

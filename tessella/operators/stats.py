@@ -1,92 +1,46 @@
-"""Column statistics: one job for all numeric columns, one for all categorical ones."""
+"""Column statistics: three passes for all numeric columns, one job for all categorical ones."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.scalars import quoted
+from tessella.operators import blocks
+
 PROBS = (0.01, 0.25, 0.5, 0.75, 0.99)
 QUANTILES = ("p01", "p25", "median", "p75", "p99")
 TOP_LEVELS = 200
-#: Numeric columns whose statistics one aggregate takes; wider tables are cut.
-WIDTH = 60
 
 
-def numeric_summary(c: Column, *, quantiles: bool = True) -> Column:
-    """A struct of the statistics of a double column without NaN; zeros if all is missing, or in place of quantiles that aren't asked for."""
-    n = F.count(c)
-    found = F.percentile(c, F.array(*map(F.lit, PROBS))) if quantiles else F.array(*[F.lit(0.0)] * len(PROBS))
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    sd = F.stddev_samp(c)
-    skew = F.when((n > 2) & (F.var_pop(c) > 0), F.skewness(c))
-    return F.struct(
-        n.alias("n"), F.count_if(c.isNull()).alias("missing"), zero(F.avg(c)).alias("mean"), zero(sd).alias("sd"), zero(F.min(c)).alias("min"), zero(F.max(c)).alias("max"),
-        *[zero(found[k]).alias(q) for k, q in enumerate(QUANTILES)], zero(skew).alias("skewness"),
-    )
+def column_stats(df: DataFrame, columns: Sequence[str], *, quantiles: bool = True) -> tuple[list[dict], blocks.Summary]:
+    """The statistics of each column, zeros where all is missing, and the summary they come from; quantiles are exact."""
+    m = blocks.summarise(df, columns)
+    found = np.nan_to_num(blocks.quantiles(df, columns, PROBS, summary=m)[0]) if quantiles else np.zeros((len(columns), len(PROBS)))
+    sd, skewness = np.sqrt(m.m2 / np.maximum(m.n - 1, 1)), m.skewness()
+    out = []
+    for k, c in enumerate(columns):
+        ends = (m.low[k], m.high[k]) if m.n[k] else (0.0, 0.0)
+        figures = (m.mean[k], sd[k], *ends, *found[k], skewness[k])
+        out.append({"column": c, "n": int(m.n[k]), "missing": int(m.rows - m.n[k])} | dict(zip(("mean", "sd", "min", "max", *QUANTILES, "skewness"), map(float, figures), strict=True)))
+    return out, m
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str], *, quantiles: bool = True) -> DataFrame:
     """A row a column: ``column, n, missing, mean, sd, min, max, p01 ... p99, skewness``."""
-    parts = []
-    for start in range(0, len(columns), WIDTH):
-        names = columns[start : start + WIDTH]
-        one = df.agg(*[numeric_summary(F.col(f"`{c}`").cast("double"), quantiles=quantiles).alias(f"s{k}") for k, c in enumerate(names)])
-        parts.append(one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{k}").alias("s")) for k, c in enumerate(names)])).alias("x")).select("x.column", "x.s.*"))
-    return reduce(DataFrame.union, parts)
-
-
-def narrowed_quantiles(df: DataFrame, targets: Sequence[tuple[Column, float]], *, accuracy: int = 20_000, gather: int = 200_000) -> list[float]:
-    """The exact linear quantile of each (double column, share) over all rows, 0 without any; no task holds all distinct values.
-
-    A sketch of what lies within a target's bounds gives narrower ones, whose places are
-    then counted: bounds that don't hold the target are taken back and the next ones are
-    wider.  ``percentile`` runs over the values that are left, ``gather`` or few more.
-    Three passes up to about 10^9 rows, two more for each 5,000 times as many.
-    """
-    out = [0.0] * len(targets)
-    for start in range(0, len(targets), WIDTH):
-        part = list(targets[start : start + WIDTH])
-        sizes = df.agg(*[F.count(c).alias(f"n{k}") for k, (c, _) in enumerate(part)]).first()
-        low, high, below = [float("-inf")] * len(part), [float("inf")] * len(part), [0] * len(part)
-        inside, between, margin = list(sizes), list(sizes), [2.0 / accuracy] * len(part)
-        place = [(n - 1) * p for n, (_, p) in zip(sizes, part, strict=True)]
-
-        def within(k: int, low: float, high: float, part: list = part) -> Column:
-            return F.when((part[k][0] >= low) & (part[k][0] <= high), part[k][0])
-
-        wide = [k for k in range(len(part)) if between[k] > gather]
-        for _ in range(12):
-            if not wide:
-                break
-            shares = {k: (max(0.0, (place[k] - below[k]) / inside[k] - margin[k]), min(1.0, (place[k] - below[k] + 1) / inside[k] + margin[k])) for k in wide}
-            row = df.agg(*[F.percentile_approx(within(k, low[k], high[k]), F.array(*map(F.lit, shares[k])), accuracy).alias(f"q{k}") for k in wide]).first()
-            new = {k: (row[f"q{k}"][0] if shares[k][0] > 0 else low[k], row[f"q{k}"][1] if shares[k][1] < 1 else high[k]) for k in wide}
-            cells = []
-            for k in wide:
-                x, (a, b) = part[k][0], new[k]
-                cells += [F.count_if(x < a).alias(f"b{k}"), F.count_if((x >= a) & (x <= b)).alias(f"i{k}"), F.count_if((x > a) & (x < b)).alias(f"m{k}")]
-            row = df.agg(*cells).first()
-            for k in wide:
-                if row[f"b{k}"] <= place[k] <= row[f"b{k}"] + row[f"i{k}"] - 1:
-                    (low[k], high[k]), below[k], inside[k], between[k] = new[k], row[f"b{k}"], row[f"i{k}"], row[f"m{k}"]
-                else:
-                    margin[k] *= 4
-            wide = [k for k in wide if between[k] > gather]
-        live = [k for k in range(len(part)) if sizes[k]]
-        if live:
-            row = df.agg(*[F.percentile(within(k, low[k], high[k]), min(1.0, max(0.0, (place[k] - below[k]) / max(1, inside[k] - 1)))).alias(f"q{k}") for k in live]).first()
-            for k in live:
-                out[start + k] = row[f"q{k}"]
-    return out
+    rows = column_stats(df, columns, quantiles=quantiles)[0]
+    kinds = "column string, n long, missing long, " + ", ".join(f"{n} double" for n in ("mean", "sd", "min", "max", *QUANTILES, "skewness"))
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in rows], kinds)
 
 
 def long_values(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     """``keep..., column, value``: all columns as strings, a row a cell; one pass, no shuffle."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    return df.select(*keep, F.explode(cells).alias("x")).select(*keep, "x.column", "x.value")
+    names = ", ".join("'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'" for c in columns)
+    cells = ", ".join(f"CAST({quoted(c)} AS STRING)" for c in columns)
+    return df.select(*keep, F.expr(f"posexplode(array({cells}))").alias("k", "value")).select(*keep, F.expr(f"get(array({names}), k)").alias("column"), "value")
 
 
 def level_counts(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
@@ -122,7 +76,7 @@ def dictionary_codes(df: DataFrame, column: str, row_id: str, *, cap: int = 20_0
 
 def all_missing(columns: Sequence[str]) -> Column:
     """Rows in which every one of the columns is missing."""
-    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in columns])
+    return F.expr(" AND ".join(f"{quoted(c)} IS NULL" for c in columns))
 
 
 def effective_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

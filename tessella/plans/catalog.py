@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars
-from tessella.operators import cluster, encode, evaluate, explain, export, infer, reduce, stats
+from tessella.operators import blocks, cluster, encode, evaluate, explain, export, infer, reduce, stats
 from tessella.plans import sqltext as sql
 from tessella.plans.session import Session, capped_levels, typed_table
 from tessella.sources.text import ROW_ID, read_delimited, with_row_id
@@ -197,8 +197,11 @@ _stats_query("numeric_stats_events", "events", ["value"])
 
 @query("SELECT p_size, round(quantile_cont(p_retailprice, 0.1), 6) AS q10, round(quantile_cont(p_retailprice, 0.5), 6) AS q50, round(quantile_cont(p_retailprice, 0.9), 6) AS q90 FROM part GROUP BY p_size")
 def quantiles_linear(spark, sf_dir):
-    q = F.percentile("p_retailprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return read(spark, sf_dir, "part").groupBy("p_size").agg(q.alias("q")).select("p_size", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("q10", "q50", "q90"))])
+    part = read(spark, sf_dir, "part")
+    groups = part.agg(F.max("p_size")).first()[0] + 1
+    found = blocks.quantiles(part, ["p_retailprice"], [0.1, 0.5, 0.9], group="p_size", groups=groups)
+    rows = [(size, *map(float, q[0])) for size, q in enumerate(found) if not np.isnan(q).any()]
+    return rounded(spark.createDataFrame(rows, "p_size int, q10 double, q50 double, q90 double"))
 
 
 @query("""WITH c AS (SELECT 'p_brand' AS "column", p_brand AS value, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY p_brand UNION ALL SELECT 'p_type', p_type, count(*), min(p_partkey) FROM part GROUP BY p_type),
@@ -269,7 +272,7 @@ def encode_quantile(spark, sf_dir):
 
 
 @query(f"""WITH g AS ({GAPS_SQL}), m AS (SELECT avg(price) AS m, stddev_pop(price) AS s, median(price) AS md, count(*) FILTER (WHERE price IS NULL) / count(*) AS p FROM g)
-SELECT o_orderkey, round(coalesce({CLIP.format("(price - m) / s")}, (md - m) / s) / sqrt(2), 6) AS x, round((CASE WHEN price IS NULL THEN 1 ELSE 0 END - p) / sqrt(p * (1 - p)) / sqrt(2), 6) AS missing FROM g, m""")
+SELECT o_orderkey, round(CASE WHEN price IS NULL THEN (md - m) / s ELSE {CLIP.format("(price - m) / s")} END / sqrt(2), 6) AS x, round((CASE WHEN price IS NULL THEN 1 ELSE 0 END - p) / sqrt(p * (1 - p)) / sqrt(2), 6) AS missing FROM g, m""")
 def encode_impute_indicator(spark, sf_dir):
     df = with_gaps(spark, sf_dir)
     out = encode.fit_encoding(df, [spec("price", transform="standard")], "o_orderkey").encode(df, "o_orderkey")
@@ -620,8 +623,7 @@ def labelled_rows(spark, sf_dir):
 
 def _pca(spark, sf_dir, k: int) -> tuple[DataFrame, reduce.Pca]:
     df = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
-    sample = stats.hash_sample(df, "vec_id", reduce.sample_rows(df.count(), 64), 42)
-    return df, reduce.fit_pca(cluster.matrix(sample.select("features").toArrow().column(0)), k)
+    return df, reduce.fit_pca(df.select("features"), 64, k)
 
 
 @query()

@@ -17,15 +17,15 @@ from pyspark.sql import types as T
 from tessella.functions.scalars import parse_sql, quoted, text_sql
 from tessella.operators import cluster, evaluate, explain, export, reduce
 from tessella.operators.encode import EncodePlan, fit_encoding
-from tessella.operators.infer import infer_columns
-from tessella.operators.stats import PROBS, QUANTILES, category_stats, dictionary_codes, effective_rows, hash_sample, narrowed_quantiles, numeric_stats, systematic
+from tessella.operators.infer import SAMPLE_ROWS, infer_columns
+from tessella.operators.stats import all_missing, category_stats, column_stats, dictionary_codes, hash_sample, systematic
 from tessella.plans.store import Store
-from tessella.sources.text import EXTENSIONS, PREVIEW_ROWS, ROW_ID, detect_format, read_any
+from tessella.sources.text import PREVIEW_ROWS, ROW_ID, open_delimited, read_any
 from tessella.spec import DOUBLE_KINDS, ColumnSpec, RunOptions
 
 DICTIONARY_CAP, SCATTER_ROWS = 20_000, 20_000
-#: Above so many rows, quantiles are found by narrowing, in some passes more; they are the same.
-EXACT_ROWS = 2_000_000
+#: Columns that are parsed by an expression each, at most.
+WIDE = 40
 PHASES = ("inspect", "load", "encode", "reduce", "search-k", "cluster", "profile", "export", "done")
 
 
@@ -65,6 +65,7 @@ def typed_table(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID
     if not kept:
         raise ValueError("every column is ignored")
     out, schema = [], df.schema
+    texts: dict[str, list[str]] = {}  # parsed kinds, and the columns of text that are
     for s in kept:
         c, kind = F.col(quoted(s.name)), schema[s.name].dataType
         text = quoted(s.name) if isinstance(kind, T.StringType) else f"CAST({quoted(s.name)} AS STRING)"
@@ -77,10 +78,15 @@ def typed_table(df: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID
             value = F.unix_micros(c.cast("timestamp")) / F.lit(86400e6)
         elif isinstance(kind, T.DateType) and s.kind == "datetime":
             value = F.unix_date(c).cast("double")
+        elif len(kept) > WIDE:
+            texts.setdefault(s.kind, []).append(text)
+            value = F.get(f"__{s.kind}", F.lit(len(texts[s.kind]) - 1))
         else:
             value = F.expr(parse_sql(s.kind, text))
         out.append(value.alias(s.name))
-    return df.select(row_id, *out)
+    # A wide table's columns of a kind are parsed as one array by one expression.
+    arrays = [F.expr(f"transform(array({', '.join(cells)}), x -> {parse_sql(kind, 'x')})").alias(f"__{kind}") for kind, cells in texts.items()]
+    return (df.select("*", *arrays) if arrays else df).select(row_id, *out)
 
 
 def capped_levels(typed: DataFrame, specs: Sequence[ColumnSpec], row_id: str = ROW_ID, *, cap: int = DICTIONARY_CAP) -> DataFrame:
@@ -121,21 +127,27 @@ class Session:
         """A path, or a table that has a dense ``row_id``; forgets what was loaded before."""
         self.progress("inspect")
         self.drop()
-        self.table = read_any(self.spark, source) if isinstance(source, str) else source.withColumnRenamed(row_id, ROW_ID)
         self.name = name or (source.rsplit("/", 1)[-1] if isinstance(source, str) else "table")
-        text = isinstance(source, str) and source.lower().rsplit(".", 1)[-1] in EXTENSIONS and not source.lower().endswith(("x", "m", "s"))
-        self.delimiter = detect_format(self.spark, source)[1] if text else ","
         self.result = None
-        rows = self.table.count()
+        text = isinstance(source, str) and source.lower().rsplit(".", 1)[-1] in ("csv", "tsv", "txt")
+        if text:
+            file = open_delimited(self.spark, source)
+            self.table, self.delimiter, rows = file.table(), file.delimiter, file.rows
+            head = self.store.keep(file.table(SAMPLE_ROWS))
+        else:
+            self.table = read_any(self.spark, source) if isinstance(source, str) else source.withColumnRenamed(row_id, ROW_ID)
+            self.delimiter, rows = ",", self.table.count()
+            head = self.store.keep(self.table.orderBy(ROW_ID).limit(SAMPLE_ROWS))
         if not rows:
             raise ValueError("the table has no rows")
-        specs = infer_columns(self.table, ROW_ID)
+        specs = infer_columns(head, ROW_ID)
+        preview = [r.asDict() for r in head.orderBy(ROW_ID).drop(ROW_ID).limit(PREVIEW_ROWS).collect()]
+        self.store.drop(head)
         warnings = []
         if len(specs) > 2000:
             warnings.append(f"{len(specs)} columns")
         if not any(s.role == "feature" for s in specs):
             warnings.append("no column can be used as a feature")
-        preview = [r.asDict() for r in self.table.orderBy(ROW_ID).drop(ROW_ID).limit(PREVIEW_ROWS).collect()]
         return Inspection(specs, preview, rows, warnings)
 
     def drop(self) -> None:
@@ -165,31 +177,26 @@ class Session:
         kept = [s for s in specs if s.role != "ignore"]
         doubles, strings = [s.name for s in kept if s.kind in DOUBLE_KINDS], [s.name for s in kept if s.kind not in DOUBLE_KINDS]
         features = [s.name for s in kept if s.role == "feature"]
-        count = effective_rows(df, features).first()
-        n = count.n_rows
-        one_pass = n <= EXACT_ROWS
-        numeric = {r["column"]: r.asDict() for r in numeric_stats(df, doubles, quantiles=one_pass).collect()} if doubles else {}
-        if not one_pass and doubles:
-            found = narrowed_quantiles(df, [(F.col(quoted(c)), p) for c in doubles for p in PROBS])
-            for k, c in enumerate(doubles):
-                numeric[c] |= dict(zip(QUANTILES, found[k * len(PROBS) : (k + 1) * len(PROBS)], strict=True))
+        gone = [F.count_if(F.col(quoted(c)).isNull()).alias(f"c{k}") for k, c in enumerate(strings)]
+        empty = F.count_if(all_missing(features)) if features else F.lit(0)
+        count = df.agg(F.count("*").alias("n_rows"), empty.alias("empty_rows"), *gone).first()
+        numeric = column_stats(df, doubles) if doubles else ([], None)
         levels: dict[str, list[tuple[str, int]]] = {}
         for r in category_stats(df, strings, ROW_ID).orderBy("column", "rank").collect() if strings else []:
             levels.setdefault(r["column"], []).append((r.value, r.n))
-        plan = fit_encoding(df, kept, ROW_ID, seed=o.seed, numeric=numeric, levels=levels)
-        encoded = self.store.keep(plan.encode(df, ROW_ID))
-        try:
-            return self._segment(df, encoded, plan, kept, numeric, levels, count, o, one_pass)
-        finally:
-            self.store.drop(encoded)
+        plan = fit_encoding(df, kept, ROW_ID, numeric=numeric, levels=levels, missing={c: count[f"c{k}"] for k, c in enumerate(strings)}, rows=count.n_rows)
+        return self._segment(df, plan, kept, numeric, levels, count, o)
 
-    def _segment(self, df: DataFrame, encoded: DataFrame, plan: EncodePlan, kept, numeric, levels, count, o: RunOptions, one_pass: bool) -> Result:
+    def _segment(self, df: DataFrame, plan: EncodePlan, kept, numeric, levels, count, o: RunOptions) -> Result:
         n = count.n_rows
         self.progress("reduce")
-        fit_rows = collect_matrix(hash_sample(encoded, ROW_ID, reduce.sample_rows(n, plan.size), o.seed))
-        wide = plan.size > o.pca_threshold
-        pca = reduce.fit_pca(fit_rows, max(2, min(o.pca_components, plan.size)) if wide else 2)
-        space = self.store.keep(reduce.project(encoded, pca)) if wide else encoded
+        if plan.size > o.pca_threshold:  # encoded twice, never kept: the components need one pass, their rows another
+            rows, kernel, fields = plan.block(plan.with_ranks(df), ROW_ID)
+            pca = reduce.fit_pca(rows, plan.size, max(2, min(o.pca_components, plan.size)), rows_of=lambda b: cluster.matrix(kernel(b).column("features")))
+            space = self.store.keep(reduce.project(rows, pca, kernel=kernel, fields=fields))
+        else:
+            space = self.store.keep(plan.encode(df, ROW_ID))
+            pca = reduce.fit_pca(space, plan.size, 2)
         self.progress("search-k")
         search = collect_matrix(hash_sample(space, ROW_ID, o.auto_k_sample, o.seed + 1))
         low, high = max(2, min(o.k_min, o.k_max)), min(max(o.k_min, o.k_max), max(2, len(search) // 5))
@@ -207,20 +214,20 @@ class Session:
         labels = labels.select(ROW_ID, F.element_at(F.array(*[F.lit(order.index(c)) for c in range(len(order))]), F.col("label") + 1).alias("label"), "distance")
         k = len(centers)
         self.progress("profile")
-        out = self._explain(df, labels, kept, numeric, levels, k, one_pass)
+        out = self._explain(df, labels, kept, numeric, levels, k)
         rng = np.random.default_rng(o.seed + 2)
         look = np.sort(rng.permutation(len(search))[: evaluate.SILHOUETTE_ROWS])
         silhouette = evaluate.silhouette(search[look], cluster.gaps(search[look], centers).argmin(1))
-        plane = reduce.Pca(pca.mean, pca.components[:2], pca.variances[:2], pca.ratios[:2])
-        flat = reduce.project(hash_sample(encoded, ROW_ID, SCATTER_ROWS, o.seed + 7), plane)
+        flat = hash_sample(space, ROW_ID, SCATTER_ROWS, o.seed + 7)
+        if plan.size <= o.pca_threshold:
+            flat = reduce.project(flat, pca)
         scatter = flat.join(labels.select(ROW_ID, "label"), ROW_ID)  # a bounded sample
         scatter = self.store.keep(scatter.select(ROW_ID, F.get("features", F.lit(0)).alias("x"), F.coalesce(F.get("features", F.lit(1)), F.lit(0.0)).alias("y"), "label"))
-        drivers = [reduce.axis_drivers(c, [f.column for f in plan.features]) for c in plane.components]
+        drivers = [reduce.axis_drivers(c, [f.column for f in plan.features]) for c in pca.components[:2]]
         warnings = [f"{count.empty_rows} rows without any feature are placed by medians"] if count.empty_rows else []
         self.progress("done")
-        self.result = Result(k, o.k is None, n, count.effective_rows, plan.columns, plan.size, centers.shape[1], silhouette, centers, scores, labels, out[0], out[1], out[2], scatter, drivers, [float(x) for x in plane.ratios], warnings)
-        if wide:
-            self.store.drop(space)
+        self.result = Result(k, o.k is None, n, n - count.empty_rows, plan.columns, plan.size, centers.shape[1], silhouette, centers, scores, labels, out[0], out[1], out[2], scatter, drivers, [float(x) for x in pca.ratios[:2]], warnings)
+        self.store.drop(space)
         return self.result
 
     def _centers(self, space: DataFrame, search: np.ndarray, k: int, n: int, o: RunOptions) -> np.ndarray:
@@ -233,16 +240,12 @@ class Session:
             return cluster.k_means_local(collect_matrix(space.orderBy(ROW_ID)), k, o.seed)[0]
         return cluster.lloyd(space, cluster.k_means_local(search, k, o.seed, restarts=1)[0])[0]
 
-    def _explain(self, df: DataFrame, labels: DataFrame, kept, numeric, levels, k: int, one_pass: bool) -> tuple[DataFrame, list[dict], list[dict]]:
+    def _explain(self, df: DataFrame, labels: DataFrame, kept, numeric, levels, k: int) -> tuple[DataFrame, list[dict], list[dict]]:
         both = self.store.keep(df.join(labels.select(ROW_ID, "label"), ROW_ID))
-        doubles = [s.name for s in kept if s.kind in DOUBLE_KINDS and numeric[s.name]["n"]]
+        filled = {r["column"] for r in numeric[0] if r["n"]}
+        doubles = [s.name for s in kept if s.name in filled]
         strings = [s.name for s in kept if s.kind not in DOUBLE_KINDS and len(levels.get(s.name, [])) > 1]
-        medians = None
-        if not one_pass and doubles:
-            cells = [(c, label) for c in doubles for label in range(k)]
-            found = narrowed_quantiles(both, [(F.when(F.col("label") == label, F.col(quoted(c))), 0.5) for c, label in cells])
-            medians = self.spark.createDataFrame([(c, label, m) for (c, label), m in zip(cells, found, strict=True)], "column string, label int, median double")
-        num = explain.numeric_profile(both, doubles, k, overall=numeric, medians=medians).persist() if doubles else None
+        num = explain.numeric_profile(both, doubles, k, overall=numeric) if doubles else None
         cat = explain.categorical_profile(both, strings, k, ROW_ID).persist() if strings else None
         order = [s.name for s in kept]
         kinds = {s.name: s.kind for s in kept}
@@ -267,7 +270,7 @@ class Session:
                 p["overall_share"].append(r.overall_share)
             p["clusters"][r.label]["share"].append(r.share)
             p["clusters"][r.label]["lift"].append(r.lift)
-        for kept_table in (num, cat, marks):
+        for kept_table in (cat, marks):
             if kept_table is not None:
                 kept_table.unpersist()
         self.store.drop(both)

@@ -244,28 +244,40 @@ def _joined(delimiter: str, width: int):
 CELLS = 400_000
 
 
-def parse_files(spark: SparkSession, path: str, names: list[str], *, delimiter: str, encoding: str) -> DataFrame:
-    """``_row_id`` and the named columns of a delimited file or folder; each file begins with a header, which gives no row.
+class DelimitedFile:
+    """A delimited file or folder whose splits are known: how many rows it has, and tables of them.
 
-    Row ids are dense, in the order of files and of rows in them.  Blank lines give no row, short rows
-    are padded, long ones cut; a quote that isn't closed holds all that follows.
+    Row ids are dense, in the order of files and of rows in them; each file begins with a header,
+    which gives no row.  Blank lines give no row, short rows are padded, long ones cut; a quote
+    that isn't closed holds all that follows.
     """
-    lines = read_lines(spark, path, encoding)
-    found = lines.mapInArrow(_summaries(delimiter, encoding), ", ".join(f"{n} {k}" for n, k in SPLIT.items()))
-    splits = locate(found).limit(MOST_SPLITS + 1).toArrow()  # a row a split
-    if len(splits) > MOST_SPLITS:
-        raise ValueError(f"over {MOST_SPLITS} splits: raise spark.sql.files.maxPartitionBytes")
-    width = len(names)
-    schema = T.StructType([T.StructField(ROW_ID, T.LongType())] + [T.StructField(f"c{k}", T.StringType()) for k in range(width)])
-    if not len(splits):
-        return spark.createDataFrame([], schema).toDF(ROW_ID, *names)
-    table = spark.createDataFrame(splits)
-    at = ["file", "start"]
-    out = lines.join(F.broadcast(table), at).select("split", "start", "inside", "number", "before", "line").mapInArrow(_parsed(delimiter, encoding, width), schema)
-    across = splits.filter(pc.or_(splits.column("opens"), splits.column("inside")))
-    if len(across):
-        parts = lines.join(F.broadcast(spark.createDataFrame(across)), at).drop("file", "size", "ends")
-        parts = parts.mapInArrow(_pieces(delimiter, encoding), "chain long, number long, before long, split long, text string, cut boolean")
-        whole = parts.groupBy("chain").agg(F.max("number").alias("number"), F.max("before").alias("before"), F.collect_list(F.struct("split", "text", "cut")).alias("parts"))
-        out = out.union(whole.filter("number > 0").mapInArrow(_joined(delimiter, width), schema))
-    return out.toDF(ROW_ID, *names)
+
+    def __init__(self, spark: SparkSession, path: str, names: list[str], *, delimiter: str, encoding: str) -> None:
+        self.spark, self.names, self.delimiter, self.encoding = spark, names, delimiter, encoding
+        self.lines = read_lines(spark, path, encoding)
+        found = self.lines.mapInArrow(_summaries(delimiter, encoding), ", ".join(f"{n} {k}" for n, k in SPLIT.items()))
+        self.splits = locate(found.repartition(1)).limit(MOST_SPLITS + 1).toArrow()  # a row a split
+        if len(self.splits) > MOST_SPLITS:
+            raise ValueError(f"over {MOST_SPLITS} splits: raise spark.sql.files.maxPartitionBytes")
+        ends = pc.add(pc.add(self.splits.column("before"), self.splits.column("number")), self.splits.column("rows"))
+        self.rows = max(0, (pc.max(ends).as_py() or 1) - 1)
+
+    def table(self, first: int | None = None) -> DataFrame:
+        """``_row_id`` and the named columns; only of the ``first`` rows if that is given, from the splits that have them."""
+        spark, splits, width = self.spark, self.splits, len(self.names)
+        if first is not None:
+            splits = splits.filter(pc.less_equal(pc.add(splits.column("before"), splits.column("number")), first))
+        schema = T.StructType([T.StructField(ROW_ID, T.LongType())] + [T.StructField(f"c{k}", T.StringType()) for k in range(width)])
+        if not len(splits):
+            return spark.createDataFrame([], schema).toDF(ROW_ID, *self.names)
+        at = ["file", "start"]
+        out = self.lines.join(F.broadcast(spark.createDataFrame(splits)), at).select("split", "start", "inside", "number", "before", "line").mapInArrow(_parsed(self.delimiter, self.encoding, width), schema)
+        across = self.splits.filter(pc.or_(self.splits.column("opens"), self.splits.column("inside")))
+        if len(across):
+            parts = self.lines.join(F.broadcast(spark.createDataFrame(across)), at).drop("file", "size", "ends")
+            parts = parts.mapInArrow(_pieces(self.delimiter, self.encoding), "chain long, number long, before long, split long, text string, cut boolean")
+            whole = parts.groupBy("chain").agg(F.max("number").alias("number"), F.max("before").alias("before"), F.collect_list(F.struct("split", "text", "cut")).alias("parts"))
+            out = out.union(whole.filter("number > 0").mapInArrow(_joined(self.delimiter, width), schema))
+        if first is not None:
+            out = out.filter(F.col(ROW_ID) < first)
+        return out.toDF(ROW_ID, *self.names)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.sources.delimited import PYTHON_NAMES, ROW_ID, parse_files
+from tessella.sources.delimited import PYTHON_NAMES, ROW_ID, DelimitedFile
 
 DELIMITERS = (",", "\t", ";", "|")
 HEAD_BYTES, PREVIEW_ROWS = 2 << 20, 30
@@ -122,11 +122,11 @@ def detect_format(spark: SparkSession, path: str) -> tuple[str, str, str]:
     return encoding, detect_delimiter(text), text
 
 
-def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A delimited file, or a folder of files that each have the header, as strings; see :func:`tessella.sources.delimited.parse_files`.
+def open_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DelimitedFile:
+    """A delimited file, or a folder of files that each have the header; one pass finds where its records are.
 
-    Encoding, delimiter and names are taken from the first file's first ``HEAD_BYTES``.  Row ids
-    take two reads of the same files, which must not change between them.
+    Encoding, delimiter and names are taken from the first file's first ``HEAD_BYTES``.  The files
+    must not change between reads.
     """
     found, sniffed, text = detect_format(spark, path)
     if encoding and encoding != found:
@@ -136,7 +136,12 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     head = next(iter(parse_text(text, delimiter)), None)
     if not head:
         raise ValueError("the file is empty")
-    return parse_files(spark, path, header_names(head), delimiter=delimiter, encoding=encoding)
+    return DelimitedFile(spark, path, header_names(head), delimiter=delimiter, encoding=encoding)
+
+
+def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+    """All rows of a delimited file as strings."""
+    return open_delimited(spark, path, delimiter=delimiter, encoding=encoding).table()
 
 
 def from_text(spark: SparkSession, text: str, *, delimiter: str | None = None) -> DataFrame:

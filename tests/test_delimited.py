@@ -73,6 +73,17 @@ def test_a_quote_far_from_the_head(spark, split_bytes, tmp_path):
     assert got == expected(whole) and got[-2] == (90_000, "90000", "two\nlines, one field", "5")
 
 
+def test_the_first_rows_alone(spark, split_bytes, tmp_path):
+    whole = odd_text(random.Random(11), 80)
+    (tmp_path / "f.csv").write_bytes(whole.encode())
+    split_bytes(60)
+    file = text.open_delimited(spark, str(tmp_path / "f.csv"), delimiter=",")
+    want = expected(whole)
+    assert file.rows == len(want)
+    for n in (0, 1, 7, len(want) + 5):
+        assert [tuple(r) for r in file.table(n).orderBy(ROW_ID).collect()] == want[:n]
+
+
 def test_a_field_over_many_splits(spark, split_bytes, tmp_path):
     whole = 'a,b\n1,"' + "no quote here\n" * 400 + '"\n2,x\n3,"' + 'with ""some""\n' * 300 + '",z\n4,"never closed\n' + "more\n" * 50
     (tmp_path / "f.csv").write_text(whole)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import cluster, encode, evaluate, explain, export, infer, reduce, stats
+from tessella.operators import blocks, cluster, encode, evaluate, explain, export, infer, reduce, stats
 from tessella.plans.session import Session, capped_levels, typed_table
 from tessella.sources.demo import demo_customers, wide_numeric
 from tessella.sources.text import ROW_ID, from_text
@@ -59,16 +59,27 @@ def test_ward_matches_a_plain_search():
     assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(got == c).tolist()) for c in range(3)}
 
 
-def test_pca():
+def test_pca(spark):
+    """Over all rows and any partitions; the range finder agrees with the whole covariance."""
     rng = np.random.default_rng(1)
     a = rng.normal(size=2000)
-    x = np.stack([10 * a, 5 * a + 0.1 * rng.normal(size=2000), *(0.1 * rng.normal(size=(3, 2000)))], axis=1)
-    pca = reduce.fit_pca(x, 2)
+    x = np.stack([10 * a, 5 * a + 0.1 * rng.normal(size=2000), *(0.1 * rng.normal(size=(3, 2000)))], axis=1) + 1000
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").repartition(6)
+    pca = reduce.fit_pca(df, 5, 2)
     assert pca.ratios[0] > 0.95 and abs(pca.components[0][:2]) @ abs(pca.components[0][:2]) > 0.99
-    full = reduce.fit_pca(x, 5)
+    want = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    full = reduce.fit_pca(df, 5, 5)
+    assert full.variances == pytest.approx(want, rel=1e-6, abs=1e-9) and full.mean == pytest.approx(x.mean(0))
     y = (x - full.mean) @ full.components.T
     assert np.linalg.norm(y[0] - y[1]) == pytest.approx(np.linalg.norm(x[0] - x[1]))
-    assert reduce.sample_rows(300, 100) == 300 and reduce.axis_drivers(np.array([0.1, -0.9, 0.5]), ["a", "b", "b"]) == ["−b", "+a"]
+    shape = rng.normal(size=(6, 80)) * np.array([9, 7, 5, 3, 2, 1.5])[:, None]
+    z = rng.normal(size=(1500, 6)) @ shape + 0.05 * rng.normal(size=(1500, 80)) + 3
+    df = spark.createDataFrame([(v.tolist(),) for v in z], "features array<double>").repartition(4)
+    exact, found = reduce.fit_pca(df, 80, 5), reduce.fit_pca(df, 80, 5, gram_dim=10)
+    assert found.variances == pytest.approx(exact.variances, rel=1e-6) and found.ratios == pytest.approx(exact.ratios, rel=1e-6)
+    assert found.components == pytest.approx(exact.components, abs=1e-4)
+    assert reduce.fit_pca(df.limit(0), 80, 3).size == 1
+    assert reduce.axis_drivers(np.array([0.1, -0.9, 0.5]), ["a", "b", "b"]) == ["−b", "+a"]
 
 
 def test_scores_and_choice(spark):
@@ -90,24 +101,68 @@ def test_statistics(spark):
     assert empty.n == 0 and empty["mean"] == 0 and empty.median == 0
 
 
-@pytest.mark.parametrize("gather", [5, 60, 100_000])
-def test_narrowed_quantiles_are_exact(spark, gather):
-    """Hot values, ties, gaps and groups: the same as numpy's linear quantiles, however narrow the sketch is."""
+@pytest.mark.parametrize("cuts", [3, 40, 1024])
+def test_block_quantiles_are_exact(spark, monkeypatch, cuts):
+    """Hot values, ties, gaps and groups: the same as numpy's linear quantiles, however few cuts there are."""
+    monkeypatch.setattr(blocks, "CUTS", cuts)
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.lognormal(3, 4, 3000), np.full(1500, 7.0), np.arange(500) - 250.0])
-    df = spark.createDataFrame([(float(v), k % 3) for k, v in enumerate(x)] + [(None, 0)], "x double, g int").repartition(4)
-    shares = [0.0, 0.01, 0.3, 0.5, 0.77, 0.99, 1.0]
-    targets = [(F.col("x"), p) for p in shares] + [(F.when(F.col("g") == g, F.col("x")), 0.5) for g in range(4)]
-    want = [np.quantile(x, p) for p in shares] + [np.quantile(x[np.arange(len(x)) % 3 == g], 0.5) for g in range(3)] + [0.0]
-    assert stats.narrowed_quantiles(df, targets, accuracy=50, gather=gather) == pytest.approx(want, rel=1e-9)
-
-
-def test_quantiles_by_narrowing_change_no_result(session, monkeypatch):
-    first = session.run(session.specs, RunOptions(k=3))
-    monkeypatch.setattr("tessella.plans.session.EXACT_ROWS", 100)
-    again = session.run(session.specs, RunOptions(k=3))
-    medians = lambda r: [c["median"] for p in r.profiles if p["type"] == "numeric" for c in p["clusters"]]
-    assert first.columns == again.columns and medians(first) == pytest.approx(medians(again)) and [s["size"] for s in first.segments] == [s["size"] for s in again.segments]
+    y = np.where(rng.random(5000) < 0.4, np.nan, rng.integers(0, 3, 5000))
+    group = np.arange(5000) % 4 - 1
+    df = spark.createDataFrame([(float(a), None if b != b else float(b), None, 2.0, int(g)) for a, b, g in zip(x, y, group, strict=True)], "`a.x` double, y double, z double, c double, g int").repartition(5)
+    names, shares = ["a.x", "y", "z", "c"], [0.0, 0.01, 0.3, 0.5, 0.77, 0.99, 1.0]
+    table = np.stack([x, y, np.full(5000, np.nan), np.full(5000, 2.0)], axis=1)
+    want = lambda rows: np.array([[np.quantile(c[~np.isnan(c)], p) if (~np.isnan(c)).any() else np.nan for p in shares] for c in rows.T])
+    assert blocks.quantiles(df, names, shares)[0] == pytest.approx(want(table), rel=1e-12, nan_ok=True)
+    got, n, means = blocks.quantiles(df, names, shares, group="g", groups=3, means=True)
+    for g in range(3):
+        assert got[g] == pytest.approx(want(table[group == g]), rel=1e-12, nan_ok=True)
+        assert n[g].tolist() == (~np.isnan(table[group == g])).sum(0).tolist()
+        assert means[g][[0, 1, 3]] == pytest.approx(np.nanmean(table[group == g][:, [0, 1, 3]], axis=0))
+
+
+def test_block_summaries(spark):
+    """Moments are those of all rows whatever the partitions, also far from zero."""
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.normal(1e6, 1, 4000), rng.lognormal(0, 1, 4000), np.where(rng.random(4000) < 0.5, np.nan, 3.0)], axis=1)
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x], "a double, b double, c double").repartition(7)
+    m = blocks.summarise(df, ["a", "b", "c"])
+    assert m.rows == 4000 and m.n.tolist() == (~np.isnan(x)).sum(0).tolist()
+    rest = x - np.nanmean(x, axis=0)
+    assert m.mean == pytest.approx(np.nanmean(x, axis=0), rel=1e-12) and m.m2 == pytest.approx(np.nansum(rest**2, axis=0), rel=1e-9)
+    assert m.m3 == pytest.approx(np.nansum(rest**3, axis=0), rel=1e-6, abs=1e-6) and m.low == pytest.approx(np.nanmin(x, axis=0)) and m.high == pytest.approx(np.nanmax(x, axis=0))
+    logs = np.log1p(np.maximum(x, 0))
+    assert m.log_mean == pytest.approx(np.nanmean(logs, axis=0)) and m.log_m2 == pytest.approx(np.nansum((logs - np.nanmean(logs, axis=0)) ** 2, axis=0), rel=1e-6, abs=1e-9)
+
+
+def test_a_block_encodes_as_expressions_do(spark):
+    """Twenty columns of every kind and transform, with gaps: the kernel's values are the expressions'."""
+    rng = np.random.default_rng(6)
+    modes = ["standard", "robust", "log", "quantile", "minmax"]
+    rows = []
+    for k in range(600):
+        numbers = [None if rng.random() < 0.1 else float(rng.lognormal()) for _ in range(15)]
+        words = [None if rng.random() < 0.05 else f"w{min(int(rng.exponential(3)), 40)}" for _ in range(5)]
+        rows.append((k, *numbers, *words))
+    df = spark.createDataFrame(rows, f"{ROW_ID} long, " + ", ".join([f"`n.{k}` double" for k in range(15)] + [f"t{k} string" for k in range(5)])).repartition(3)
+    specs = [ColumnSpec(k, f"n.{k}", "numeric", "numeric", "feature", modes[k % 5], weight=1 + k % 2) for k in range(15)] + [ColumnSpec(15 + k, f"t{k}", "categorical", "categorical", "feature") for k in range(5)]
+    plan = encode.fit_encoding(df, specs, ROW_ID)
+    values = [np.array([r.features for r in plan.encode(df, ROW_ID, block=way).orderBy(ROW_ID).collect()]) for way in (False, True)]
+    assert values[0].shape[1] == plan.size > 40 and values[1] == pytest.approx(values[0], abs=1e-9)
+    big = spark.createDataFrame([(k, float(v)) for k, v in enumerate(rng.normal(size=25_000))], f"{ROW_ID} long, x double").repartition(3)
+    plan = encode.fit_encoding(big, [ColumnSpec(0, "x", "numeric", "numeric", "feature", "quantile")], ROW_ID)  # ranks in a table
+    values = [np.array([r.features for r in plan.encode(big, ROW_ID, block=way).orderBy(ROW_ID).collect()]) for way in (False, True)]
+    assert plan.features[0].looked_up and values[1] == pytest.approx(values[0], abs=1e-9)
+
+
+def test_wide_tables_are_parsed_as_narrow_ones_are(spark, monkeypatch):
+    cells = ["1,234", "¥5", "(7)", "", "なし", "x", "12.5%", "2024-03-15", "2024年3月1日", "yes", "いいえ", None]
+    df = spark.createDataFrame([(k, *[cells[(k + j) % len(cells)] for j in range(9)]) for k in range(24)], f"{ROW_ID} long, " + ", ".join(f"`c.{j}` string" for j in range(9)))
+    specs = [ColumnSpec(j, f"c.{j}", kind, kind, "feature") for j, kind in enumerate(["numeric", "datetime", "boolean"] * 3)]
+    rows = lambda: [tuple(r) for r in typed_table(df, specs).orderBy(ROW_ID).collect()]
+    narrow = rows()
+    monkeypatch.setattr("tessella.plans.session.WIDE", 4)
+    assert rows() == narrow and any(v is not None for r in narrow for v in r[1:])
 
 
 def test_inference(spark):
