@@ -16,7 +16,7 @@ Cuts decide what is counted where, never a result: quantiles are exact at every
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -325,3 +325,26 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], *,
     out = np.where(whole[0] == whole[1], values[0], out).reshape(groups, len(columns), len(shares))
     shape = (groups, len(columns))
     return (out, n.reshape(shape), (sums / np.maximum(n, 1)).reshape(shape)) if means else out
+
+
+def summed(df: DataFrame, part: Callable[[np.ndarray], tuple[np.ndarray, ...]], merge: Callable, rows_of: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, ...] | None:
+    """What ``part`` makes of the rows of each batch, put together by ``merge`` in tasks and in a tree."""
+
+    def packed(found: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([[np.asarray(x, float).tobytes() for x in found]], pa.list_(pa.binary())), pa.array([[list(np.shape(x)) for x in found]], pa.list_(pa.list_(pa.int64())))], names=["cells", "shapes"])
+
+    def unpacked(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+        for r in batch.to_pylist():
+            yield tuple(np.frombuffer(c, float).reshape(s) for c, s in zip(r["cells"], r["shapes"], strict=True))
+
+    def together(found: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...] | None:
+        out = None
+        for x in found:
+            out = x if out is None else merge(out, x)
+        return out
+
+    schema = "cells array<binary>, shapes array<array<bigint>>"
+    parts = df.mapInArrow(lambda batches: packed(together(part(rows_of(b)) for b in batches if len(b))), schema)
+    parts = parts.repartition(FAN, F.spark_partition_id() % FAN).mapInArrow(lambda batches: packed(together(x for b in batches for x in unpacked(b))), schema)
+    return together(unpacked(parts.toArrow()))  # FAN rows at most

@@ -1,6 +1,6 @@
-"""Clustering: nearest centres, Lloyd's iterations over partial sums, k-means and Ward.
+"""Groups of like rows: nearest centres, seeds and Lloyd's iterations over all rows, k-means and Ward.
 
-Rows stay where they are: an iteration gives one small row for each partition and centre.
+Rows stay where they are: an iteration gives one small row for each partition.
 Matrices on the driver are samples of bounded size.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators import blocks
+
 INIT_ROWS, LOCAL_ROWS, WARD_ROWS = 20_000, 50_000, 3_000
 TOLERANCE = 1e-5
 
@@ -52,49 +54,135 @@ def assign(df: DataFrame, centers: np.ndarray, features: str = "features") -> Da
     return df.mapInArrow(run, schema)
 
 
-def lloyd_step(df: DataFrame, centers: np.ndarray, features: str = "features") -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Sums and counts by nearest centre, the inertia, and the row farthest from its centre."""
-    k, dim = centers.shape
+@dataclass
+class Step:
+    """One look at all rows: sums, counts and inertia by nearest centre, and the rows farthest from theirs, farthest first."""
+
+    sums: np.ndarray
+    n: np.ndarray
+    inertia: float
+    far_gap: np.ndarray
+    far_label: np.ndarray
+    far_rows: np.ndarray
+
+    def centers(self, before: np.ndarray) -> np.ndarray:
+        """The means; an empty cluster takes the farthest row left whose own cluster keeps another."""
+        sums, n, left = self.sums.copy(), self.n.copy(), list(range(len(self.far_gap)))
+        for c in np.flatnonzero(n == 0):
+            at = next((i for i in left if n[self.far_label[i]] > 1 and self.far_gap[i] > 0), None)
+            if at is None:
+                break
+            left.remove(at)
+            sums[self.far_label[at]] -= self.far_rows[at]
+            n[self.far_label[at]] -= 1
+            sums[c], n[c] = self.far_rows[at], 1
+        return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], before)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n, inertia, far, far_row = np.zeros((k, dim)), np.zeros(k, np.int64), 0.0, -1.0, np.zeros(dim)
-        for batch in batches:
-            rows = matrix(batch.column(0))
-            if not len(rows):
-                continue
-            d = gaps(rows, centers)
-            label = d.argmin(1)
-            least = d[np.arange(len(d)), label]
-            np.add.at(sums, label, rows)
-            n += np.bincount(label, minlength=k)
-            inertia += float(least.sum())
-            if least.max() > far:
-                far, far_row = float(least.max()), rows[least.argmax()]
-        if n.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(n), pa.array(list(sums), pa.list_(pa.float64())), pa.array([inertia] + [0.0] * (k - 1)), pa.array([far] * k), pa.array([far_row] * k, pa.list_(pa.float64()))], names=["c", "n", "sums", "inertia", "far", "far_row"])
-
-    parts = df.select(features).mapInArrow(run, "c int, n long, sums array<double>, inertia double, far double, far_row array<double>")
-    total = parts.groupBy("c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[j]) for j in range(dim)]).alias("sums"), F.sum("inertia").alias("inertia"), F.max(F.struct("far", "far_row")).alias("far"))
-    sums, n, inertia, far = np.zeros((k, dim)), np.zeros(k, np.int64), 0.0, (-1.0, np.zeros(dim))
-    for r in total.collect():  # a row a centre
-        sums[r.c], n[r.c] = r.sums, r.n
-        inertia += r.inertia
-        far = max(far, (r.far.far, np.array(r.far.far_row)), key=lambda x: x[0])
-    return sums, n, inertia, far[1]
+
+def _step_part(centers: np.ndarray):
+    k = len(centers)
+
+    def part(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        d = gaps(rows, centers)
+        label = d.argmin(1)
+        least = d[np.arange(len(d)), label]
+        hits = np.zeros((len(rows), k))
+        hits[np.arange(len(rows)), label] = 1.0
+        far = np.argsort(-least, kind="stable")[:k]
+        return hits.T @ rows, np.bincount(label, minlength=k), np.array(least.sum()), least[far], label[far], rows[far]
+
+    return part
+
+
+def _add_steps(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    gap, label, rows = (np.concatenate(x) for x in zip(a[3:], b[3:], strict=True))
+    far = np.lexsort((*rows.T[::-1], -gap))[: len(a[0])]  # ties by the rows themselves, so partitions don't matter
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2], gap[far], label[far], rows[far]
+
+
+def lloyd_step(df: DataFrame, centers: np.ndarray, features: str = "features") -> Step:
+    found = blocks.summed(df.select(features), _step_part(centers), _add_steps, lambda b: matrix(b.column(0)))
+    if found is None:
+        return Step(np.zeros_like(centers), np.zeros(len(centers), np.int64), 0.0, np.zeros(0), np.zeros(0, int), np.zeros((0, centers.shape[1])))
+    sums, n, inertia, gap, label, rows = found
+    return Step(sums, n.astype(np.int64), float(inertia), gap, label.astype(int), rows)
 
 
 def lloyd(df: DataFrame, centers: np.ndarray, *, max_iter: int = 15, features: str = "features") -> tuple[np.ndarray, float, int]:
-    """Centres, inertia and iterations of Lloyd's algorithm over all rows; an empty cluster moves to the farthest row."""
+    """Centres, inertia and iterations of Lloyd's algorithm over all rows; all empty clusters of an iteration are mended in it."""
     for turn in range(1, max_iter + 1):
-        sums, n, inertia, far = lloyd_step(df, centers, features)
-        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
-        for c in np.flatnonzero(n == 0)[:1]:  # one a turn: each needs a farthest row of its own
-            new[c] = far
+        new = lloyd_step(df, centers, features).centers(centers)
         moved = float(((new - centers) ** 2).sum())
         centers = new
         if moved <= TOLERANCE:
             break
-    return centers, lloyd_step(df, centers, features)[2], turn
+    return centers, lloyd_step(df, centers, features).inertia, turn
+
+
+def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A number within 0 and 1 for each id, the same wherever the row is."""
+    x = ids.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+
+
+def parallel_seeds(df: DataFrame, row_id: str, k: int, *, seed: int = 42, rounds: int = 5, oversample: int = 2, features: str = "features") -> np.ndarray:
+    """Seeds from all rows by oversampling: every round draws ``oversample * k`` rows, as likely as their squared distance to those drawn before.
+
+    A round is one pass: each row draws a key, and those of largest key are taken, so draws
+    don't depend on partitions.  The rows drawn (``oversample * k * rounds`` and one) are weighted by how many rows
+    are nearest to each, and seeds are spread over them by weight.
+    """
+    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(features).alias("features"))
+    split = lambda b: (b.column("id").to_numpy(), matrix(b.column("features")))
+    drawn: np.ndarray | None = None
+
+    def best(m: int):
+        def merge(a, b):
+            key, own = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+            order = np.lexsort((*own.T[::-1], -key))[:m]
+            return key[order], own[order]
+
+        return merge
+
+    for turn in range(rounds + 1):
+        m = oversample * k if turn else 1
+
+        def part(x, turn=turn, m=m, have=drawn):
+            ids, own = x
+            weight = np.ones(len(own)) if have is None else gaps(own, have).min(1)
+            key = np.where(weight > 0, np.log(_uniform(ids, seed + turn)) / np.maximum(weight, 1e-300), -np.inf)
+            top = np.argsort(-key, kind="stable")[:m]
+            return key[top], own[top]
+
+        found = blocks.summed(rows, part, best(m), split)
+        if found is None:
+            return np.zeros((0, 0))
+        new = found[1][np.isfinite(found[0])]
+        drawn = new if drawn is None else np.concatenate([drawn, new])
+    have = drawn
+    weights = blocks.summed(rows, lambda x: (np.bincount(gaps(x[1], have).argmin(1), minlength=len(have)),), lambda a, b: (a[0] + b[0],), split)[0]
+    live = weights > 0
+    return weighted_seeds(drawn[live], weights[live], k, np.random.default_rng(seed))
+
+
+def weighted_seeds(rows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, turns: int = 20) -> np.ndarray:
+    """Spread-out seeds of weighted rows, then a few of Lloyd's iterations over them."""
+    picks = [int(np.searchsorted(np.cumsum(weights), rng.random() * weights.sum()))]
+    while len(picks) < min(k, len(rows)):
+        odds = np.cumsum(weights * gaps(rows, rows[picks]).min(1))
+        if odds[-1] <= 0:
+            break
+        picks.append(int(min(len(rows) - 1, np.searchsorted(odds, rng.random() * odds[-1], side="right"))))
+    centers = rows[picks]
+    for _ in range(turns):
+        label = gaps(rows, centers).argmin(1)
+        sums, n = np.zeros_like(centers), np.bincount(label, weights, len(centers))
+        np.add.at(sums, label, rows * weights[:, None])
+        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-300)[:, None], centers)
+    return centers
 
 
 def plus_plus(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:

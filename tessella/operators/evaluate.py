@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.cluster import WARD_ROWS, centroids, gaps, k_means_local, ward_tree
+from tessella.operators.blocks import summed
+from tessella.operators.cluster import TOLERANCE, WARD_ROWS, centroids, gaps, k_means_local, matrix, parallel_seeds, ward_tree
+from tessella.operators.stats import systematic
 
 SILHOUETTE_ROWS = 1_800
 
@@ -113,6 +115,51 @@ def k_scan(rows: np.ndarray, ks: Sequence[int], *, algorithm: str = "kmeans", se
     return out
 
 
+def _models_part(models: list[np.ndarray]):
+    def part(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        at, out = np.arange(len(rows)), []
+        for centers in models:
+            d = gaps(rows, centers)
+            label = d.argmin(1)
+            own = d[at, label]
+            hits = np.zeros(d.shape)
+            hits[at, label] = 1.0
+            out += [hits.T @ rows, hits.sum(0), own @ hits, np.sqrt(own) @ hits]
+        return tuple(out)
+
+    return part
+
+
+def k_scan_rows(df: DataFrame, row_id: str, ks: Sequence[int], *, seed: int = 42, iterations: int = 10, features: str = "features") -> list[KScore]:
+    """Scores for each k over all rows: every iteration is one pass that moves the centres of all k at once.
+
+    Inertia, least share, Calinski-Harabasz and Davies-Bouldin are those of all rows, from the sums
+    of a last pass; the silhouette is that of every ``n / SILHOUETTE_ROWS``-th row by its id.
+    """
+    models = [parallel_seeds(df, row_id, k, seed=seed, features=features) for k in ks]
+    rows = df.select(F.col(features).alias("features"))
+    add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
+    look = lambda: summed(rows, _models_part(models), add, lambda b: matrix(b.column(0)))
+    for _ in range(iterations):
+        found = look()
+        moved = 0.0
+        for k, (sums, n) in enumerate(zip(found[::4], found[1::4], strict=True)):
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], models[k])
+            moved, models[k] = max(moved, float(((new - models[k]) ** 2).sum())), new
+        if moved <= TOLERANCE:
+            break
+    found = look()
+    total = int(found[1].sum())
+    few = systematic(df, row_id, SILHOUETTE_ROWS, total).select(F.col(features).alias("features")).toArrow()
+    few = matrix(few.column(0))
+    out = []
+    for k, centers, n, within, reach in zip(ks, models, found[1::4], found[2::4], found[3::4], strict=True):
+        spread = [{"n": a, "center": c, "within": w, "reach": r / a} for a, c, w, r in zip(n, centers, within, reach, strict=True) if a]
+        ch, db = spread_scores(spread)
+        out.append(KScore(k, float(within.sum()) / max(1, total), silhouette(few, gaps(few, centers).argmin(1)), ch, db, float(n.min()) / max(1, total)))
+    return out
+
+
 def choose_k(scores: Sequence[KScore]) -> int:
     """The smallest k that is nearly best by silhouette and bend of the inertia; 3 without scores."""
     pool = sorted([s for s in scores if s.min_share >= 0.02] or scores, key=lambda s: s.k)

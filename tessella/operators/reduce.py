@@ -8,10 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.operators.blocks import FAN
+from tessella.operators.blocks import summed
 from tessella.operators.cluster import matrix
 
 #: Dimensions up to which the whole covariance is summed up, 8 bytes for each pair of them in a task; more go by range finding.
@@ -36,29 +35,6 @@ def _features(batch: pa.RecordBatch) -> np.ndarray:
     return matrix(batch.column("features"))
 
 
-def _summed(df: DataFrame, part: Callable[[np.ndarray], tuple[np.ndarray, ...]], merge: Callable, rows_of: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, ...] | None:
-    """What ``part`` makes of the rows of each batch, put together by ``merge`` in tasks and in a tree."""
-
-    def packed(found: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
-        if found is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([[np.asarray(x, float).tobytes() for x in found]], pa.list_(pa.binary())), pa.array([[list(np.shape(x)) for x in found]], pa.list_(pa.list_(pa.int64())))], names=["cells", "shapes"])
-
-    def unpacked(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-        for r in batch.to_pylist():
-            yield tuple(np.frombuffer(c, float).reshape(s) for c, s in zip(r["cells"], r["shapes"], strict=True))
-
-    def together(found: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...] | None:
-        out = None
-        for x in found:
-            out = x if out is None else merge(out, x)
-        return out
-
-    schema = "cells array<binary>, shapes array<array<bigint>>"
-    parts = df.mapInArrow(lambda batches: packed(together(part(rows_of(b)) for b in batches if len(b))), schema)
-    parts = parts.repartition(FAN, F.spark_partition_id() % FAN).mapInArrow(lambda batches: packed(together(x for b in batches for x in unpacked(b))), schema)
-    return together(unpacked(parts.toArrow()))  # FAN rows at most
-
-
 def _moments(x: np.ndarray) -> tuple[np.ndarray, ...]:
     mean = x.mean(0)
     rest = x - mean
@@ -92,22 +68,22 @@ def fit_pca(df: DataFrame, dim: int, k: int, *, rows_of: Callable[[pa.RecordBatc
     passes over products of ``dim`` times ``k`` and a few numbers, and the components within it.
     """
     if dim <= gram_dim:
-        found = _summed(df, _moments, _add_moments, rows_of)
+        found = summed(df, _moments, _add_moments, rows_of)
         if found is None:
             return Pca(np.zeros(dim), np.eye(dim)[:1], np.zeros(1), np.zeros(1))
         n, mean, m2 = found
         return pca_of(float(n), mean, m2 / max(1.0, float(n) - 1), k)
     plain = lambda x: (np.array(float(len(x))), x.sum(0), (x * x).sum(0))
     add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
-    n, total, squares = _summed(df, plain, add, rows_of)
+    n, total, squares = summed(df, plain, add, rows_of)
     mean, below = total / n, max(1.0, float(n) - 1)
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, min(dim, k + SPARE))))[0]
     for _ in range(POWERS):
         at = basis
-        (product,) = _summed(df, lambda x, at=at: ((x - mean).T @ ((x - mean) @ at),), add, rows_of)
+        (product,) = summed(df, lambda x, at=at: ((x - mean).T @ ((x - mean) @ at),), add, rows_of)
         basis = np.linalg.qr(product)[0]
     at = basis
-    (small,) = _summed(df, lambda x: (((x - mean) @ at).T @ ((x - mean) @ at) / below,), add, rows_of)
+    (small,) = summed(df, lambda x: (((x - mean) @ at).T @ ((x - mean) @ at) / below,), add, rows_of)
     values, vectors = np.linalg.eigh(small)
     return _settled(float(n), mean, values[::-1], (basis @ vectors[:, ::-1]).T, float((squares - n * mean * mean).sum() / below), k)
 

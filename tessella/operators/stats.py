@@ -84,9 +84,9 @@ def effective_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), empty.alias("empty_rows")).withColumn("effective_rows", F.col("n_rows") - F.col("empty_rows"))
 
 
-def systematic(df: DataFrame, row_id: str, cap: int) -> DataFrame:
-    """Every ceil(n / cap)-th row by a dense id from 0, at most ``cap`` rows."""
-    n = df.count()
+def systematic(df: DataFrame, row_id: str, cap: int, n: int | None = None) -> DataFrame:
+    """Every ceil(n / cap)-th row by a dense id from 0, at most ``cap`` rows; ``n`` is counted unless it is known."""
+    n = df.count() if n is None else n
     stride = -(-n // cap) if cap and n > cap else 1
     return df.filter(F.col(row_id) % stride == 0) if stride > 1 else df
 

@@ -6,11 +6,11 @@ doubles are rounded on both sides, since their order of summation is free.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from tessella.functions import scalars
 from tessella.operators import blocks, cluster, encode, evaluate, explain, export, infer, reduce, stats
 from tessella.plans import sqltext as sql
 from tessella.plans.session import Session, capped_levels, typed_table
+from tessella.plans.store import shared_dir
 from tessella.sources.text import ROW_ID, read_delimited, with_row_id
 from tessella.spec import ColumnSpec, RunOptions
 
@@ -74,9 +75,10 @@ def stride_sample(spark, sf_dir):
 TOKENS = ["", " ", "N/A", "null", "-", "--", "-x", "+5", "7", "なし", "該当なし", "none", " NaN ", "#N/A", "0", "abc", "未設定", "　", "はい", "いいえ"]
 
 
-@query(f"SELECT t AS token, {sql.missing('t')} AS missing FROM (SELECT unnest([{sql.text_list(TOKENS)[1:-1]}]) AS t)")
+@query(f"SELECT t AS token, {sql.missing('t')} AS missing, count(*) AS n FROM (SELECT [{sql.text_list(TOKENS)[1:-1]}][1 + o_orderkey % {len(TOKENS)}] AS t FROM orders) GROUP BY ALL")
 def is_missing_tokens(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in TOKENS], "token string").select("token", scalars.is_missing("token").alias("missing"))
+    token = F.element_at(F.array(*map(F.lit, TOKENS)), (F.col("o_orderkey") % len(TOKENS) + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select(token.alias("token")).groupBy("token", scalars.is_missing("token").alias("missing")).agg(F.count("*").alias("n"))
 
 
 PRICE_SQL = """CASE l_linenumber % 7 WHEN 0 THEN printf('%.2f', l_extendedprice) WHEN 1 THEN '¥' || printf('%.2f', l_extendedprice) WHEN 2 THEN '(' || printf('%.2f', l_extendedprice) || ')'
@@ -118,9 +120,9 @@ def half_width(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", scalars.half_width(wide).alias("narrow"))
 
 
-@query(f"SELECT id, round({sql.probit('p')}, 6) AS z FROM (SELECT r AS id, r / 1000.0::DOUBLE AS p FROM range(0, 1001) AS t(r))")
+@query(f"SELECT o_orderkey, round({sql.probit('p')}, 6) AS z FROM (SELECT o_orderkey, (o_orderkey % 1001) / 1000.0::DOUBLE AS p FROM orders)")
 def probit_curve(spark, sf_dir):
-    return spark.range(0, 1001).select("id", F.round(scalars.probit(F.col("id") / 1000.0), 6).alias("z"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(scalars.probit((F.col("o_orderkey") % 1001) / 1000.0), 6).alias("z"))
 
 
 # --- inference ------------------------------------------------------------------------
@@ -382,8 +384,8 @@ def _lloyd_query(name: str, turns: int) -> None:
         encoded = encode.fit_encoding(df, RFM_SPECS, "c_custkey").encode(df).persist()
         centers = SEEDS
         for _ in range(turns):
-            sums, n, _, _ = cluster.lloyd_step(encoded, centers)
-            centers = sums / np.maximum(n, 1)[:, None]
+            step = cluster.lloyd_step(encoded, centers)
+            centers, n = step.centers(centers), step.n
         encoded.unpersist()
         return rounded(spark.createDataFrame([(k, int(n[k]), *map(float, c)) for k, c in enumerate(centers)], "label int, n long, c0 double, c1 double, c2 double, c3 double"))
 
@@ -417,7 +419,7 @@ def centroid_means(spark, sf_dir):
 
 # --- evaluation -----------------------------------------------------------------------
 
-PAIRS = """WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lb, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM s a, s b)"""
+PAIRS = """WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % (SELECT CAST(ceil(count(*) / 1800.0) AS BIGINT) FROM embeddings) = 0), d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lb, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM s a, s b)"""
 GROUPED = """WITH e AS (SELECT vec_id, label, unnest(range(0, 64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, j, avg(v) AS m FROM e GROUP BY label, j), g AS (SELECT j, avg(v) AS m FROM e GROUP BY j)"""
 
 
@@ -437,8 +439,8 @@ def _one(spark, name: str, value: float) -> DataFrame:
 @query(PAIRS + """, m AS (SELECT i, li, lb, sum(d) AS s, count(*) AS n FROM d GROUP BY i, li, lb), o AS (SELECT i, max(CASE WHEN li = lb THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN li <> lb THEN s / n END) AS b, max(CASE WHEN li = lb THEN n END) AS size FROM m GROUP BY i)
 SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM o WHERE size > 1""")
 def silhouette_sample(spark, sf_dir):
-    """Over a seeded sample of 1,800 rows, which is the feature; smaller tables are read whole."""
-    rows = stats.hash_sample(_labelled(spark, sf_dir), "vec_id", evaluate.SILHOUETTE_ROWS, 42).toArrow()
+    """Over a sample of 1,800 rows at most, which is the feature: every so many-th; smaller tables are read whole."""
+    rows = stats.systematic(_labelled(spark, sf_dir), "vec_id", evaluate.SILHOUETTE_ROWS).toArrow()
     return _one(spark, "silhouette", evaluate.silhouette(cluster.matrix(rows.column("features")), rows.column("label").to_numpy()))
 
 
@@ -455,15 +457,19 @@ def davies_bouldin(spark, sf_dir):
     return _one(spark, "davies_bouldin", _spread_scores(spark, sf_dir)[1])
 
 
-SCORES = [(2, 9.1, 0.41, 0.3), (3, 6.0, 0.38, 0.2), (4, 4.1, 0.405, 0.12), (5, 3.6, 0.35, 0.05), (6, 3.3, 0.43, 0.01), (7, 3.0, 0.30, 0.03)]
+SCORES_SQL = "SELECT CAST(p_size % 6 + 2 AS INTEGER) AS k, avg(p_retailprice) / (p_size % 6 + 2) AS inertia, avg(CAST(p_size AS DOUBLE)) / 60 AS silhouette, count(*) / (SELECT count(*) FROM part) * (CASE WHEN p_size % 6 = 3 THEN 0.1 ELSE 1 END) AS min_share FROM part GROUP BY p_size % 6"
 
 
-@query("WITH s(k, inertia, silhouette, min_share) AS (VALUES " + ", ".join(f"({k}, {i}::DOUBLE, {s}::DOUBLE, {m}::DOUBLE)" for k, i, s, m in SCORES) + """), p AS (SELECT * FROM s WHERE min_share >= 0.02),
+@query("WITH s AS (" + SCORES_SQL + """), p AS (SELECT * FROM s WHERE min_share >= 0.02),
 u AS (SELECT k, greatest(0, 1 - (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ())::DOUBLE - (inertia - min(inertia) OVER ()) / (max(inertia) OVER () - min(inertia) OVER ())) AS bend, (silhouette - min(silhouette) OVER ()) / (max(silhouette) OVER () - min(silhouette) OVER ()) AS sil FROM p),
-c AS (SELECT k, 0.55 * sil + 0.45 * bend / max(bend) OVER () AS combined FROM u), n AS (SELECT *, combined >= max(combined) OVER () - 0.03 AS near FROM c)
+c AS (SELECT k, 0.55 * sil + 0.45 * coalesce(bend / nullif(max(bend) OVER (), 0), 0) AS combined FROM u), n AS (SELECT *, combined >= max(combined) OVER () - 0.03 AS near FROM c)
 SELECT CAST(k AS INTEGER) AS k, round(combined, 6) AS combined, k = min(CASE WHEN near THEN k END) OVER () AS chosen FROM n""")
 def choose_k(spark, sf_dir):
-    table = spark.createDataFrame(SCORES, "k int, inertia double, silhouette double, min_share double")
+    """Over scores made up from parts: six values of k, one of them with too small a share."""
+    part = read(spark, sf_dir, "part")
+    scores = part.groupBy((F.col("p_size") % 6).alias("m")).agg(F.avg("p_retailprice").alias("price"), F.avg(F.col("p_size").cast("double")).alias("size"), F.count("*").alias("n"))
+    share = F.col("n") / F.lit(part.count()) * F.when(F.col("m") == 3, 0.1).otherwise(1.0)
+    table = scores.select((F.col("m") + 2).cast("int").alias("k"), (F.col("price") / (F.col("m") + 2)).alias("inertia"), (F.col("size") / 60).alias("silhouette"), share.alias("min_share"))
     return rounded(evaluate.choose_k_table(table))
 
 
@@ -539,9 +545,9 @@ def heat_shades(spark, sf_dir):
     return p.select("column", "label", F.round(scalars.z_intensity(F.col("z")), 4).alias("shade"))
 
 
-@query("SELECT id, CASE WHEN id / 20.0 >= 0.5 THEN 'clear' WHEN id / 20.0 >= 0.25 THEN 'fair' WHEN id / 20.0 >= 0.1 THEN 'weak' ELSE 'blurred' END AS quality FROM range(0, 21) AS t(id)")
+@query("SELECT c_custkey, CASE WHEN v >= 0.5 THEN 'clear' WHEN v >= 0.25 THEN 'fair' WHEN v >= 0.1 THEN 'weak' ELSE 'blurred' END AS quality FROM (SELECT c_custkey, c_acctbal / 10000 AS v FROM customer)")
 def quality_labels(spark, sf_dir):
-    return spark.range(0, 21).select("id", scalars.quality_label(F.col("id") / 20.0).alias("quality"))
+    return read(spark, sf_dir, "customer").select("c_custkey", scalars.quality_label(F.col("c_acctbal") / 10000).alias("quality"))
 
 
 @query(ASSIGNED + " SELECT CAST(label AS INTEGER) AS label, count(*) AS size, round(count(*) / sum(count(*)) OVER (), 6) AS share, min(CASE WHEN near = 1 THEN c_custkey END) AS nearest_row FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, c_custkey) AS near FROM assigned) GROUP BY label")
@@ -656,9 +662,11 @@ def typed_load(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh path that driver and executors share; on one machine, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-    return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share."""
+    where = shared_dir(spark)
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return f"{where}/{uuid.uuid4().hex}"
 
 
 ORDER_TEXT = [
@@ -691,7 +699,7 @@ def csv_labelled_export(spark, sf_dir):
     """Labelled rows written as the export does, with its mark and the source's delimiter, and read again: no row lost or doubled."""
     raw = _orders_as_text(spark, sf_dir)
     labels = raw.filter("CAST(key AS LONG) % 2 = 0").select(ROW_ID, F.lit(0).alias("label"))
-    path = _scratch(spark)
+    path = f"{_scratch(spark)}.csv"
     export.write_labelled(export.labelled_rows(raw, labels, spark.createDataFrame([(0, "even; \"quoted\"")], "label int, name string"), ROW_ID), path, ROW_ID, delimiter=";")
     back = read_delimited(spark, path)
     named = (F.col("segment_id") == "1") & (F.col("segment_name") == 'even; "quoted"')
@@ -702,3 +710,65 @@ def csv_labelled_export(spark, sf_dir):
 def level_cap(spark, sf_dir):
     """Levels beyond the cap, by first appearance, are missing."""
     return capped_levels(read(spark, sf_dir, "part").select("p_partkey", "p_name"), [spec("p_name", "categorical")], "p_partkey", cap=50)
+
+
+NOTE_SQL = """CASE WHEN l_orderkey % 50 = 49 THEN 'two' || chr(10) || 'lines, "' || l_returnflag || '"' WHEN l_orderkey % 50 = 48 THEN '"' || chr(13) || chr(10) || '"' WHEN l_orderkey % 50 = 47 THEN chr(10) || ',' || chr(13) || ';' ELSE l_returnflag || l_linestatus END"""
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {NOTE_SQL} AS note, round(l_extendedprice, 2) AS price FROM lineitem")
+def csv_quoted_lines(spark, sf_dir):
+    """Lines written as one delimited file a task, the ones with quoted line ends last in each, and read again in splits."""
+    last = F.col("l_orderkey") % 50
+    note = F.when(last == 49, F.concat(F.lit("two\nlines, \""), "l_returnflag", F.lit('"'))).when(last == 48, F.lit('"\r\n"')).when(last == 47, F.lit("\n,\r;")).otherwise(F.concat("l_returnflag", "l_linestatus"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", note.alias("note"), F.format_string("%.2f", "l_extendedprice").alias("price"))
+    path = _scratch(spark)
+    rows = rows.sortWithinPartitions(last >= 47, "l_orderkey", "l_linenumber")
+    lines = rows.select(export.csv_lines(rows, rows.columns, ",").alias("line"))
+    lines.mapInArrow(_with_header("l_orderkey,l_linenumber,note,price"), "line string").write.text(path, lineSep="\n")
+    return read_delimited(spark, path).select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), "note", F.round(F.col("price").cast("double"), 2).alias("price"))
+
+
+def _with_header(line: str):
+    def run(batches):
+        for k, batch in enumerate(batches):
+            if not k:
+                yield pa.RecordBatch.from_arrays([pa.array([line])], names=["line"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["line"])
+
+    return run
+
+
+# --- over all rows of a large table -----------------------------------------------------
+
+LINE_SPECS = [spec("l_quantity", transform="standard"), spec("l_extendedprice", transform="standard"), spec("l_discount", transform="standard"), spec("l_tax", transform="standard")]
+
+
+def encoded_lines(spark, sf_dir) -> DataFrame:
+    """All lines with a key of their own and four standardised features."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("row", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return encode.fit_encoding(lines, LINE_SPECS, "row").encode(lines, "row")
+
+
+@query()
+def kmeans_lines(spark, sf_dir):
+    """Seeds by oversampling and Lloyd's iterations over all lines: a row a cluster with its size, inertia and centre."""
+    df = encoded_lines(spark, sf_dir).persist()
+    try:
+        centers = cluster.lloyd(df, cluster.parallel_seeds(df, "row", 6))[0]
+        step = cluster.lloyd_step(df, centers)
+        rows = [(c, int(step.n[c]), *map(float, centers[c]), step.inertia) for c in cluster.by_size(centers, step.n)]
+    finally:
+        df.unpersist()
+    return rounded(spark.createDataFrame(rows, "seed int, size long, quantity double, price double, discount double, tax double, inertia double"))
+
+
+@query()
+def k_scan_lines(spark, sf_dir):
+    """The search of k over all lines, one pass an iteration for all k."""
+    df = encoded_lines(spark, sf_dir).persist()
+    try:
+        scores = evaluate.k_scan_rows(df, "row", range(2, 7))
+    finally:
+        df.unpersist()
+    best = evaluate.choose_k(scores)
+    return spark.createDataFrame([(s.k, s.inertia, s.silhouette, s.calinski_harabasz, s.davies_bouldin, s.min_share, s.k == best) for s in scores], "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, min_share double, chosen boolean")

@@ -119,7 +119,7 @@ class Session:
         self.spark, self.progress = spark, progress
         self.store = Store(spark)
         self.table: DataFrame | None = None
-        self.name, self.delimiter = "table", ","
+        self.name, self.delimiter, self.rows = "table", ",", 0
         self._cached: tuple[str, DataFrame] | None = None
         self.result: Result | None = None
 
@@ -140,6 +140,7 @@ class Session:
             head = self.store.keep(self.table.orderBy(ROW_ID).limit(SAMPLE_ROWS))
         if not rows:
             raise ValueError("the table has no rows")
+        self.rows = rows
         specs = infer_columns(head, ROW_ID)
         preview = [r.asDict() for r in head.orderBy(ROW_ID).drop(ROW_ID).limit(PREVIEW_ROWS).collect()]
         self.store.drop(head)
@@ -231,14 +232,14 @@ class Session:
         return self.result
 
     def _centers(self, space: DataFrame, search: np.ndarray, k: int, n: int, o: RunOptions) -> np.ndarray:
-        """Centres from a bounded sample; for many rows, Lloyd's iterations over all of them."""
+        """Centres: up to ``LOCAL_ROWS`` rows by three restarts on the driver, as a table of that size asks for no more; else by seeds and iterations over all rows.  Ward's are those of a bounded sample's tree."""
         if o.algorithm == "ward":
             sample = collect_matrix(hash_sample(space, ROW_ID, cluster.WARD_ROWS, o.seed + 5))
             own = cluster.ward_tree(sample).cut(k)
             return cluster.centroids(sample, own, int(own.max()) + 1)
         if n <= cluster.LOCAL_ROWS:
             return cluster.k_means_local(collect_matrix(space.orderBy(ROW_ID)), k, o.seed)[0]
-        return cluster.lloyd(space, cluster.k_means_local(search, k, o.seed, restarts=1)[0])[0]
+        return cluster.lloyd(space, cluster.parallel_seeds(space, ROW_ID, k, seed=o.seed))[0]
 
     def _explain(self, df: DataFrame, labels: DataFrame, kept, numeric, levels, k: int) -> tuple[DataFrame, list[dict], list[dict]]:
         both = self.store.keep(df.join(labels.select(ROW_ID, "label"), ROW_ID))
@@ -284,13 +285,13 @@ class Session:
         return export.labelled_rows(self.table, self.result.labels, self.result.names, ROW_ID)
 
     def export(self, kind: str, path: str) -> str:
-        """Writes ``labeled`` (a folder of CSV parts), ``profile`` or ``markdown`` under ``path``; gives what was written."""
+        """Writes ``labeled`` (every row with its segment), ``profile`` or ``markdown`` as a file under ``path``; gives its path."""
         if not self.result:
             raise ValueError("run a segmentation first")
         self.progress("export")
         target = f"{path.rstrip('/')}/{export.file_name(kind, self.name)}"
         if kind == "labeled":
-            export.write_labelled(self.labelled(), target, ROW_ID, delimiter=self.delimiter)
+            export.write_labelled(self.labelled(), target, ROW_ID, delimiter=self.delimiter, n=self.rows)
         else:
             text = export.profile_lines(self.result.profiles, self.result.segments) if kind == "profile" else export.report(self.name, self.result)
             write_text(self.spark, target, text)

@@ -11,6 +11,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str | None:
+    """``spark.checkpoint.dir``; on one machine a temporary folder if that is unset, on a cluster none."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not where and (master == "local" or master.startswith("local[")):
+        where = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+    return where.rstrip("/") if where else None
+
+
 class Store:
     """A folder of its own in ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -25,13 +34,10 @@ class Store:
 
     def _path(self) -> str | None:
         if self._folder is None:
-            master = self.spark.sparkContext.master
-            where = self.spark.conf.get("spark.checkpoint.dir", None)
-            if not where and (master == "local" or master.startswith("local[")):
-                where = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+            where = shared_dir(self.spark)
             if not where:
                 return None
-            self._folder = f"{where.rstrip('/')}/session-{uuid.uuid4().hex}"
+            self._folder = f"{where}/session-{uuid.uuid4().hex}"
             files, at = self._at(self._folder)
             files.mkdirs(at)
             files.deleteOnExit(at)

@@ -44,6 +44,74 @@ def test_distributed_lloyd(spark):
     assert [r.n.id for r in near] == labels.tolist()
 
 
+def test_all_empty_clusters_are_mended_at_once(spark):
+    """Seeds that no row is near take the farthest rows, of clusters that keep one; partitions don't matter."""
+    x, _ = blobs(600, 3, 4, 9, 2)
+    seeds = np.vstack([x[:2], np.full((4, 4), 500.0) + np.arange(4)[:, None] * 1000])
+    found = []
+    for parts in (1, 7):
+        df = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(parts)
+        step = cluster.lloyd_step(df, seeds)
+        assert (step.n[2:] == 0).all() and len(step.far_gap) == 6 and (np.diff(step.far_gap) <= 0).all()
+        new = step.centers(seeds)
+        gap = cluster.gaps(x, seeds).min(1)
+        assert {tuple(r) for r in np.round(new[2:], 9)} == {tuple(r) for r in np.round(x[np.argsort(-gap)[:4]], 9)}
+        centers, inertia, _ = cluster.lloyd(df, seeds, max_iter=20)
+        assert (np.bincount(cluster.gaps(x, centers).argmin(1), minlength=6) > 0).all()
+        found.append(inertia)
+    assert found[0] == pytest.approx(found[1])
+    same = spark.createDataFrame([([1.0, 2.0],)] * 5, "features array<double>")  # nobody can give a row that differs
+    assert cluster.lloyd(same, np.array([[1.0, 2.0], [9.0, 9.0]]))[1] == 0.0
+
+
+def test_seeds_over_all_rows(spark):
+    """The same whatever the partitions; with Lloyd's iterations no worse than restarts over the whole matrix."""
+    x, truth = blobs(5000, 6, 5, 9, 21)
+    rows = [(k, r.tolist()) for k, r in enumerate(x)]
+    dfs = [spark.createDataFrame(rows, "id long, features array<double>").repartition(p) for p in (2, 9)]
+    a, b = (cluster.parallel_seeds(df, "id", 6, seed=3) for df in dfs)
+    assert a.shape == (6, 5) and a == pytest.approx(b)
+    centers, inertia, _ = cluster.lloyd(dfs[0], a)
+    assert inertia <= cluster.k_means_local(x, 6, 42)[2] * 1.001 and rand_index(cluster.gaps(x, centers).argmin(1), truth) > 0.95
+    few = spark.createDataFrame(rows[:2] * 3, "id long, features array<double>")
+    assert len(cluster.parallel_seeds(few, "id", 6)) == 2
+    assert cluster.parallel_seeds(few.limit(0), "id", 6).size == 0
+
+
+def test_the_search_of_k_over_all_rows(spark):
+    """Figures of all rows: those of plain numpy for the same centres; the right k is chosen."""
+    x, truth = blobs(3000, 4, 4, 9, 31)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, features array<double>").repartition(5)
+    scores = evaluate.k_scan_rows(df, "id", range(2, 7))
+    assert evaluate.choose_k(scores) == 4
+    s = scores[2]
+    centers, labels, inertia = cluster.k_means_local(x, 4, 1)
+    assert s.inertia * 3000 == pytest.approx(inertia, rel=1e-6) and s.min_share == pytest.approx(np.bincount(labels).min() / 3000)
+    assert s.calinski_harabasz == pytest.approx(evaluate.calinski_harabasz(x, labels, centers), rel=1e-6)
+    assert s.davies_bouldin == pytest.approx(evaluate.davies_bouldin(x, labels, centers), rel=1e-6)
+    assert s.silhouette == pytest.approx(evaluate.silhouette(x[::2], labels[::2]), rel=1e-6)
+
+
+def test_labelled_rows_are_one_file(spark, tmp_path):
+    """Byte for byte what the rules say, in the order of rows, whatever the parts; read again, the same rows."""
+    from tessella.sources.text import read_delimited
+
+    cells = ["plain", ' "quoted" ', "two\nlines", "a;b", "", None, "\r", "x,y", "  spaces  "]
+    rows = [(k, f"r{k}", cells[k % len(cells)], str(k % 3 + 1) if k % 4 else None) for k in range(95)]
+    df = spark.createDataFrame(rows, f"{ROW_ID} long, id string, `a b.c` string, segment_id string").repartition(6)
+    quote = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in '";\n\r') else v
+    want = export.BOM + "".join(";".join(quote(v or "") for v in r) + "\n" for r in [("id", "a b.c", "segment_id"), *[r[1:] for r in rows]])
+    path = tmp_path / "out_segments.csv"
+    for parts in (1, 4, 95):
+        export.write_labelled(df, f"file://{path}", ROW_ID, delimiter=";", parts=parts)
+        assert path.is_file() and path.read_bytes().decode() == want
+        assert not (tmp_path / "out_segments.csv.parts").exists()
+    back = [tuple(r) for r in read_delimited(spark, str(path), delimiter=";").orderBy(ROW_ID).collect()]
+    assert back == [tuple(v if k == 0 else v or "" for k, v in enumerate(r)) for r in rows]
+    export.write_labelled(df.filter("false"), f"file://{path}", ROW_ID)
+    assert path.read_bytes().decode() == export.BOM + "id,a b.c,segment_id\n"
+
+
 def test_ward_matches_a_plain_search():
     x, truth = blobs(150, 4, 4, 8, 7)
     tree = cluster.ward_tree(x)
