@@ -6,10 +6,13 @@ import codecs
 import csv
 import io
 import zipfile
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import PurePosixPath
 from statistics import fmean, pvariance
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,45 +159,81 @@ def from_text(spark: SparkSession, text: str, *, delimiter: str | None = None) -
     return spark.createDataFrame(data, T.StructType([T.StructField(ROW_ID, T.LongType())] + [T.StructField(n, T.StringType()) for n in names]))
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Rows of a sheet that are sent at once.
+SHEET_ROWS = 4096
 
 
-def read_workbook(data: bytes) -> list[list[str]]:
-    """The first sheet of an xlsx or xlsm file as rows of text."""
+def first_sheet(book: zipfile.ZipFile) -> str:
+    """The part of a workbook that holds its first sheet, in the order that the workbook gives."""
+    names = set(book.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+            target = targets.get(sheet.get(_REL), "")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part in names:
+                return part
+    parts = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+    if not parts:
+        raise ValueError("the workbook has no sheet")
+    return parts[0]
+
+
+def sheet_rows(data: bytes) -> Iterator[list[str]]:
+    """The rows of the first sheet of an xlsx or xlsm file as text, one at a time; rows without any text are passed over."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        names = book.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")))
-        sheets = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
-        if not sheets:
-            raise ValueError("the workbook has no sheet")
-        rows = []
-        for row in ElementTree.fromstring(book.read(sheets[0])).iter(f"{{{_NS['m']}}}row"):
-            cells: list[str] = []
-            for c in row.findall("m:c", _NS):
-                letters = "".join(x for x in c.get("r", "") if x.isalpha())
-                at = 0
-                for x in letters:
-                    at = at * 26 + ord(x) - 64
-                cells += [""] * (max(at, len(cells) + 1) - len(cells))
-                value = c.find("m:v", _NS)
-                text = value.text or "" if value is not None else "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                cells[at - 1 if at else -1] = shared[int(text)] if c.get("t") == "s" and text else {"1": "TRUE", "0": "FALSE"}.get(text, text) if c.get("t") == "b" else text
-            rows.append(cells)
-        return [r for r in rows if any(r)]
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            with book.open("xl/sharedStrings.xml") as part:
+                for _, item in ElementTree.iterparse(part):
+                    if item.tag == f"{_MAIN}si":
+                        shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+                        item.clear()
+        with book.open(first_sheet(book)) as part:
+            for _, row in ElementTree.iterparse(part):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                cells: list[str] = []
+                for c in row.iter(f"{_MAIN}c"):
+                    at = 0
+                    for x in c.get("r", ""):
+                        if x.isalpha():
+                            at = at * 26 + ord(x.upper()) - 64
+                    at = at or len(cells) + 1
+                    cells += [""] * (at - len(cells))
+                    value = c.find(f"{_MAIN}v")
+                    text = value.text or "" if value is not None else "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+                    kind = c.get("t")
+                    cells[at - 1] = shared[int(text)] if kind == "s" and text else {"1": "TRUE", "0": "FALSE"}.get(text, text) if kind == "b" else text
+                row.clear()
+                if any(cells):
+                    yield cells
+
+
+def _sheet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            rows = enumerate(sheet_rows(data))
+            while held := list(islice(rows, SHEET_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([r for _, r in held], pa.list_(pa.string()))], names=["row", "cells"])
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook as strings, parsed by the task that reads it; the driver gets its header alone.
+
+    A workbook is one compressed file, and so one task's, which goes through it row by row.
+    """
     if path.lower().endswith(".xls"):
         raise ValueError("old .xls files aren't supported here: save the file as .xlsx")
-    rows = read_workbook(head_bytes(spark, path, 1 << 30))
-    if not rows:
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_sheet, "row long, cells array<string>")
+    head = rows.filter("row = 0").first()
+    if head is None:
         raise ValueError("the sheet is empty")
-    out = io.StringIO()
-    csv.writer(out, lineterminator="\n").writerows(rows)
-    return from_text(spark, out.getvalue(), delimiter=",")
+    names = header_names(head.cells)
+    cells = [F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(f"c{k}") for k in range(len(names))]
+    return rows.filter("row > 0").select((F.col("row") - 1).alias(ROW_ID), *cells).toDF(ROW_ID, *names)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

@@ -73,6 +73,37 @@ def test_excel(spark, tmp_path):
         text.read_any(spark, str(tmp_path / "old.xls"))
 
 
+def test_a_workbook_in_its_own_order(spark, tmp_path):
+    """Two sheets in changed order, many rows, columns beyond Z, gaps, blank rows and every kind of cell."""
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = [["id", "", "id", "flag", *[f"c{k}" for k in range(26)]]] + [[str(k), "", f"say <{k}> & more" if k % 3 else "", "1" if k % 2 else "0", *[str(k * j) if (k + j) % 4 else "" for j in range(26)]] for k in range(9000)]
+
+    def letters(n):
+        return (letters(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
+
+    def cell(r, c, v):
+        at = f"{letters(c)}{r + 1}"
+        if r and c == 3:
+            return f'<c r="{at}" t="b"><v>{v}</v></c>'
+        if r == 0 or c == 2:
+            v = v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+            return f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+        return f'<c r="{at}"><v>{v}</v></c>'
+
+    body = "".join(f'<row r="{r + 1}">' + "".join(cell(r, c, v) for c, v in enumerate(row) if v) + "</row>" + ("<row/>" if r % 100 == 0 else "") for r, row in enumerate(rows))
+    with zipfile.ZipFile(tmp_path / "b.xlsm", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="inlineStr"><is><t>wrong</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet7.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="b" sheetId="7" r:id="rId2"/><sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet7.xml"/></Relationships>')
+    df = text.read_any(spark, str(tmp_path / "b.xlsm"))
+    want = [(k, *["TRUE" if c == 3 and v == "1" else "FALSE" if c == 3 else v for c, v in enumerate(r)]) for k, r in enumerate(rows[1:])]
+    assert df.columns == ["_row_id", *text.header_names(rows[0])]
+    assert [tuple(r) for r in df.orderBy("_row_id").collect()] == want
+
+
 def test_row_ids_are_dense(spark):
     df = text.with_row_id(spark.range(1000).repartition(7))
     got = [r._row_id for r in df.orderBy("_row_id").collect()]
