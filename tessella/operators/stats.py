@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,43 @@ def dictionary_codes(df: DataFrame, column: str, row_id: str, *, cap: int = 20_0
     return first.join(F.broadcast(coded.select("value", (F.col("rank") - 1).alias("code"))), "value", "left").select("value", "code")
 
 
+def _first_levels(width: int, keep: int):
+    """A task's levels of each column that come first, ``keep`` at most, with their first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, int]] = [{} for _ in range(width)]
+
+        def cut(own: dict[str, int]) -> dict[str, int]:
+            return dict(sorted(own.items(), key=lambda x: (x[1], x[0]))[:keep])
+
+        for batch in batches:
+            for k, own in enumerate(held):
+                part = pa.table({"v": batch.column(k), "r": batch.column(width)}).group_by("v").aggregate([("r", "min")])
+                for value, row in zip(part.column("v").to_pylist(), part.column("r_min").to_pylist(), strict=True):
+                    if value is not None and row < own.get(value, row + 1):
+                        own[value] = row
+                # A level that is cut has its first row beyond all that stay; met again, it is cut again.
+                if len(own) > 2 * keep:
+                    held[k] = cut(own)
+        for k, own in enumerate(held):
+            own = cut(own)
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["k", "value", "first_row"])
+
+    return run
+
+
+def first_levels(df: DataFrame, columns: Sequence[str], row_id: str, cap: int) -> DataFrame:
+    """``k, value, first_row``: of each column (by place) the ``cap + 1`` levels that appear first in the table, and perhaps some more.
+
+    A level among the first of the table is among the first of its task, so tasks send ``cap + 1`` each:
+    whether there are more than ``cap`` is told exactly, however many there are.
+    """
+    rows = df.select(*[F.col(quoted(c)).cast("string").alias(f"v{k}") for k, c in enumerate(columns)], F.col(quoted(row_id)).cast("long").alias("row"))
+    found = rows.mapInArrow(_first_levels(len(columns), cap + 1), "k int, value string, first_row long")
+    return found.groupBy("k", "value").agg(F.min("first_row").alias("first_row"))
+
+
 def all_missing(columns: Sequence[str]) -> Column:
     """Rows in which every one of the columns is missing."""
     return F.expr(" AND ".join(f"{quoted(c)} IS NULL" for c in columns))

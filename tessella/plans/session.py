@@ -18,7 +18,7 @@ from tessella.functions.scalars import parse_sql, quoted, text_sql
 from tessella.operators import cluster, evaluate, explain, export, reduce
 from tessella.operators.encode import EncodePlan, fit_encoding
 from tessella.operators.infer import SAMPLE_ROWS, infer_columns
-from tessella.operators.stats import all_missing, category_stats, column_stats, dictionary_codes, hash_sample, systematic
+from tessella.operators.stats import all_missing, category_stats, column_stats, first_levels, hash_sample, systematic
 from tessella.plans.store import Store
 from tessella.sources.text import PREVIEW_ROWS, ROW_ID, open_delimited, read_any
 from tessella.spec import DOUBLE_KINDS, ColumnSpec, RunOptions
@@ -95,11 +95,12 @@ def capped_levels(typed: DataFrame, specs: Sequence[ColumnSpec], row_id: str = R
     if not strings:
         return typed
     names = typed.columns
-    about = typed.agg(*[F.approx_count_distinct(F.col(f"`{n}`")).alias(f"c{k}") for k, n in enumerate(strings)]).first()
-    for k, name in enumerate(strings):
-        if about[k] > cap * 0.7:  # the estimate is off by 5 % as a rule, by 30 % never
-            codes = dictionary_codes(typed, name, row_id, cap=cap).filter("code is not null").select(F.col("value").alias(name), F.lit(True).alias("__kept"))
-            typed = typed.join(codes, name, "left").withColumn(name, F.when(F.col("__kept"), F.col(f"`{name}`"))).drop("__kept").select(*[F.col(f"`{n}`") for n in names])
+    found = first_levels(typed, strings, row_id, cap)
+    for r in found.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > cap).orderBy("k").collect():  # a row a column that has too many
+        name = strings[r.k]
+        kept = found.filter(F.col("k") == r.k).orderBy("first_row", "value").limit(cap).select(F.col("value").alias("__value"), F.lit(True).alias("__kept"))
+        typed = typed.join(F.broadcast(kept), F.col(quoted(name)) == F.col("__value"), "left")  # cap rows
+        typed = typed.select(*[F.when(F.col("__kept"), F.col(quoted(n))).alias(n) if n == name else F.col(quoted(n)) for n in names])
     return typed
 
 

@@ -189,6 +189,30 @@ def test_block_quantiles_are_exact(spark, monkeypatch, cuts):
         assert means[g][[0, 1, 3]] == pytest.approx(np.nanmean(table[group == g][:, [0, 1, 3]], axis=0))
 
 
+def test_first_levels_are_told_exactly(spark):
+    """Whatever the partitions and the order in them: the levels that appear first, also with exactly as many as fit."""
+    rng = np.random.default_rng(8)
+    rows = [(int(r), f"v{rng.integers(0, 400)}", None if rng.random() < 0.3 else f"w{rng.integers(0, 20)}") for r in rng.permutation(3000)]
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, f"{ROW_ID} long, `a.b` string, c string").repartition(parts)
+        for cap in (20, 50, 1000):
+            found = {}
+            for r in stats.first_levels(df, ["a.b", "c"], ROW_ID, cap).collect():
+                found.setdefault(r.k, {})[r.value] = r.first_row
+            for k in (0, 1):
+                first = {}
+                for row in sorted(rows):
+                    if row[k + 1] is not None:
+                        first.setdefault(row[k + 1], row[0])
+                want = sorted(first.items(), key=lambda x: x[1])[: cap + 1]
+                assert sorted(found[k].items(), key=lambda x: x[1])[: cap + 1] == want
+                assert (len(found[k]) > cap) == (len(first) > cap)
+            specs = [ColumnSpec(0, "a.b", "categorical", "categorical", "feature"), ColumnSpec(1, "c", "categorical", "categorical", "feature")]
+            kept = {r[0] for r in capped_levels(df, specs, cap=cap).select("`a.b`").distinct().collect()} - {None}
+            first = list(dict.fromkeys(r[1] for r in sorted(rows)))
+            assert kept == set(first[:cap])
+
+
 def test_block_summaries(spark):
     """Moments are those of all rows whatever the partitions, also far from zero."""
     rng = np.random.default_rng(4)
