@@ -127,6 +127,12 @@ def unused(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def refuse(id_col: str, *results: str) -> None:
+    """An id column can't have the name of a result."""
+    if id_col.lower() in {r.lower() for r in results}:
+        raise ValueError(f"{id_col} is the name of a result; rename the id column")
+
+
 def without(df: DataFrame, *names: str) -> list[str]:
     """The columns of ``df`` but those names, in any case."""
     return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]

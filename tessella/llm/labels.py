@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import column
+
 #: Sampled documents of each class, and the length up to which a text can be sampled.
 PER_CLASS, MAX_CHARS = 1500, 60_000
 
@@ -38,14 +40,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: s
     with equal ids one is.  Texts over ``max_chars`` code points aren't sampled, so the
     driver gets ``2 * per_class * max_chars`` characters at most.
     """
-    y = F.col(label).cast("int")
-    known = labels.filter(y.isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), y.alias("__y")).groupBy("__id").agg(F.max("__y").alias("__y"))
+    y = column(label).cast("int")
+    known = labels.filter(y.isin(0, 1) & column(id_col).isNotNull() & ~held_out(column(id_col))).select(column(id_col).alias("__id"), y.alias("__y")).groupBy("__id").agg(F.max("__y").alias("__y"))
     total = {r["__y"]: r.n for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     picks = None
     for k in (0, 1):  # twice as many ids as texts, since some texts are too long or missing
         part = known.filter(F.col("__y") == k).orderBy(F.xxhash64("__id"), "__id").limit(2 * per_class)
         picks = part if picks is None else picks.union(part)
-    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter(F.length("__t") <= max_chars).join(F.broadcast(picks), "__id")  # 4 * per_class rows of two numbers
+    found = docs.select(column(id_col).alias("__id"), column(text_col).alias("__t")).filter(F.length("__t") <= max_chars).join(F.broadcast(picks), "__id")  # 4 * per_class rows of two numbers
     rows = found.orderBy("__y", F.xxhash64("__id"), "__id", "__t")
     rows = pd.concat([rows.filter(F.col("__y") == k).limit(2 * per_class).toPandas() for k in (0, 1)])
     rows = rows.drop_duplicates("__id").groupby("__y").head(per_class)

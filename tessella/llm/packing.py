@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import column, refuse, small_batches, table
 
 TIERS = (128, 256, 512, 1024)
 #: Tokens of one step group, and of the rests that are packed together.
@@ -188,8 +188,9 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[list[str]], l
 
     Defined cases: a null or empty text is the end id alone (no row without one);
     rows with equal or null ids are packed each for itself; an empty table gives an
-    empty table.  Other columns of ``docs`` are not read.
+    empty table.  Other columns of ``docs`` are not read; an id column with the name of a result is refused.
     """
+    refuse(id_col, "start", "length", "token_bytes", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind)] + [T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("token_bytes", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("tier", T.IntegerType()), ("step_group", T.LongType()))])
@@ -228,7 +229,7 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[list[str]], l
         if wait:
             yield rows(wait)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def byte_bpe(path: str | None = None, ranks: str | None = None, pattern: str | None = None) -> Callable[[], ByteBpe]:

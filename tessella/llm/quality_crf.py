@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import column, small_batches, table
 from tessella.llm.labels import Sample, held_out, labelled_sample
 
 UPPER = bytes(range(65, 91))
@@ -205,7 +205,7 @@ def quality_scores(docs: DataFrame, model: QualityModel, *, text_col: str = "tex
     equal texts get equal scores; an empty table gives an empty table.  No other column is read.
     """
     small_batches(docs.sparkSession)
-    return docs.withColumn(score_col, F.pandas_udf(_scorer(model), "double")(F.col(text_col)))
+    return docs.withColumn(score_col, F.pandas_udf(_scorer(model), "double")(column(text_col)))
 
 
 def _scorer(model: QualityModel) -> Callable[[pd.Series], pd.Series]:

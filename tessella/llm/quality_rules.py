@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, UPPER, WORD, column, materialize, table
+from tessella.llm.common import SPACE, UPPER, WORD, column, materialize, refuse, table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -59,14 +59,13 @@ def text_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Repeated windows are told by a 64-bit hash: in a text of n windows, n * n / 2 ** 65 pairs
     are expected to agree by chance (3e-8 in a million words).
     """
-    if id_col.lower() in FEATURES:
-        raise ValueError(f"{id_col} is the name of a feature; rename the id column")
+    refuse(id_col, *FEATURES, "votes", "good_probability")
     text = F.coalesce(column(text_col), F.lit(""))
     known = F.array(*map(F.lit, FUNCTION_WORDS))
-    step = docs.select(column(id_col), text.alias("t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"))
+    step = docs.select(column(id_col).alias("__id"), text.alias("t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"))
     count_of = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
     step = step.select(
-        column(id_col), F.size("words").cast("long").alias("n_words"), F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"), count_of(SYMBOLS).cast("long").alias("n_symbols"),
+        "__id", F.size("words").cast("long").alias("n_words"), F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"), count_of(SYMBOLS).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         count_of(UPPER).cast("long").alias("n_upper"), count_of("!").cast("long").alias("n_exclaim"),
         F.size(F.filter("words", lambda w: F.array_contains(known, F.lower(F.btrim(w, F.lit(AROUND)))))).cast("long").alias("n_function"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
@@ -80,7 +79,8 @@ def text_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     again = F.filter("s", lambda x, k: (x["w"] == F.get("s", k - 1)["w"]) | (x["w"] == F.get("s", k + 1)["w"]))
     step = step.select(*rest, F.when(F.col("s").isNotNull(), F.sort_array(F.transform(again, lambda x: x["i"]))).alias("p"))
     cover = F.aggregate(F.transform("p", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("p", k + 1) - p, F.lit(5)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return step.select(*rest, F.coalesce(F.when(F.col("p").isNotNull(), cover), F.lit(0).cast("long")).alias("n_repeat_words"))
+    step = step.select(*rest, F.coalesce(F.when(F.col("p").isNotNull(), cover), F.lit(0).cast("long")).alias("n_repeat_words"))
+    return step.withColumnRenamed("__id", id_col)
 
 
 @dataclass
@@ -129,7 +129,7 @@ def quality_votes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Defined cases: a null or empty text has no words and is judged by the votes of
     zero counts.  Rows with equal or null ids are judged each.  Documents with the same
     votes have the same probability.  An empty table gives an empty table.  Other
-    columns are not read; an id column with the name of a feature is refused.
+    columns are not read; an id column with the name of a feature or a result is refused.
     """
     if len(rules) > 9:
         raise ValueError("at most nine rules: the driver counts 3 ** rules patterns")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import column, refuse, small_batches, table
 
 SCALE = 1 << 20
 LOW, NEVER = -(1 << 62), 1 << 62
@@ -184,18 +184,6 @@ class Segmenter:
                 out.append((i, got[1]))
         return out
 
-    def forward(self, unit: str) -> tuple[list[int], list[int]]:
-        """Best score of each position, and where its last piece begins."""
-        n = len(unit)
-        best, back = [LOW] * (n + 1), [0] * (n + 1)
-        best[0] = 0
-        for j in range(n):
-            base = best[j]
-            for i, s in self.arcs(unit, j):
-                if base + s > best[i]:
-                    best[i], back[i] = base + s, j
-        return best, back
-
     def _ids(self, piece: str) -> tuple[int, ...]:
         return self.v.char(piece)[0] if len(piece) == 1 else (self.v.pieces[piece][0],)
 
@@ -306,8 +294,10 @@ def encode_n_best(docs: DataFrame, *, n: int = 3, model: str | None = None, id_c
 
     Defined cases: a null or empty text has one segmentation, without pieces; a text with
     fewer than ``n`` segmentations gets those it has.  Rows with equal or null ids are
-    segmented each.  An empty table gives an empty table.  Other columns are not read.
+    segmented each.  An empty table gives an empty table.  Other columns are not read; an id column
+    with the name of a result is refused.
     """
+    refuse(id_col, "rank", "score", "n_pieces", "ids", "decoded")
     small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded)
 
@@ -331,7 +321,7 @@ def encode_n_best(docs: DataFrame, *, n: int = 3, model: str | None = None, id_c
                 kinds = [batch.schema.field(0).type, pa.int32(), pa.float64(), pa.int64(), pa.binary(), *([pa.string()] * decoded)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def decode_column(ids, model: str | None = None):
@@ -346,11 +336,6 @@ def decode_column(ids, model: str | None = None):
     return F.pandas_udf(run, "string")(ids)
 
 
-def make_encoder(model: str | None = None) -> Callable[[], Callable[[list[str]], list[bytes]]]:
-    """An ``encode`` for packing: the best segmentation of each text."""
-    return lambda: lambda texts: [_segmenter(model).n_best(t, 1)[0][1] for t in texts]
-
-
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document and rank: score, pieces, checksums of the ids and of the text they decode to."""
     # Decoded where it is encoded: a second Python worker would hold the vocabulary once more.

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import LOWER, UPPER, ascii_lower, table
+from tessella.llm.common import LOWER, UPPER, ascii_lower, column, refuse, table
 
 #: (host, path, verdict): a rule fits its host and all subdomains, and paths that start with its path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -106,11 +106,14 @@ def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
 
     Defined cases: a null url or one without ``://`` has an empty host and path, is fitted
     by no rule and judged by the bias and its empty ends.  Rows with equal or null ids are
-    judged each.  An empty table gives an empty table.  Other columns are not read.
+    judged each.  An empty table gives an empty table.  Other columns are not read; an id column
+    with the name of a result is refused.
     """
+    refuse(id_col, "host", "path", "rule", "verdict", "spam_score")
     weight, bias = _model(labelled)
     parts = "://([^/?#]*)([^?#]*)"
-    out = pages.select(F.col(id_col), F.coalesce(F.regexp_extract(url_col, parts, 1), F.lit("")).alias("__host"), F.coalesce(F.regexp_extract(url_col, parts, 2), F.lit("")).alias("path"))
+    url = column(url_col)
+    out = pages.select(column(id_col).alias("__id"), F.coalesce(F.regexp_extract(url, parts, 1), F.lit("")).alias("__host"), F.coalesce(F.regexp_extract(url, parts, 2), F.lit("")).alias("path"))
     out = out.withColumn("host", ascii_lower(F.col("__host")))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for host, path, say in sorted(rules, key=lambda r: len(r[0] + r[1])):  # the longest is asked first
@@ -120,7 +123,7 @@ def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     def points(col: str):
         return F.transform(F.regexp_extract_all(F.concat(F.lit(EDGE), F.col(col), F.lit(EDGE)), F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
 
-    out = out.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("__verdict"), points("host").alias("__h"), points("path").alias("__p"), F.split(F.lit(",".join(map(str, weight))), ",").cast("array<long>").alias("__w"))
+    out = out.select("__id", "host", "path", rule.alias("rule"), verdict.alias("__verdict"), points("host").alias("__h"), points("path").alias("__p"), F.split(F.lit(",".join(map(str, weight))), ",").cast("array<long>").alias("__w"))
 
     def total(col: str, salt: int, n: int):
         def at(i):
@@ -135,10 +138,10 @@ def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
 
     sums = [total(col, salt, n) for col, salt in (("__h", 0), ("__p", PATH_SALT)) for n in SIZES]
     total_weight, n_grams = sum((s for s, _ in sums[1:]), sums[0][0]), sum((c for _, c in sums[1:]), sums[0][1])
-    out = out.select(id_col, "host", "path", "rule", "__verdict", (total_weight + n_grams * F.lit(bias)).alias("__sum"), n_grams.alias("__n"))
+    out = out.select("__id", "host", "path", "rule", "__verdict", (total_weight + n_grams * F.lit(bias)).alias("__sum"), n_grams.alias("__n"))
     score = 1 / (1 + F.exp(-F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")).otherwise(F.lit(float(bias))) / SCALE))
     method = F.when(F.when(F.col("__n") > 0, F.col("__sum")).otherwise(F.lit(bias)) >= 0, "block").otherwise("allow")
-    return out.select(id_col, "host", "path", "rule", F.coalesce("__verdict", method).alias("verdict"), score.alias("spam_score"))
+    return out.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("__verdict", method).alias("verdict"), score.alias("spam_score"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
