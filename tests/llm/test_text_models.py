@@ -623,3 +623,35 @@ def test_recall_on_the_embeddings(spark, sf):
 
 def test_cosines_keep_large_and_small_vectors():
     assert ann.cosines(np.array([1e300, 1e300]), np.array([[1e-300, 0.0]]))[0] == pytest.approx(sqrt(0.5))
+
+
+# --- names
+
+
+ODD_NAMES = ["t", "words", "lines", "h", "w", "s", "p", "id", "text", "list", "__id", "a.b", "Doc Id"]
+
+
+def test_ids_of_any_name(spark):
+    """Names that operators use inside, and dotted ones, come back; names of results are refused."""
+    rows = [(3, "One two three four five six seven.\nAnd a line that is fine."), (None, None), (5, "a " * 40)]
+    for name in ODD_NAMES:
+        df = spark.createDataFrame(rows, "i long, x string").select(F.col("i").alias(name), F.col("x").alias("the.text"))
+        assert quality_rules.quality_votes(df, id_col=name, text_col="the.text").columns[0] == name
+        packed = packing.pack_documents(df, packing.byte_bpe(), id_col=name, text_col="the.text")
+        assert packed.columns[0] == name
+        assert sp.encode_n_best(df, id_col=name, text_col="the.text").columns[0] == name
+        assert url_filter.url_verdicts(df, id_col=name, url_col="the.text").columns[0] == name
+    assert {r["Doc Id"] for r in packed.collect()} == {3, None, 5}
+    assert quality_rules.quality_votes(df, id_col="Doc Id", text_col="the.text").count() == 3
+    assert url_filter.url_verdicts(df, id_col="Doc Id", url_col="the.text").count() == 3
+    for call, names in ((lambda n: quality_rules.quality_votes(df, id_col=n), ["n_words", "Votes"]), (lambda n: packing.pack_documents(df, packing.byte_bpe(), id_col=n), ["length", "TIER"]), (lambda n: sp.encode_n_best(df, id_col=n), ["rank", "score"]), (lambda n: url_filter.url_verdicts(df, id_col=n), ["host", "verdict"])):
+        for n in names:
+            with pytest.raises(ValueError, match="result"):
+                call(n)
+
+
+def test_labels_of_any_name(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(30)], "i long, x string").select(F.col("i").alias("a.id"), F.col("x").alias("a.text"))
+    marks = spark.createDataFrame([(k, k % 2) for k in range(30)], "i long, y int").select(F.col("i").alias("a.id"), F.col("y").alias("a.y"))
+    sample = labels.labelled_sample(docs, marks, "a.y", id_col="a.id", text_col="a.text")
+    assert len(sample.texts) == sum(sample.total.values()) > 10 and all(t == f"text {i}" for t, i in zip(sample.texts, sample.ids, strict=True))
