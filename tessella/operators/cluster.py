@@ -168,21 +168,26 @@ def parallel_seeds(df: DataFrame, row_id: str, k: int, *, seed: int = 42, rounds
     return weighted_seeds(drawn[live], weights[live], k, np.random.default_rng(seed))
 
 
-def weighted_seeds(rows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, turns: int = 20) -> np.ndarray:
-    """Spread-out seeds of weighted rows, then a few of Lloyd's iterations over them."""
-    picks = [int(np.searchsorted(np.cumsum(weights), rng.random() * weights.sum()))]
-    while len(picks) < min(k, len(rows)):
-        odds = np.cumsum(weights * gaps(rows, rows[picks]).min(1))
-        if odds[-1] <= 0:
-            break
-        picks.append(int(min(len(rows) - 1, np.searchsorted(odds, rng.random() * odds[-1], side="right"))))
-    centers = rows[picks]
-    for _ in range(turns):
-        label = gaps(rows, centers).argmin(1)
-        sums, n = np.zeros_like(centers), np.bincount(label, weights, len(centers))
-        np.add.at(sums, label, rows * weights[:, None])
-        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-300)[:, None], centers)
-    return centers
+def weighted_seeds(rows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, *, restarts: int = 16, turns: int = 20) -> np.ndarray:
+    """Spread-out seeds of weighted rows and a few of Lloyd's iterations over them; the best of some restarts."""
+    best, least = rows[:1], np.inf
+    for _ in range(restarts):
+        picks = [int(np.searchsorted(np.cumsum(weights), rng.random() * weights.sum()))]
+        while len(picks) < min(k, len(rows)):
+            odds = np.cumsum(weights * gaps(rows, rows[picks]).min(1))
+            if odds[-1] <= 0:
+                break
+            picks.append(int(min(len(rows) - 1, np.searchsorted(odds, rng.random() * odds[-1], side="right"))))
+        centers = rows[picks]
+        for _ in range(turns):
+            label = gaps(rows, centers).argmin(1)
+            sums, n = np.zeros_like(centers), np.bincount(label, weights, len(centers))
+            np.add.at(sums, label, rows * weights[:, None])
+            centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-300)[:, None], centers)
+        cost = float(weights @ gaps(rows, centers).min(1))
+        if (-len(centers), cost) < (-len(best), least):
+            best, least = centers, cost
+    return best
 
 
 def plus_plus(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
