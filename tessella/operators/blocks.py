@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.scalars import quoted
+
 #: Sketched values of a column that a task sends, and rows that a batch gives to them.
 POINTS, ROWS = 128, 256
 #: Cuts of a column, at most; bins of all columns together, at most (counts of 8 bytes in a task, for each group).
@@ -34,8 +36,16 @@ FAN, SLICES = 16, 256
 HELD = 1 << 20
 
 
+#: A column that holds many numeric ones as an array; its metadata has their names.
+BLOCK = "__block"
+
+
 def matrix_of(batch: pa.RecordBatch, columns: Sequence[int]) -> np.ndarray:
-    """Columns, by place, as a matrix of doubles, NaN where missing."""
+    """Columns, by place, as a matrix of doubles, NaN where missing; places in the array if the first column is one."""
+    if len(batch.schema) and pa.types.is_list(batch.schema.field(0).type):
+        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        out = flat.reshape(len(batch), -1)
+        return out if list(columns) == list(range(out.shape[1])) else out[:, list(columns)]
     out = np.empty((len(batch), len(columns)), order="F")
     for k, at in enumerate(columns):
         out[:, k] = batch.column(at).to_numpy(zero_copy_only=False)
@@ -135,9 +145,9 @@ def _merged(found: Iterator[Summary]) -> Summary | None:
     return out
 
 
-def _summaries(width: int):
+def _summaries(places: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _merged(_summary(matrix_of(b, range(width))) for b in batches if len(b))
+        found = _merged(_summary(matrix_of(b, places)) for b in batches if len(b))
         if found:
             yield _pack(found)
 
@@ -150,16 +160,36 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pack(found)
 
 
-def doubles(df: DataFrame, columns: Sequence[str], *others) -> DataFrame:
-    """The columns as doubles under plain names, NULL for NaN, and ``others``."""
-    value = lambda c: F.col("`" + c.replace("`", "``") + "`").cast("double")
-    return df.select(*[F.nanvl(value(c), F.lit(None).cast("double")).alias(f"x{k}") for k, c in enumerate(columns)], *others)
+def block_names(df: DataFrame) -> list[str]:
+    """The columns that ``df`` also holds as one array."""
+    return df.schema[BLOCK].metadata.get("names", []) if BLOCK in df.columns else []
+
+
+def with_block(df: DataFrame, columns: Sequence[str], *others: str) -> DataFrame:
+    """``others`` and, as one array, the double ``columns``: a form that is written and read much faster than many columns."""
+    return df.selectExpr(*[quoted(c) for c in others], f"array({', '.join(map(quoted, columns))}) AS {BLOCK}")
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], *others: str) -> DataFrame:
+    """``others`` and the columns of a table that :func:`with_block` made, with the array beside them."""
+    cells = [f"get({BLOCK}, {k}) AS {quoted(c)}" for k, c in enumerate(columns)]
+    return df.selectExpr(*[quoted(c) for c in others], *cells, BLOCK).withMetadata(BLOCK, {"names": list(columns)})
+
+
+def doubles(df: DataFrame, columns: Sequence[str], *others: str) -> tuple[DataFrame, list[int]]:
+    """The columns as doubles, NULL for NaN, and ``others`` (SQL); with the places of the columns in a row's matrix."""
+    names = block_names(df)
+    if names and set(columns) <= set(names):
+        return df.selectExpr(BLOCK, *others), [names.index(c) for c in columns]
+    cells = [f"nanvl(CAST({quoted(c)} AS DOUBLE), CAST(NULL AS DOUBLE)) AS x{k}" for k, c in enumerate(columns)]
+    return df.selectExpr(*cells, *others), list(range(len(columns)))
 
 
 def summarise(df: DataFrame, columns: Sequence[str]) -> Summary:
     """Over all rows, in one pass; a summary a task, merged in a tree."""
     schema = ", ".join(["rows long", *(f"{n} binary" for n in Summary.NAMES)])
-    parts = doubles(df, columns).mapInArrow(_summaries(len(columns)), schema)
+    rows, places = doubles(df, columns)
+    parts = rows.mapInArrow(_summaries(places), schema)
     parts = parts.repartition(FAN, F.spark_partition_id() % FAN).mapInArrow(_merge, schema)
     found = _merged(_unpack(parts.toArrow()))  # FAN rows at most
     return found or replace(_summary(np.full((1, len(columns)), np.nan)), rows=0)
@@ -176,18 +206,18 @@ def bins_of(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return 2 * left + (cuts[np.minimum(left, len(cuts) - 1)] == x) if len(cuts) else np.zeros(len(x), int)
 
 
-def _places(batch: pa.RecordBatch, cuts: list[np.ndarray], width: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(batch: pa.RecordBatch, places: list[int], cuts: list[np.ndarray], width: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """The values of a batch, and for each the number of its group, column and bin as one."""
-    x = matrix_of(batch, range(len(cuts)))
+    x = np.asfortranarray(matrix_of(batch, places))
     live = ~np.isnan(x)
-    group = batch.column(len(cuts)).to_numpy(zero_copy_only=False).astype(np.float64) if groups > 1 else np.zeros(len(x))
+    group = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.float64) if groups > 1 else np.zeros(len(x))
     live &= ((group >= 0) & (group < groups))[:, None]
     group = np.nan_to_num(group).astype(np.int64) * len(cuts)
     at = [((group + k) * width + bins_of(x[:, k], c))[live[:, k]] for k, c in enumerate(cuts)]
     return np.concatenate([x[live[:, k], k] for k in range(len(cuts))]), np.concatenate(at)
 
 
-def _counts(cuts: list[np.ndarray], width: int, groups: int):
+def _counts(places: list[int], cuts: list[np.ndarray], width: int, groups: int):
     """A task's counts, and its sums of each group and column."""
     size = groups * len(cuts) * width
 
@@ -195,7 +225,7 @@ def _counts(cuts: list[np.ndarray], width: int, groups: int):
         total, sums = np.zeros(size, np.int64), np.zeros(groups * len(cuts))
         for batch in batches:
             if len(batch):
-                x, at = _places(batch, cuts, width, groups)
+                x, at = _places(batch, places, cuts, width, groups)
                 total += np.bincount(at, minlength=size)
                 sums += np.bincount(at // width, x, minlength=len(sums))
         if total.any():
@@ -230,7 +260,7 @@ def _sum_counts(size: int, cells: int):
     return run
 
 
-def _gather(cuts: list[np.ndarray], width: int, groups: int, wanted: np.ndarray):
+def _gather(places: list[int], cuts: list[np.ndarray], width: int, groups: int, wanted: np.ndarray):
     """Values that lie in the ``wanted`` places, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +277,7 @@ def _gather(cuts: list[np.ndarray], width: int, groups: int, wanted: np.ndarray)
         look[wanted] = True
         for batch in batches:
             if len(batch):
-                x, at = _places(batch, cuts, width, groups)
+                x, at = _places(batch, places, cuts, width, groups)
                 hit = look[at]
                 held.append((at[hit], x[hit]))
                 n += int(hit.sum())
@@ -290,9 +320,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], *,
     cuts = [c[:: max(1, -(-len(c) // most))] for c in cuts_of(summary.points)]
     width = 2 * max(map(len, cuts), default=0) + 1
     size = groups * len(columns) * width
-    rows = doubles(df, columns, *([F.col(f"`{group}`").cast("long").alias("g")] if groups > 1 else []))
+    rows, places = doubles(df, columns, *([f"CAST({quoted(group)} AS LONG) AS g"] if groups > 1 else []))
     schema = "at binary, n binary, sums binary"
-    parts = rows.mapInArrow(_counts(cuts, width, groups), schema)
+    parts = rows.mapInArrow(_counts(places, cuts, width, groups), schema)
     parts = parts.repartition(FAN, F.spark_partition_id() % FAN).mapInArrow(_sum_counts(size, groups * len(columns)), schema)
     counts, sums = _add_counts(parts.toArrow().to_pylist(), size, groups * len(columns))  # FAN rows at most
     upto = np.cumsum(counts.reshape(-1, width), axis=1)
@@ -315,7 +345,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], *,
                 open_.setdefault(key, [float(low), float(high), []])[2].append((at[0], cell, at[1]))
     if open_:
         wanted = np.unique([c for c, _ in open_])
-        cells = rows.mapInArrow(_gather(cuts, width, groups, wanted), "cell long, value double, n long")
+        cells = rows.mapInArrow(_gather(places, cuts, width, groups, wanted), "cell long, value double, n long")
         found = _select(cells, [(c, p, low, high) for (c, p), (low, high, _) in open_.items()])
         for key, (_, _, ats) in open_.items():
             for at in ats:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.scalars import clip, log_map, probit, probit_array, quoted
-from tessella.operators.blocks import Summary
+from tessella.operators.blocks import BLOCK, Summary, block_names
 from tessella.operators.stats import category_stats, column_stats
 from tessella.spec import DOUBLE_KINDS, ColumnSpec
 
@@ -68,9 +68,10 @@ class Rule:
             hit = c.isNotNull() & ~hit if self.kind == "other" else hit
         return indicator(hit, self.center) * self.size
 
-    def array(self, x: pa.Array, known: pa.Array | None = None) -> np.ndarray:
+    def array(self, x: pa.Array | np.ndarray, known: pa.Array | None = None) -> np.ndarray:
+        """The dimension of the column's cells; doubles may come as an array with NaN for missing."""
         if self.kind in ("plain", "log", "ranks"):
-            v = x.to_numpy(zero_copy_only=False).astype(np.float64)
+            v = x if isinstance(x, np.ndarray) else x.to_numpy(zero_copy_only=False).astype(np.float64)
             gone = np.isnan(v)
             if self.kind == "ranks":
                 v = self.ranks.scores(v, None if known is None else known.to_numpy(zero_copy_only=False).astype(np.float64))
@@ -78,7 +79,7 @@ class Rule:
                 v = ((np.log1p(np.maximum(v, 0.0)) if self.kind == "log" else v) - self.center) / self.scale
             return np.where(gone, self.middle, np.clip(v, -LIMIT, LIMIT)) * self.size
         if self.kind == "missing":
-            hit = x.is_null()
+            hit = pa.array(np.isnan(x)) if isinstance(x, np.ndarray) else x.is_null()
         else:
             hit = pc.fill_null(pc.is_in(x, pa.array(self.levels, x.type)), False)
             hit = pc.and_(x.is_valid(), pc.invert(hit)) if self.kind == "other" else hit
@@ -291,18 +292,20 @@ class EncodePlan:
 
     def block(self, df: DataFrame, *keep: str):
         """The columns that the kernel reads, the kernel, and the fields of ``keep``; the kernel makes ``keep..., features`` of a batch."""
+        held = block_names(df)
         text = {f.column for f in self.features if f.rule.kind in ("level", "other")}
-        names = list(dict.fromkeys(f.column for f in self.features))
+        names = [n for n in dict.fromkeys(f.column for f in self.features) if n not in held]
         below = [f"__below{k}" for k, f in enumerate(self.features) if f.looked_up]
-        source = [F.col(quoted(n)).cast("string" if n in text else "double").alias(f"x{k}") for k, n in enumerate(names)]
-        rows = df.select(*[F.col(quoted(c)) for c in keep], *source, *below)
-        rules = [(f.rule if not f.looked_up else replace(f.rule, ranks=replace(f.rule.ranks, table=None)), f"x{names.index(f.column)}", f"__below{k}" if f.looked_up else None) for k, f in enumerate(self.features)]
+        source = [f"CAST({quoted(n)} AS {'STRING' if n in text else 'DOUBLE'}) AS x{k}" for k, n in enumerate(names)]
+        rows = df.selectExpr(*map(quoted, keep), *([BLOCK] if held else []), *source, *below)
+        rules = [(f.rule if not f.looked_up else replace(f.rule, ranks=replace(f.rule.ranks, table=None)), held.index(f.column) if f.column in held else f"x{names.index(f.column)}", f"__below{k}" if f.looked_up else None) for k, f in enumerate(self.features)]
         first = len(keep)
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = np.empty((len(batch), len(rules)))
-            for k, (rule, name, known) in enumerate(rules):
-                out[:, k] = rule.array(batch.column(name), None if known is None else batch.column(known))
+            out = np.empty((len(batch), len(rules)), order="F")
+            many = batch.column(first).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if held else None
+            for k, (rule, at, known) in enumerate(rules):
+                out[:, k] = rule.array(many[:, at] if isinstance(at, int) else batch.column(at), None if known is None else batch.column(known))
             return pa.RecordBatch.from_arrays([*batch.columns[:first], list_array(out)], names=[*batch.schema.names[:first], "features"])
 
         return rows, kernel, rows.schema.fields[:first]

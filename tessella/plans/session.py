@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.scalars import parse_sql, quoted, text_sql
-from tessella.operators import cluster, evaluate, explain, export, reduce
+from tessella.operators import blocks, cluster, evaluate, explain, export, reduce
 from tessella.operators.encode import EncodePlan, fit_encoding
 from tessella.operators.infer import SAMPLE_ROWS, infer_columns
 from tessella.operators.stats import all_missing, category_stats, column_stats, first_levels, hash_sample, systematic
@@ -24,8 +24,10 @@ from tessella.sources.text import PREVIEW_ROWS, ROW_ID, open_delimited, read_any
 from tessella.spec import DOUBLE_KINDS, ColumnSpec, RunOptions
 
 DICTIONARY_CAP, SCATTER_ROWS = 20_000, 20_000
-#: Columns that are parsed by an expression each, at most.
+#: Columns that are parsed by an expression each and held apart, at most.
 WIDE = 40
+#: Rows beyond which a table with its segments is written before it is profiled.
+JOIN_ROWS = 500_000
 PHASES = ("inspect", "load", "encode", "reduce", "search-k", "cluster", "profile", "export", "done")
 
 
@@ -121,7 +123,7 @@ class Session:
         self.store = Store(spark)
         self.table: DataFrame | None = None
         self.name, self.delimiter, self.rows = "table", ",", 0
-        self._cached: tuple[str, DataFrame] | None = None
+        self._cached: tuple[str, DataFrame, DataFrame] | None = None
         self.result: Result | None = None
 
     def load(self, source: str | DataFrame, *, row_id: str = ROW_ID, name: str | None = None) -> Inspection:
@@ -154,7 +156,7 @@ class Session:
 
     def drop(self) -> None:
         if self._cached:
-            self.store.drop(self._cached[1])
+            self.store.drop(self._cached[2])
         self._cached = None
 
     def _typed(self, specs: Sequence[ColumnSpec], max_rows: int) -> DataFrame:
@@ -162,12 +164,19 @@ class Session:
         if not self._cached or self._cached[0] != key:
             self.progress("load")
             self.drop()
-            typed = self.store.keep(typed_table(systematic(self.table, ROW_ID, max_rows), specs))
-            capped = capped_levels(typed, specs)  # reads the kept cells, so texts are parsed once
-            if capped is not typed:
+            typed = typed_table(systematic(self.table, ROW_ID, max_rows, self.rows), specs)
+            kept = [s for s in specs if s.role != "ignore"]
+            doubles, strings = [s.name for s in kept if s.kind in DOUBLE_KINDS], [s.name for s in kept if s.kind not in DOUBLE_KINDS]
+            if len(doubles) > WIDE:  # many numbers are held as one array
+                held = self.store.keep(blocks.with_block(typed, doubles, ROW_ID, *strings))
+                view = lambda df: blocks.unpacked(df, doubles, ROW_ID, *strings)
+            else:
+                held, view = self.store.keep(typed), lambda df: df
+            capped = capped_levels(held, specs)  # reads the kept cells, so texts are parsed once
+            if capped is not held:
                 capped = self.store.keep(capped)
-                self.store.drop(typed)
-            self._cached = (key, capped)
+                self.store.drop(held)
+            self._cached = (key, view(capped), capped)
         return self._cached[1]
 
     def run(self, specs: Sequence[ColumnSpec], options: RunOptions | None = None) -> Result:
@@ -243,7 +252,9 @@ class Session:
         return cluster.lloyd(space, cluster.parallel_seeds(space, ROW_ID, k, seed=o.seed))[0]
 
     def _explain(self, df: DataFrame, labels: DataFrame, kept, numeric, levels, k: int) -> tuple[DataFrame, list[dict], list[dict]]:
-        both = self.store.keep(df.join(labels.select(ROW_ID, "label"), ROW_ID))
+        both = df.join(labels.select(ROW_ID, "label"), ROW_ID)
+        if self.rows > JOIN_ROWS:  # fewer labels are broadcast by their size, and the join is made again in each pass
+            both = self.store.keep(both.drop(blocks.BLOCK))
         filled = {r["column"] for r in numeric[0] if r["n"]}
         doubles = [s.name for s in kept if s.name in filled]
         strings = [s.name for s in kept if s.kind not in DOUBLE_KINDS and len(levels.get(s.name, [])) > 1]
