@@ -402,8 +402,12 @@ def empty_cluster_repair(spark, sf_dir):
     """A seed that no row is near ends as the centre of some rows: sizes of five clusters, none empty."""
     df = rfm_table(spark, sf_dir)
     encoded = encode.fit_encoding(df, RFM_SPECS, "c_custkey").encode(df).persist()
-    centers, _, _ = cluster.lloyd(encoded, np.vstack([SEEDS, [[50.0, 50.0, 50.0, 50.0]]]), max_iter=10)
-    return explain.cluster_sizes(cluster.assign(encoded, centers), len(centers))
+    try:
+        centers, _, _ = cluster.lloyd(encoded, np.vstack([SEEDS, [[50.0, 50.0, 50.0, 50.0]]]), max_iter=10)
+        rows = explain.cluster_sizes(cluster.assign(encoded, centers), len(centers)).collect()  # a row a cluster
+    finally:
+        encoded.unpersist()
+    return spark.createDataFrame([tuple(r) for r in rows], "label int, size long, share double")
 
 
 @query(ASSIGNED + " SELECT CAST(l.label AS INTEGER) AS label, count(c_custkey) AS size, round(count(c_custkey) / (SELECT count(*) FROM assigned), 6) AS share FROM range(0, 5) AS l(label) LEFT JOIN assigned a ON a.label = l.label GROUP BY l.label")
@@ -592,8 +596,8 @@ def rfm_segmentation(spark, sf_dir):
 
 def _session(spark, sf_dir, **options):
     """A run over customers; the table of aggregates is the session's input."""
-    table = with_row_id(rfm_table(spark, sf_dir).orderBy("c_custkey").persist())  # kept, since its ranges are cut anew in every job
     session = Session(spark)
+    table = with_row_id(session.store.keep(rfm_table(spark, sf_dir).orderBy("c_custkey")))  # kept, since its ranges are cut anew in every job
     found = session.load(table, name="customers.csv")
     specs = [s.replace(role="ignore") if s.name == "c_custkey" else s for s in found.specs]
     return session, session.run(specs, RunOptions(**options))

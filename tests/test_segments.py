@@ -189,6 +189,20 @@ def test_block_quantiles_are_exact(spark, monkeypatch, cuts):
         assert means[g][[0, 1, 3]] == pytest.approx(np.nanmean(table[group == g][:, [0, 1, 3]], axis=0))
 
 
+def test_shades_ranges_and_sizes(spark):
+    from tessella.functions import scalars
+    from tessella.plans.session import memory_estimate
+
+    shades = spark.sql("SELECT explode(array(0D, 0.25D, 1D, 2D, 100D)) AS x").select(scalars.lift_intensity(F.col("x")).alias("s")).collect()
+    assert [r.s for r in shades] == pytest.approx([-1, -1, 0, 1 / 1.2, 1])
+    x = np.concatenate([np.arange(1000.0), [1e6, -1e6]])
+    low, high = reduce.plot_range(x)
+    assert low == pytest.approx(4 - 0.06 * 991, abs=3) and high == pytest.approx(995 + 0.06 * 991, abs=3)
+    assert reduce.plot_range(np.array([])) == (0.0, 1.0) and reduce.plot_range(np.array([5.0])) == (4.0, 6.0)
+    specs = [ColumnSpec(0, "a", "numeric", "numeric", "feature"), ColumnSpec(1, "b", "categorical", "categorical", "profile"), ColumnSpec(2, "c", "text", "text", "ignore")]
+    assert memory_estimate(100, specs) == 1200
+
+
 def test_first_levels_are_told_exactly(spark):
     """Whatever the partitions and the order in them: the levels that appear first, also with exactly as many as fit."""
     rng = np.random.default_rng(8)
