@@ -32,6 +32,8 @@ POINTS, ROWS = 128, 256
 CUTS, BINS = 1024, 200_000
 #: Summaries that meet on the driver, at most, and slices of a bin.
 FAN, SLICES = 16, 256
+#: Values in all wanted bins that are put in order on the driver (24 bytes each); more are shuffled.
+FEW = 500_000
 #: Values that a task counts by value before it sends them on.
 HELD = 1 << 20
 
@@ -309,6 +311,20 @@ def _select(cells: DataFrame, wanted: list[tuple[int, int, float, float]]) -> di
     return {(r.cell, r.place): r.value for r in found.select("cell", "place", "value").collect()}  # a row a place wanted
 
 
+def _select_few(cells: pa.Table, wanted: Sequence[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """The same of a bounded table on the driver."""
+    cell, value, n = (cells.column(c).to_numpy() for c in ("cell", "value", "n"))
+    order = np.lexsort((value, cell))
+    cell, value, n = cell[order], value[order], n[order]
+    upto = np.cumsum(n)
+    out = {}
+    for c, place in wanted:
+        first = int(np.searchsorted(cell, c))
+        before = int(upto[first - 1]) if first else 0
+        out[c, place] = float(value[np.searchsorted(upto, before + place, side="right")])
+    return out
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], *, summary: Summary | None = None, group: str | None = None, groups: int = 1, means: bool = False):
     """The exact linear quantiles, ``[group, column, share]``; NaN for a column without values in a group.
 
@@ -346,7 +362,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], *,
     if open_:
         wanted = np.unique([c for c, _ in open_])
         cells = rows.mapInArrow(_gather(places, cuts, width, groups, wanted), "cell long, value double, n long")
-        found = _select(cells, [(c, p, low, high) for (c, p), (low, high, _) in open_.items()])
+        if counts[wanted].sum() <= FEW:  # as is known before they are read
+            found = _select_few(cells.toArrow(), list(open_))
+        else:
+            found = _select(cells, [(c, p, low, high) for (c, p), (low, high, _) in open_.items()])
         for key, (_, _, ats) in open_.items():
             for at in ats:
                 values[at] = found[key]

@@ -250,10 +250,16 @@ class DelimitedFile:
     Row ids are dense, in the order of files and of rows in them; each file begins with a header,
     which gives no row.  Blank lines give no row, short rows are padded, long ones cut; a quote
     that isn't closed holds all that follows.
+
+    All passes have to cut files alike.  Where Spark would cut them by the cores it has just now, the session's
+    ``spark.sql.files.minPartitionNum`` is set to those there are when the file is opened; if splits still
+    differ, since files or settings have changed, reading ends with an error.
     """
 
     def __init__(self, spark: SparkSession, path: str, names: list[str], *, delimiter: str, encoding: str) -> None:
         self.spark, self.names, self.delimiter, self.encoding = spark, names, delimiter, encoding
+        if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+            spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
         self.lines = read_lines(spark, path, encoding)
         found = self.lines.mapInArrow(_summaries(delimiter, encoding), ", ".join(f"{n} {k}" for n, k in SPLIT.items()))
         self.splits = locate(found.repartition(1)).limit(MOST_SPLITS + 1).toArrow()  # a row a split
@@ -265,13 +271,15 @@ class DelimitedFile:
     def table(self, first: int | None = None) -> DataFrame:
         """``_row_id`` and the named columns; only of the ``first`` rows if that is given, from the splits that have them."""
         spark, splits, width = self.spark, self.splits, len(self.names)
-        if first is not None:
-            splits = splits.filter(pc.less_equal(pc.add(splits.column("before"), splits.column("number")), first))
+        wanted = pc.less_equal(pc.add(splits.column("before"), splits.column("number")), self.rows + 1 if first is None else first)
+        splits = splits.append_column("wanted", wanted)
         schema = T.StructType([T.StructField(ROW_ID, T.LongType())] + [T.StructField(f"c{k}", T.StringType()) for k in range(width)])
         if not len(splits):
             return spark.createDataFrame([], schema).toDF(ROW_ID, *self.names)
         at = ["file", "start"]
-        out = self.lines.join(F.broadcast(spark.createDataFrame(splits)), at).select("split", "start", "inside", "number", "before", "line").mapInArrow(_parsed(self.delimiter, self.encoding, width), schema)
+        joined = self.lines.join(F.broadcast(spark.createDataFrame(splits)), at, "left")
+        joined = joined.filter(F.coalesce("wanted", F.raise_error(F.lit("the files' splits have changed: open them again")).cast("boolean")))
+        out = joined.select("split", "start", "inside", "number", "before", "line").mapInArrow(_parsed(self.delimiter, self.encoding, width), schema)
         across = self.splits.filter(pc.or_(self.splits.column("opens"), self.splits.column("inside")))
         if len(across):
             parts = self.lines.join(F.broadcast(spark.createDataFrame(across)), at).drop("file", "size", "ends")

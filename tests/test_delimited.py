@@ -73,6 +73,16 @@ def test_a_quote_far_from_the_head(spark, split_bytes, tmp_path):
     assert got == expected(whole) and got[-2] == (90_000, "90000", "two\nlines, one field", "5")
 
 
+def test_other_splits_than_those_found_are_an_error(spark, split_bytes, tmp_path):
+    (tmp_path / "f.csv").write_text("a,b\n" + "1,2\n" * 200)
+    split_bytes(100)
+    file = text.open_delimited(spark, str(tmp_path / "f.csv"))
+    assert file.table().count() == 200
+    split_bytes(170)
+    with pytest.raises(Exception, match="splits have changed"):
+        file.table().count()
+
+
 def test_the_first_rows_alone(spark, split_bytes, tmp_path):
     whole = odd_text(random.Random(11), 80)
     (tmp_path / "f.csv").write_bytes(whole.encode())

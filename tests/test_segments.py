@@ -169,10 +169,11 @@ def test_statistics(spark):
     assert empty.n == 0 and empty["mean"] == 0 and empty.median == 0
 
 
-@pytest.mark.parametrize("cuts", [3, 40, 1024])
-def test_block_quantiles_are_exact(spark, monkeypatch, cuts):
-    """Hot values, ties, gaps and groups: the same as numpy's linear quantiles, however few cuts there are."""
+@pytest.mark.parametrize(("cuts", "few"), [(3, 0), (40, 0), (40, 500_000), (1024, 500_000)])
+def test_block_quantiles_are_exact(spark, monkeypatch, cuts, few):
+    """Hot values, ties, gaps and groups: the same as numpy's linear quantiles, however few cuts there are and wherever places are found."""
     monkeypatch.setattr(blocks, "CUTS", cuts)
+    monkeypatch.setattr(blocks, "FEW", few)
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.lognormal(3, 4, 3000), np.full(1500, 7.0), np.arange(500) - 250.0])
     y = np.where(rng.random(5000) < 0.4, np.nan, rng.integers(0, 3, 5000))
