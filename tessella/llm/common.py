@@ -130,7 +130,7 @@ def unused(taken: list[str], *names: str) -> list[str]:
 def refuse(id_col: str, *results: str) -> None:
     """An id column can't have the name of a result."""
     if id_col.lower() in {r.lower() for r in results}:
-        raise ValueError(f"{id_col} is the name of a result; rename the id column")
+        raise ValueError(f"{id_col} is the name of a feature or a result; rename the id column")
 
 
 def without(df: DataFrame, *names: str) -> list[str]:
