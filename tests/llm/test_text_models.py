@@ -604,6 +604,48 @@ def test_recall_with_lists_larger_than_the_shortlist(spark):
     assert n / 224 > 3 * ann.RERANK and np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["far", "between", "one in ten far"])
+def test_recall_of_queries_unlike_the_rows(spark, kind):
+    """Rows in tight groups, and queries that lie elsewhere: lists and codes are chosen by what the queries need."""
+    rng = np.random.default_rng(21)
+    n, dim = 6000, 32
+    hubs = rng.normal(size=(120, dim))
+    x = hubs[rng.integers(0, 120, n)] + 0.05 * rng.normal(size=(n, dim))
+    asked = np.arange(0, n, 50)
+    far = asked[::10] if kind == "one in ten far" else asked
+    x[far] = x[far] + x[rng.integers(0, n, len(far))] if kind == "between" else rng.normal(size=(len(far), dim))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float64()))})).repartition(4)
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    hits = {}
+    for q in asked.tolist():
+        s = unit @ unit[q]
+        s[q] = -9
+        hits[q] = len(got[q] & set(np.argsort(-s)[:5].tolist())) / 5
+    assert all(len(got[q]) == 5 for q in asked.tolist())
+    assert np.mean(list(hits.values())) >= 0.9 and np.mean([hits[q] for q in far.tolist()]) >= (0.5 if kind == "one in ten far" else 0.9)
+
+
+def test_codes_to_rerank_are_measured(spark):
+    """All rows in one list, and all that tells them apart in the four components of one code byte: the shortlist has to grow."""
+    rng = np.random.default_rng(22)
+    n = 4000
+    x = np.concatenate([rng.normal(size=(n, 4)), np.zeros((n, 60))], axis=1)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float64()))})).repartition(4)
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    hits = 0
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0"), lists=1, rerank=5).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, n, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / (5 * len(got)) >= 0.93
+
+
 def test_recall_on_the_embeddings(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
