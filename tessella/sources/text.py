@@ -102,19 +102,25 @@ def with_row_id(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     return joined.select((F.col("__base") + at).alias(row_id), *[F.col(f"`{c}`") for c in df.columns])
 
 
-def head_bytes(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
-    """The first bytes of a file, by Spark's own file systems."""
+def heads(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> Iterator[bytes]:
+    """The first bytes of a file, or of each file of a folder that has any, in the order of names; by Spark's own file systems."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
     at = jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(sc._jsc.hadoopConfiguration())
-    if files.getFileStatus(at).isDirectory():  # the first file that holds data
-        parts = [f.getPath() for f in files.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
-        at = min(parts, key=lambda p: p.getName())
-    stream = files.open(at)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
-    finally:
-        stream.close()
+    parts = [at]
+    if files.getFileStatus(at).isDirectory():
+        parts = [f.getPath() for f in files.listStatus(at) if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+    for part in sorted(parts, key=lambda p: p.getName()):
+        stream = files.open(part)
+        try:
+            yield bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+        finally:
+            stream.close()
+
+
+def head_bytes(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
+    """The first bytes of a file, or of a folder's first file that holds a record; none if there is no such file."""
+    return next((head for head in heads(spark, path, n) if parse_text(decode(head, detect_encoding(head)))), b"")
 
 
 def detect_format(spark: SparkSession, path: str) -> tuple[str, str, str]:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.plans.catalog import QUERIES
 from tessella.sources import delimited, text
 from tessella.sources.text import ROW_ID, header_names, parse_text, read_delimited
 
@@ -124,6 +125,39 @@ def test_a_folder_of_files_with_one_header(spark, split_bytes, tmp_path):
         assert read_rows(spark, folder) == [(k, *r) for k, r in enumerate(want)]
 
 
+def test_a_folder_whose_first_files_hold_no_record(spark, tmp_path):
+    """A task without rows leaves a file without bytes."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for k, part in enumerate(["", "\n\n", '""\n', "b;a\n1;x\n2;y\n", "", "b;a\n3;z\n"]):
+        (folder / f"part-{k}.csv").write_text(part)
+    assert read_rows(spark, folder) == [(0, "1", "x"), (1, "2", "y"), (2, "3", "z")]
+    assert read_delimited(spark, str(folder)).columns == [ROW_ID, "b", "a"]
+    (folder / "part-3.csv").unlink()
+    (folder / "part-5.csv").unlink()
+    with pytest.raises(ValueError, match="empty"):
+        read_delimited(spark, str(folder))
+
+
+def test_lines_written_by_tasks_without_rows(spark, sf, tmp_path):
+    """The one row group of a table falls to one of many tasks; and a table without rows."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.coalesce(1).write.parquet(str(tmp_path / "a/lineitem.parquet"))
+    lines.limit(0).write.parquet(str(tmp_path / "b/lineitem.parquet"))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for key in keys:
+            spark.conf.set(key, "20000")
+        df = QUERIES["csv_quoted_lines"](spark, str(tmp_path / "a"))
+        assert spark.read.parquet(str(tmp_path / "a/lineitem.parquet")).rdd.getNumPartitions() > 4 and df.count() == lines.count()
+        assert df.select("l_orderkey", "l_linenumber").exceptAll(lines.select("l_orderkey", "l_linenumber")).isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert QUERIES["csv_quoted_lines"](spark, str(tmp_path / "b")).isEmpty()
+
+
 def test_states_over_many_splits(spark):
     """Maps that set, keep and turn the state, against a loop."""
     rng = random.Random(5)
