@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.operators import cluster, evaluate
@@ -54,6 +55,20 @@ def test_search_of_k_over_all_lines(spark, sf):
         assert r.calinski_harabasz == pytest.approx(between(r.inertia * len(x)), rel=0.02)
 
 
+def test_search_of_k_with_ids_of_any_kind(spark):
+    """Ids of which none is a multiple of eight, in as many rows that every eighth would be looked at; and no rows."""
+    n = 8 * evaluate.SILHOUETTE_ROWS
+    hubs = np.array([[0.0, 0.0], [9.0, 0.0], [0.0, 9.0]])
+    x = hubs[np.arange(n) % 3] + np.random.default_rng(3).normal(size=(n, 2))
+    df = spark.createDataFrame(pa.table({"row": np.arange(n) * 8 + 1, "features": pa.array(list(x), pa.list_(pa.float64()))})).repartition(4)
+    scores = evaluate.k_scan_rows(df, "row", range(2, 5))
+    assert evaluate.choose_k(scores) == 3
+    for s in scores:
+        _, labels, _ = cluster.k_means_local(x[:3000], s.k, 42)
+        assert s.silhouette == pytest.approx(evaluate.silhouette(x[:3000], labels), abs=0.05)
+    assert evaluate.k_scan_rows(df.limit(0), "row", range(2, 5)) == []
+
+
 def test_no_cluster_is_left_empty(spark, sf):
     rows = QUERIES["empty_cluster_repair"](spark, sf).collect()
     n = duckdb.sql(f"SELECT count(DISTINCT o_custkey) FROM '{sf}/orders.parquet' JOIN '{sf}/customer.parquet' ON c_custkey = o_custkey").fetchall()[0][0]
